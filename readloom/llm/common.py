@@ -32,3 +32,25 @@ def text_or_empty(name: str = "text") -> Column:
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, fn, rows: int = 512) -> DataFrame:
+    """fn(list per column) -> list per output column, over slices of Arrow batches. fn gets plain Python values."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, to, strict=True)], schema=to)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def id_type(docs: DataFrame, name: str = "doc_id") -> str:
+    return docs.schema[name].dataType.simpleString()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from readloom.llm import chat, mixing
+from readloom.llm import bpe, chat, mixing, quality_rules, secrets_scan
 
 QUERIES = {
+    "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
     "op4_prefix_target": chat.op4_prefix_target,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_secret_scan": secrets_scan.op8_secret_scan,
 }
 SQL = {"op4_prefix_target": chat.SQL, "op7_mix_sources": mixing.SQL}
