@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import bpe, chat, mixing, quality_rules, secrets_scan
+from readloom.llm import bpe, chat, flac, mixing, quality_rules, ranking, secrets_scan
 
 QUERIES = {
     "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
@@ -10,5 +10,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_secret_scan": secrets_scan.op8_secret_scan,
+    "op9_bradley_terry": ranking.op9_bradley_terry,
+    "op10_flac": flac.op10_flac,
 }
 SQL = {"op4_prefix_target": chat.SQL, "op7_mix_sources": mixing.SQL}
