@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from readloom.llm import bpe, chat, flac, mixing, quality_rules, ranking, secrets_scan
+from readloom.llm import bpe, chat, flac, mixing, pii, quality_rules, ranking, secrets_scan
 
 QUERIES = {
+    "op1_semi_markov_crf": pii.op1_semi_markov_crf,
     "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
     "op4_prefix_target": chat.op4_prefix_target,
     "op5_byte_bpe": bpe.op5_byte_bpe,
