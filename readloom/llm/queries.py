@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from readloom.llm import bpe, chat, flac, mixing, ngram_join, pii, quality_rules, ranking, secrets_scan
+from readloom.llm import bpe, chat, flac, mixing, ngram_join, pii, pitman_yor, quality_rules, ranking, secrets_scan
 
 QUERIES = {
     "op1_semi_markov_crf": pii.op1_semi_markov_crf,
     "op2_distribution_divergence": quality_rules.op2_distribution_divergence,
+    "op3_pitman_yor": pitman_yor.op3_pitman_yor,
     "op4_prefix_target": chat.op4_prefix_target,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
