@@ -54,13 +54,12 @@ def _same(a: DataFrame, b: DataFrame, small: bool, how: str = "inner") -> DataFr
     return a.join(F.broadcast(b) if small else b, a["source"].eqNullSafe(b["b_source"]), how).drop("b_source")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies (how often the mix takes the document), key."""
-    return thresholds(cut(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), _key().alias("key"))), weights, share, cap)
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), _key().alias("key"))
 
 
-def thresholds(slim: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """mix() from doc_id, source, size and key."""
+def limits(slim: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
+    """source, source_size, target, base, limit: a document comes `base` times, and once more if its key is below `limit`; and whether the table is small enough to broadcast. slim: source, size, key."""
     src = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     fits = F.col("source_size") > 0
     src = src.withColumn("base", F.when(fits, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -88,18 +87,25 @@ def thresholds(slim: DataFrame, weights: tuple[float, ...], share: float, cap: f
     # the boundary's last bucket goes in if that comes nearer to the budget
     nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("under"))
     src = src.select("source", "source_size", "target", "base", F.when(F.col("budget") <= 0, 0).otherwise(F.col("prefix") + nearer.cast("long")).alias("limit"))
-    out = _same(slim, src, small)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("key") < F.col("limit")).cast("long")).alias("copies"), "key")
+    return cut(src), small
+
+
+def copies() -> Column:
+    return F.col("base") + (F.col("key") < F.col("limit")).cast("long")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, copies (how often the mix takes the document)."""
+    slim = cut(_slim(docs))
+    out = _same(slim, *limits(slim, **options))
+    return out.select("doc_id", "size", "source_size", "target", copies().alias("copies"))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves, with the columns of docs; a document taken twice comes twice."""
-    keyed = docs.withColumn("__key", _key())
-    chosen = mix(docs, **options).groupBy("key", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    chosen = chosen.withColumnRenamed("source", "c_source")
-    out = keyed.join(chosen, (F.col("__key") == F.col("key")) & keyed["source"].eqNullSafe(chosen["c_source"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return out.withColumn("__copy", times).select(*(keyed[c] for c in docs.columns))
+    """The mixed documents themselves, with the columns of docs; a document taken twice comes twice. Texts aren't shuffled: each row meets its source's threshold."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", _key().alias("key"))
+    out = _same(rows, *limits(cut(_slim(docs)), **options)).select("row", copies().alias("copies")).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
