@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.plans import alignments, records  # noqa: F401
+from readloom.plans import alignments, indexes, records  # noqa: F401
 from readloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
