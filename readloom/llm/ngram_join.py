@@ -33,6 +33,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,14 @@ class _Chunk:
         yield (1 << bits) + chunk % (1 << bits), chunk, pickle.dumps((self.ids, self.sizes, self.sigs, own, owner, h2, c2.astype(np.uint32), d2.astype(np.uint32)))
 
 
+def _pack(value) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+
+
+def _unpack(b: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+
+
 def _count(table: pa.Table, bits: int, width: int) -> pa.Table:
     """One bucket: for each chunk, its shingles that another document has too, with the number of documents. Rows of chunks themselves pass."""
     bucket = table["bucket"][0].as_py()
@@ -155,25 +164,25 @@ def _count(table: pa.Table, bits: int, width: int) -> pa.Table:
     df = np.empty(len(h), np.int64)
     df[order] = np.repeat(total, np.diff(np.concatenate([start, [len(h)]])))
     df = np.minimum(df, 65535).astype(np.uint16)
-    top = np.uint64(bucket << 8 * width)
     out, a, b = [], 0, sum(map(len, one))
     for p, x, y in zip(parts, one, two, strict=True):
         f = df[a : a + len(x)]
         k = np.flatnonzero(f > 1)
         d = np.repeat(np.arange(len(p[0]), dtype=np.uint32), p[0])
-        out.append(pickle.dumps((bucket, d[k], x[k] | top, f[k], df[b : b + len(y)])))
+        out.append(_pack((bucket, d[k], _narrow(x[k], width), f[k], df[b : b + len(y)])))
         a, b = a + len(x), b + len(y)
     return pa.table({"bucket": pa.array([bucket] * len(chunks), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
-def _gather(table: pa.Table, to: pa.Schema) -> pa.Table:
+def _gather(table: pa.Table, to: pa.Schema, width: int) -> pa.Table:
     """One chunk: its documents, and for each set that may have a similar one its shared shingles, rarest first, with their counts."""
     answers, head = [], None
     for b, p in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True):
         if b < 0:
             head = pickle.loads(p)
         else:
-            answers.append(pickle.loads(p))
+            bucket, d, low, f, several = _unpack(p)
+            answers.append((bucket, d, _widen(low, width) | np.uint64(bucket << 8 * width), f, several))
     ids, sizes, sigs, own, owner, h2, c2, d2 = head
     answers.sort(key=lambda x: x[0])
     none = (0, np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint16))
@@ -224,7 +233,7 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     counted = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, bits, width), schema)
     ddl = f"doc_id {id_type(docs)}, n long, sig binary, shared binary"
     to = to_arrow_schema(StructType.fromDDL(ddl))
-    return counted.groupBy("chunk").applyInArrow(lambda t: _gather(t, to), ddl)
+    return counted.groupBy("chunk").applyInArrow(lambda t: _gather(t, to, width), ddl)
 
 
 class Node:
@@ -310,9 +319,9 @@ def _links_to_hubs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                         known[y] = Node(m, t)
                     if similar(Node(n, s), known[y]):
                         got.append((x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
-    return rows.select("node", "hub", "n", "shared", "hub_n", "hub_shared").mapInArrow(run, "a binary, b binary")
+    return rows.select("node", "hub", "n", "shared", "hub_n", "hub_shared").mapInArrow(run, "a long, b long")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -326,11 +335,11 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
                 lens = [len(x.prefix) for _, x in got]
                 tok = np.concatenate([x.prefix for _, x in got] or [np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(tok), pa.array([k for (k, _), c in zip(got, lens, strict=True) for _ in range(c)], pa.binary()),
+                    pa.array(tok), pa.array(np.repeat(np.array([k for k, _ in got], np.int64), lens)),
                     pa.array(np.repeat([1 - len(x.h) / x.n for _, x in got], lens), pa.float64()),
                 ], names=["token", "node", "alone"])
 
-    return nodes.select("node", "n", "shared").mapInArrow(run, "token long, node binary, alone double")
+    return nodes.select("node", "n", "shared").mapInArrow(run, "token long, node long, alone double")
 
 
 def _links_in_blocks(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -355,27 +364,30 @@ def _links_in_blocks(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> Da
 
     def run(key, table):
         got = _compare_blocks(table, key[1].as_py(), key[2].as_py())
-        return pa.table({"a": pa.array([g[0] for g in got], pa.binary()), "b": pa.array([g[1] for g in got], pa.binary())})
+        return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    return work.groupBy("hub", "left", "right").applyInArrow(run, "a binary, b binary")
+    return work.groupBy("hub", "left", "right").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, for each row of docs. doc_id may be of any orderable type."""
     sets = cut(shared_sets(docs))
-    nodes = sets.where("shared is not null").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
-    nodes = cut(nodes)
-    tokens = cut(_prefixes(nodes))
+    # the checkpoint fixes the nodes' numbers
+    nodes = sets.where("shared is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    tokens = _prefixes(nodes)
     hubs = tokens.groupBy("token").agg(F.min(F.struct("alone", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.node").alias("hub"))
-    pairs = cut(tokens.join(hubs, "token").where("node <> hub").select("node", "hub").distinct())
+    pairs = cut(_prefixes(nodes).select("token", "node").join(hubs, "token").where("node <> hub").select("node", "hub").distinct())
     links = cut(_links_to_hubs(pairs, nodes))
     more = cut(_links_in_blocks(pairs, nodes, components(links)))
     roots = components(links.union(more))
     # the least id: of equal sets, then of the component
-    known = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    known = known.withColumn("root", F.coalesce("root", "sig"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = known.select("sig", "root").join(least, "root").select("sig", "component_id")
+    found = roots.join(nodes.select("node", "sig"), "node").select("sig", "root")
+    known = sets.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")).join(found, "sig", "left")
+    alone = known.where("root is null").select("sig", F.col("least").alias("component_id"))
+    joint = known.where("root is not null")
+    least = joint.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = alone.union(joint.select("sig", "root").join(least, "root").select("sig", "component_id"))
     out = sets.select("doc_id", "n", "sig").join(label, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
