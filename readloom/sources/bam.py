@@ -142,12 +142,12 @@ def _bin(begin: int, end: int) -> int:
 
 
 def read_bam(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
-    """Records of BAM files. rec_idx rises in file order: the file's number, then the record's."""
+    """Records of BAM files. rec_idx rises in file order: the file's number (of up to 2^23), then the record's."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     to = to_arrow_schema(StructType.fromDDL(SCHEMA))
-    files = spark.read.format("binaryFile").load(path).select("content", F.monotonically_increasing_id().alias("file"))
+    files = spark.read.format("binaryFile").load(path).select("content", (F.shiftright(F.monotonically_increasing_id(), 33) * 1024 + F.monotonically_increasing_id() % 1024).alias("file"))
 
     def run(batches):
         for b in batches:

@@ -65,12 +65,18 @@ def write_sam(reads: DataFrame, path: str, header: list[str] | None = None) -> N
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, segment, seq, qual of FASTQ files: each file is cut at its record marks by the reader, so records never straddle tasks."""
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "^@|\n$", "").alias("r"), F.monotonically_increasing_id().alias("rec_idx"))
-    lines = F.split("r", "\n")
-    head = lines[0]
-    seg = F.regexp_extract(head, "/([12])$", 1)
-    return raw.where(F.size(lines) >= 4).select("rec_idx", F.regexp_replace(head, "/[12]$", "").alias("name"), F.when(seg == "", 0).otherwise(seg.try_cast("int")).alias("segment"), lines[1].alias("seq"), lines[3].alias("qual"))
+    """name, segment, seq, qual of FASTQ files.
+
+    The reader cuts files at line ends that are followed by `@`, which every record begins with. Scores may begin with `@` too; such
+    a record comes in two pieces, three lines and the rest of its scores, which are put together by their numbers.
+    """
+    raw = dense_numbers(spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\n$", "").alias("piece"), F.monotonically_increasing_id().alias("rec_idx")))
+    lines = F.split(F.regexp_replace("piece", "^@", ""), "\n")
+    whole = raw.where(F.size(lines) == 4).select("rec_idx", lines[0].alias("head"), lines[1].alias("seq"), lines[3].alias("qual"))
+    tails = raw.where(F.size(lines) == 1).select((F.col("rec_idx") - 1).alias("rec_idx"), F.concat(F.lit("@"), "piece").alias("qual"))
+    broken = raw.where(F.size(lines) == 3).select("rec_idx", lines[0].alias("head"), lines[1].alias("seq")).join(tails, "rec_idx")
+    seg = F.regexp_extract("head", "/([12])$", 1)
+    return whole.unionByName(broken).select("rec_idx", F.regexp_replace("head", "/[12]$", "").alias("name"), F.when(seg == "", 0).otherwise(seg.try_cast("int")).alias("segment"), "seq", "qual")
 
 
 def write_fastq(records: DataFrame, path: str, gzip: bool = True) -> None:
