@@ -335,8 +335,8 @@ def _seat_parent(table: pa.Table, buckets: int) -> pa.Table:
     return _rows((buckets + bucket, k, pack(value[_unrise(p[0])], float(c.sum()), float(tables[0]))) for k, p in asked)
 
 
-def _score(home_rows: pa.Table, said_rows: pa.Table, buckets: int, to: pa.Schema) -> pa.Table:
-    home = _Home(home_rows, buckets)
+def _probabilities(home: _Home, said_rows: pa.Table, buckets: int) -> np.ndarray:
+    """The averaged predictive probability of each distinct pair of a chunk."""
     said = {b: unpack(p) for b, p in zip(said_rows["bucket"].to_pylist(), said_rows["payload"].to_pylist(), strict=True)}
     c, k, b, order, _, _ = home.layout(buckets)
     tables = np.bincount(c, np.concatenate([said[i][1] for i in range(buckets)]), home.start + 1)
@@ -347,8 +347,12 @@ def _score(home_rows: pa.Table, said_rows: pa.Table, buckets: int, to: pa.Schema
     parent = (np.concatenate([x[0] for x in root]) + (ROOT_THETA + ROOT_D * root_tables) / (home.v + 1)) / (ROOT_THETA + customers)
     n_u = home.customers[home.context]
     p = parent[home.dish]
-    p = np.where(n_u > 0, (value + (THETA + D * tables[home.context]) * p) / (THETA + n_u), p)
-    logs = np.log10(p)[home.pair]
+    return np.where(n_u > 0, (value + (THETA + D * tables[home.context]) * p) / (THETA + n_u), p)
+
+
+def _score(home_rows: pa.Table, said_rows: pa.Table, buckets: int, to: pa.Schema) -> pa.Table:
+    home = _Home(home_rows, buckets)
+    logs = np.log10(_probabilities(home, said_rows, buckets))[home.pair]
     base = np.log10((home.count + 1) / (home.n + home.v + 1))[home.seq]
     first = np.cumsum(home.lengths) - home.lengths
     add = lambda x: np.add.reduceat(x, first)
