@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import documents, id_type, map_rows
 
 #: Encodings of pre-tokens that a worker remembers, each of so many bytes at most.
-REMEMBER, REMEMBER_BYTES = 800_000, 64
+REMEMBER, REMEMBER_BYTES = 250_000, 48
 _MASK = (1 << 64) - 1
 
 

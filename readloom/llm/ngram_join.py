@@ -45,7 +45,7 @@ SIZE, PERCENT = 5, 75
 CHUNK_BYTES, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 500_000, 400_000
 #: Prefix extensions that are tried, and the cost of verifying a candidate in postings read.
 MOST_MATCHES, VERIFY_COST = 12, 20
-_MEMO = 500_000
+_MEMO = 150_000
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SIZE)]
 
 

@@ -43,7 +43,7 @@ SPLIT = 200_000
 #: Exact probabilities of sitting alone are tabulated up to so many customers of a dish; beyond, their limit d t / c is used.
 TABLE = 128
 _END = b"\n"  # no word holds a line end
-_MEMO = 500_000
+_MEMO = 150_000
 
 
 def pack(*values) -> bytes:
