@@ -307,7 +307,7 @@ def _compare_blocks(table: pa.Table, left: int, right: int):
 def _links_to_hubs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (node, hub), the similar ones, as links a, b."""
     hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
-    rows = pairs.join(nodes.select("node", "n", "shared"), "node").join(hubs, "hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT)
+    rows = pairs.where("near").select("node", "hub").join(nodes.select("node", "n", "shared"), "node").join(hubs, "hub")
 
     def run(batches):
         for batch in batches:
@@ -325,7 +325,7 @@ def _links_to_hubs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
-    """token, node, alone (the share of shingles that only this set has): the chosen prefixes."""
+    """token, node, n, alone (the share of shingles that only this set has): the chosen prefixes."""
 
     def run(batches):
         for batch in batches:
@@ -335,11 +335,11 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
                 lens = [len(x.prefix) for _, x in got]
                 tok = np.concatenate([x.prefix for _, x in got] or [np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(tok), pa.array(np.repeat(np.array([k for k, _ in got], np.int64), lens)),
+                    pa.array(tok), pa.array(np.repeat(np.array([k for k, _ in got], np.int64), lens)), pa.array(np.repeat(np.array([x.n for _, x in got], np.int64), lens)),
                     pa.array(np.repeat([1 - len(x.h) / x.n for _, x in got], lens), pa.float64()),
-                ], names=["token", "node", "alone"])
+                ], names=["token", "node", "n", "alone"])
 
-    return nodes.select("node", "n", "shared").mapInArrow(run, "token long, node long, alone double")
+    return nodes.select("node", "n", "shared").mapInArrow(run, "token long, node long, n long, alone double")
 
 
 def _links_in_blocks(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -376,8 +376,11 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = sets.where("shared is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     tokens = _prefixes(nodes)
-    hubs = tokens.groupBy("token").agg(F.min(F.struct("alone", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.node").alias("hub"))
-    pairs = cut(_prefixes(nodes).select("token", "node").join(hubs, "token").where("node <> hub").select("node", "hub").distinct())
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = hubs.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    # near: the sizes alone don't rule out that the two are similar
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
+    pairs = cut(_prefixes(nodes).select("token", "node", "n").join(hubs, "token").where("node <> hub").select("node", "hub", near.alias("near")).distinct())
     links = cut(_links_to_hubs(pairs, nodes))
     more = cut(_links_in_blocks(pairs, nodes, components(links)))
     roots = components(links.union(more))
