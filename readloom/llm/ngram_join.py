@@ -410,3 +410,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set sizes and classes of all documents."""
     return classes(documents(spark, sf_dir))
+
+
+#: The same by joining on every shingle, and labels that spread along links; for small tables.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i from w where len(w) > 0) x),
+n as (select w.doc_id, count(s.s) as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+l as (select a.doc_id as x, b.doc_id as y from s a join s b on a.s = b.s and a.doc_id < b.doc_id join n p on p.doc_id = a.doc_id join n q on q.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as d, doc_id as c from n union select e.y, r.c from r join e on e.x = r.d where r.c < e.y)
+select n.doc_id, n.n as n_shingles, min(r.c) as component_id from n join r on r.d = n.doc_id group by n.doc_id, n.n
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bradley_terry": ranking.op9_bradley_terry,
     "op10_flac": flac.op10_flac,
 }
-SQL = {"op4_prefix_target": chat.SQL, "op7_mix_sources": mixing.SQL}
+SQL = {"op4_prefix_target": chat.SQL, "op6_ngram_jaccard": ngram_join.SQL, "op7_mix_sources": mixing.SQL}
