@@ -5,8 +5,9 @@ of its tables is a customer of the parent; the parent's base is uniform over the
 one unknown word. Table counts are sampled by Gibbs moves (a customer leaves, alone at its
 table with the probability that the partition implies, and sits down again by the Chinese-restaurant
 rule); after BURN_IN sweeps the predictive probabilities, which are linear in the table counts, are
-averaged over SAMPLES sweeps. Restaurants are seated given an estimate of the parent, then the
-parent given their tables (a blocked scan from the leaves to the root).
+averaged over SAMPLES sweeps. Restaurants are seated given an estimate of the parent, the words'
+frequencies in all training documents, then the parent given their tables (a blocked scan from the
+leaves to the root).
 
 Nothing of the corpus is held in one place. Chunks of documents send their distinct words, and then
 their distinct word pairs, packed, to tasks that own a share of the words or contexts, and get
@@ -141,6 +142,11 @@ def seat(c: np.ndarray, u: np.ndarray, base: np.ndarray, share: np.ndarray, d: f
     return every, last.astype(np.int64), tables
 
 
+def parent_estimate(count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The parent's probability of words with these counts among the n training tokens, v of them distinct."""
+    return (count + ROOT_THETA / (v + 1)) / (n + ROOT_THETA)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -275,7 +281,9 @@ def _send_pairs(table: pa.Table, buckets: int) -> pa.Table:
         place = np.empty(len(sort), np.int64)
         place[sort] = np.arange(len(sort))
         per = np.bincount(np.searchsorted(key[s][sort], pkey[p]), minlength=len(sort))[place]
-        rows.append((i, chunk, pack(_planes(key[s]), _planes(home.parts[c[s]]), _planes(per), _planes(dish[p]), _planes(count[p]))))
+        at = np.unique(dish[p], return_index=True)[1]
+        often = home.count[home.dish[order[p][at]]]  # of each distinct word here, in all training documents
+        rows.append((i, chunk, pack(_planes(key[s]), _planes(home.parts[c[s]]), _planes(per), _planes(dish[p]), _planes(count[p]), _planes(often), _planes(np.array([home.n, home.v])))))
         rows.append((buckets + i, chunk, pack(_rise(home.index[i]), home.v)))
     return _rows(rows)
 
@@ -298,9 +306,11 @@ def _seat_contexts(table: pa.Table, buckets: int) -> pa.Table:
     pairs, pair = np.unique(u * (len(words) + 1) + dish, return_inverse=True)
     total = np.bincount(pair, c, len(pairs)).astype(np.int64)
     pu, pw = pairs // (len(words) + 1), pairs % (len(words) + 1)
-    # the parent as this bucket's own customers show it
-    own = np.bincount(pw, total, len(words))
-    base = (own + 0.5) / (own.sum() + 0.5 * len(words) + 1)
+    # the parent as all training documents show it
+    often, (n, v) = np.zeros(len(words), np.int64), parts[0][6]
+    for p in parts:
+        often[np.searchsorted(words, np.unique(p[3]))] = p[5]
+    base = parent_estimate(often, n, v)
     rng = np.random.default_rng(bucket)
     mean, last, tables = seat(total, pu, base[pw], share, D, THETA, rng)
     value = (total - D * mean).astype(np.float32)

@@ -241,6 +241,34 @@ def test_pitman_yor_probabilities_of_all_next_words_sum_to_one(monkeypatch, buck
     assert full.sum() >= 5 and sums[full] == pytest.approx(np.ones(full.sum()), abs=1e-6)
 
 
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_contexts_are_seated_against_words_of_all_training_documents(monkeypatch, buckets):
+    monkeypatch.setattr(pitman_yor, "SPLIT", 40)  # the frequent contexts are split into parts
+    r, bits = random.Random(5), buckets.bit_length() - 1
+    count, rows = Counter(), []
+    for k in range(2):
+        c = pitman_yor._Chunk()
+        for i in range(200 * k, 200 * k + 200):
+            text = " ".join(r.choice("aaaabbbccdefgh") for _ in range(r.randint(0, 12)))
+            c.add(i, text)
+            count.update([] if pitman_yor.held_out(i) else pitman_yor.tokens(text))
+        rows += list(c.rows(k, bits, {}))
+
+    def step(f, rows, key):
+        by = {}
+        for x in rows:
+            by.setdefault(x[key], []).append(x)
+        return [tuple(x.values()) for v in by.values() for x in f(pitman_yor._rows(v), buckets).to_pylist()]
+
+    seat, used = pitman_yor.seat, []
+    monkeypatch.setattr(pitman_yor, "seat", lambda c, u, base, *a: used.append((c, base)) or seat(c, u, base, *a))
+    step(pitman_yor._seat_contexts, step(pitman_yor._send_pairs, step(pitman_yor._count_words, rows, 0), 1), 0)
+    n, v = sum(count.values()), len(count)
+    want = {round((x + pitman_yor.ROOT_THETA / (v + 1)) / (n + pitman_yor.ROOT_THETA), 12) for x in count.values()}
+    assert sum(c.sum() for c, _ in used) == n
+    assert {round(float(b), 12) for c, base in used for b in base[c > 0]} == want
+
+
 def test_seating_keeps_its_bounds():
     rng = np.random.default_rng(1)
     c = rng.integers(0, 400, 500)
