@@ -4,7 +4,8 @@ Customers of a context's restaurant are the words that follow it in the training
 of its tables is a customer of the parent; the parent's base is uniform over the training words and
 one unknown word. Table counts are sampled by Gibbs moves (a customer leaves, alone at its
 table with the probability that the partition implies, and sits down again by the Chinese-restaurant
-rule); after BURN_IN sweeps the predictive probabilities, which are linear in the table counts, are
+rule). A sweep moves every customer of every dish, those of a dish with more than GROUPS customers
+in GROUPS groups that leave and return together; after BURN_IN sweeps the predictive probabilities, which are linear in the table counts, are
 averaged over SAMPLES sweeps. Restaurants are seated given an estimate of the parent, the words'
 frequencies in all training documents, then the parent given their tables (a blocked scan from the
 leaves to the root).
@@ -39,6 +40,8 @@ CHUNK_BYTES, BUCKET_TOKENS = 8 << 20, 1_200_000
 #: Discounts and strengths of the contexts' restaurants and of the parent.
 D, THETA, ROOT_D, ROOT_THETA = 0.85, 1.0, 0.7, 10.0
 BURN_IN, SAMPLES = 4, 6
+#: Into so many groups at most a sweep divides the customers of a dish; up to so many customers move one by one.
+GROUPS = 16
 #: Customers from which on a context is split, each part with about so many.
 SPLIT = 200_000
 #: Exact probabilities of sitting alone are tabulated up to so many customers of a dish; beyond, their limit d t / c is used.
@@ -107,6 +110,23 @@ def alone_table(d: float) -> np.ndarray:
     return _ALONE[d]
 
 
+def _hits(m: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+    """Of m trials each with probability p, how many succeed."""
+    out = (rng.random(len(p)) < p).astype(np.int64)
+    g = np.flatnonzero(m > 1)
+    out[g] = rng.binomial(m[g], np.minimum(1, p[g]))
+    return out
+
+
+def _move(t: np.ndarray, m: np.ndarray, n: np.ndarray, p: np.ndarray, total: np.ndarray, d: float, theta: float, alone: np.ndarray, rng) -> np.ndarray:
+    """The tables of dishes with n customers at t tables after m of each left and sat down again. total: the tables of their restaurants."""
+    off = np.where(n <= TABLE, alone[np.minimum(n, TABLE), np.minimum(t, TABLE).astype(np.int64)], np.minimum(1, d * t / n))
+    gone = np.minimum(_hits(m, np.where(t > 1, off, 0), rng), t - 1)
+    rest = t - gone / m  # as the next of the m finds it
+    new = (theta + d * (total - gone / m)) * p
+    return t - gone + np.minimum(_hits(m, new / (new + n - 1 - d * rest), rng), n - t + gone)
+
+
 def seat(c: np.ndarray, u: np.ndarray, base: np.ndarray, share: np.ndarray, d: float, theta: float, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table counts of dishes with c customers in restaurants u (0..): (mean over samples, last sample, mean tables of each restaurant here).
 
@@ -126,13 +146,15 @@ def seat(c: np.ndarray, u: np.ndarray, base: np.ndarray, share: np.ndarray, d: f
         seated += np.where(left, step, 0)
         total = (fixed + np.bincount(r, t, count)) * share
     mean, tables = np.zeros(len(n)), np.zeros(count)
+    # a sweep: group by group, until every customer has moved once
+    size = -(-n // GROUPS)
+    turns = [(i, np.minimum(size[i], n[i] - k * size[i])) for k in range(GROUPS) if len(i := np.flatnonzero(k * size < n))]
+    here = total / share
     for sweep in range(BURN_IN + SAMPLES):
-        off = np.where(n <= TABLE, alone[np.minimum(n, TABLE), np.minimum(t, TABLE).astype(int)], np.minimum(1, d * t / n))
-        rest = t - (rng.random(len(n)) < np.where(t > 1, off, 0))
-        new = (theta + d * total[r]) * p
-        t = rest + (rng.random(len(n)) < new / (new + n - 1 - d * rest))
-        here = fixed + np.bincount(r, t, count)
-        total = here * share
+        for i, m in turns:
+            t[i] = _move(t[i], m, n[i], p[i], total[r[i]], d, theta, alone, rng)
+            here = fixed + np.bincount(r, t, count)
+            total = here * share
         if sweep >= BURN_IN:
             mean += t / SAMPLES
             tables += here / SAMPLES

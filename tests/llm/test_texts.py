@@ -269,6 +269,22 @@ def test_contexts_are_seated_against_words_of_all_training_documents(monkeypatch
     assert {round(float(b), 12) for c, base in used for b in base[c > 0]} == want
 
 
+@pytest.mark.parametrize(("c", "p"), [(12, 0.2), (100, 0.05), (3000, 0.02)])
+def test_sweeps_move_every_customer(c, p):
+    """Restaurants with one dish: the samples' mean is that of the exact conditional, and samples are far from one state."""
+    d, theta, many = 0.8, 1.0, 800
+    mean, last, _ = pitman_yor.seat(np.full(many, c), np.arange(many), np.full(many, p), np.ones(many), d, theta, np.random.default_rng(3))
+    s = np.full(c + 1, -np.inf)  # logs of generalised Stirling numbers
+    s[0], t = 0, np.arange(c + 1)
+    with np.errstate(divide="ignore"):
+        for k in range(1, c + 1):
+            s = np.concatenate([[-np.inf], np.logaddexp(s[:-1], s[1:] + np.log(np.maximum(k - 1 - d * t[1:], 0)))])
+        weight = s + np.concatenate([[-np.inf], np.cumsum(np.log((theta + d * t[:-1]) * p))])
+    weight = np.exp(weight - weight.max())
+    assert mean.mean() == pytest.approx((t * weight).sum() / weight.sum(), rel=0.05)
+    assert mean.var() < 0.75 * last.var()
+
+
 def test_seating_keeps_its_bounds():
     rng = np.random.default_rng(1)
     c = rng.integers(0, 400, 500)
