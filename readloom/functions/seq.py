@@ -68,8 +68,8 @@ def seq_id(name: Column) -> Column:
 
 
 def version_parts(v: Column) -> Column:
-    """Version text split at `.`, `-` and `b`, as integers."""
-    return F.transform(F.split(v, "[.b-]"), lambda x: x.cast("int"))
+    """Version text split at `.`, `-` and `b`, as integers; an empty part is null. Major and minor are the first two, the build after `-b` is the fourth."""
+    return F.transform(F.split(v, "[.b-]"), lambda x: x.try_cast("int"))
 
 
 def name_order(name: Column) -> list[Column]:

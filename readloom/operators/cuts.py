@@ -1,15 +1,50 @@
-"""Cutting a plan at the shared checkpoint folder."""
+"""Cutting a plan at the shared checkpoint folder, and numbering rows in order without a window over all of them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read on from there; where none is set, as in tests, to one of our own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is set a session in one process (as in tests) gets one of its own; on a cluster that is an error, as a folder of the driver's machine would not be shared."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="readloom-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read on from there, so later steps neither recompute it nor lose it with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str = "place", slices: int | None = None) -> DataFrame:
+    """df with `name`: 1, 2, ... in the given order.
+
+    Rows are dealt into ranges of the order, numbered within each, and the ranges start where those before them end: one small
+    row for each range is all that one task ever orders. Rows equal in the order share a range and get numbers in any order.
+    """
+    columns = df.columns
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    ranged = cut(ranged.withColumn("__slice", F.spark_partition_id()))
+    size = ranged.groupBy("__slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = size.select("__slice", before.alias("__base"))  # one row for each range
+    at = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+    return ranged.withColumn("__at", at).join(F.broadcast(base), "__slice").select(*columns, (F.col("__base") + F.col("__at")).alias(name))

@@ -7,16 +7,29 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.cuts import numbered
+
 
 def merged(sources: dict[str, DataFrame]) -> DataFrame:
     """All records of all sources with names `source.name` and their `source`; order them by merge_order()."""
     return reduce(DataFrame.unionByName, (df.withColumns({"source": F.lit(k), "qname": F.concat(F.lit(k + "."), F.col("qname"))}) for k, df in sources.items()))
 
 
+def _placed(reads: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list]:
+    """reads with the contig's place in the dictionary, and the order of merging."""
+    return reads.join(dictionary.select("rname", "ref_id"), "rname", "left"), [F.col("ref_id").asc_nulls_last(), F.col("pos").asc(), F.col("source").asc(), F.col("rec_idx").asc()]
+
+
 def merge_order(reads: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Sorted by the contig's place in the dictionary, position, then source and input order; unplaced records last."""
-    placed = reads.join(dictionary.select("rname", "ref_id"), "rname", "left")
-    return placed.orderBy(F.col("ref_id").asc_nulls_last(), "pos", "source", "rec_idx").drop("ref_id")
+    placed, order = _placed(reads, dictionary)
+    return placed.orderBy(*order).drop("ref_id")
+
+
+def merge_places(reads: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Each record with its place, 1 .. n, in the merged order."""
+    placed, order = _placed(reads, dictionary)
+    return numbered(placed, order).drop("ref_id")
 
 
 def header_union(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -33,6 +46,11 @@ def distinct_ids(sources: DataFrame, ident: str = "id", order: str = "i") -> Dat
 
 
 def best_of_name(reads: DataFrame) -> DataFrame:
-    """One record for each name: the highest mapping quality, on a tie the first. A maximum over (mapq, -rec_idx), so names are pre-aggregated before the shuffle."""
-    best = reads.groupBy("qname").agg(F.max(F.struct("mapq", (-F.col("rec_idx")).alias("back"), F.struct(*(c for c in reads.columns if c != "tags")).alias("row"))).alias("best"))
-    return best.select("best.row.*")
+    """One record for each name: the highest mapping quality, on a tie the first.
+
+    Only numbers are grouped, in hash tables before and after the shuffle (the best quality of a name, then the first record
+    that has it); whole records are met by their number.
+    """
+    top = reads.groupBy("qname").agg(F.max("mapq").alias("mapq"))
+    first = reads.select("qname", "mapq", "rec_idx").join(top, ["qname", "mapq"]).groupBy("qname").agg(F.min("rec_idx").alias("rec_idx"))
+    return reads.join(first.select("rec_idx"), "rec_idx", "left_semi")

@@ -136,11 +136,13 @@ def mismatch_ratio(spark, d):
 
 # ---- mates
 
-_BY = "select qname, min(rec_idx) as rec_a, max(rec_idx) as rec_b, count(*) as n from reads where rec_idx % 9 <> 8 group by qname"
+_LOST = "(select *, case when rec_idx % 9 = 8 then qname || '.x' else qname end as name from reads)"
+_BY = f"select name as qname, min(rec_idx) as rec_a, max(rec_idx) as rec_b, count(*) as n from {_LOST} l group by name"
 
 
 def _some(spark, d):
-    return reads(spark, d).where("rec_idx % 9 <> 8")
+    """All reads; each ninth has a name of its own, so it and its mate are orphans."""
+    return reads(spark, d).withColumn("qname", F.expr("case when rec_idx % 9 = 8 then concat(qname, '.x') else qname end"))
 
 
 @query(f"select qname, rec_a, rec_b from ({_BY}) x where n = 2", "reads")
@@ -153,7 +155,7 @@ def orphans(spark, d):
     return pairing.orphans(_some(spark, d)).select("rec_idx")
 
 
-@query(f"select rec_idx, case when n = 1 then 0 when (flag & 64) <> 0 then 1 else 2 end as stream from reads r join ({_BY}) x on r.qname = x.qname where rec_idx % 9 <> 8", "reads")
+@query(f"select rec_idx, case when n = 1 then 0 when (flag & 64) <> 0 then 1 else 2 end as stream from {_LOST} r join ({_BY}) x on r.name = x.qname", "reads")
 def pair_collate(spark, d):
     return pairing.collated(_some(spark, d))
 
@@ -203,9 +205,10 @@ def next_segment(spark, d):
 
 
 @query(f"""select r.rec_idx, case when ok then m.mate end as mate_idx, not coalesce(ok, false) as detached from reads r left join (
-    select a.rec_idx, b.rec_idx as mate, (a.flag & 4) <> 99 as ok from reads a join reads b on a.qname = b.qname and a.rec_idx <> b.rec_idx and (a.flag & 256) = (b.flag & 256)) m on m.rec_idx = r.rec_idx""", "reads")
+    select a.rec_idx, b.rec_idx as mate, a.rec_idx % 10 <> 0 and b.rec_idx % 10 <> 0 as ok from reads a join reads b on a.qname = b.qname and a.rec_idx <> b.rec_idx and (a.flag & 256) = (b.flag & 256)) m on m.rec_idx = r.rec_idx""", "reads")
 def mate_link_by_name(spark, d):
-    return pairing.linked_by_name(pairing.mate_info(reads(spark, d)))
+    # every tenth record's mate position is wrong, which detaches both
+    return pairing.linked_by_name(pairing.mate_info(reads(spark, d)).withColumn("pnext", F.expr("case when rec_idx % 10 = 0 then pnext + 1 else pnext end")))
 
 
 @query(f"""select rec_idx, (af & 1) <> 0 and (bf & 1) <> 0 and ((af & 8) <> 0) = ((bf & 4) <> 0) and ((bf & 8) <> 0) = ((af & 4) <> 0) and ((af & 32) <> 0) = ((bf & 16) <> 0) and ((bf & 32) <> 0) = ((af & 16) <> 0)
@@ -235,9 +238,9 @@ def merge_sources(spark, d):
     return merge.merged(_sources(spark, d)).select("qname", "rec_idx", "source", "rname", "pos")
 
 
-@query("""select rec_idx, rname, pos from (select r.rec_idx, r.rname, r.pos, f.ref_id from reads r left join ref f on f.rname = r.rname) x order by ref_id nulls last, pos, rec_idx % 2, rec_idx limit 500""", "reads")
+@query("""select rec_idx, rname, pos, row_number() over (order by ref_id nulls last, pos, rec_idx % 2, rec_idx) as place from (select r.rec_idx, r.rname, r.pos, f.ref_id from reads r left join ref f on f.rname = r.rname) x""", "reads")
 def merge_sorted(spark, d):
-    return merge.merge_order(merge.merged(_sources(spark, d)), ref(spark, d)).limit(500).select("rec_idx", "rname", "pos")
+    return merge.merge_places(merge.merged(_sources(spark, d)).select("rec_idx", "rname", "pos", "source"), ref(spark, d)).select("rec_idx", "rname", "pos", "place")
 
 
 @query("""select id, min(src) as src from (select concat('rg', cast(n_nationkey % 7 as varchar)) as id, 0 as src from nation where n_nationkey < 12 union all select concat('rg', cast(n_nationkey % 10 as varchar)), 1 from nation) x group by id""")
@@ -293,7 +296,7 @@ def diff_tolerant(spark, d):
     return diff.rows(a, b, ignore={"mapq", "qual"}, flag_mask=1024, tlen_by=2)
 
 
-@query("select 2 as premature_end, cast(1 as bigint) as missing")
+@query("""select cast(case when a.n < b.n then 1 when a.n > b.n then 2 else 0 end as int) as premature_end, abs(a.n - b.n) as missing from (select count(*) as n from reads) a, (select count(*) as n from perturbed) b""", "perturbed")
 def premature_end(spark, d):
     return diff.premature_end(reads(spark, d), perturbed(spark, d))
 

@@ -39,7 +39,8 @@ _SHAPE = "case k % 5 when 0 then '32M' when 1 then '10M2D22M' when 2 then '5S27M
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records: qname, flag, rname, pos, mapq, cigar, seq, qual, tags, aln_end, rec_idx."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "cast(floor(o_orderkey / 2) as bigint) as t", "cast(round(o_totalprice * 100) as bigint) as cents", "md5(cast(o_orderkey as string)) as h")
-    p = o.join(ref(spark, sf_dir), F.col("ref_id") == F.col("t") % 5).selectExpr("*", "cast(1 + (cents % (length(seq) - 80)) as int) as pos", "case when k % 23 = 0 then 1 else 0 end as unm", f"{_SHAPE} as cig")
+    # five contigs of at most 2000 letters: small by construction, and met with the orders where these are read
+    p = o.join(F.broadcast(ref(spark, sf_dir)), F.col("ref_id") == F.col("t") % 5).selectExpr("*", "cast(1 + (cents % (length(seq) - 80)) as int) as pos", "case when k % 23 = 0 then 1 else 0 end as unm", f"{_SHAPE} as cig")
     out = p.selectExpr(
         "concat('t', cast(t as string)) as qname", f"{_BITS} as flag", "case when unm=1 then '*' else rname end as rname", "case when unm=1 then 0 else pos end as pos",
         "case when unm=1 then 0 else cast(cents % 61 as int) end as mapq", "case when unm=1 then '*' else cig end as cigar", f"{_SEQ} as seq", "translate(h,'0123456789abcdef','!#(+05:?@ABCDEFI') as qual",

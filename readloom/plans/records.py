@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, flags, qual, seq, tags
 from readloom.operators import filters, projections, stats
+from readloom.operators.cuts import numbered
 from readloom.plans.fixtures import reads, ref, table
 from readloom.plans.registry import query
 from readloom.schema import FLAGS
@@ -254,9 +255,9 @@ def spark_lines(spark, d):
     return fastq_records(reads(spark, d)).select("record")
 
 
-@query("select doc_id, regexp_replace(translate(substring(text, 1, 200), 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') as bases from documents")
+@query("select doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') as bases from documents")
 def normalize_bases(spark, d):
-    return table(spark, d, "documents").select("doc_id", seq.normalize(F.substring("text", 1, 200)).alias("bases"))
+    return table(spark, d, "documents").select("doc_id", seq.normalize(F.col("text")).alias("bases"))
 
 
 @query("select p_partkey, regexp_matches(upper(substring(p_type, 1, 3)), '^[ACGTURYSWKMBDHVN.-]*$') as valid from part")
@@ -287,11 +288,11 @@ def insert_path_pattern(spark, d):
     return r.select("rname", seq.path_of("/cache/%2s/%2s/%s", F.col("m")).alias("path"), both["md5"].alias("md5"), both["name"].alias("name"), uri.alias("uri"), seq.file_name(uri).alias("file"))
 
 
-@query("""select * from (values ('1.2-b3', 1, 2), ('2.0.1-b10', 2, 0)) t(version, major, minor)""")
+@query("""select p_partkey, p_size as major, cast(p_partkey % 7 as int) as minor, cast(case when p_partkey % 3 > 0 then p_partkey else 0 end as int) as build from part""")
 def version_parse(spark, d):
-    v = seq.version_parts(F.regexp_replace("version", "-b", "-"))
-    rows = spark.range(2).select(F.when(F.col("id") == 0, "1.2-b3").otherwise("2.0.1-b10").alias("version"))
-    return rows.select("version", v[0].alias("major"), v[1].alias("minor"))
+    text = F.expr("concat(p_size, '.', p_partkey % 7, case when p_partkey % 3 > 0 then concat('-b', p_partkey) else '' end)")
+    v = seq.version_parts(text)
+    return table(spark, d, "part").select("p_partkey", v[0].alias("major"), v[1].alias("minor"), F.coalesce(F.try_element_at(v, F.lit(4)), F.lit(0)).alias("build"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d') as day from events")
@@ -300,12 +301,10 @@ def date_reformat(spark, d):
     return table(spark, d, "events").select("event_id", seq.reformat_date(shown).alias("day"))
 
 
-@query("""select qname, cast(row_number() over (order by length(qname), reverse(qname)) as int) as place from (select distinct qname from reads where rec_idx < 400) x""", "reads")
+@query("""select qname, cast(row_number() over (order by length(qname), reverse(qname)) as int) as place from (select distinct qname from reads) x""", "reads")
 def name_order(spark, d):
-    from pyspark.sql import Window
-
-    names = reads(spark, d).where("rec_idx < 400").select("qname").distinct()
-    return names.select("qname", F.row_number().over(Window.orderBy(*seq.name_order(F.col("qname")))).alias("place"))
+    names = reads(spark, d).select("qname").distinct()
+    return numbered(names, list(seq.name_order(F.col("qname")))).select("qname", F.col("place").cast("int"))
 
 
 @query("select rec_idx, cast(idx as int) as idx, len, op from (select rec_idx, idx, len, op from ops) x", "ops")
@@ -350,10 +349,12 @@ def decompose_unpivot(spark, d):
     return stats.decompose(reads(spark, d))
 
 
-@query("""select 'seq' as field, cast(sum(length(seq)) as bigint) as bytes, cast(8.0 as double) as bits from reads
-    union all select 'cigar', cast(sum(length(cigar)) as bigint), cast(sum(length(cigar)) * 8 as double) / (select sum(length(seq)) from reads) from reads""", "reads")
+@query("""with f as (select 'qname' as field, qname as value from reads union all select 'flag', cast(flag as varchar) from reads union all select 'rname', rname from reads
+    union all select 'pos', cast(pos as varchar) from reads union all select 'mapq', cast(mapq as varchar) from reads union all select 'cigar', cigar from reads
+    union all select 'seq', seq from reads union all select 'qual', qual from reads union all select concat('tag_', tag), value from tagrows)
+    select field, cast(sum(length(value)) as bigint) as bytes, cast(sum(length(value)) * 8 as double) / (select sum(length(seq)) from reads) as bits from f group by field""", "tagrows")
 def bits_per_base(spark, d):
-    return stats.bits_per_base(stats.decompose(reads(spark, d))).where("field in ('seq', 'cigar')")
+    return stats.bits_per_base(stats.decompose(reads(spark, d)))
 
 
 @query("""select ref_id, rname from ref where regexp_matches(rname, '\\bchr.*\\b') order by starts_with(rname, 'chr') desc, ref_id limit 1""", "ref")
