@@ -11,7 +11,7 @@ READ_OPS, REF_OPS = "MIS=X", "MDN=X"
 
 def parse(cigar: Column) -> Column:
     """Array of struct(len, op); `*` gives an empty array."""
-    return F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda e: F.struct(F.regexp_extract(e, "([0-9]+)", 1).cast("int").alias("len"), F.right(e, F.lit(1)).alias("op")))
+    return F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda e: F.struct(F.substring(e, F.lit(1), F.length(e) - 1).cast("int").alias("len"), F.substring(e, -1, 1).alias("op")))
 
 
 def render(ops: Column) -> Column:

@@ -52,6 +52,34 @@ def tags(a: DataFrame, b: DataFrame, include: set[str] = frozenset(), ignore: se
     return d.where(F.col("tag").isin(*sorted(include))) if include else d
 
 
+def first_differences(differences: DataFrame, most: int) -> DataFrame:
+    """Differences of the records up to the one with which `most` differences are reached; all of that record's."""
+    last = differences.select("rec_idx").orderBy("rec_idx").limit(most).agg(F.max("rec_idx").alias("last"))
+    return differences.join(F.broadcast(last), F.col("rec_idx") <= F.col("last"), "left_semi")  # one row
+
+
+def discrepancies(a: DataFrame, b: DataFrame, record=None, **how) -> DataFrame:
+    """The table of differences: counter, field, tag, premature, value1, value2, name1, name2, record1, record2.
+
+    Differing fields and tags of records that both files have (premature 0), and each record that only one has: premature 1
+    where the first file lacks it, 2 where the second does. record: a function of a DataFrame giving the Column of a whole record's
+    text (none: null).
+    """
+    text = record or (lambda df: F.lit(None).cast("string"))
+    x = a.select("rec_idx", F.col("qname").alias("name1"), text(a).alias("record1"))
+    y = b.select("rec_idx", F.col("qname").alias("name2"), text(b).alias("record2"))
+    f = rows(a, b, **how).select("rec_idx", "field", F.lit(None).cast("string").alias("tag"), F.col("left_value").alias("value1"), F.col("right_value").alias("value2"))
+    found = f
+    if "tags" in a.columns and "tags" in b.columns:
+        found = f.union(tags(a, b).select("rec_idx", F.lit("TAG"), "tag", "left_value", "right_value"))
+    both = found.join(x, "rec_idx").join(y, "rec_idx").withColumn("premature", F.lit(0))
+    lone = x.join(y, "rec_idx", "full").where("name1 is null or name2 is null")
+    lone = lone.withColumn("premature", F.when(F.col("name1").isNull(), 1).otherwise(2))
+    columns = ["rec_idx", "field", "tag", "premature", "value1", "value2", "name1", "name2", "record1", "record2"]
+    none = {c: F.lit(None).cast("string") for c in ("field", "tag", "value1", "value2")}
+    return both.select(*columns).unionByName(lone.withColumns(none).select(*columns)).withColumnRenamed("rec_idx", "counter")
+
+
 def premature_end(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: premature_end 1 if the first file is shorter, 2 if the second is, 0 if neither; and by how many records."""
     n = a.select(F.lit(1).alias("side")).union(b.select(F.lit(2).alias("side"))).agg(F.count(F.when(F.col("side") == 1, 1)).alias("n1"), F.count(F.when(F.col("side") == 2, 1)).alias("n2"))

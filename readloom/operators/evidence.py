@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,8 @@ def records(evidence: DataFrame) -> DataFrame:
 def split_overlaps(reads: DataFrame) -> DataFrame:
     """rec_idx, cigar, seq, qual, gc, gs, gq: `B` elements (the read steps back) resolved.
 
-    The bases read twice are merged, the one with the better score kept; gc tells the lengths of single and double stretches
-    (S and G), gs and gq the bases and scores that were read twice. What a step does depends on all before it, so reads are
+    The bases read twice are merged, the one with the better score kept, on a tie the later one; gc tells the lengths of single and double
+    stretches (S and G), gs and gq the bases and scores that were read twice. What a step does depends on all before it, so reads are
     walked in Arrow batches.
     """
 
@@ -46,56 +48,81 @@ def split_overlaps(reads: DataFrame) -> DataFrame:
 
 
 def resolve(cigar: str, seq: str, qual: str) -> tuple[str, str, str, str, str, str]:
-    """One read; see split_overlaps()."""
-    import re
-
-    ops, bases, scores, at, single = [], [], [], 0, 0
-    gc, gs, gq = [], [], []
-    pending = 0
-    for n, op in re.findall(r"(\d+)([MIDNSHP=XB])", cigar):
-        n = int(n)
+    """One read; see split_overlaps().
+
+    After a step back the letters that were read twice are passed over: elements within that stretch vanish, pads and deletions
+    among them, skips stay. Elements that take no part in evidence (clips) are passed over. A step back further than the
+    read has come, or than it goes on, is an error.
+    """
+    ops: list[list] = []
+    bases, scores, gc, gs, gq = [], [], [], [], []
+    at = again = 0
+    for count, op in re.findall(r"(\d+)([MIDNSHP=XB])", cigar):
+        n = int(count)
         if op == "B":
-            pending = min(n, len(bases))
-            continue
-        take = op in "MIS=X"
-        if take and pending:
-            k = min(pending, n)
-            lap = slice(len(bases) - pending, len(bases) - pending + k)
-            gc.append(f"{single - pending}S{k}G")
-            gs.append("".join(bases[lap]) + seq[at : at + k])
-            gq.append("".join(scores[lap]) + qual[at : at + k])
-            for i, j in zip(range(lap.start, lap.stop), range(at, at + k), strict=True):
-                if qual[j] > scores[i]:
-                    bases[i], scores[i] = seq[j], qual[j]
-            at, n, single, pending = at + k, n - k, 0, pending - k
-        if take:
-            bases += seq[at : at + n]
-            scores += qual[at : at + n]
-            at, single = at + n, single + n
-        if n:
-            ops.append((n, op))
-    if gc:
-        gc.append(f"{single}S")
-    return pack(ops), "".join(bases), "".join(scores), "".join(gc), "".join(gs), "".join(gq)
-
-
-def pack(ops: list[tuple[int, str]]) -> str:
-    """CIGAR text with equal neighbours merged, and a neighbouring insertion (or pad) and deletion turned into matches and the rest as a skip."""
+            if not gc or n > len(bases) or at < n or at + n > len(seq):
+                raise ValueError(f"a step back without letters to repeat: {cigar}")
+            for i in range(at - n, at):
+                # held against the letters as they were read, also where these were merged before
+                later = qual[i + n] >= qual[i]
+                k = len(bases) - at + i
+                bases[k], scores[k] = (seq[i + n], qual[i + n]) if later else (bases[k], scores[k])
+            gs.append(seq[at - n : at + n])
+            gq.append(qual[at - n : at + n])
+            gc[-1][0] -= n
+            gc.append([n, "G"])
+            again = n
+        elif op in "M=XI":
+            passed = min(again, n)
+            again, at, n = again - passed, at + passed, n - passed
+            if n or not passed:
+                gc.append([n, "S"])
+                bases += seq[at : at + n]
+                scores += qual[at : at + n]
+                at += n
+                _append(ops, n, op)
+        elif op == "N" or (op in "PD" and not again):
+            _append(ops, n, op)
+    return pack(ops), "".join(bases), "".join(scores), "".join(f"{n}{k}" for n, k in gc), "".join(gs), "".join(gq)
+
+
+def _append(ops: list[list], n: int, op: str) -> None:
+    """An element at the end; none of length 0, and one with the kind of the last is added to it."""
+    if n and ops and ops[-1][1] == op:
+        ops[-1][0] += n
+    elif n:
+        ops.append([n, op])
+
+
+#: Kinds that cancel each other: what only the read has, and what only the contig has.
+_SIDE = {"I": 1, "P": 1, "D": 2}
+
+
+def pack(ops) -> str:
+    """CIGAR text in which a neighbouring insertion (or pad) and deletion cancel: the shorter becomes matches (a skip, between pad and deletion), the longer keeps its kind and the rest of its length.
+
+    Elements are put in one by one. Where two cancel in full, the later remains as the matches. Otherwise what came first of the two
+    joins the element before it if that is of its kind, else the two change places, and the one now in front is
+    tried against the element before it; the first two elements of all stay as they are.
+    """
     out: list[list] = []
     for n, op in ops:
-        if out and out[-1][1] == op:
-            out[-1][0] += n
-        elif out and {out[-1][1], op} in ({"I", "D"}, {"P", "D"}):
-            m, prev = out.pop()
-            both = min(m, n)
-            ins = out and out[-1][1] == "M"
-            if ins:
-                out[-1][0] += both
+        _append(out, n, op)
+        i = len(out) - 1
+        while i > 0 and _SIDE.get(out[i][1], 0) + _SIDE.get(out[i - 1][1], 0) == 3:
+            (m, first), (n_last, last) = out[i - 1], out[i]
+            both, kind = min(m, n_last), "M" if "I" in (first, last) else "N"
+            if m == n_last:
+                out[i - 1 : i + 1] = [[both, kind]]
+                break
+            front, back = ([m, kind], [n_last - both, last]) if m < n_last else ([m - both, first], [both, kind])
+            if i == 1:
+                out[0:2] = [front, back]
+                break
+            if out[i - 2][1] == front[1]:
+                out[i - 2][0] += front[0]
+                out[i - 1 : i + 1] = [back]
             else:
-                out.append([both, "M"])
-            if m != n:
-                rest = prev if m > n else op
-                out.append([abs(m - n), "N" if rest == "D" else rest])
-        else:
-            out.append([n, op])
+                out[i - 1 : i + 1] = [back, front]
+            i -= 1
     return "".join(f"{n}{op}" for n, op in out)

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar
-from readloom.operators.pileup import cigar_elements
+from readloom.operators.pileup import TILE, cigar_elements, with_stretch
 
 FEATURE = "array<struct<op:string,pos:int,len:int,bases:string>>"
 
 
-def read_features(reads: DataFrame, ref: DataFrame) -> DataFrame:
+def read_features(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
     """rec_idx, idx, op, pos (1-based in the read), len, bases: S, I, D, N, H and P elements, X for a substituted base; matching bases have none."""
-    whole = reads.where("flag & 4 = 0").join(ref.select("rname", F.col("seq").alias("ref_seq")), "rname")
-    e = cigar_elements(whole.select("rec_idx", "pos", "cigar", "seq", "ref_seq"))
-    k = F.transform(F.sequence(F.lit(1), F.col("len")), lambda k: F.struct(k.alias("k"), F.substring(F.col("seq"), F.col("q0") + k, F.lit(1)).alias("b"), F.substring(F.col("ref_seq"), F.col("pos") + F.col("r0") + k - 1, F.lit(1)).alias("t")))
+    whole = with_stretch(reads.where("flag & 4 = 0"), ref, tile)
+    e = cigar_elements(whole.select("rec_idx", "cigar", "seq", "stretch"))
+    k = F.transform(F.sequence(F.lit(1), F.col("len")), lambda k: F.struct(k.alias("k"), F.substring(F.col("seq"), F.col("q0") + k, F.lit(1)).alias("b"), F.substring(F.col("stretch"), F.col("r0") + k, F.lit(1)).alias("t")))
     subs = F.transform(F.filter(k, lambda x: x["b"] != x["t"]), lambda x: F.struct(F.lit("X").alias("op"), (F.col("q0") + x["k"]).alias("pos"), F.lit(1).alias("len"), x["b"].alias("bases")))
     text = F.when(F.col("op").isin("S", "I"), F.expr("substring(seq, q0 + 1, len)"))
     other = F.array(F.struct(F.col("op"), (F.col("q0") + 1).alias("pos"), F.col("len"), text.alias("bases")))
@@ -28,17 +28,17 @@ def feature_arrays(features: DataFrame) -> DataFrame:
     return features.groupBy("rec_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "idx", "op", "len", "bases"))).alias("features"))
 
 
-def restore_bases(reads: DataFrame, features: DataFrame, ref: DataFrame) -> DataFrame:
-    """rec_idx and seq, made from pos, the read's length and its features alone."""
-    r = reads.where("flag & 4 = 0").select("rec_idx", "rname", "pos", F.length("seq").alias("size"))
-    r = r.join(ref.select("rname", F.col("seq").alias("ref_seq")), "rname").join(feature_arrays(features), "rec_idx", "left")
+def restore_bases(reads: DataFrame, features: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
+    """rec_idx and seq, made from pos, the read's length and its features alone (the CIGAR only tells how much of the contig is looked up)."""
+    r = with_stretch(reads.where("flag & 4 = 0").select("rec_idx", "rname", "pos", "cigar", "seq"), ref, tile)
+    r = r.select("rec_idx", F.length("seq").alias("size"), "stretch").join(feature_arrays(features), "rec_idx", "left")
     none = F.array().cast("array<struct<pos:int,idx:int,op:string,len:int,bases:string>>")
-    start = F.struct(F.lit("").alias("seq"), F.col("pos").cast("int").alias("at"))
-    gap = lambda a, upto: F.substring(F.col("ref_seq"), a["at"], upto - 1 - F.length(a["seq"]))
+    start = F.struct(F.lit("").alias("seq"), F.lit(1).alias("at"))
+    gap = lambda a, upto: F.substring(F.col("stretch"), a["at"], upto - 1 - F.length(a["seq"]))
 
     def step(a, f):
         lead = F.greatest(f["pos"] - 1 - F.length(a["seq"]), F.lit(0))
-        text = F.concat(a["seq"], F.substring(F.col("ref_seq"), a["at"], lead), F.when(f["op"].isin("S", "I", "X"), f["bases"]).otherwise(""))
+        text = F.concat(a["seq"], F.substring(F.col("stretch"), a["at"], lead), F.when(f["op"].isin("S", "I", "X"), f["bases"]).otherwise(""))
         on = F.when(f["op"].isin("D", "N"), f["len"]).when(f["op"] == "X", 1).otherwise(0)
         return F.struct(text.alias("seq"), (a["at"] + lead + on).alias("at"))
 

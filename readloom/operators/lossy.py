@@ -90,17 +90,31 @@ def _read_test(p: Policy) -> Column:
     return {"*": F.lit(True), "U": has(F.col("flag"), 4), "M": F.col("mapq") > n, "m": F.col("mapq") < n}[kind]
 
 
-def base_table(reads: DataFrame, ref: DataFrame) -> DataFrame:
-    """One row for each base of each placed read: rec_idx, flag, mapq, read_pos, op, ref_pos, base, ref_base (the contig's base at the position that the read has reached, also at insertions and clips), after_deletion, score."""
-    whole = reads.where("flag & 4 = 0").join(ref.select("rname", F.col("seq").alias("ref_seq")), "rname")
-    e = pileup.cigar_elements(whole.select("rec_idx", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "ref_seq").withColumn("gone", _deletions()))
-    k = e.where(F.col("op").isin(*cigar.READ_OPS)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len"))))
-    read_pos = F.col("q0") + F.col("k")
-    return k.select(
-        "rec_idx", "flag", "rname", "mapq", "op", "pos", read_pos.alias("read_pos"), (F.col("pos") + F.col("r0") + F.col("k") - 1).alias("ref_pos"), F.expr("substring(seq, q0 + k, 1)").alias("base"),
-        F.expr("substring(ref_seq, pos + r0 + k - 1, 1)").alias("ref_base"), (F.array_contains("gone", read_pos - 1) | F.array_contains("gone", read_pos - 2)).alias("after_deletion"),
-        (F.ascii(F.expr("substring(qual, q0 + k, 1)")) - 33).alias("score"),
-    )
+def with_bases(reads: DataFrame, ref: DataFrame, tile: int = pileup.TILE) -> DataFrame:
+    """Placed reads with `bases`, an array of each base's read_pos, op, ref_pos, base, ref_base (the contig's base at the position that the read has reached, also at insertions and clips), after_deletion and score."""
+    whole = pileup.with_stretch(reads.where("flag & 4 = 0"), ref, tile).withColumn("gone", _deletions())
+    start = F.struct(F.array().cast("array<struct<read_pos:int,op:string,ref_pos:int,base:string,ref_base:string,after_deletion:boolean,score:int>>").alias("done"), F.lit(0).alias("q"), F.lit(0).alias("r"))
+
+    def step(a, e):
+        takes_q, takes_r = e["op"].isin(*cigar.READ_OPS), e["op"].isin(*cigar.REF_OPS)
+
+        def one(k):
+            at = a["q"] + k
+            return F.struct(
+                at.alias("read_pos"), e["op"].alias("op"), (F.col("pos") + a["r"] + k - 1).cast("int").alias("ref_pos"), F.substring(F.col("seq"), at, F.lit(1)).alias("base"),
+                F.substring(F.col("stretch"), a["r"] + k, F.lit(1)).alias("ref_base"), (F.array_contains("gone", at - 1) | F.array_contains("gone", at - 2)).alias("after_deletion"),
+                (F.ascii(F.substring(F.col("qual"), at, F.lit(1))) - 33).alias("score"),
+            )
+
+        done = F.when(takes_q & (e["len"] > 0), F.concat(a["done"], F.transform(F.sequence(F.lit(1), e["len"]), one))).otherwise(a["done"])
+        return F.struct(done.alias("done"), (a["q"] + F.when(takes_q, e["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(takes_r, e["len"]).otherwise(0)).alias("r"))
+
+    return whole.withColumn("bases", F.aggregate(cigar.parse(F.col("cigar")), start, step, lambda a: a["done"])).drop("gone", "stretch")
+
+
+def base_table(reads: DataFrame, ref: DataFrame, tile: int = pileup.TILE) -> DataFrame:
+    """The bases of with_bases(), one in a row, with rec_idx, flag, rname, mapq and pos."""
+    return with_bases(reads, ref, tile).select("rec_idx", "flag", "rname", "mapq", "pos", F.explode("bases").alias("b")).select("rec_idx", "flag", "rname", "mapq", "pos", "b.*")
 
 
 def _deletions() -> Column:
@@ -114,30 +128,39 @@ def _deletions() -> Column:
     return F.aggregate(cigar.parse(F.col("cigar")), start, step, lambda a: a["gone"])
 
 
-def _base_test(p: Policy) -> Column:
-    """Tests of one policy in turn: each replaces the outcome where it applies."""
+def _base_test(p: Policy, get=F.col) -> Column:
+    """Tests of one policy in turn: each replaces the outcome where it applies. get: gives a column of a base."""
     hit = F.lit(False)
     for kind, n in p.bases:
         if kind == "R":
-            hit = F.col("base") == F.col("ref_base")
+            hit = get("base") == get("ref_base")
         elif kind == "N":
-            hit = F.col("base") != F.col("ref_base")
+            hit = get("base") != get("ref_base")
         elif kind == "D":
-            hit = hit | F.col("after_deletion")
+            hit = hit | get("after_deletion")
         elif kind == "I":
-            hit = hit | (F.col("op") == "I")
+            hit = hit | (get("op") == "I")
         elif kind == "X":
-            hit = F.when(F.col("op").isin("M", "=", "X"), F.coalesce("coverage", F.lit(0)) < n).otherwise(hit)
+            hit = F.when(get("op").isin("M", "=", "X"), F.coalesce(get("coverage"), F.lit(0)) < n).otherwise(hit)
         else:
-            hit = hit | (F.coalesce("mismatches", F.lit(0)) > n)
+            hit = hit | (F.coalesce(get("mismatches"), F.lit(0)) > n)
     return hit
 
 
-def apply(reads: DataFrame, ref: DataFrame, spec: str) -> DataFrame:
+def _stored(policies: list[Policy], get=F.col) -> Column:
+    """The score that the policies store for a base; null where none does."""
+    stored = F.lit(None).cast("int")
+    for p in policies:
+        made = {KEEP: get("score"), BIN: qual.binned_score(get("score")), DROP: F.lit(None).cast("int")}[p.treat]
+        stored = F.when(_base_test(p, get) & _read_test(p), made).otherwise(stored)
+    return stored
+
+
+def apply(reads: DataFrame, ref: DataFrame, spec: str, tile: int = pileup.TILE) -> DataFrame:
     """rec_idx and qual: the scores that a file written by the specification gives back.
 
-    A score that nothing keeps becomes the default, 30.
-    Pileups are made only if a policy asks for them, over all reads.
+    A score that nothing keeps becomes the default, 30. Without pileup categories each read's scores are made within its row. Pileups
+    are made only if a policy asks for them, over all reads; then the bases meet their positions' counts and are gathered by read.
     """
     policies = parse(spec)
     whole = F.lit(None).cast("string")
@@ -147,19 +170,25 @@ def apply(reads: DataFrame, ref: DataFrame, spec: str) -> DataFrame:
             whole = F.when(_read_test(p), made).otherwise(whole)
     by_base = [p for p in policies if p.bases]
     blank = F.expr(f"repeat('{chr(DEFAULT + 33)}', length(qual))")
+    base = F.coalesce(whole, blank)
     if not by_base:
-        return reads.select("rec_idx", F.coalesce(whole, blank).alias("qual"))
-    bases = base_table(reads, ref)
+        return reads.select("rec_idx", base.alias("qual"))
+    if not needs_pileup(policies):
+        plain = lambda i: F.ascii(F.substring(F.col("plain"), i, F.lit(1))) - 33
+        done = F.transform("bases", lambda x: F.char(F.coalesce(_stored(by_base, lambda n: x[n]), plain(x["read_pos"])) + 33))
+        placed = with_bases(reads.withColumn("plain", base), ref, tile)
+        # a score string longer than its read's bases keeps its tail
+        made = placed.select("rec_idx", F.concat(F.array_join(done, ""), F.expr("substring(plain, size(bases) + 1)")).alias("qual"))
+        known = ref.select("rname").distinct()
+        bare = reads.where("flag & 4 <> 0").select("rec_idx", base.alias("qual")).union(reads.where("flag & 4 = 0").join(known, "rname", "left_anti").select("rec_idx", base.alias("qual")))
+        return made.union(bare)
+    bases = base_table(reads, ref, tile)
     if any(k == "X" for p in by_base for k, _ in p.bases):
         bases = bases.join(pileup.coverage(reads), ["rname", "ref_pos"], "left")
     if any(k == "P" for p in by_base for k, _ in p.bases):
-        seen = pileup.mismatches(pileup.aligned_bases(reads.where("flag & 4 = 0"), ref)).withColumnRenamed("ref_pos", "at")
+        seen = pileup.mismatches(reads, ref, tile).withColumnRenamed("ref_pos", "at")
         bases = bases.withColumn("at", F.col("pos") + F.col("read_pos") - 1).join(seen, ["rname", "at"], "left")
-    stored = F.lit(None).cast("int")
-    for p in by_base:
-        made = {KEEP: F.col("score"), BIN: qual.binned_score(F.col("score")), DROP: F.lit(None).cast("int")}[p.treat]
-        stored = F.when(_base_test(p) & _read_test(p), made).otherwise(stored)
-    kept = bases.withColumn("stored", stored).where("stored is not null")
+    kept = bases.withColumn("stored", _stored(by_base)).where("stored is not null")
     kept = kept.groupBy("rec_idx").agg(F.map_from_entries(F.collect_list(F.struct("read_pos", "stored"))).alias("kept"))
     r = reads.withColumn("whole", whole).join(kept, "rec_idx", "left")
     at = lambda i: F.coalesce(F.try_element_at(F.col("kept"), i), F.ascii(F.substring(F.coalesce("whole", blank), i, F.lit(1))) - 33)
@@ -168,13 +197,19 @@ def apply(reads: DataFrame, ref: DataFrame, spec: str) -> DataFrame:
 
 
 def stored_whole(reads: DataFrame, ref: DataFrame, spec: str) -> DataFrame:
-    """rec_idx, kept, whole: the number of bases that some policy keeps, and whether that is more than half the read, so that its scores are stored as one string and not one by one."""
-    bases = base_table(reads, ref)
-    hit = F.lit(False)
-    for p in parse(spec):
-        if p.bases:
-            hit = hit | (_base_test(p) & _read_test(p))
-    return bases.groupBy("rec_idx").agg(F.count(F.when(hit, 1)).alias("kept"), F.count("*").alias("size")).select("rec_idx", "kept", (F.col("kept") > F.floor(F.col("size") / 2)).alias("whole"))
+    """rec_idx, kept, whole: the number of bases that some policy keeps, and whether that is more than half the read, so that its scores are stored as one string and not one by one. For specifications without pileup."""
+    policies = parse(spec)
+    if needs_pileup(policies):
+        raise ValueError("pileup categories can't be counted within a read")
+    def hit(x):
+        out = F.lit(False)
+        for p in policies:
+            if p.bases:
+                out = out | (_base_test(p, lambda n: x[n]) & _read_test(p))
+        return out
+
+    bases = with_bases(reads, ref).withColumn("kept", F.size(F.filter("bases", hit)).cast("long"))
+    return bases.select("rec_idx", "kept", (F.col("kept") > F.floor(F.size("bases") / 2)).alias("whole"))
 
 
 def score_differences(a: DataFrame, b: DataFrame, ref: DataFrame) -> DataFrame:

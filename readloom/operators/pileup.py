@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar
 
+#: Letters of a contig in a window.
+TILE = 1_000_000
 
 
 def cigar_elements(reads: DataFrame) -> DataFrame:
@@ -23,18 +25,49 @@ def cigar_elements(reads: DataFrame) -> DataFrame:
     return reads.withColumn("e", F.explode(F.aggregate(ops, start, step, lambda a: a["done"]))).select(*reads.columns, "e.idx", "e.len", "e.op", "e.q0", "e.r0")
 
 
-def aligned_bases(reads: DataFrame, ref: DataFrame) -> DataFrame:
+def tiles(ref: DataFrame, tile: int = TILE) -> DataFrame:
+    """rname, tile, piece: contigs in windows of `tile` letters; each window also has the letters of the next one, so that a stretch shorter than a window lies in one."""
+    whole = ref.select("rname", F.col("seq").cast("binary").alias("b"), F.length("seq").alias("n"))
+    each = whole.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("n") - 1) / tile), F.lit(0).cast("long")))))
+    return each.select("rname", "tile", F.substring("b", (F.col("tile") * tile + 1).cast("int"), F.lit(2 * tile)).cast("string").alias("piece"))
+
+
+def with_stretch(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
+    """Reads with `stretch`, the contig's letters from pos on, as far as the read's alignment and its own length reach (less at the contig's end); reads of contigs that ref lacks are left out.
+
+    Reads meet the window in which they begin, by contig and window, and take their stretch at once: no row carries a contig, and a
+    hot contig is spread over its windows. A read that spans more than a window takes its pieces from each and puts them together.
+    """
+    span = cigar.total(cigar.parse(F.col("cigar")), cigar.REF_OPS) + F.length("seq")
+    r = reads.withColumns({"__span": span, "tile": F.floor((F.greatest("pos", F.lit(1)) - 1) / tile)})
+    pieces = tiles(ref, tile)
+    inside = F.greatest("pos", F.lit(1)) - F.col("tile") * tile
+    short = r.where(F.col("__span") <= tile).join(pieces, ["rname", "tile"])
+    short = short.withColumn("stretch", F.substring("piece", inside.cast("int"), F.col("__span")))
+    long = r.where(F.col("__span") > tile)
+    last = F.floor((F.col("pos") + F.col("__span") - 2) / tile)
+    asked = long.select("rec_idx", "rname", "pos", "__span", F.explode(F.sequence(F.col("tile"), last)).alias("tile")).join(pieces, ["rname", "tile"])
+    from_ = F.greatest(F.col("pos"), F.col("tile") * tile + 1)
+    upto = F.least(F.col("pos") + F.col("__span") - 1, (F.col("tile") + 1) * tile)
+    part = F.expr("substring(piece, cast(__from - tile * %d as int), cast(__upto - __from + 1 as int))" % tile)
+    cut = asked.withColumns({"__from": from_, "__upto": upto}).withColumn("part", part)
+    joined = cut.groupBy("rec_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "").alias("stretch"))
+    out = short.select(*reads.columns, "stretch")
+    return out.union(long.join(joined, "rec_idx").select(*reads.columns, "stretch"))
+
+
+def aligned_bases(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
     """One row for each letter of each element: read_pos and base (null where the read has none), ref_pos and ref_base (null where the contig has none).
 
-    The contig is met by its name before the letters are taken apart, so the join moves reads, not bases.
+    The contig's stretch is met before the letters are taken apart, so the join moves reads, not bases.
     """
-    whole = reads.join(ref.select("rname", F.col("seq").alias("ref_seq")), "rname")
-    e = cigar_elements(whole.select("rec_idx", "qname", "flag", "rname", "pos", "cigar", "seq", "ref_seq"))
+    whole = with_stretch(reads, ref, tile)
+    e = cigar_elements(whole.select("rec_idx", "qname", "flag", "rname", "pos", "cigar", "seq", "stretch"))
     k = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len"))))
     in_read, in_ref = F.col("op").isin(*cigar.READ_OPS), F.col("op").isin(*cigar.REF_OPS)
     return k.select(
         "rec_idx", "qname", "flag", "rname", "op", F.when(in_read, F.col("q0") + F.col("k")).alias("read_pos"), F.when(in_ref, F.col("pos") + F.col("r0") + F.col("k") - 1).alias("ref_pos"),
-        F.when(in_read, F.expr("substring(seq, q0 + k, 1)")).alias("base"), F.when(in_ref, F.expr("substring(ref_seq, pos + r0 + k - 1, 1)")).alias("ref_base"),
+        F.when(in_read, F.expr("substring(seq, q0 + k, 1)")).alias("base"), F.when(in_ref, F.expr("substring(stretch, r0 + k, 1)")).alias("ref_base"),
     )
 
 
@@ -54,10 +87,30 @@ def coverage(reads: DataFrame, tile: int = 1_000_000) -> DataFrame:
     return runs.select("rname", F.explode(F.sequence("at", F.col("next") - 1)).alias("ref_pos"), "coverage")
 
 
-def mismatches(bases: DataFrame) -> DataFrame:
+def substitutions(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
+    """rec_idx, rname, ref_pos, read_pos, base, ref_base of aligned bases that differ from the contig's. Each read's bases are compared within its row; only differences leave it."""
+    whole = with_stretch(reads.where("flag & 4 = 0"), ref, tile)
+    return whole.select("rec_idx", "rname", "pos", F.explode(_unequal()).alias("x")).select("rec_idx", "rname", (F.col("pos") + F.col("x.r") - 1).alias("ref_pos"), F.col("x.q").alias("read_pos"), F.col("x.b").alias("base"), F.col("x.t").alias("ref_base"))
+
+
+def _unequal():
+    """Array of (q, r, b, t): aligned letters that differ, with their places in read and stretch. Elements are compared as whole texts first, so a read that agrees costs one comparison an element."""
+    start = F.struct(F.array().cast("array<struct<q:int,r:int,b:string,t:string>>").alias("done"), F.lit(0).alias("q"), F.lit(0).alias("r"))
+
+    def step(a, e):
+        takes_q, takes_r = e["op"].isin(*cigar.READ_OPS), e["op"].isin(*cigar.REF_OPS)
+        own, other = F.substring(F.col("seq"), a["q"] + 1, e["len"]), F.substring(F.col("stretch"), a["r"] + 1, e["len"])
+        letter = lambda k: F.struct((a["q"] + k).alias("q"), (a["r"] + k).alias("r"), F.substring(own, k, F.lit(1)).alias("b"), F.substring(other, k, F.lit(1)).alias("t"))
+        hits = F.filter(F.transform(F.sequence(F.lit(1), e["len"]), letter), lambda x: x["b"] != x["t"])
+        done = F.when(e["op"].isin("M", "=", "X") & (own != other), F.concat(a["done"], hits)).otherwise(a["done"])
+        return F.struct(done.alias("done"), (a["q"] + F.when(takes_q, e["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(takes_r, e["len"]).otherwise(0)).alias("r"))
+
+    return F.aggregate(F.filter(cigar.parse(F.col("cigar")), lambda e: e["len"] > 0), start, step, lambda a: a["done"])
+
+
+def mismatches(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
     """rname, ref_pos, mismatches: aligned bases that differ from the contig's."""
-    hit = bases.where("op in ('M', '=', 'X') and base <> ref_base")
-    return hit.groupBy("rname", "ref_pos").agg(F.count("*").alias("mismatches"))
+    return substitutions(reads, ref, tile).groupBy("rname", "ref_pos").agg(F.count("*").alias("mismatches"))
 
 
 def base_counts(bases: DataFrame, cap: int = 15) -> DataFrame:
@@ -80,45 +133,39 @@ def ref_spans(reads: DataFrame, *more: str) -> DataFrame:
     return reads.groupBy(*more, "rname").agg(F.min("pos").alias("first_pos"), F.max("aln_end").alias("last_pos"), F.count("*").alias("n"))
 
 
-def md_nm(reads: DataFrame, ref: DataFrame) -> DataFrame:
+def md_nm(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
     """rec_idx, md, nm of placed reads.
 
     MD: run lengths of equal bases, the contig's base at a mismatch, `^` and the contig's bases at a deletion; insertions and clips
     skip the read, skips the contig; comparing is case-sensitive and stops at the contig's end. NM: mismatches and inserted and
-    deleted letters. Each read's text is folded from its own array; nothing is shuffled beside the join with the contig.
+    deleted letters. Each read's text is folded from its own array; nothing is shuffled beside the join with the contig's windows.
     """
-    whole = reads.where("flag & 4 = 0").join(ref.select("rname", F.col("seq").alias("ref_seq")), "rname")
-    letters = F.transform(
-        F.filter(_letters(), lambda x: x["op"].isin("M", "=", "X", "D", "I")),
-        lambda x: F.struct(
-            x["op"].alias("op"), F.substring(F.col("seq"), x["q"], F.lit(1)).alias("b"), F.substring(F.col("ref_seq"), x["r"], F.lit(1)).alias("t"), x["first"].alias("first"),
-        ),
-    )
-    start = F.struct(F.lit("").alias("md"), F.lit(0).alias("run"), F.lit(0).alias("nm"), F.lit(False).alias("gone"))
-
-    def step(a, x):
-        aligned, deleted = x["op"].isin("M", "=", "X"), x["op"] == "D"
-        beyond = (x["t"] == "") & (x["op"] != "I")
-        same = aligned & (x["b"] == x["t"])
-        md = F.when(beyond | same | (x["op"] == "I"), a["md"]).when(deleted & ~x["first"], F.concat(a["md"], x["t"])).otherwise(F.concat(a["md"], a["run"].cast("string"), F.when(deleted, "^").otherwise(""), x["t"]))
-        run = F.when(beyond | (x["op"] == "I"), a["run"]).when(same, a["run"] + 1).otherwise(0)
-        nm = a["nm"] + F.when(beyond | same, 0).otherwise(1)
-        return F.struct(md.alias("md"), run.alias("run"), nm.alias("nm"), F.lit(False).alias("gone"))
-
-    out = F.aggregate(letters, start, step, lambda a: F.struct(F.concat(a["md"], a["run"].cast("string")).alias("md"), a["nm"].alias("nm")))
-    return whole.select("rec_idx", out.alias("o")).select("rec_idx", "o.md", "o.nm")
-
-
-def _letters():
-    """Array of (op, q, r, first): each letter of each element with its places in read and contig."""
-    start = F.struct(F.array().cast("array<struct<op:string,q:int,r:int,first:boolean>>").alias("done"), F.lit(0).alias("q"), F.col("pos").cast("int").alias("r"))
+    whole = with_stretch(reads.where("flag & 4 = 0"), ref, tile)
+    start = F.struct(F.lit("").alias("md"), F.lit(0).alias("run"), F.lit(0).alias("nm"), F.lit(0).alias("q"), F.lit(0).alias("r"))
 
     def step(a, e):
         takes_q, takes_r = e["op"].isin(*cigar.READ_OPS), e["op"].isin(*cigar.REF_OPS)
-        item = lambda k: F.struct(e["op"].alias("op"), (a["q"] + F.when(takes_q, k).otherwise(0)).cast("int").alias("q"), (a["r"] + F.when(takes_r, k - 1).otherwise(0)).cast("int").alias("r"), (k == 1).alias("first"))
-        return F.struct(
-            F.concat(a["done"], F.transform(F.sequence(F.lit(1), e["len"]), item)).alias("done"),
-            (a["q"] + F.when(takes_q, e["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(takes_r, e["len"]).otherwise(0)).alias("r"),
+        other = F.substring(F.col("stretch"), a["r"] + 1, e["len"])
+        own = F.substring(F.col("seq"), a["q"] + 1, F.length(other))
+
+        def letter(s, k):
+            b, t = F.substring(own, k, F.lit(1)), F.substring(other, k, F.lit(1))
+            return F.when(b == t, F.struct(s["md"].alias("md"), (s["run"] + 1).alias("run"), s["nm"].alias("nm"))).otherwise(
+                F.struct(F.concat(s["md"], s["run"].cast("string"), t).alias("md"), F.lit(0).alias("run"), (s["nm"] + 1).alias("nm"))
+            )
+
+        now = F.struct(a["md"].alias("md"), a["run"].alias("run"), a["nm"].alias("nm"))
+        plus = lambda md, run, nm: F.struct(md.alias("md"), run.cast("int").alias("run"), nm.cast("int").alias("nm"))
+        # an element that agrees is one comparison; letters are walked only where one differs
+        got = (
+            F.when(e["op"].isin("M", "=", "X") & (own == other), plus(a["md"], a["run"] + F.length(other), a["nm"]))
+            .when(e["op"].isin("M", "=", "X"), F.aggregate(F.sequence(F.lit(1), F.length(other)), now, letter))
+            .when((e["op"] == "D") & (other != ""), plus(F.concat(a["md"], a["run"].cast("string"), F.lit("^"), other), F.lit(0), a["nm"] + F.length(other)))
+            .when(e["op"] == "I", plus(a["md"], a["run"], a["nm"] + e["len"]))
+            .otherwise(now)
         )
+        return F.struct(got["md"].alias("md"), got["run"].alias("run"), got["nm"].alias("nm"), (a["q"] + F.when(takes_q, e["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(takes_r, e["len"]).otherwise(0)).alias("r"))
 
-    return F.aggregate(F.filter(cigar.parse(F.col("cigar")), lambda e: e["len"] > 0), start, step, lambda a: a["done"])
+    ops = F.filter(cigar.parse(F.col("cigar")), lambda e: e["len"] > 0)
+    out = F.aggregate(ops, start, step, lambda a: F.struct(F.concat(a["md"], a["run"].cast("string")).alias("md"), a["nm"].alias("nm")))
+    return whole.select("rec_idx", out.alias("o")).select("rec_idx", "o.md", "o.nm")

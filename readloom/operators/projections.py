@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import tags as tag
+from readloom.operators.cuts import numbered
 from readloom.schema import FIELDS
 
 
@@ -85,10 +86,11 @@ def capped(value: Column, n: int) -> Column:
 def skip_take(reads: DataFrame, skip: int = 0, take: int | None = None) -> DataFrame:
     """Records skip+1 .. skip+take in input order, with their 1-based number in `ordinal`.
 
-    Numbers come from one global order; the limit keeps what reaches it small.
+    With a limit only that many rows are ordered; without one numbers are dealt by ranges.
     """
-    kept = reads.orderBy("rec_idx").offset(skip)
-    kept = kept.limit(take) if take is not None else kept
+    if take is None:
+        return numbered(reads, ["rec_idx"], "ordinal").where(F.col("ordinal") > skip)
+    kept = reads.orderBy("rec_idx").offset(skip).limit(take)
     return kept.withColumn("ordinal", F.row_number().over(Window.orderBy("rec_idx")) + skip)
 
 
@@ -103,15 +105,7 @@ def template_numbers(reads: DataFrame, slices: int = 64) -> DataFrame:
     ranges' totals), so no single task orders all names.
     """
     names = reads.groupBy("qname").agg(F.min("rec_idx").alias("first"))
-    ranged = names.repartitionByRange(slices, "first").withColumn("slice", F.spark_partition_id())
-    from readloom.operators.cuts import cut
-
-    ranged = cut(ranged)
-    inside = ranged.withColumn("at", F.row_number().over(Window.partitionBy("slice").orderBy("first")))
-    before = ranged.groupBy("slice").agg(F.count("*").alias("n"), F.min("first").alias("lead"))
-    before = before.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each slice
-    numbered = inside.join(F.broadcast(before.select("slice", "base")), "slice").select("qname", (F.col("base") + F.col("at")).alias("template"))
-    return reads.join(numbered, "qname")
+    return reads.join(numbered(names, ["first"], "template", slices).select("qname", "template"), "qname")
 
 
 def fastq_names(reads: DataFrame, prefix: str) -> DataFrame:

@@ -22,7 +22,7 @@ def coverage(spark, d):
 
 @query("select rname, ref_pos, count(*) as mismatches from aligned where op in ('M','=','X') and base <> ref_base group by 1, 2", "aligned")
 def mismatch_pileup(spark, d):
-    return pileup.mismatches(aligned(spark, d))
+    return pileup.mismatches(reads(spark, d), ref(spark, d))
 
 
 _COUNTS = """select rname, ref_pos, ref_base, least(sum(case when base='A' then 1 else 0 end), {c}) as n_a, least(sum(case when base='C' then 1 else 0 end), {c}) as n_c,
@@ -130,7 +130,7 @@ def mismatch_ratio(spark, d):
     from readloom.operators.stats import mismatch_ratio_warning
 
     a = reads(spark, d).where("flag & 4 = 0").select(F.length("seq").cast("long").alias("bases"), F.lit(0).cast("long").alias("differences"))
-    b = aligned(spark, d).where("op = 'M' and base <> ref_base").select(F.lit(0).cast("long").alias("bases"), F.lit(1).cast("long").alias("differences"))
+    b = pileup.substitutions(reads(spark, d), ref(spark, d)).select(F.lit(0).cast("long").alias("bases"), F.lit(1).cast("long").alias("differences"))
     return mismatch_ratio_warning(a.union(b))
 
 
@@ -296,6 +296,17 @@ def diff_tolerant(spark, d):
     return diff.rows(a, b, ignore={"mapq", "qual"}, flag_mask=1024, tlen_by=2)
 
 
+@query(f"""select rec_idx, field from ({_PAIRED}) x where rec_idx <= (select max(rec_idx) from (select rec_idx from ({_PAIRED}) y order by rec_idx limit 20) z)""", "perturbed")
+def diff_first(spark, d):
+    return diff.first_differences(diff.rows(reads(spark, d), perturbed(spark, d)), 20).select("rec_idx", "field")
+
+
+@query(f"""select x.rec_idx as counter, field, tag, premature, value1, value2, a.qname as name1, b.qname as name2 from (select rec_idx, field, null as tag, cast(0 as int) as premature, left_value as value1, right_value as value2 from ({_PAIRED}) p
+    union all select rec_idx, 'TAG', tag, 0, left_value, right_value from ({_TAGDIFF}) t union all select max(rec_idx), null, null, 2, null, null from reads) x left join reads a on a.rec_idx = x.rec_idx left join perturbed b on b.rec_idx = x.rec_idx""", "perturbed", "tagrows")
+def diff_table(spark, d):
+    return diff.discrepancies(reads(spark, d), perturbed(spark, d)).drop("record1", "record2")
+
+
 @query("""select cast(case when a.n < b.n then 1 when a.n > b.n then 2 else 0 end as int) as premature_end, abs(a.n - b.n) as missing from (select count(*) as n from reads) a, (select count(*) as n from perturbed) b""", "perturbed")
 def premature_end(spark, d):
     return diff.premature_end(reads(spark, d), perturbed(spark, d))

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table in one small file would leave all later work to one task. Tables in many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ref_id, rname, seq: five contigs."""
     d = table(spark, sf_dir, "documents")
@@ -38,7 +44,8 @@ _SHAPE = "case k % 5 when 0 then '32M' when 1 then '10M2D22M' when 2 then '5S27M
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records: qname, flag, rname, pos, mapq, cigar, seq, qual, tags, aln_end, rec_idx."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "cast(floor(o_orderkey / 2) as bigint) as t", "cast(round(o_totalprice * 100) as bigint) as cents", "md5(cast(o_orderkey as string)) as h")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    o = o.selectExpr("o_orderkey as k", "cast(floor(o_orderkey / 2) as bigint) as t", "cast(round(o_totalprice * 100) as bigint) as cents", "md5(cast(o_orderkey as string)) as h")
     # five contigs of at most 2000 letters: small by construction, and met with the orders where these are read
     p = o.join(F.broadcast(ref(spark, sf_dir)), F.col("ref_id") == F.col("t") % 5).selectExpr("*", "cast(1 + (cents % (length(seq) - 80)) as int) as pos", "case when k % 23 = 0 then 1 else 0 end as unm", f"{_SHAPE} as cig")
     out = p.selectExpr(
@@ -117,4 +124,6 @@ def sql(query: str, *views: str) -> str:
     query = query.strip()
     if not lead:
         return query
+    if query.lower().startswith("with recursive "):
+        return f"with recursive {lead}, {query[15:]}"
     return f"with {lead}, {query[5:]}" if query.lower().startswith("with ") else f"with {lead} {query}"

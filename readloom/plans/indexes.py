@@ -19,11 +19,16 @@ def stripes(spark, d):
     return index.stripes(r, 100)
 
 
-@query()
+@query("""with recursive s as (select (row_number() over (order by case when rname = '*' then 1 else 0 end, rname, pos, rec_idx) - 1) as i, rname from reads),
+    t as (select sum(n) as total, list(first) filter (where first > 0) as starts, min(case when rname = '*' then first end) as bare from (select rname, min(i) as first, count(*) as n from s group by rname) f),
+    c as (select cast(0 as bigint) as container, cast(0 as bigint) as first_rec, cast(least(1000, total, case when bare > 0 then bare else total end, coalesce(list_min(list_filter(starts, lambda x: x >= 100)), total)) as bigint) as stop from t
+      union all select container + 1, stop, cast(least(stop + 1000, total, case when bare > stop then bare else total end, coalesce(list_min(list_filter(starts, lambda x: x - c.stop >= 100)), total)) as bigint) from c, t where stop < total)
+    select container, first_rec, stop - first_rec as n from c""", "reads")
 def containers(spark, d):
-    r = reads(spark, d)
-    runs = index.stripes(r.select("rec_idx", F.when(F.col("rname") == "*", "*").otherwise("chr1").alias("rname")), 1 << 40).select("rname", F.col("first_rec").alias("start"), "n")
-    return index.containers(runs, size=1000, least=100)
+    from readloom.operators.cuts import numbered
+
+    r = numbered(reads(spark, d).select("rec_idx", "rname", "pos"), [F.when(F.col("rname") == "*", 1).otherwise(0), "rname", "pos", "rec_idx"])
+    return index.containers(r.select((F.col("place").cast("long") - 1).alias("rec_idx"), "rname"), size=1000, least=100)
 
 
 _CRAI = """select case when rname = '*' then -1 else cast(regexp_extract(rname, '([0-9]+)$', 1) as int) - 1 end as seq_id, min(pos) as start, cast(case when rname = '*' then 0 else max(aln_end) - min(pos) + 1 end as int) as span,
@@ -66,16 +71,22 @@ def crai_find_order(spark, d):
 _TARGETS = "select p_partkey as id, concat('chr', cast(p_partkey % 5 + 1 as varchar)) as rname, cast(1 + p_partkey * 37 % 1400 as int) as start, cast(1 + p_partkey * 37 % 1400 + p_size as int) as stop from part"
 
 
-@query(f"select q.id as query_id, r.rec_idx as interval_id from ({_TARGETS}) q join reads r on r.rname = q.rname and r.pos <= q.stop and q.start <= r.aln_end where (r.flag & 4) = 0 and q.id % 20 = 0", "reads")
+@query(f"select q.id as query_id, r.rec_idx as interval_id from ({_TARGETS}) q join reads r on r.rname = q.rname and r.pos <= q.stop and q.start <= r.aln_end where (r.flag & 4) = 0", "reads")
 def interval_join(spark, d):
-    q = table(spark, d, "part").where("p_partkey % 20 = 0").selectExpr("p_partkey as id", "concat('chr', p_partkey % 5 + 1) as rname", "cast(1 + p_partkey * 37 % 1400 as int) as start", "cast(1 + p_partkey * 37 % 1400 + p_size as int) as stop")
+    q = table(spark, d, "part").selectExpr("p_partkey as id", "concat('chr', p_partkey % 5 + 1) as rname", "cast(1 + p_partkey * 37 % 1400 as int) as start", "cast(1 + p_partkey * 37 % 1400 + p_size as int) as stop")
     r = reads(spark, d).where("flag & 4 = 0").select(F.col("rec_idx").alias("id"), "rname", F.col("pos").alias("start"), F.col("aln_end").alias("stop"))
     return index.interval_join(q, r)
 
 
-@query("""select rname, bin, count(*) as n, min(rec_idx) as first_rec, max(rec_idx) as last_rec from (select rname, rec_idx, cast(case when (pos - 1) >> 14 = (greatest(pos, aln_end) - 1) >> 14 then 4681 + ((pos - 1) >> 14) else -1 end as bigint) as bin from reads where pos > 0) x group by 1, 2""", "reads")
+_BIN = "case when b >> 14 = e >> 14 then 4681 + (b >> 14) when b >> 17 = e >> 17 then 585 + (b >> 17) when b >> 20 = e >> 20 then 73 + (b >> 20) when b >> 23 = e >> 23 then 9 + (b >> 23) when b >> 26 = e >> 26 then 1 + (b >> 26) else 0 end"
+
+
+@query(f"""select rname, cast({_BIN} as bigint) as bin, count(*) as n, min(rec_idx) as first_rec, max(rec_idx) as last_rec from (
+    select rname, rec_idx, (pos - 1) * 997 as b, pos * 997 - 997 + (aln_end - pos) * (case when rec_idx % 50 = 0 then 997000 else 97 end) as e from reads where pos > 0) x group by 1, 2""", "reads")
 def bin_table(spark, d):
-    return index.bin_table(reads(spark, d))
+    """Bins of reads on contigs stretched by 997, some of them long, so that all levels of bins occur."""
+    far = F.expr("cast((pos - 1) * 997 + 1 + (aln_end - pos) * (case when rec_idx % 50 = 0 then 997000 else 97 end) as int)")
+    return index.bin_table(reads(spark, d).where("pos > 0").withColumns({"aln_end": far, "pos": F.expr("cast((pos - 1) * 997 + 1 as int)")}))
 
 
 @query("select ref_id, rname, cast(length(seq) as int) as length, md5(upper(seq)) as md5 from ref", "ref")
@@ -177,33 +188,53 @@ def evidence_reads(spark, d):
     return evidence.records(e)
 
 
-@query()
+#: cigar, what it packs to, its stretches, and the letters before and in its step back.
+_OVERLAPS = [
+    ("10M3B22M", "29M", "7S3G19S", 10, 3), ("10M2B5M2I5D15M", "15M3D15M", "8S2G3S2S15S", 10, 2), ("5M5I2D22M", "5M2M3I22M", "5S5S22S", 32, 0), ("10M2P5D22M", "10M3D2N22M", "10S22S", 32, 0),
+    ("8M4B24M", "28M", "4S4G20S", 8, 4), ("10M4B2M1D2M18M", "28M", "6S4G18S", 10, 4), ("10M2I5D20M", "12M3D20M", "10S2S20S", 32, 0), ("16M3B3M5N13M", "16M5N13M", "13S3G13S", 16, 3),
+]
+
+
+def _overlap_sql() -> str:
+    shapes = ", ".join(f"({i}, '{p}', '{gc}', {n}, {b})" for i, (_, p, gc, n, b) in enumerate(_OVERLAPS))
+    pick = lambda c: f"coalesce(string_agg(case when substring(qual, n - b + i, 1) > substring(qual, n + i, 1) then substring({c}, n - b + i, 1) else substring({c}, n + i, 1) end, '' order by i) filter (where i > 0), '')"
+    whole = lambda c: f"substring(any_value({c}), 1, any_value(n - b)) || {pick(c)} || substring(any_value({c}), any_value(n + b) + 1)"
+    return f"""select rec_idx, any_value(packed) as cigar, {whole('seq')} as seq, {whole('qual')} as qual, any_value(gc) as gc, substring(any_value(seq), any_value(n - b) + 1, any_value(2 * b)) as gs, substring(any_value(qual), any_value(n - b) + 1, any_value(2 * b)) as gq
+      from (select r.*, o.*, unnest(generate_series(least(1, b), b)) as i from reads r join (values {shapes}) o(k, packed, gc, n, b) on r.rec_idx % {len(_OVERLAPS)} = o.k where length(seq) = 32) x group by rec_idx"""
+
+
+@query(_overlap_sql(), "reads")
 def cg_split_pack(spark, d):
-    r = reads(spark, d).where("cigar = '32M'").withColumn("cigar", F.lit("10M3B22M"))
-    return evidence.split_overlaps(r)
+    shape = F.element_at(F.array(*(F.lit(c) for c, *_ in _OVERLAPS)), (F.col("rec_idx") % len(_OVERLAPS) + 1).cast("int"))
+    return evidence.split_overlaps(reads(spark, d).where("length(seq) = 32").withColumn("cigar", shape))
 
 
 # ---- streams
 
 def _events(spark, d):
-    return reads(spark, d).where("rec_idx % 9 <> 8").select("qname", "rec_idx", "rname", "pos", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("rec_idx"))).alias("ts"))
+    """All reads as events, a second apart; each ninth has a name of its own, so it and its mate are orphans."""
+    name = F.expr("case when rec_idx % 9 = 8 then concat(qname, '.x') else qname end")
+    return reads(spark, d).select(name.alias("qname"), "rec_idx", "rname", "pos", "mapq", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("rec_idx"))).alias("ts"))
+
+
+_NAMES = "(select *, case when rec_idx % 9 = 8 then qname || '.x' else qname end as name from reads)"
 
 
-@query("select qname, min(rec_idx) as rec_a, max(rec_idx) as rec_b from reads where rec_idx % 9 <> 8 group by qname having count(*) = 2", "reads")
+@query(f"select name as qname, min(rec_idx) as rec_a, case when count(*) = 2 then max(rec_idx) else -1 end as rec_b from {_NAMES} l group by name", "reads")
 def stream_pair_collate(spark, d):
     from readloom.streaming import collate
 
-    return collate.replay(spark, _events(spark, d), lambda s: collate.pair_stream(s, "30 days"), "append").where("rec_b >= 0")
+    return collate.replay(spark, _events(spark, d), lambda s: collate.pair_stream(s, "30 days"), "append").where("qname is not null")
 
 
-@query("select distinct qname from reads where rec_idx % 9 <> 8", "reads")
+@query(f"select name as qname, rec_idx, mapq from {_NAMES} l qualify row_number() over (partition by name order by mapq desc, rec_idx) = 1", "reads")
 def stream_dedup(spark, d):
     from readloom.streaming import collate
 
-    return collate.replay(spark, _events(spark, d), lambda s: collate.dedup_stream(s, "30 days"), "append").select("qname")
+    return collate.replay(spark, _events(spark, d), lambda s: collate.dedup_stream(s, "30 days"), "append").where("qname is not null").select("qname", "rec_idx", "mapq")
 
 
-@query("select rname, cast((pos - 1) // 100 as bigint) as tile, count(*) as n from reads where pos > 0 and rec_idx % 9 <> 8 group by 1, 2", "reads")
+@query("select rname, cast((pos - 1) // 100 as bigint) as tile, count(*) as n from reads where pos > 0 group by 1, 2", "reads")
 def stream_pileup(spark, d):
     from readloom.streaming import collate
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from readloom.operators.cuts import remove, shared_folder
+
 PAIR = "qname string, rec_a long, rec_b long"
 
 
@@ -29,7 +30,7 @@ def pair_stream(reads: DataFrame, wait: str = "10 minutes") -> DataFrame:
         waiting = [state.get[0]] if state.exists else []
         latest = 0
         for pdf in batches:
-            waiting += pdf["rec_idx"].tolist()
+            waiting += pdf["rec_idx"].dropna().astype("int64").tolist()
             latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
         waiting.sort()
         pairs = [(key[0], waiting[i], waiting[i + 1]) for i in range(0, len(waiting) - 1, 2)]
@@ -46,8 +47,13 @@ def pair_stream(reads: DataFrame, wait: str = "10 minutes") -> DataFrame:
 
 
 def dedup_stream(reads: DataFrame, wait: str = "10 minutes") -> DataFrame:
-    """The first record of each name within the watermark."""
-    return reads.withWatermark("ts", wait).dropDuplicatesWithinWatermark(["qname"])
+    """qname, rec_idx, mapq: of the records of a name that come within `wait` of each other the one with the best mapping quality, on a tie the first.
+
+    Names are held as sessions of event time; one leaves when the watermark has passed it, so what is held follows the stream's
+    disorder. Qualities are whole numbers of a byte.
+    """
+    best = F.max_by(F.struct("rec_idx", "mapq"), F.struct("mapq", (-F.col("rec_idx")).alias("back"))).alias("best")
+    return reads.withWatermark("ts", wait).groupBy("qname", F.session_window("ts", wait)).agg(best).select("qname", "best.rec_idx", "best.mapq")
 
 
 def pileup_stream(reads: DataFrame, width: int = 100) -> DataFrame:
@@ -58,13 +64,16 @@ def pileup_stream(reads: DataFrame, width: int = 100) -> DataFrame:
 def replay(spark: SparkSession, table: DataFrame, build, mode: str, files: int = 4) -> DataFrame:
     """Run a streaming query over all rows of a table, written as `files` Parquet files and read one file to a trigger, and return its final result.
 
-    The files and the query's checkpoint lie in the folder for checkpoints; the result is a table written there.
+    In append mode the stream ends with one row of nulls a year after the last event: its watermark lets all that is still held
+    leave; queries leave that row out. The files and the query's checkpoint lie in the folder for checkpoints and go when the
+    query has ended; the result is a table written there.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readloom-"))
-    home = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table.repartitionByRange(files, "rec_idx").write.parquet(f"{home}/in")
+    if mode == "append":
+        written = spark.read.parquet(f"{home}/in")
+        end = written.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts")).where("ts is not null")
+        end.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in written.schema)).coalesce(1).write.mode("append").parquet(f"{home}/in")
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
     out = build(stream)
 
@@ -73,10 +82,10 @@ def replay(spark: SparkSession, table: DataFrame, build, mode: str, files: int =
 
     q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
+    remove(spark, f"{home}/in")
+    remove(spark, f"{home}/state")
     got = spark.read.schema(out.schema.add("batch", "long")).parquet(f"{home}/out")
     if mode == "complete":
         last = got.agg(F.max("batch").alias("last"))
         got = got.where(F.col("batch") == last.scalar())
     return got.drop("batch")
-
-
