@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) are found by their patterns and tests and always stay. The
 model adds further spans: within an island (blank-separated tokens with a digit or an @, with single
-blanks between them) every segment of at most MAX_TOKENS tokens is scored as a whole, by features that see
+blanks between them) every candidate segment of at most MAX_TOKENS tokens is scored as a whole, by features that see
 all of it (digit groups, Luhn sum, dotted shape, what stands beside it, cue words before it), and
 dynamic programming chooses boundaries and kinds of all segments of the island jointly. Tokens outside
 islands can only be plain text, so islands are decoded independently without loss. Chosen spans that
@@ -11,12 +11,16 @@ overlap a base span add nothing and are left out, and so are those that fail the
 The model is trained by maximum conditional likelihood (forward-backward over segments) on sentences
 made from a seed; no document enters it, so its size and result don't depend on the input.
 
+Features come from running sums over the island and are made for a block of tokens at a time, so a long text
+of digits takes memory in proportion to its length and a few numbers a character.
+
 Defined results: a null text is empty; repeated rows get equal rows; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -85,7 +89,6 @@ _TRIGGER = re.compile(r"[0-9@]\S*")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 _NUMERIC = re.compile(r"[0-9().+ -]+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
-_NATIONAL = re.compile(r"(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}")
 _CUES = (re.compile(r"e-?mail|contact|write", re.I), re.compile(r"\bip\b|host|server|address", re.I), re.compile(r"card|visa|pay|credit", re.I), re.compile(r"phone|tel\b|call|fax|mobile", re.I))
 
 
@@ -104,67 +107,219 @@ def islands(text: str) -> list[tuple[int, int]]:
 
 
 N_SEG, N_OUT = 33, 9
+#: Tokens whose segments are scored together.
+BLOCK = 2048
+
+
+def _running(mask: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... items."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
 
 
-def segment_features(text: str, a: int, b: int) -> np.ndarray:
-    """Features of text[a:b] as a whole, and of what stands beside it."""
-    s, f = text[a:b], np.zeros(N_SEG)
-    d = _digits(s)
-    f[0] = 1
-    local, _, domain = s.partition("@")
-    f[1] = s.count("@") == 1
-    f[2] = f[1] and bool(_DOMAIN.fullmatch(domain))
-    f[3] = f[1] and bool(local) and all(c in _LOCAL for c in local)
-    f[4] = bool(_NUMERIC.fullmatch(s))
-    f[5], f[6], f[7], f[8], f[9] = s[0] == "+", s[0] == "(", s[0].isdigit(), s[-1].isdigit(), s[-1].isalpha()
-    f[10 + (len(d) > 6) + (len(d) > 8) + (len(d) > 12) + (len(d) > 15) + (len(d) > 19)] = 1
-    f[16] = f[4] and _is_card(s)
-    f[17] = bool(_DOTTED.fullmatch(s)) and _is_ip(s)
-    f[18] = bool(_DOTTED.fullmatch(s)) and not f[17]
-    f[19] = " " in s
-    f[20] = len(re.findall("[0-9]+", s)) >= 3
-    f[21] = bool(_NATIONAL.fullmatch(s))
-    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
-    f[22], f[23] = before.isalnum(), after.isalnum()
-    f[24] = bool(before) and before in ".-+@/=_("
-    f[25] = bool(after) and after in ".-@/)" and text[b + 1 : b + 2].isalnum()
-    near = text[max(0, a - 24) : a]
-    f[26:30] = [bool(c.search(near)) for c in _CUES]
-    f[30] = not f[1] and any(c.isalpha() for c in s)
-    f[31] = s.isdigit()
-    f[32] = bool(re.search(r"\s\s|[^\x20-\x7e]", s))
-    return f
-
-
-def _outside_features(token: str) -> np.ndarray:
-    f = np.zeros(N_OUT)
-    f[0] = 1
-    if token.isdigit():
-        f[1 + (len(token) > 3) + (len(token) > 6) + (len(token) > 11)] = 1
-    else:
-        f[5], f[6], f[7], f[8] = token == "@", token == "+", token.isspace(), token in ".-()"
-    return f
+class Island:
+    """A stretch of text in tokens (runs of letters, runs of digits, other characters one by one), with running sums that tell the features of any segment without reading it again.
+
+    Candidate segments are those that some kind can take: one @ with a local part before and a domain after it, 9 to 19 digits with only
+    signs of numbers between them, from a digit, + or ( to a digit, or a dotted quad; at most MAX_TOKENS tokens, no blank at an end. Letters outside ASCII count as letters.
+    """
+
+    def __init__(self, text: str, a: int, b: int):
+        self.a = a
+        at = np.fromiter((m.start() for m in _TOKEN.finditer(text, a, b)), np.int32)
+        self.n = len(at)
+        self.start, self.stop = at, np.append(at[1:], np.int32(b)).astype(np.int32)
+        self.low = low = max(0, a - 1)
+        code = np.frombuffer(text[low : b + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.code = np.concatenate([code, np.zeros(3, np.uint32)])
+        digit = (code >= 48) & (code <= 57)
+        alpha = ((code | 32) >= 97) & ((code | 32) <= 122) & (code < 128) | (code > 127)
+        blank = np.isin(code, _BLANKS)
+        dot, ats = code == 46, code == 64
+        value = np.where(digit, code.astype(np.int32) - 48, 0)
+        doubled = value * 2 - 9 * (value > 4)
+        self.alnum, self.is_digit, self.is_alpha = np.append(digit | alpha, [False] * 3), digit, alpha
+        r = self.sums = {}
+        r["digit"], r["alpha"], r["blank"], r["dot"], r["at"] = map(_running, (digit, alpha, blank, dot, ats))
+        r["numeric"] = _running(digit | np.isin(code, [ord(c) for c in "().+ -"]))
+        r["name"] = _running(digit | (alpha & (code < 128)) | (code == 45))
+        r["local"] = _running(digit | (alpha & (code < 128)) | np.isin(code, [ord(c) for c in "._%+-"]))
+        r["space"], r["odd"] = _running(code == 32), _running((code < 32) | (code > 126))
+        pair = np.zeros(len(code), bool)
+        pair[1:] = dot[1:] & dot[:-1]
+        r["dots"] = _running(pair)
+        pair[1:] = blank[1:] & blank[:-1]
+        r["blanks"] = _running(pair)
+        r["big"] = _running(value > 0)
+        # digits by the parity of their number in the island, as they are and doubled, for Luhn sums of any stretch
+        number = r["digit"][:-1] % 2
+        for parity in (0, 1):
+            mine = digit & (number == parity)
+            r["plain", parity], r["twice", parity] = _running(np.where(mine, value, 0)), _running(np.where(mine, doubled, 0))
+        first = self.start - low
+        self.kind = np.where(digit[first], 1, np.where(alpha[first] & (code[first] < 128), 2, np.where(blank[first], 3, 0))).astype(np.int8)
+        self.sign = np.where(self.kind == 0, code[first], np.where(self.kind == 3, 32, 0))
+        self.runs, self.size = _running(self.kind == 1), self.stop - self.start
+        self.opens = (self.kind == 1) | np.isin(self.sign, (43, 40))
+        self.places = np.flatnonzero(ats)
+        found = ([m.span() for m in c.finditer(text, max(0, a - 24), b)] for c in _CUES)
+        self.cues = [(np.array([x for x, _ in f], np.int64), np.array([y for _, y in f], np.int64)) for f in found]
+
+    def sum(self, name, x, y):
+        """Characters of a class between places x and y of the text."""
+        r = self.sums[name]
+        return r[y - self.low] - r[x - self.low]
+
+    def luhn(self, x, y):
+        k = self.sums["digit"][y - self.low] % 2  # the last digit's parity is 1 - k, and it counts as it is
+        plain = np.where(k == 1, self.sum(("plain", 0), x, y), self.sum(("plain", 1), x, y))
+        twice = np.where(k == 1, self.sum(("twice", 1), x, y), self.sum(("twice", 0), x, y))
+        return (plain + twice) % 10 == 0
+
+    def quad(self, i, j, x, y):
+        """Four numbers up to 255 with dots between them."""
+        ok = (j - i == 7) & (self.sum("dot", x, y) == 3) & (self.runs[j] - self.runs[i] == 4)
+        for k in (0, 2, 4, 6):
+            t = np.minimum(i + k, self.n - 1)
+            end = self.stop[t]
+            lead = np.maximum(self.start[t], end - 3)
+            ok &= (self.kind[t] == 1) & (self.sum("big", self.start[t], lead) == 0)
+            number = np.zeros(len(i), np.int64)
+            for back in (3, 2, 1):
+                c = self.code[np.maximum(end - back - self.low, 0)].astype(np.int64) - 48
+                number = number * 10 + np.where(end - back >= self.start[t], c, 0)
+            ok &= number <= 255
+        return ok
+
+    def candidates(self, low: int, high: int):
+        """Segments (first token, token after) that end at a token boundary in low+1 .. high, by end, then start."""
+        out_i, out_j = [], []
+        for length in range(1, min(MAX_TOKENS, high) + 1):
+            j = np.arange(max(low + 1, length), high + 1)
+            i = j - length
+            ok = (self.kind[i] != 3) & (self.kind[j - 1] != 3)
+            i, j = i[ok], j[ok]
+            x, y = self.start[i], self.stop[j - 1]
+            digits, ats = self.sum("digit", x, y), self.sum("at", x, y)
+            number = (self.sum("numeric", x, y) == y - x) & (digits >= 9) & (digits <= 19) & (self.kind[j - 1] == 1) & self.opens[i]
+            maybe = number | (ats == 1)
+            if length == 7:
+                maybe |= self.sum("dot", x, y) == 3
+            i, j, x, y, number = i[maybe], j[maybe], x[maybe], y[maybe], number[maybe]
+            if not len(i):
+                continue
+            take = number | (self.quad(i, j, x, y) if length == 7 else False)
+            if len(self.places):
+                take |= self.mail(x, y)[0]
+            out_i.append(i[take])
+            out_j.append(j[take])
+        if not out_i:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j = np.concatenate(out_i), np.concatenate(out_j)
+        order = np.lexsort((i, j))
+        return i[order], j[order]
+
+    def mail(self, x, y):
+        """Whether a stretch is a local part, an @ and a domain; and whether it has exactly one @."""
+        one = self.sum("at", x, y) == 1
+        places = self.places
+        if not len(places):
+            return one, one
+        k = np.minimum(np.searchsorted(places, x - self.low), len(places) - 1)
+        at = np.where(one, places[k] + self.low, x)
+        d = at + 1
+        domain = (self.sum("name", d, y) + self.sum("dot", d, y) == y - d) & (self.sum("dot", d, y) > 0) & (self.sum("dots", np.minimum(d + 1, y), y) == 0)
+        domain &= (self.code[d - self.low] != 46) & (self.code[y - 1 - self.low] != 46)
+        return one & domain & (at > x) & (self.sum("local", x, at) == at - x), one
+
+    def features(self, i, j) -> np.ndarray:
+        """A row for each segment: what it is as a whole, and what stands beside it."""
+        x, y = self.start[i], self.stop[j - 1]
+        f = np.zeros((len(i), N_SEG), np.float32)
+        if not len(i):
+            return f
+        code, low = self.code, self.low
+        digits, dots, size = self.sum("digit", x, y), self.sum("dot", x, y), y - x
+        first, last = code[x - low], code[y - 1 - low]
+        f[:, 0] = 1
+        f[:, 2], f[:, 1] = self.mail(x, y)
+        f[:, 3] = f[:, 2]
+        f[:, 4] = self.sum("numeric", x, y) == size
+        f[:, 5], f[:, 6], f[:, 7], f[:, 8], f[:, 9] = first == 43, first == 40, self.is_digit[x - low], self.is_digit[y - 1 - low], self.is_alpha[y - 1 - low]
+        f[np.arange(len(i)), 10 + (digits > 6) + (digits > 8) + (digits > 12) + (digits > 15) + (digits > 19)] = 1
+        f[:, 16] = (f[:, 4] > 0) & (digits >= 13) & (digits <= 19) & self.luhn(x, y)
+        f[:, 17] = self.quad(i, j, x, y)
+        f[:, 18] = (digits + dots == size) & (dots > 0) & (first != 46) & (last != 46) & (self.sum("dots", np.minimum(x + 1, y), y) == 0) & (f[:, 17] == 0)
+        f[:, 19] = self.sum("space", x, y) > 0
+        f[:, 20] = self.runs[j] - self.runs[i] >= 3
+        f[:, 21] = self.national(i, j)
+        before = np.where(x > low, code[np.maximum(x - 1 - low, 0)], 0)
+        after, then = code[y - low], code[y + 1 - low]
+        alnum = self.alnum
+        f[:, 22], f[:, 23] = (x > low) & alnum[np.maximum(x - 1 - low, 0)], alnum[y - low]
+        f[:, 24] = np.isin(before, [ord(c) for c in ".-+@/=_("])
+        f[:, 25] = np.isin(after, [ord(c) for c in ".-@/)"]) & alnum[y + 1 - low] & (then > 0)
+        for k, (starts, ends) in enumerate(self.cues):
+            if len(starts):
+                at = np.searchsorted(ends, x, "right") - 1
+                f[:, 26 + k] = (at >= 0) & (starts[np.maximum(at, 0)] >= x - 24)
+        f[:, 30] = (f[:, 1] == 0) & (self.sum("alpha", x, y) > 0)
+        f[:, 31] = digits == size
+        f[:, 32] = (self.sum("blanks", np.minimum(x + 1, y), y) > 0) | (self.sum("odd", x, y) > 0)
+        return f
+
+    def national(self, i, j):
+        """(234) 567-8901 and its like: an area code in brackets or before a blank or hyphen, then two groups of three or four digits."""
+        def group(t, least, most):
+            t = np.clip(t, 0, self.n - 1)
+            return (self.kind[t] == 1) & (self.size[t] >= least) & (self.size[t] <= most)
+
+        def sign(t, *codes):
+            return np.isin(self.sign[np.clip(t, 0, self.n - 1)], codes)
+
+        n = j - i
+        tail = group(j - 3, 3, 4) & sign(j - 2, 32, 45) & group(j - 1, 3, 4)
+        plain = (n == 5) & group(i, 2, 4) & sign(i + 1, 32, 45)
+        bracket = sign(i, 40) & group(i + 1, 2, 4) & sign(i + 2, 41) & ((n == 6) | ((n == 7) & sign(i + 3, 32)))
+        return tail & (plain | bracket)
+
+    def outside(self, low: int, high: int) -> np.ndarray:
+        """Features of tokens low .. high-1 as plain text."""
+        k, g, n = self.kind[low:high], self.sign[low:high], self.size[low:high]
+        f = np.zeros((high - low, N_OUT), np.float32)
+        f[:, 0] = 1
+        d = np.flatnonzero(k == 1)
+        f[d, 1 + (n[d] > 3) + (n[d] > 6) + (n[d] > 11)] = 1
+        f[:, 5], f[:, 6], f[:, 7], f[:, 8] = g == 64, g == 43, k == 3, np.isin(g, [ord(c) for c in ".-()"])
+        return f
+
+    def blocks(self):
+        """(low, high, first tokens, tokens after, segment features, outside features) for ends in low+1 .. high, in order."""
+        for low in range(0, self.n, BLOCK):
+            high = min(self.n, low + BLOCK)
+            i, j = self.candidates(low, high)
+            yield low, high, i, j, self.features(i, j), self.outside(low, high)
+
+
+_BLANKS = [i for i in range(0x3001) if chr(i).isspace()]
+
+
+def hopeless(text: str, a: int, b: int) -> bool:
+    """Whether a stretch has neither an @ nor the digits of any candidate: nine, or four with three dots."""
+    if text.find("@", a, b) >= 0:
+        return False
+    s = text[a:b]
+    digits = sum(map(s.count, "0123456789"))
+    return digits < 9 and (digits < 4 or s.count(".") < 3)
 
 
 def lattice(text: str, a: int, b: int):
-    """Tokens of an island (start, end), and its candidate segments (first token, token after, features): those with an @ or four digits, no blank at an end, no letters beside digits but with an @."""
-    tokens = [(a + m.start(), a + m.end()) for m in _TOKEN.finditer(text[a:b])]
-    words = [text[x:y] for x, y in tokens]
-    segs = []
-    for i, w in enumerate(words):
-        if w.isspace():
-            continue
-        digits = ats = letters = 0
-        for j in range(i, min(len(words), i + MAX_TOKENS)):
-            v = words[j]
-            digits += len(v) if v.isdigit() else 0
-            ats += v == "@"
-            letters += v.isalpha()
-            if ats > 1 or (ats and v.isspace()) or (letters and not ats and (digits > 19 or v.isspace())):
-                break
-            if not v.isspace() and (ats or (digits >= 4 and not letters)):
-                segs.append((i, j + 1, segment_features(text, tokens[i][0], tokens[j][1])))
-    return tokens, segs, np.array([_outside_features(w) for w in words])
+    """Tokens of an island (start, end), its candidate segments (first token, token after, features) and the tokens' outside features, as lists; for training, on short texts."""
+    land = Island(text, a, b)
+    i, j = land.candidates(0, land.n)
+    segs = [(int(p), int(q), f) for p, q, f in zip(i, j, land.features(i, j).astype(float), strict=True)]
+    return list(zip(land.start.tolist(), land.stop.tolist(), strict=True)), segs, land.outside(0, land.n).astype(float)
 
 
 class SemiCrf:
@@ -181,26 +336,30 @@ class SemiCrf:
         f = np.array([s[2] for s in segs]).reshape(-1, N_SEG)
         return f, f @ self.seg.T, outside @ self.out, by_end
 
-    def best(self, segs, outside) -> list[tuple[int, int, int]]:
-        """The best segmentation: (first token, token after, kind), without the outside."""
-        _, seg, out, by_end = self._scores(segs, outside)
-        n, k = len(outside), len(KINDS) + 1
-        value, back = np.full((n + 1, k), -np.inf), {}
+    def best(self, land: Island) -> list[tuple[int, int, int]]:
+        """The best segmentation: (first token, token after, kind), without the outside. Segments are scored block by block; a few numbers stay for each token."""
+        n, k = land.n, len(KINDS) + 1
+        value = np.full((n + 1, k), -np.inf)
+        from_token, from_label = np.zeros((n + 1, k), np.int32), np.zeros((n + 1, k), np.int8)
         value[0, 0] = 0
-        for j in range(1, n + 1):
-            v = value[j - 1] + self.move[:, 0]
-            p = int(v.argmax())
-            value[j, 0], back[j, 0] = v[p] + out[j - 1], (j - 1, p)
-            for s in by_end.get(j, ()):
-                i = segs[s][0]
-                v = value[i][:, None] + self.move[:, 1:]
-                p = v.argmax(0)
-                got = v.max(0) + seg[s]
-                for t in np.flatnonzero(got > value[j, 1:]):
-                    value[j, t + 1], back[j, t + 1] = got[t], (i, int(p[t]))
+        stay, enter, kinds = self.move[:, 0].copy(), self.move[:, 1:], np.arange(k - 1)
+        for low, high, i, j, f, outside in land.blocks():
+            seg, out = f @ self.seg.T, outside @ self.out
+            edge = np.searchsorted(j, np.arange(low + 1, high + 2)).tolist()
+            for at in range(low + 1, high + 1):
+                v = value[at - 1] + stay
+                p = int(v.argmax())
+                value[at, 0], from_token[at, 0], from_label[at, 0] = v[p] + out[at - 1 - low], at - 1, p
+                x, y = edge[at - 1 - low], edge[at - low]
+                if x < y:
+                    v = value[i[x:y]][:, :, None] + enter[None]
+                    got = v.max(1) + seg[x:y]
+                    top = got.argmax(0)
+                    value[at, 1:] = got[top, kinds]
+                    from_token[at, 1:], from_label[at, 1:] = i[x + top], v[top, :, kinds].argmax(1)
         at, t, path = n, int(value[n].argmax()), []
         while at:
-            i, p = back[at, t]
+            i, p = int(from_token[at, t]), int(from_label[at, t])
             if t:
                 path.append((i, at, t - 1))
             at, t = i, p
@@ -324,16 +483,31 @@ def scan(text: str | None, model: SemiCrf) -> tuple[list[tuple[str, int, int]],
     """(base spans, spans that the model adds)."""
     text = text or ""
     base, added = base_spans(text), []
-    edges = sorted((a, b) for _, a, b in base)
+    edges = _union((x, y) for _, x, y in base)
+    starts = [x for x, _ in edges]
     for a, b in islands(text):
-        tokens, segs, outside = lattice(text, a, b)
-        for i, j, k in model.best(segs, outside) if segs else ():
-            x, y = tokens[i][0], tokens[j - 1][1]
-            if not any(x < q and p < y for p, q in edges) and _holds(KINDS[k], text[x:y]):
+        if hopeless(text, a, b):
+            continue
+        land = Island(text, a, b)
+        for i, j, k in model.best(land):
+            x, y = int(land.start[i]), int(land.stop[j - 1])
+            at = bisect.bisect_left(starts, y) - 1  # the last base stretch that begins before y
+            if not (at >= 0 and edges[at][1] > x) and _holds(KINDS[k], text[x:y]):
                 added.append((KINDS[k], x, y))
     return base, added
 
 
+def _union(spans) -> list[tuple[int, int]]:
+    """Overlapping spans put together, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spelled(spans) -> str:
     """kind:start:end by kind, then start."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:])))
