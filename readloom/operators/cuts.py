@@ -34,17 +34,22 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str = "place", slices: int | None = None) -> DataFrame:
-    """df with `name`: 1, 2, ... in the given order.
+def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column], slices: int | None = None) -> DataFrame:
+    """df with sums of columns over all rows up to each one in the given order.
 
-    Rows are dealt into ranges of the order, numbered within each, and the ranges start where those before them end: one small
-    row for each range is all that one task ever orders. Rows equal in the order share a range and get numbers in any order.
+    Rows are dealt into ranges of the order and summed within each, and the ranges start where those before them end: one small
+    row for each range is all that one task ever orders. Rows equal in the order share a range and come in any order.
     """
-    columns = df.columns
     ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
-    ranged = cut(ranged.withColumn("__slice", F.spark_partition_id()))
-    size = ranged.groupBy("__slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = size.select("__slice", before.alias("__base"))  # one row for each range
-    at = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
-    return ranged.withColumn("__at", at).join(F.broadcast(base), "__slice").select(*columns, (F.col("__base") + F.col("__at")).alias(name))
+    ranged = cut(ranged.withColumns({f"__v_{k}": c for k, c in sums.items()} | {"__slice": F.spark_partition_id()}))
+    size = ranged.groupBy("__slice").agg(*(F.sum(f"__v_{k}").alias(f"__s_{k}") for k in sums))
+    ahead = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = size.select("__slice", *(F.coalesce(F.sum(f"__s_{k}").over(ahead), F.lit(0)).alias(f"__b_{k}") for k in sums))  # one row for each range
+    upto = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select("*", *(F.sum(f"__v_{k}").over(upto).alias(f"__u_{k}") for k in sums))
+    return inside.join(F.broadcast(base), "__slice").select(*df.columns, *((F.col(f"__b_{k}") + F.col(f"__u_{k}")).alias(k) for k in sums))
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str = "place", slices: int | None = None) -> DataFrame:
+    """df with `name`: 1, 2, ... in the given order; see running()."""
+    return running(df, order, {name: F.lit(1).cast("long")}, slices)
