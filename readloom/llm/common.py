@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.operators.cuts import cut, remove, shared_folder
+
+__all__ = ["WORD", "crc_mod", "cut", "documents", "id_type", "map_rows", "remove", "shared_folder", "text_or_empty"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,20 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's, or where none is set (as in tests) one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read on from there, so later steps neither recompute it nor lose it with an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_or_empty(name: str = "text") -> Column:
     """The text, where a null counts as an empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -3,21 +3,22 @@
 Words are summed by source and hash bucket; within each source the bucket in which the running sum
 crosses the budget is found, and only that boundary bucket is split again by further bits of the
 hash, level by level, until the threshold is exact. Documents are then filtered by comparing their
-hash with their source's threshold: nothing is sorted, and the only shuffles carry sums.
+hash with their source's threshold: nothing is sorted, and the only shuffles carry sums. Where the
+boundary is a text that occurs several times, as many of its rows are taken as come nearest to the budget: rows are numbered by
+their place in the table, by counts for each partition and then within the one partition where the number is reached.
 
 Defined results: a null text has size 0; null sources form one source, ordered last; the hash
-covers id and text, so reruns agree and repeated rows are taken alike; sources of size 0 have
-target 0; an empty table gives an empty result; other columns are ignored.
+covers id and text, so reruns agree; of repeated rows some may come once more than others, which of them makes no
+difference to what is taken; sources of size 0 have target 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import WORD, cut, documents, text_or_empty
+from readloom.operators.cuts import numbered, running
 
 #: Bits of the hash, and how many of them each level of histograms splits.
 LEVELS = (12, 12, 12, 12)
@@ -36,16 +37,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
     Resharing ends at one level L with target = min(cap * size, L * weight); sources are put in
     order of cap * size / weight, and L is the first quotient (budget left) / (weight left) that its
-    own source can take. There is one row for each source here.
+    own source can take. Sources are ordered and summed by ranges, as there may be many; the driver gets three sums.
     """
-    by_name, every = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double")
-    s = sizes.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    by_most = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(by_most.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = s.withColumn("level", left / F.sum("weight").over(by_most.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(every))
-    return s.select("source", "source_size", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most")).alias("target"))
+    by_name = numbered(sizes, [F.col("source").asc_nulls_last()], "nth")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("double")
+    s = by_name.select("source", "source_size", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("most"))
+    s = running(s, [(F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"upto_most": F.col("most"), "upto_weight": F.col("weight")})
+    total, weighed = s.agg(F.sum("source_size"), F.sum("weight")).collect()[0]
+    if total is None:
+        return s.select("source", "source_size", F.lit(0.0).alias("target"))
+    level = (F.lit(float(share) * total) - (F.col("upto_most") - F.col("most"))) / (F.lit(weighed) - (F.col("upto_weight") - F.col("weight")))
+    top = s.withColumn("level", level).where(F.col("level") <= F.col("most") / F.col("weight")).agg(F.max("level")).collect()[0][0]
+    target = F.col("most") if top is None else F.least("most", F.lit(top) * F.col("weight"))
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def _same(a: DataFrame, b: DataFrame, small: bool, how: str = "inner") -> DataFrame:
@@ -55,11 +59,11 @@ def _same(a: DataFrame, b: DataFrame, small: bool, how: str = "inner") -> DataFr
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), _key().alias("key"))
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), _key().alias("key"), F.monotonically_increasing_id().alias("row"))
 
 
 def limits(slim: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
-    """source, source_size, target, base, limit: a document comes `base` times, and once more if its key is below `limit`; and whether the table is small enough to broadcast. slim: source, size, key."""
+    """source, source_size, target, base, limit, last: a document comes `base` times, and once more if its key is below `limit`, or is `limit` and its row is `last` at most; and whether the table is small enough to broadcast. slim: source, size, key, row (numbers that rise with the table's partitions)."""
     src = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     fits = F.col("source_size") > 0
     src = src.withColumn("base", F.when(fits, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -84,14 +88,26 @@ def limits(slim: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
             F.coalesce("edge.upto", "under").alias("upto"),
         )
         src = cut(src)
-    # the boundary's last bucket goes in if that comes nearer to the budget
-    nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("under"))
-    src = src.select("source", "source_size", "target", "base", F.when(F.col("budget") <= 0, 0).otherwise(F.col("prefix") + nearer.cast("long")).alias("limit"))
+    # the boundary is one key; of its rows, which have one text, so many go in as come nearest to the budget
+    src = src.select("source", "source_size", "target", "base", F.when(F.col("budget") <= 0, 0).otherwise(F.col("prefix")).alias("limit"), F.when(F.col("budget") <= 0, 0).otherwise(F.col("budget") - F.col("under")).alias("over"))
+    part = F.shiftright("row", 33)
+    at = _same(slim, src.select("source", "limit", "over"), small).where(F.col("key") == F.col("limit"))
+    per = at.groupBy("source", part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("over").alias("over"))
+    every = Window.partitionBy("source")
+    per = per.withColumns({"upto": F.sum("n").over(every.orderBy("part")), "mean": F.sum("words").over(every) / F.sum("n").over(every)})
+    per = per.withColumn("take", F.least(F.ceil(F.col("over") / F.col("mean") - 0.5), F.sum("n").over(every))).where("mean > 0 and take > 0")
+    # the partition in which the last row taken lies (one for each source), and the row in it
+    edge = per.where("upto >= take").groupBy("source").agg(F.min(F.struct("part", (F.col("take") - (F.col("upto") - F.col("n"))).alias("nth"))).alias("edge"))
+    edge = cut(edge.select("source", "edge.part", "edge.nth"))
+    inside = _same(at.select("source", "row", part.alias("own")), edge, small).where(F.col("own") == F.col("part"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("row"))
+    last = inside.withColumn("i", nth).where(F.col("i") == F.col("nth")).select("source", F.col("row").alias("last"))
+    src = _same(src.drop("over"), last, small, "left").withColumn("last", F.coalesce("last", F.lit(-1)))
     return cut(src), small
 
 
 def copies() -> Column:
-    return F.col("base") + (F.col("key") < F.col("limit")).cast("long")
+    return F.col("base") + ((F.col("key") < F.col("limit")) | ((F.col("key") == F.col("limit")) & (F.col("row") <= F.col("last")))).cast("long")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -102,10 +118,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves, with the columns of docs; a document taken twice comes twice. Texts aren't shuffled: each row meets its source's threshold."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", _key().alias("key"))
-    out = _same(rows, *limits(cut(_slim(docs)), **options)).select("row", copies().alias("copies")).where("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The mixed documents themselves, with the columns of docs; a document taken twice comes twice. Texts aren't shuffled: each row meets its source's threshold.
+
+    docs is read twice and should give its rows in the same partitions both times, as a table of files does; else of the boundary's
+    repeated rows not exactly so many are taken as were meant.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", _key().alias("key"), F.monotonically_increasing_id().alias("row"))
+    out = _same(rows, *limits(cut(_slim(docs)), **options)).select("doc", copies().alias("copies")).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +147,16 @@ s2 as (select *, (1.5::double * (select sum(source_size) from s1)
 s3 as (select *, (select max(level) from s2 where level <= most / weight) as l from s2),
 s4 as (select source, source_size, coalesce(least(most, l * weight), most) as target from s3),
 s as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as base from s4),
-k as (select source, key, sum(size) as words from d group by source, key),
+k as (select source, key, sum(size) as words, count(*) as n from d group by source, key),
 c as (select *, sum(words) over (partition by source order by key) as upto from k),
-x as (select c.source, c.key, s.base + case
+x as (select c.source, c.key, s.base, case
     when s.target - s.base * s.source_size <= 0 then 0
-    when c.upto <= s.target - s.base * s.source_size then 1
+    when c.upto <= s.target - s.base * s.source_size then c.n
     when c.upto - c.words <= s.target - s.base * s.source_size
-     and c.upto - (s.target - s.base * s.source_size) < (s.target - s.base * s.source_size) - (c.upto - c.words) then 1
-    else 0 end as copies
-  from c join s on c.source is not distinct from s.source)
-select d.doc_id, d.size, s.source_size, s.target, cast(d.size * x.copies as bigint) as taken
-from d join s on d.source is not distinct from s.source join x on d.source is not distinct from x.source and d.key = x.key
+     then least(c.n, ceil((s.target - s.base * s.source_size - (c.upto - c.words)) / (c.words / c.n) - 0.5))
+    else 0 end as more
+  from c join s on c.source is not distinct from s.source),
+r as (select *, row_number() over (partition by source, key) as i from d)
+select d.doc_id, d.size, s.source_size, s.target, cast(d.size * (x.base + case when d.i <= x.more then 1 else 0 end) as bigint) as taken
+from r d join s on d.source is not distinct from s.source join x on d.source is not distinct from x.source and d.key = x.key
 """

@@ -6,9 +6,8 @@ sums over all documents of the language that pass the base rules; they are learn
 their own. Guards: a histogram is only judged from so many characters or words on.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a
-language of its own; a language with few documents, or beyond the number kept, is compared with
-the sum over all documents, and only by character classes if it has no list of common words;
-repeated rows get equal rows; an empty table gives an empty result; other columns are ignored.
+language of its own; documents of a language with few documents (MIN_DOCS) are judged by the base
+rules alone, those of one without a list of common words by character classes; repeated rows get equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, id_type, map_rows
+from readloom.llm.common import cut, documents, id_type, map_rows
 from readloom.llm.textstats import CLASSES, base_counts, class_counts, plain_words
 
 #: Very common words of some languages.
@@ -40,8 +39,10 @@ MIN_CHARS, MIN_COMMON_WORDS = 200, 60
 MAX_CLASS_DISTANCE = 0.33
 #: The distance of a sample of n words from its own source falls as 1 / sqrt(n); the limit follows it.
 WORD_DISTANCE, WORD_NOISE = 0.12, 1.6
-#: A language has a reference of its own from so many documents on, and so many languages at most do (the rest use the sum over all); this bounds what the driver holds.
-MIN_DOCS, MAX_LANGS = 50, 1000
+#: A language has a reference from so many documents on (the default of a parameter); with fewer its documents are judged by the base rules alone.
+MIN_DOCS = 50
+#: Up to so many references are broadcast.
+BROADCAST_LANGS = 10_000
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:
@@ -70,8 +71,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(1.0, max(0.0, both / 2))))
 
 
-def references(docs: DataFrame) -> dict:
-    """Reference histograms by language over all documents that pass the base rules; the key (None,) holds the sum over all languages, whose word bins are not used."""
+def references(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, ref: the summed histogram of each language, over all its documents that pass the base rules, where these are min_docs at least. Written to the shared folder, so it is made once."""
     import pyarrow as pa
 
     def partial(batches):
@@ -95,18 +96,24 @@ def references(docs: DataFrame) -> dict:
     names = [f"b{i}" for i in range(BINS + 1)]
     parts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(partial, "lang string, " + ", ".join(f"{n} long" for n in names))
     by_lang = parts.groupBy("lang").agg(*(F.sum(n).alias(n) for n in names))
-    kept = by_lang.where(F.col(names[-1]) >= MIN_DOCS).orderBy(F.col(names[-1]).desc(), "lang").limit(MAX_LANGS).collect()
-    pooled = parts.agg(*(F.sum(n).alias(n) for n in names)).collect()[0]
-    return {r["lang"]: np.array(r[1:-1], np.int64) for r in kept} | {(None,): np.array([x or 0 for x in pooled[:-1]], np.int64)}
+    return cut(by_lang.where(F.col(names[-1]) >= min_docs).select("lang", F.array(*names[:-1]).alias("ref")))
 
 
-def judge(text: str | None, lang: str | None, refs: dict) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance (null: too short to tell)."""
+def _with_reference(docs: DataFrame, min_docs: int) -> DataFrame:
+    """doc (all columns of docs as a struct) and ref (null where the language has none). Up to BROADCAST_LANGS references, a few hundred bytes each, go to every task; more are joined by language, where the engine splits a language that is much larger than others."""
+    refs = references(docs, min_docs).withColumnRenamed("lang", "ref_lang")
+    if refs.count() <= BROADCAST_LANGS:
+        refs = F.broadcast(refs)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.join(refs, F.col("doc.lang").cast("string").eqNullSafe(F.col("ref_lang")), "left").select("doc", "ref")
+
+
+def judge(text: str | None, lang: str | None, ref: list[int] | None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance (null: too short to tell, or no reference)."""
     n = base_counts(text)
     h = histograms(text or "", lang)
-    own = refs.get(lang)
-    ref = refs[(None,)] if own is None else own
-    far = js_distance(h[:CLASSES], ref[:CLASSES]) if h[:CLASSES].sum() >= MIN_CHARS else None
+    own = None if ref is None else np.asarray(ref, np.int64)
+    far = js_distance(h[:CLASSES], own[:CLASSES]) if own is not None and h[:CLASSES].sum() >= MIN_CHARS else None
     words = js_distance(h[CLASSES:], own[CLASSES:]) if own is not None and h[CLASSES:].sum() >= MIN_COMMON_WORDS and own[CLASSES:].sum() else None
     failed = base_failed(n[0], n[4])
     limit = WORD_DISTANCE + WORD_NOISE / float(max(1, h[CLASSES:].sum())) ** 0.5
@@ -116,29 +123,30 @@ def judge(text: str | None, lang: str | None, refs: dict) -> tuple:
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and the fields of judge(), for each row of docs."""
-    refs = references(docs)
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
-    def run(ids, texts, langs):
-        return [ids, *zip(*(judge(t, k, refs) for t, k in zip(texts, langs, strict=True)), strict=True)]
+    def run(ids, texts, langs, refs):
+        return [ids, *zip(*(judge(*x) for x in zip(texts, langs, refs, strict=True)), strict=True)]
 
-    return map_rows(docs, ["doc_id", F.col("text").cast("string"), F.col("lang").cast("string")], f"doc_id {id_type(docs)}, {VERDICT}", run)
+    rows = _with_reference(slim, min_docs).select("doc.doc_id", "doc.text", "doc.lang", "ref")
+    return map_rows(rows, ["doc_id", "text", "lang", "ref"], f"doc_id {id_type(docs)}, {VERDICT}", run)
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     import pyarrow as pa
 
-    refs = references(docs)
-    names = docs.columns
+    rows = _with_reference(docs, min_docs).select(F.col("doc.text").cast("string").alias("text"), F.col("doc.lang").cast("string").alias("lang"), "ref", "doc")
 
     def run(batches):
         for batch in batches:
-            t, k = (batch.column(names.index(c)).to_pylist() for c in ("text", "lang"))
-            yield batch.filter(pa.array([judge(*x, refs)[6] for x in zip(t, k, strict=True)], pa.bool_()))
+            given = (batch.column(k).to_pylist() for k in range(3))
+            good = pa.array([judge(*x)[6] for x in zip(*given, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(3).filter(good)], names=["doc"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("doc").schema).select("doc.*")
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"gh[opsur]_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 _NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+_RUN = re.compile(r"[A-Za-z0-9_-]*+")
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "npm_": "npm", "eyj": "jwt"} | {f"gh{x}_": "github" for x in "opsur"}
 _RE = {"assign": _ASSIGN, "access": _ACCESS, "github": _GITHUB, "npm": _NPM, "jwt": _JWT}
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -60,7 +61,7 @@ def _holds(kind: str, m: re.Match) -> bool:
         return crc_base62(m[1][:-6]) == m[1][-6:]
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):  # not base64, not JSON, or nested beyond reason
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -83,10 +84,15 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     done = dict.fromkeys(KINDS, 0)
     found = [("hex", *m.span()) for m in _HEX.finditer(text)]
     for last, (size, kind) in _automaton().iter(low):
-        if (at := last + 1 - size) >= done[kind] and (m := _RE[kind].match(text, at)):
+        if (at := last + 1 - size) < done[kind]:
+            continue
+        if m := _RE[kind].match(text, at):
             done[kind] = m.end()
             if _holds(kind, m):
                 found.append((kind, at, m.end()))
+        elif kind == "jwt" and text.startswith("eyJ", at):
+            # what follows this run of letters is not the rest of a token, so no start within the run can match: each run is read once
+            done[kind] = _RUN.match(text, at).end()
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -176,6 +176,16 @@ def test_mixing_targets_and_sums(spark):
     assert mixing.mix(empty).count() == 0 and mixing.take(empty).count() == 0
 
 
+def test_mixing_takes_part_of_repeated_rows(spark):
+    d = docs(spark, [(1, "w " * 10, "en", "a")] * 2000 + [(i, "w " * 10, "en", "b") for i in range(2, 1002)]).repartition(7).cache()
+    got = mixing.mix(d).collect()
+    want = plain_targets({"a": 20_000, "b": 10_000})
+    for ids, s in (({1}, "a"), (set(range(2, 1002)), "b")):
+        assert abs(sum(x.size * x.copies for x in got if x.doc_id in ids) - want[s]) <= 5, s
+    assert len(got) == 3000 and {x.copies for x in got if x.doc_id == 1} == {1, 2}
+    assert mixing.take(d).count() == sum(x.copies for x in got)
+
+
 def test_pipeline_equals_its_stages_in_plain_python(spark):
     import corpus_pipeline
     import public_tokenizers as p
@@ -183,8 +193,8 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "secrets", "mixing", "byte_bpe"]
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in d.collect()]
-    refs = quality_rules.references(d)
-    rows = [r for r in rows if quality_rules.judge(r[1], r[2], refs)[6]]
+    refs = {r.lang: r.ref for r in quality_rules.references(d).collect()}
+    rows = [r for r in rows if quality_rules.judge(r[1], r[2], refs.get(r[2]))[6]]
     least = {(str(i)): c for i, _, c in brute_classes(rows)}
     rows = [r for r in rows if least[str(r[0])] == str(r[0])]
     rows = [(r[0], secrets_scan.mask(r[1]), *r[2:]) for r in rows]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -218,8 +220,64 @@ def test_quality_rules_keep_prose_and_reject_other_shapes(spark):
 def test_quality_references_do_not_depend_on_partitions(spark):
     r = random.Random(5)
     d = docs(spark, [(i, prose(r, 60), ("en", "de", None)[i % 3]) for i in range(200)])
-    a, b = quality_rules.references(d.repartition(1)), quality_rules.references(d.repartition(7))
-    assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
+    a, b = ({r.lang: r.ref for r in quality_rules.references(x).collect()} for x in (d.repartition(1), d.repartition(7)))
+    assert a == b and set(a) == {"en", "de", None}
+
+
+def plain_class(c: str) -> int:
+    for k, chars in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", ".!?", ",;:-", "\"'\u00ab\u00bb", "()[]{}", "#*$%&|<>@^_`~+=/\\")):
+        if c in chars:
+            return k
+    if ord(c) < 32 or ord(c) == 127:
+        return 11
+    return 14 if not 0xC0 <= ord(c) < 0x250 else 13 if c.isupper() else 12
+
+
+def plain_histogram(text: str, lang) -> tuple[list[int], list[int]]:
+    chars, words = [0] * 15, [0] * 50
+    for c in text:
+        chars[plain_class(c)] += 1
+    if lang in quality_rules.COMMON:
+        known = list(dict.fromkeys(quality_rules.COMMON[lang]))
+        for w in re.findall(WORD, re.sub("[.,;:!?\"'()]", " ", "".join(c.lower() if c.isascii() else c for c in text))):
+            words[known.index(w) if w in known else 49] += 1
+    return chars, words
+
+
+def plain_distance(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    return math.sqrt(sum((x / 2 * math.log2(2 * x / (x + y)) if x else 0) + (y / 2 * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_quality_verdicts_equal_the_plain_rules(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(quality_rules, "BROADCAST_LANGS", 0)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    d = d.union(spark.createDataFrame([(-1, None, None), (-2, "few words in a language of its own " * 3, "xx"), (-3, "\u4e2d\u6587 " * 200, "en")], d.schema))
+    rows = d.collect()
+    failed = {r.doc_id: (lambda n: n[0] < 10 or 100 * n[4] > 20 * n[0])(plain_counts(r.text)) for r in rows}
+    refs: dict = {}
+    for r in rows:
+        if not failed[r.doc_id]:
+            n, c, w = refs.get(r.lang, (0, [0] * 15, [0] * 50))
+            x, y = plain_histogram(r.text, r.lang)
+            refs[r.lang] = (n + 1, [a + b for a, b in zip(c, x)], [a + b for a, b in zip(w, y)])
+    want = {}
+    for r in rows:
+        x, y = plain_histogram(r.text or "", r.lang)
+        n, c, w = refs.get(r.lang, (0, [], []))
+        bad = failed[r.doc_id]
+        if n >= 20 and sum(x) >= 200:
+            bad |= plain_distance(x, c) > 0.33
+        if n >= 20 and sum(y) >= 60 and sum(w):
+            bad |= plain_distance(y, w) > 0.12 + 1.6 / math.sqrt(sum(y))
+        want[r.doc_id] = (failed[r.doc_id], not bad)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.verdicts(d, 20).collect()}
+    assert got == want and {x.doc_id for x in quality_rules.keep(d, 20).collect()} == {i for i, v in want.items() if v[1]}
+    assert len({v for v in want.values()}) == 3
 
 
 def test_quality_on_edges(spark):
@@ -422,6 +480,49 @@ def test_secret_base_spans_equal_the_plain_patterns():
         assert [s for s in secrets_scan.scan(t) if s[0] in secrets_scan.BASE_KINDS] == plain_secrets(t), t
 
 
+def plain_secrets(text: str) -> list[tuple[str, int, int]]:
+    """All kinds by their expressions over the whole text, without the automaton."""
+    def jwt(m):
+        try:
+            head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        except (ValueError, RecursionError):
+            return False
+        return isinstance(head, dict) and "alg" in head
+
+    def crc(m):
+        n, out = zlib.crc32(m[1][:30].encode()), ""
+        while n:
+            n, d = divmod(n, 62)
+            out = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[d] + out
+        return out.rjust(6, "0") == m[1][30:]
+
+    kinds = [
+        ("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+        ("github", "gh[opsur]_([0-9A-Za-z]{36})(?![0-9A-Za-z])", crc), ("npm", "npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])", crc), ("jwt", r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", jwt),
+    ]
+    found = [(k, *m.span()) for k, p, test in kinds for m in re.finditer(p, text) if test(m)]
+    return sorted(found, key=lambda s: (s[1], [k for k, *_ in kinds].index(s[0])))
+
+
+def test_secret_spans_of_all_kinds_equal_the_plain_ones():
+    r = random.Random(6)
+    good = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    body = "abcdefghij" * 3
+    parts = [good + ".e30.", good + ".x.y", "eyJ", "eyJh.", ".", good, "ghp_" + body + secrets_scan.crc_base62(body), "npm_" + body + secrets_scan.crc_base62(body), "npm_" + body + "000000", "ghs_", "AKIA" + "Z" * 16, "token: ", "abcdef12", "0" * 24, " ", "-", "EYJ", "é"]
+    for _ in range(800):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        assert secrets_scan.scan(t) == plain_secrets(t), t
+
+
+def test_secret_scan_of_hostile_texts():
+    deep = base64.urlsafe_b64encode(b"[" * 100_000).decode()
+    head = base64.urlsafe_b64encode(b'{"a":' * 100_000).decode()
+    for t in ("eyJ" + deep + ".a.b", head + ".a.b", "eyJ" * 300_000, "eyJa." * 200_000, "token" * 200_000, "AKIA" * 200_000, "token" + " " * 1_000_000, "f" * 1_000_000, "ghp_" * 200_000):
+        began = time.time()
+        secrets_scan.scan(t)
+        assert time.time() - began < 10, t[:20]
+
+
 def test_secret_checksums():
     body = "AbCdEfGhIjKlMnOpQrStUvWxYz0123"
     good = "ghp_" + body + secrets_scan.crc_base62(body)
