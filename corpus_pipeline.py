@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import bpe, mixing, ngram_join, quality_rules, secrets_scan
-from readloom.llm.common import documents, shared_folder
+from readloom.llm.common import documents, remove, shared_folder
 
 #: No SQL: the divergence rules, the checksums and the merges of the tokenizer can't be said in it.
 ORACLE_SQL = None
@@ -53,7 +53,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each result but the last is written as Parquet to the shared folder and read again."""
+    """The stages in order; each result but the last is written as Parquet to the shared folder and read again. A stage's input is deleted once its own result is written; the last one's stays, as the result is made from it."""
     docs = documents(spark, sf_dir)
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -61,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
