@@ -2,8 +2,10 @@
 
 Exact, in these steps:
 
-1. A document's set is its distinct shingles. Chunks of documents send their shingles' hashes, packed
-   and dealt by hash range, to tasks that count in how many documents each occurs. Equal sets are
+1. A document's set is its distinct shingles, as 64-bit hashes. Chunks of documents send these, packed
+   and dealt by hash range, to tasks that count in how many documents each occurs. No task sends to more than 2^FAN others: where more
+   ranges are needed hashes are dealt in several steps, the packs of many chunks being put together on the way and
+   answers going back likewise, so packs are in proportion to the text at any size. Equal sets (128-bit hashes of them) are
    one node; what a document has alone can be shared with nobody, so a node whose shared shingles
    are fewer than the similarity needs of its whole set is alone. Only the rest go on, with their shared shingles.
 2. Shingles are put in one global order, rarest first. With t = 0.75, a set of n shingles overlaps
@@ -19,6 +21,9 @@ Exact, in these steps:
    out: all links between different groups are found, and within a group none is needed.
 5. Groups are connected components, labelled with the least id.
 
+Hashes stand for shingles throughout. Among n distinct shingles some n^2 / 2^65 pairs share a hash (1 in 10^4 runs has one in
+all of a GB of text), and for a link to be wrong a quarter of a set must do so, which doesn't happen by chance.
+
 Defined results: a text without words, or a null one, has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are one node and get one label; a null
 id takes part, and labels a group only if it has no other; an empty table gives an empty result;
@@ -32,6 +37,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +49,8 @@ from readloom.llm.components import components
 SIZE, PERCENT = 5, 75
 #: Bytes of text in a chunk, shingles in a bucket (these set how many there are of either), and shingles of the sets in a block of comparisons.
 CHUNK_BYTES, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 500_000, 400_000
+#: Bits of the hash by which one step deals.
+FAN = 11
 #: Prefix extensions that are tried, and the cost of verifying a candidate in postings read.
 MOST_MATCHES, VERIFY_COST = 12, 20
 _MEMO = 150_000
@@ -78,14 +86,73 @@ def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     return np.unique(_finish(s))
 
 
-def _narrow(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _least(x: np.ndarray) -> np.ndarray:
+    """x in the smallest type that holds it."""
+    top, low = (int(x.max()), int(x.min())) if len(x) else (0, 0)
+    return x.astype(np.int64 if low < 0 else next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return _least(np.diff(x.astype(np.int64), prepend=np.int64(0)))
+
+
+def _encode(chunk: np.ndarray, number: np.ndarray, h: np.ndarray, weight: np.ndarray) -> bytes:
+    """Items in order of chunk and number: seven bytes of each hash as they are (the bucket tells the first), and the rest, which repeats itself, compressed."""
+    low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    one = int(chunk[0]) if len(chunk) and (chunk == chunk[0]).all() else None
+    return pickle.dumps((low, _pack((one if one is not None else _steps(chunk), _steps(number), _least(weight)))), 5)
+
+
+def _decode(data: bytes, first: int):
+    """chunk, number, h, weight; first: the first byte of the hashes."""
+    low, rest = pickle.loads(data)
+    chunk, number, weight = _unpack(rest)
+    n = len(number)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :7] = np.frombuffer(low, np.uint8).reshape(-1, 7)
+    h[:, 7] = first
+    chunk = np.full(n, chunk, np.int64) if isinstance(chunk, int) else np.cumsum(chunk.astype(np.int64))
+    return chunk, np.cumsum(number.astype(np.int64)), h.view("<u8").ravel(), weight.astype(np.int64)
+
+
+def _pack(value) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+
+
+def _unpack(b: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+
+
+class Route:
+    """How hashes are dealt: bits of each step, and in how many lots chunks are put together between steps."""
+
+    def __init__(self, size: int):
+        bits = max(8, math.ceil(math.log2(max(1, size / 7 / BUCKET_SHINGLES))))
+        self.upto = [*range(max(8, FAN), bits, FAN), bits]
+        lots, self.lots = max(1, size // CHUNK_BYTES), []
+        for _ in self.upto[1:]:
+            lots = max(1, lots >> FAN)
+            self.lots.append(lots)
 
+    def next_lot(self, lot, step: int):
+        """The lot of a lot (or of a chunk, step 0) in the next step; the last step has all in one."""
+        return (lot ^ (lot >> 24)) % self.lots[step] if step < len(self.lots) else lot * 0
 
-def _widen(b: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+    def lot(self, chunk, step: int):
+        """The lot in which a chunk is after so many steps; after none its own."""
+        for k in range(step):
+            chunk = self.next_lot(chunk, k)
+        return chunk
+
+    def first(self, bucket: int, step: int) -> int:
+        return bucket >> (self.upto[step] - 8)
+
+
+def _split(key: np.ndarray):
+    """(value, positions) of each distinct value; positions keep their order."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    return [(key[x[0]].item(), x) for x in np.split(order, cuts) if len(x)]
 
 
 def needed(n):
@@ -107,89 +174,94 @@ class _Chunk:
         self.sets.append(s)
         self.bytes += len(text or "")
 
-    def rows(self, chunk: int, bits: int, width: int):
-        """(bucket, chunk, payload): one of shingles for each bucket, and one for the chunk itself in a bucket of its own."""
+    def rows(self, chunk: int, route: Route):
+        """(bucket, lot, payload): one of shingles for each bucket of the first step, and one for the chunk itself, in a negative bucket.
+
+        A shingle of one document has that document's number, one of several a number of its own above all documents'.
+        """
         first: dict[bytes, int] = {}
         own = [i for i, s in enumerate(self.sigs) if s is not None and first.setdefault(s, i) == i]
-        keep = 8 * width + bits
-        h = np.concatenate([self.sets[i] for i in own] or [np.zeros(0, np.uint64)]) >> np.uint64(64 - keep)
+        h = np.concatenate([self.sets[i] for i in own] or [np.zeros(0, np.uint64)])
         d = np.repeat(np.arange(len(own), dtype=np.int64), [self.sizes[i] for i in own])
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([start, [len(h)]]))
-        alone, several = count == 1, count > 1
-        h1, d1 = h[start[alone]], d[start[alone]]
-        h2, c2 = h[start[several]], count[several]
-        d2 = d[np.repeat(several, count)]
-        # shingles of one document go by document within a bucket, so a document's number is implied
-        b1 = (h1 >> np.uint64(8 * width)).astype(np.int64)
-        order = np.lexsort((d1, b1))
-        h1, d1, b1 = h1[order], d1[order], b1[order]
-        b2 = (h2 >> np.uint64(8 * width)).astype(np.int64)
-        edges = np.arange((1 << bits) + 1)
-        cut1, cut2 = np.searchsorted(b1, edges), np.searchsorted(b2, edges)
-        low = np.uint64((1 << 8 * width) - 1)
-        for b in range(1 << bits):
-            x, y = slice(cut1[b], cut1[b + 1]), slice(cut2[b], cut2[b + 1])
-            if x.start < x.stop or y.start < y.stop:
-                per = np.bincount(d1[x], minlength=len(own)).astype(np.uint16 if x.stop - x.start < 1 << 16 else np.uint32)
-                yield b, chunk, pickle.dumps((per, _narrow(h1[x] & low, width), _narrow(h2[y] & low, width), c2[y].astype(np.uint32)))
+        count = np.diff(np.concatenate([start, [len(h)]])).astype(np.int64)
+        several = count > 1
+        number = np.where(several, len(own) - 1 + np.cumsum(several), d[start])
+        c2, d2 = count[several], d[np.repeat(several, count)]
+        h = h[start]
+        bucket = (h >> np.uint64(64 - route.upto[0])).astype(np.int64)
+        order = np.lexsort((number, bucket))
+        bucket, number, h, count = bucket[order], number[order], h[order], count[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        lot = route.lot(chunk, 1) if route.lots else chunk
+        for x, y in zip(edges[:-1], edges[1:]):
+            yield int(bucket[x]), lot, _encode(np.array([chunk]), number[x:y], h[x:y], count[x:y])
         owner = [first.get(s, -1) if s is not None else -1 for s in self.sigs]
-        yield (1 << bits) + chunk % (1 << bits), chunk, pickle.dumps((self.ids, self.sizes, self.sigs, own, owner, h2, c2.astype(np.uint32), d2.astype(np.uint32)))
+        yield -1 - chunk % (1 << route.upto[0]), chunk, pickle.dumps((self.ids, self.sizes, self.sigs, own, owner, c2.astype(np.uint32), d2.astype(np.uint32)))
 
 
-def _pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "lot": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _unpack(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+def _items(table: pa.Table, route: Route, step: int):
+    """All items of the rows of a bucket (or several) of a step, by chunk and number."""
+    parts = [_decode(p, route.first(b, step)) for b, p in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True)]
+    chunk, number, h, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((number, chunk))
+    return chunk[order], number[order], h[order], weight[order]
+
 
+def _deal(table: pa.Table, route: Route, step: int) -> pa.Table:
+    """Rows of one bucket and lot of a step, dealt into the buckets of the next one. Rows of chunks themselves pass."""
+    if table["bucket"][0].as_py() < 0:
+        return table
+    items = _items(table, route, step)
+    lot = route.next_lot(table["lot"][0].as_py(), step + 1)
+    return _rows([(b, lot, _encode(*(x[at] for x in items))) for b, at in _split((items[2] >> np.uint64(64 - route.upto[step + 1])).astype(np.int64))])
 
-def _count(table: pa.Table, bits: int, width: int) -> pa.Table:
-    """One bucket: for each chunk, its shingles that another document has too, with the number of documents. Rows of chunks themselves pass."""
-    bucket = table["bucket"][0].as_py()
-    if bucket >= 1 << bits:
-        return table.set_column(0, "bucket", pa.array([-1] * table.num_rows, pa.int32()))
-    chunks = table["chunk"].to_pylist()
-    parts = [pickle.loads(p) for p in table["payload"].to_pylist()]
-    one, two = [_widen(p[1], width) for p in parts], [_widen(p[2], width) for p in parts]
-    h = np.concatenate(one + two)
-    w = np.concatenate([np.ones(sum(map(len, one)), np.int64), *(p[3].astype(np.int64) for p in parts)])
+
+def _count(table: pa.Table, route: Route) -> pa.Table:
+    """One bucket of the last step: the shingles that more than one document has, with the number of documents, by lot. Rows of chunks themselves pass."""
+    if table["bucket"][0].as_py() < 0:
+        return table
+    chunk, number, h, weight = _items(table, route, len(route.upto) - 1)
     order = np.argsort(h, kind="stable")
-    hs = h[order]
-    start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-    total = np.add.reduceat(w[order], start)
+    start = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    total = np.add.reduceat(weight[order], start)
     df = np.empty(len(h), np.int64)
     df[order] = np.repeat(total, np.diff(np.concatenate([start, [len(h)]])))
-    df = np.minimum(df, 65535).astype(np.uint16)
-    out, a, b = [], 0, sum(map(len, one))
-    for p, x, y in zip(parts, one, two, strict=True):
-        f = df[a : a + len(x)]
-        k = np.flatnonzero(f > 1)
-        d = np.repeat(np.arange(len(p[0]), dtype=np.uint32), p[0])
-        out.append(_pack((bucket, d[k], _narrow(x[k], width), f[k], df[b : b + len(y)])))
-        a, b = a + len(x), b + len(y)
-    return pa.table({"bucket": pa.array([bucket] * len(chunks), pa.int32()), "chunk": pa.array(chunks, pa.int64()), "payload": pa.array(out, pa.binary())})
-
-
-def _gather(table: pa.Table, to: pa.Schema, width: int) -> pa.Table:
+    kept = df > 1
+    items = chunk[kept], number[kept], h[kept], np.minimum(df[kept], 65535)  # larger counts only order alike
+    return _answers(table["bucket"][0].as_py(), items, route, len(route.lots))
+
+
+def _answers(bucket: int, items, route: Route, step: int) -> pa.Table:
+    """Answers of one bucket of a step, by the lots of that step, for the bucket of the step before that it came from."""
+    bucket >>= route.upto[step] - route.upto[max(step - 1, 0)]
+    return _rows([(bucket, lot, _encode(*(x[at] for x in items))) for lot, at in _split(route.lot(items[0], step))] if len(items[0]) else [])
+
+
+def _return(table: pa.Table, route: Route, step: int) -> pa.Table:
+    """Answers for one lot of a step, dealt out to the lots of the step before. Rows of chunks themselves pass."""
+    if table["bucket"][0].as_py() < 0:
+        return table
+    return _answers(table["bucket"][0].as_py(), _items(table, route, step - 1), route, step - 1)
+
+
+def _gather(table: pa.Table, to: pa.Schema, route: Route) -> pa.Table:
     """One chunk: its documents, and for each set that may have a similar one its shared shingles, rarest first, with their counts."""
-    answers, head = [], None
-    for b, p in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True):
-        if b < 0:
-            head = pickle.loads(p)
-        else:
-            bucket, d, low, f, several = _unpack(p)
-            answers.append((bucket, d, _widen(low, width) | np.uint64(bucket << 8 * width), f, several))
-    ids, sizes, sigs, own, owner, h2, c2, d2 = head
-    answers.sort(key=lambda x: x[0])
-    none = (0, np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint16))
-    d1, h1, f1, f2 = (np.concatenate([x[k] for x in [none, *answers]]) for k in (1, 2, 3, 4))
-    d = np.concatenate([d1, d2])
-    h = np.concatenate([h1, np.repeat(h2, c2)])
-    f = np.concatenate([f1, np.repeat(f2, c2)])
+    mine = pc.less(table["bucket"], 0)
+    ids, sizes, sigs, own, owner, c2, d2 = pickle.loads(table.filter(mine)["payload"][0].as_py())
+    rest = table.filter(pc.invert(mine))
+    _, number, h, f = _items(rest, route, 0) if rest.num_rows else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
+    alone = number < len(own)
+    # all shingles that several documents of the chunk have come back, in the order of their numbers
+    d = np.concatenate([number[alone], d2])
+    h = np.concatenate([h[alone], np.repeat(h[~alone], c2)])
+    f = np.concatenate([f[alone], np.repeat(f[~alone], c2)]).astype(np.uint16)
     order = np.lexsort((h, f, d))
     d, h, f = d[order], h[order], f[order]
     edge = np.searchsorted(d, np.arange(len(own) + 1))
@@ -209,31 +281,34 @@ def shared_sets(docs: DataFrame) -> DataFrame:
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # an estimate only: how many buckets there are
-    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / 7 / BUCKET_SHINGLES))))
-    width = 6 if bits < 8 else 5
+    route = Route(docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0)
 
     def send(batches):
         part, n, chunk, memo = TaskContext.get().partitionId(), 0, _Chunk(), {}
-        def flush(c, n):
-            rows = list(c.rows((part << 24) + n, bits, width))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "chunk", "payload"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     chunk.add(i, t, memo)
                     if chunk.bytes >= CHUNK_BYTES:
-                        yield flush(chunk, n)
+                        yield from _rows(list(chunk.rows((part << 24) + n, route))).to_batches()
                         chunk, n = _Chunk(), n + 1
         if chunk.ids:
-            yield flush(chunk, n)
-
-    schema = "bucket int, chunk long, payload binary"
-    sent = docs.mapInArrow(send, schema)
-    counted = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, bits, width), schema)
+            yield from _rows(list(chunk.rows((part << 24) + n, route))).to_batches()
+
+    def each(f, step):
+        return lambda t: f(t, route, step)
+
+    schema = "bucket long, lot long, payload binary"
+    rows = docs.mapInArrow(send, schema)
+    last = len(route.upto) - 1
+    for step in range(last):
+        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_deal, step), schema)
+    rows = rows.groupBy("bucket").applyInArrow(lambda t: _count(t, route), schema)
+    for step in range(last, 0, -1):
+        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_return, step), schema)
     ddl = f"doc_id {id_type(docs)}, n long, sig binary, shared binary"
     to = to_arrow_schema(StructType.fromDDL(ddl))
-    return counted.groupBy("chunk").applyInArrow(lambda t: _gather(t, to, width), ddl)
+    return rows.groupBy("lot").applyInArrow(lambda t: _gather(t, to, route), ddl)
 
 
 class Node:
@@ -397,14 +472,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least id (then hash of the text), with all its columns; documents without words all stay."""
-    keyed = docs.withColumns({"__hash": F.xxhash64(F.col("text").cast("string"))})
-    own = classes(keyed.select(F.struct("doc_id", "__hash").alias("doc_id"), "text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"))
+    own = classes(keyed.select(F.struct("doc_id", "h").alias("doc_id"), F.col("doc.text").alias("text")))
     kept = own.where("n_shingles = 0 or doc_id = component_id").groupBy("doc_id").agg((F.max("n_shingles") > 0).alias("linked"), F.count("*").alias("times"))
-    kept = cut(kept.select(F.col("doc_id.doc_id").alias("k_id"), F.col("doc_id.__hash").alias("k_hash"), (F.col("linked") & (F.col("times") > 1)).alias("repeated")))
-    same = keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed["__hash"] == F.col("k_hash"))
+    kept = cut(kept.select(F.col("doc_id.doc_id").alias("k_id"), F.col("doc_id.h").alias("k_hash"), (F.col("linked") & (F.col("times") > 1)).alias("repeated")))
+    same = keyed["doc_id"].eqNullSafe(F.col("k_id")) & (keyed["h"] == F.col("k_hash"))
     single = keyed.join(kept.where("not repeated"), same, "left_semi")
-    repeated = keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return single.unionByName(repeated).select(*docs.columns)
+    repeated = keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates(["doc_id", "h"])
+    return single.unionByName(repeated).select("doc.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

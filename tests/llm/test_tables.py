@@ -89,16 +89,50 @@ def families(seed: int, groups: int, size: int):
     return rows
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, small):
-    if small:  # many chunks, buckets and blocks
-        for k, v in {"CHUNK_BYTES": 2000, "BUCKET_SHINGLES": 400, "BLOCK_SHINGLES": 250}.items():
-            monkeypatch.setattr(ngram_join, k, v)
+SMALL = {"CHUNK_BYTES": 2000, "BUCKET_SHINGLES": 400, "BLOCK_SHINGLES": 250}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL, SMALL | {"BUCKET_SHINGLES": 2, "CHUNK_BYTES": 700, "FAN": 2}], ids=["as it is", "many chunks and blocks", "three steps"])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(ngram_join, k, v)
     rows = EDGES + families(1, 6, 14) + [(700, "tiny text"), (701, "TINY Text"), (702, "tiny  text")]
     got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.classes(docs(spark, rows)).collect())
     assert got == brute_classes(rows)
 
 
+def test_ngram_exchange_keeps_whole_hashes_and_sends_in_proportion():
+    """Packs of one chunk, dealt by routes of any size: all hashes come back whole, and few bytes more are sent where there are more buckets."""
+    import pickle
+
+    import numpy as np
+
+    r = random.Random(4)
+    c, memo, all_ = ngram_join._Chunk(), {}, {}
+    for i in range(400):
+        t = " ".join(str(r.randrange(3000)) for _ in range(r.choice([3, 40, 300])))
+        c.add(i, t, memo)
+        all_[i] = {int(x) for x in ngram_join.shingles(t, {})}
+    sent = {}
+    for size in (1, 10**9, 10**14, 10**18):
+        route = ngram_join.Route(size)
+        rows = list(c.rows(7, route))
+        assert route.upto[0] <= ngram_join.FAN and len(rows) <= 2 ** ngram_join.FAN + 1
+        sent[size] = sum(len(p) for _, _, p in rows)
+        ids, sizes, sigs, own, owner, c2, d2 = pickle.loads(rows[-1][2])
+        got: dict = {i: set() for i in range(400)}
+        ends = np.concatenate([[0], np.cumsum(c2)])
+        for b, _, p in rows[:-1]:
+            for chunk, n, h, w in zip(*ngram_join._decode(p, route.first(b, 0)), strict=True):
+                assert chunk == 7 and int(h) >> (64 - route.upto[0]) == b
+                docs_ = [n] if n < len(own) else d2[ends[n - len(own)] : ends[n - len(own) + 1]]
+                assert w == len(docs_)
+                for d in docs_:
+                    got[own[d]].add(int(h))
+        assert got == all_
+    assert len(ngram_join.Route(10**14).upto) == 3 and sent[10**18] == sent[10**14] and sent[10**14] < 3 * sent[1]
+
+
 def test_ngram_prefixes_never_lose_a_similar_pair():
     r = random.Random(2)
     import numpy as np
@@ -118,6 +152,8 @@ def test_ngram_prefixes_never_lose_a_similar_pair():
 
 def test_ngram_keep_one_and_empty(spark):
     rows = EDGES + families(3, 3, 6)
+    clash = docs(spark, rows[-3:]).withColumnsRenamed({"n_chars": "h", "source": "__hash"})
+    assert set(map(tuple, ngram_join.keep_one(clash).collect())) <= set(map(tuple, clash.collect()))
     d = docs(spark, rows).withColumnRenamed("n_chars", "sig")
     kept = ngram_join.keep_one(d)
     assert kept.columns == d.columns
