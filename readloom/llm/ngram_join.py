@@ -2,7 +2,7 @@
 
 Exact, in these steps:
 
-1. A document's set is its distinct shingles, as 64-bit hashes. Chunks of documents send these, packed
+1. A document's set is its distinct shingles, as hashes of HASH bits. Chunks of documents send these, packed
    and dealt by hash range, to tasks that count in how many documents each occurs. No task sends to more than 2^FAN others: where more
    ranges are needed hashes are dealt in several steps, the packs of many chunks being put together on the way and
    answers going back likewise, so packs are in proportion to the text at any size. Equal sets (128-bit hashes of them) are
@@ -21,8 +21,9 @@ Exact, in these steps:
    out: all links between different groups are found, and within a group none is needed.
 5. Groups are connected components, labelled with the least id.
 
-Hashes stand for shingles throughout. Among n distinct shingles some n^2 / 2^65 pairs share a hash (1 in 10^4 runs has one in
-all of a GB of text), and for a link to be wrong a quarter of a set must do so, which doesn't happen by chance.
+Hashes of 56 bits stand for shingles throughout, at every size: six bytes are sent, the bucket tells the rest (whole 64 bits were
+tried and take more disk than there is). Whether two sets are similar is wrong only if two different shingles of these very
+sets share a hash, some 1.4 times in 10^11 pairs of sets of a thousand shingles; hashes shared elsewhere only add candidates.
 
 Defined results: a text without words, or a null one, has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are one node and get one label; a null
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +50,10 @@ from readloom.llm.components import components
 
 SIZE, PERCENT = 5, 75
 #: Bytes of text in a chunk, shingles in a bucket (these set how many there are of either), and shingles of the sets in a block of comparisons.
-CHUNK_BYTES, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 500_000, 400_000
-#: Bits of the hash by which one step deals.
-FAN = 11
+CHUNK_BYTES, BUCKET_SHINGLES, BLOCK_SHINGLES = 8 << 20, 2_500_000, 400_000
+#: Bits of the hash by which one step deals, bits that a bucket's number always has, and bits of a hash.
+FAN, HEAD = 11, 8
+HASH = 48 + HEAD
 #: Prefix extensions that are tried, and the cost of verifying a candidate in postings read.
 MOST_MATCHES, VERIFY_COST = 12, 20
 _MEMO = 150_000
@@ -64,7 +67,7 @@ def _finish(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles. memo: word hashes, bounded here."""
+    """Sorted hashes (HASH bits) of the distinct shingles. memo: word hashes, bounded here."""
     words = (text or "").encode().lower().split()
     if len(memo) > _MEMO:
         memo.clear()
@@ -78,57 +81,55 @@ def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     if not len(a):
         return a
     if len(a) < SIZE:
-        return _finish(np.array([xxhash.xxh3_64_intdigest(a.tobytes())], np.uint64))
+        return _finish(np.array([xxhash.xxh3_64_intdigest(a.tobytes())], np.uint64)) >> np.uint64(64 - HASH)
     n = len(a) - SIZE + 1
     s = a[:n] * _POWERS[0]
     for k in range(1, SIZE):
         s = s + a[k : n + k] * _POWERS[k]
-    return np.unique(_finish(s))
+    return np.unique(_finish(s) >> np.uint64(64 - HASH))
 
 
-def _least(x: np.ndarray) -> np.ndarray:
-    """x in the smallest type that holds it."""
-    top, low = (int(x.max()), int(x.min())) if len(x) else (0, 0)
-    return x.astype(np.int64 if low < 0 else next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+_TYPES = ("<u1", "<u2", "<u4", "<u8", "<i8")
 
 
-def _steps(x: np.ndarray) -> np.ndarray:
-    return _least(np.diff(x.astype(np.int64), prepend=np.int64(0)))
+def _least(x: np.ndarray) -> int:
+    """The number of the smallest type that holds x."""
+    top, low = (int(x.max()), int(x.min())) if len(x) else (0, 0)
+    return 4 if low < 0 else next(k for k in range(4) if top < 1 << (8 << k))
 
 
 def _encode(chunk: np.ndarray, number: np.ndarray, h: np.ndarray, weight: np.ndarray) -> bytes:
-    """Items in order of chunk and number: seven bytes of each hash as they are (the bucket tells the first), and the rest, which repeats itself, compressed."""
-    low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-    one = int(chunk[0]) if len(chunk) and (chunk == chunk[0]).all() else None
-    return pickle.dumps((low, _pack((one if one is not None else _steps(chunk), _steps(number), _least(weight)))), 5)
+    """Items in order of chunk and number: six bytes of each hash as they are (the bucket tells the first bits), and the rest, which repeats itself, compressed: steps from item to item, and the weights after the leading ones."""
+    low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    n, ones = len(h), int(np.argmax(weight != 1)) if (weight != 1).any() else len(weight)
+    one = (chunk[:1] == chunk).all()
+    parts = [chunk[:1] if one else np.diff(chunk, prepend=np.int64(0)), np.diff(number, prepend=np.int64(0)), weight[ones:]]
+    kinds = [_least(x) for x in parts]
+    rest = zstandard.ZstdCompressor(level=1, write_checksum=False).compress(b"".join(x.astype(_TYPES[k]).tobytes() for x, k in zip(parts, kinds, strict=True)))
+    return struct.pack("<II?BBB", n, ones, one, *kinds) + low + rest
 
 
 def _decode(data: bytes, first: int):
-    """chunk, number, h, weight; first: the first byte of the hashes."""
-    low, rest = pickle.loads(data)
-    chunk, number, weight = _unpack(rest)
-    n = len(number)
+    """chunk, number, h, weight; first: the first HEAD bits of the hashes."""
+    n, ones, one, *kinds = struct.unpack_from("<II?BBB", data)
     h = np.zeros((n, 8), np.uint8)
-    h[:, :7] = np.frombuffer(low, np.uint8).reshape(-1, 7)
-    h[:, 7] = first
-    chunk = np.full(n, chunk, np.int64) if isinstance(chunk, int) else np.cumsum(chunk.astype(np.int64))
-    return chunk, np.cumsum(number.astype(np.int64)), h.view("<u8").ravel(), weight.astype(np.int64)
-
-
-def _pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
-
-
-def _unpack(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+    h[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 12).reshape(-1, 6)
+    rest, at, parts = zstandard.ZstdDecompressor().decompress(data[12 + 6 * n :]), 0, []
+    for size, k in zip((1 if one else n, n, n - ones), kinds, strict=True):
+        x = np.frombuffer(rest, _TYPES[k], size, at)
+        at += x.nbytes
+        parts.append(x.astype(np.int64))
+    chunk, number, weight = parts
+    chunk = np.full(n, chunk[0], np.int64) if one else np.cumsum(chunk)
+    return chunk, np.cumsum(number), h.view("<u8").ravel() | np.uint64(first << 48), np.concatenate([np.ones(ones, np.int64), weight])
 
 
 class Route:
     """How hashes are dealt: bits of each step, and in how many lots chunks are put together between steps."""
 
     def __init__(self, size: int):
-        bits = max(8, math.ceil(math.log2(max(1, size / 7 / BUCKET_SHINGLES))))
-        self.upto = [*range(max(8, FAN), bits, FAN), bits]
+        bits = max(HEAD, math.ceil(math.log2(max(1, size / 7 / BUCKET_SHINGLES))))
+        self.upto = [*range(max(HEAD, FAN), bits, FAN), bits]
         lots, self.lots = max(1, size // CHUNK_BYTES), []
         for _ in self.upto[1:]:
             lots = max(1, lots >> FAN)
@@ -145,7 +146,7 @@ class Route:
         return chunk
 
     def first(self, bucket: int, step: int) -> int:
-        return bucket >> (self.upto[step] - 8)
+        return bucket >> (self.upto[step] - HEAD)
 
 
 def _split(key: np.ndarray):
@@ -191,13 +192,14 @@ class _Chunk:
         number = np.where(several, len(own) - 1 + np.cumsum(several), d[start])
         c2, d2 = count[several], d[np.repeat(several, count)]
         h = h[start]
-        bucket = (h >> np.uint64(64 - route.upto[0])).astype(np.int64)
+        bucket = (h >> np.uint64(HASH - route.upto[0])).astype(np.int64)
         order = np.lexsort((number, bucket))
         bucket, number, h, count = bucket[order], number[order], h[order], count[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
         lot = route.lot(chunk, 1) if route.lots else chunk
+        mine = np.full(len(h), chunk, np.int64)
         for x, y in zip(edges[:-1], edges[1:]):
-            yield int(bucket[x]), lot, _encode(np.array([chunk]), number[x:y], h[x:y], count[x:y])
+            yield int(bucket[x]), lot, _encode(mine[x:y], number[x:y], h[x:y], count[x:y])
         owner = [first.get(s, -1) if s is not None else -1 for s in self.sigs]
         yield -1 - chunk % (1 << route.upto[0]), chunk, pickle.dumps((self.ids, self.sizes, self.sigs, own, owner, c2.astype(np.uint32), d2.astype(np.uint32)))
 
@@ -220,7 +222,7 @@ def _deal(table: pa.Table, route: Route, step: int) -> pa.Table:
         return table
     items = _items(table, route, step)
     lot = route.next_lot(table["lot"][0].as_py(), step + 1)
-    return _rows([(b, lot, _encode(*(x[at] for x in items))) for b, at in _split((items[2] >> np.uint64(64 - route.upto[step + 1])).astype(np.int64))])
+    return _rows([(b, lot, _encode(*(x[at] for x in items))) for b, at in _split((items[2] >> np.uint64(HASH - route.upto[step + 1])).astype(np.int64))])
 
 
 def _count(table: pa.Table, route: Route) -> pa.Table:

@@ -92,7 +92,7 @@ def families(seed: int, groups: int, size: int):
 SMALL = {"CHUNK_BYTES": 2000, "BUCKET_SHINGLES": 400, "BLOCK_SHINGLES": 250}
 
 
-@pytest.mark.parametrize("sizes", [{}, SMALL, SMALL | {"BUCKET_SHINGLES": 2, "CHUNK_BYTES": 700, "FAN": 2}], ids=["as it is", "many chunks and blocks", "three steps"])
+@pytest.mark.parametrize("sizes", [{}, SMALL, SMALL | {"BUCKET_SHINGLES": 0.3, "CHUNK_BYTES": 700, "FAN": 2}], ids=["as it is", "many chunks and blocks", "three steps"])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, sizes):
     for k, v in sizes.items():
         monkeypatch.setattr(ngram_join, k, v)
@@ -117,20 +117,20 @@ def test_ngram_exchange_keeps_whole_hashes_and_sends_in_proportion():
     for size in (1, 10**9, 10**14, 10**18):
         route = ngram_join.Route(size)
         rows = list(c.rows(7, route))
-        assert route.upto[0] <= ngram_join.FAN and len(rows) <= 2 ** ngram_join.FAN + 1
+        assert route.upto[0] in (ngram_join.HEAD, ngram_join.FAN) and len(rows) <= 2 ** ngram_join.FAN + 1
         sent[size] = sum(len(p) for _, _, p in rows)
         ids, sizes, sigs, own, owner, c2, d2 = pickle.loads(rows[-1][2])
         got: dict = {i: set() for i in range(400)}
         ends = np.concatenate([[0], np.cumsum(c2)])
         for b, _, p in rows[:-1]:
             for chunk, n, h, w in zip(*ngram_join._decode(p, route.first(b, 0)), strict=True):
-                assert chunk == 7 and int(h) >> (64 - route.upto[0]) == b
+                assert chunk == 7 and int(h) >> (ngram_join.HASH - route.upto[0]) == b
                 docs_ = [n] if n < len(own) else d2[ends[n - len(own)] : ends[n - len(own) + 1]]
                 assert w == len(docs_)
                 for d in docs_:
                     got[own[d]].add(int(h))
         assert got == all_
-    assert len(ngram_join.Route(10**14).upto) == 3 and sent[10**18] == sent[10**14] and sent[10**14] < 3 * sent[1]
+    assert [len(ngram_join.Route(n).upto) for n in (1, 10**11, 10**14)] == [1, 2, 3] and sent[10**18] == sent[10**14] and sent[10**14] < 3 * sent[1]
 
 
 def test_ngram_prefixes_never_lose_a_similar_pair():
