@@ -1,13 +1,16 @@
 """FLAC: lossless coding of byte columns as 8-bit mono samples, and exact reading of it.
 
 Encoder: frames of BLOCK samples, for each the fixed predictor (order 0 to 4) with the smallest
-residual, one Rice partition, CRC-8 of the header, CRC-16 of the frame; STREAMINFO with the MD5 of the
-samples, and a SEEKTABLE that lists every frame's first sample and byte offset. Decoder: constant,
-verbatim, fixed and linear (LPC) subframes, Rice residuals with partitions and escapes; CRC-8, CRC-16
-and the MD5 are verified. Work is done in lockstep over all frames of a batch of rows: one NumPy
-step advances every frame by one code, so the cost is per sample and not per Python call.
-The lockstep path reads frames of one fixed subframe and one partition; all others take the plain
-path, frame by frame.
+residual or a linear one (Levinson's recursion, quantised), whichever takes fewer bits; up to eight
+Rice partitions, CRC-8 of the header, CRC-16 of the frame; STREAMINFO with the MD5 of the samples,
+and a SEEKTABLE that lists every frame's first sample and byte offset. Decoder: constant, verbatim,
+fixed and linear subframes, Rice residuals with partitions and escapes; CRC-8, CRC-16 and the MD5 are
+verified. What is told of a stream is gathered from its PCM blocks, which come with their sample
+offsets through the seek table. Work is done in lockstep over all frames of BATCH samples: one NumPy
+step advances every frame by one code, so the cost is per sample and not per Python call, and
+memory beside the text and its stream doesn't grow with the text. The lockstep path reads fixed and
+linear subframes up to ORDER; all others take the plain path, frame by frame. A text above some
+950 MB has more frames than a SEEKTABLE can list and is an error.
 
 Defined results: a null text is empty, and an empty one is a payload of 64 zero bytes; equal texts
 give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from readloom.llm.common import documents, id_type
 
 BLOCK, RATE, PAD = 1024, 8000, 64
-#: Samples that are worked on at once; a longer text is a batch of its own.
+#: Samples that are worked on at once; frames of a longer text are taken in several steps.
 BATCH = 1 << 20
-MAX_RICE = 14
+#: Linear predictors: coefficients, and bits of each. Rice partitions: at most 2 ** PARTITIONS.
+ORDER, WIDTH, PARTITIONS = 4, 10, 3
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -91,41 +95,105 @@ def _diffs(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _coded(u: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, partition order, Rice parameter of each finest partition) of the smallest coding of rows u of folded residuals."""
+    count, n = u.shape
+    top = PARTITIONS
+    while top and (n % (1 << top) or n >> top <= ORDER):
+        top -= 1
+    k = np.arange(9)[:, None, None]
+    sums = np.stack([(u >> j).reshape(count, 1 << top, -1).sum(2, dtype=np.int64) for j in range(9)])
+    codes = np.full((count, 1 << top), n >> top)
+    codes[:, 0] -= order
+    best, part, rice = np.full(count, 1 << 60), np.zeros(count, np.int64), np.zeros((count, 1 << top), np.int64)
+    for p in range(top, -1, -1):
+        cost = sums + codes * (k + 1)
+        bits = cost.min(0).sum(1) + 6 + (4 << p)
+        better = bits < best
+        best[better], part[better] = bits[better], p
+        rice[better] = np.repeat(cost.argmin(0)[better], 1 << (top - p), axis=1)
+        if p:
+            sums, codes = sums.reshape(9, count, -1, 2).sum(3), codes.reshape(count, -1, 2).sum(2)
+    return best, part, rice
+
+
+def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised linear predictors (rows of ORDER coefficients, newest sample first) and their shifts, by Levinson's recursion on autocorrelations."""
+    f = x.astype(np.float64)
+    r = [np.einsum("ij,ij->i", f[:, lag:], f[:, : f.shape[1] - lag]) for lag in range(ORDER + 1)]
+    a = np.zeros((ORDER, len(x)))
+    err = np.where(r[0] > 0, r[0], 1.0)
+    for i in range(ORDER):
+        k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / err
+        a[:i] = a[:i] - k * a[:i][::-1]
+        a[i] = k
+        err = np.maximum(err * (1 - k * k), 1e-9)
+    shift = np.clip(WIDTH - 1 - np.frexp(np.abs(a).max(0))[1], 0, 15).astype(np.int32)
+    limit = (1 << WIDTH - 1) - 1
+    return np.clip(np.rint(a * np.exp2(shift)), -limit, limit).astype(np.int32).T, shift
+
+
+def _fold(r: np.ndarray) -> np.ndarray:
+    return (r << 1) ^ (r >> 31)
+
+
 def _encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    """Frames of equally long blocks of signed samples."""
+    """Frames of equally long blocks of signed samples, each by the fixed or the linear predictor, whichever takes fewer bits."""
     count, n = x.shape
-    res = _diffs(x.astype(np.int32))
+    x = x.astype(np.int32)
+    res = _diffs(x)
     cost = np.stack([np.abs(r[:, min(4, n) :]).sum(1) for r in res]) if n > 4 else np.zeros((1, count), np.int64)
     order = cost.argmin(0)
-    u = np.empty((count, n), np.int64)
+    u = np.empty((count, n), np.int32)
     for o in range(len(cost)):
         k = order == o
-        r = res[o][k].astype(np.int64)
-        u[k] = (r << 1) ^ (r >> 63)
+        u[k] = _fold(res[o][k])
+    u[np.arange(n)[None, :] < order[:, None]] = 0
+    bits, part, rice = _coded(u, order)
+    linear = np.zeros(count, bool)
+    coef, shift = np.zeros((count, ORDER), np.int32), np.zeros(count, np.int32)
+    if n > 8 * ORDER:
+        coef, shift = _linear(x)
+        guess = sum(coef[:, i : i + 1] * x[:, ORDER - 1 - i : n - 1 - i] for i in range(ORDER))
+        v = np.zeros_like(u)
+        v[:, ORDER:] = _fold(x[:, ORDER:] - (guess >> shift[:, None]))
+        bits_v, part_v, rice_v = _coded(v, np.full(count, ORDER))
+        linear = bits_v + 8 * ORDER + 9 + WIDTH * ORDER < bits + 8 * order
+        u[linear], part[linear], rice[linear], order[linear] = v[linear], part_v[linear], rice_v[linear], ORDER
     warm = np.arange(n)[None, :] < order[:, None]
-    u[warm] = 0
-    rest = np.maximum(n - order, 1)
-    bits = np.stack([((u >> k).sum(1) + rest * (k + 1)) for k in range(9)])
-    rice = bits.argmin(0)
-    head = [_header(n, int(i)) + bytes([0x10 | int(o) << 1]) for i, o in zip(numbers, order, strict=True)]
-    # bits: header, warm-up samples, 2 + 4 + 4 bits of residual coding, codes
-    length = np.where(warm, 8, (u >> rice[:, None]) + 1 + rice[:, None])
-    first = np.array([8 * len(h) for h in head])
-    length[np.arange(count), order] += 10 * (order < n)
-    stop = first[:, None] + np.cumsum(length, 1)
+    head = [_header(n, int(i)) + bytes([(31 + ORDER) << 1 if q else 0x10 | int(o) << 1]) for i, o, q in zip(numbers, order, linear, strict=True)]
+    # bits: header, warm-up samples, [coefficients,] 2 + 4 bits of residual coding, partitions of a 4-bit parameter and codes
+    finest = rice.shape[1]
+    row = np.arange(count)
+    each = np.repeat(rice, n // finest, axis=1)
+    length = np.where(warm, 8, (u >> each) + 1 + each).astype(np.int64)
+    told = np.where(linear, 9 + WIDTH * ORDER, 0) + 10
+    value = np.zeros(count, np.int64)
+    for i in range(ORDER):
+        value = value << WIDTH | coef[:, i] & (1 << WIDTH) - 1
+    value = np.where(linear, (WIDTH - 1 << 5 | shift.astype(np.int64)) << WIDTH * ORDER | value, 0) << 10 | part << 4 | rice[:, 0]
+    length[row, np.minimum(order, n - 1)] += told * (order < n)
+    fr, fp = np.nonzero(np.arange(finest)[None, :] % (finest >> part)[:, None] == 0)
+    fr, fp = fr[fp > 0], fp[fp > 0]
+    length[fr, fp * (n // finest)] += 4
+    stop = np.array([8 * len(h) for h in head])[:, None] + np.cumsum(length, 1)
     size = (stop[:, -1] + 7) // 8
     base = np.concatenate([[0], np.cumsum(size + 2)])
     flags = np.zeros(int(base[-1]) * 8, np.uint8)
     bit = (base[:-1] * 8)[:, None] + stop
-    low = np.where(warm, x.astype(np.int64) & 255, u)
-    width = np.where(warm, 8, rice[:, None])
+    low = np.where(warm, x & 255, u)
+    width = np.where(warm, 8, each)
     for j in range(int(width.max(initial=0))):
         on = (low >> j & 1).astype(bool) & (j < width)
         flags[bit[on] - 1 - j] = 1
     flags[(bit - 1 - width)[~warm]] = 1
-    at = bit[np.arange(count), np.minimum(order, n - 1)] - length[np.arange(count), np.minimum(order, n - 1)]
-    for j in range(4):  # partition order 0, then the Rice parameter
-        flags[at + 9 - j] = rice >> j & 1
+    at = (bit - length)[row, np.minimum(order, n - 1)] + told
+    for j in range(10 + 9 + WIDTH * ORDER):
+        on = j < told
+        flags[at[on] - 1 - j] = value[on] >> j & 1
+    at = (bit - length)[fr, fp * (n // finest)] + 3
+    for j in range(4):
+        flags[at - j] = rice[fr, fp] >> j & 1
     data = np.packbits(flags)
     for i, h in enumerate(head):
         data[base[i] : base[i] + len(h)] = np.frombuffer(h, np.uint8)
@@ -136,20 +204,20 @@ def _encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
 
 def encode_batch(payloads: list[bytes]) -> list[bytes]:
     """FLAC streams of payloads (bytes; sample = byte - 128)."""
-    by_size: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    by_size: dict[int, list[tuple[int, int]]] = {}
     for p, b in enumerate(payloads):
-        x = (np.frombuffer(b, np.uint8).astype(np.int16) - 128).astype(np.int8)
-        for k in range(0, len(x), BLOCK):
-            part = x[k : k + BLOCK]
-            by_size.setdefault(len(part), []).append((p, k // BLOCK, part))
-    frames: list[dict[int, bytes]] = [{} for _ in payloads]
-    for group in by_size.values():
-        got = _encode_frames(np.stack([g[2] for g in group]), np.array([g[1] for g in group]))
-        for (p, k, _), f in zip(group, got, strict=True):
-            frames[p][k] = f
+        for k in range(0, len(b), BLOCK):
+            by_size.setdefault(min(BLOCK, len(b) - k), []).append((p, k // BLOCK))
+    frames: list[list] = [[None] * -(-len(b) // BLOCK) for b in payloads]
+    for n, group in by_size.items():
+        step = max(1, BATCH // n)
+        for g in range(0, len(group), step):
+            some = group[g : g + step]
+            x = np.frombuffer(b"".join(payloads[p][k * BLOCK : k * BLOCK + n] for p, k in some), np.uint8) ^ 0x80
+            for (p, k), f in zip(some, _encode_frames(x.view(np.int8).reshape(-1, n), np.array([k for _, k in some])), strict=True):
+                frames[p][k] = f
     out = []
-    for b, parts in zip(payloads, frames, strict=True):
-        ordered = [parts[k] for k in range(len(parts))]
+    for b, ordered in zip(payloads, frames, strict=True):
         sizes = [len(f) for f in ordered] or [0]
         signed = (np.frombuffer(b, np.uint8) ^ 0x80).tobytes()
         info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(b)).to_bytes(8, "big") + hashlib.md5(signed).digest()
@@ -219,6 +287,8 @@ class _Bits:
         n = 0
         while not self.take(1):
             n += 1
+            if self.at > 8 * len(self.s):
+                raise BadStream("a code runs past the end")
         return n
 
 
@@ -265,8 +335,8 @@ def decode_frame(s: bytes, at: int) -> tuple[np.ndarray, int]:
     return (np.array(x, np.int64) << waste).astype(np.int8), stop + 2
 
 
-def _decode_lockstep(data: np.ndarray, start: np.ndarray, body: np.ndarray, n: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Samples of frames with one fixed subframe and one Rice partition, all frames together. start, size: bytes of the frame; body: byte of the subframe."""
+def _decode_lockstep(data: np.ndarray, start: np.ndarray, body: np.ndarray, n: np.ndarray, size: np.ndarray) -> list[np.ndarray | None]:
+    """Samples of frames of fixed or linear subframes (order up to ORDER), all frames together; None for a frame whose residuals are escaped. start, size: bytes of the frame; body: byte of the subframe."""
     by = np.argsort(-n, kind="stable")
     start, body, n, size = start[by], body[by], n[by], size[by]
     flags = np.unpackbits(data)
@@ -275,48 +345,74 @@ def _decode_lockstep(data: np.ndarray, start: np.ndarray, body: np.ndarray, n: n
     window = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]  # 32 bits from each byte on
 
     def bits(at, width):  # width up to 16
-        return (window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - width)
+        return (window.take(at >> 3, mode="clip") << (at & 7).astype(np.uint32)) >> np.uint32(32 - width)
 
-    order = (data[body] >> 1).astype(np.int64) - 8
-    live = len(n)
-    most = int(n[0])
+    kind = (data[body] >> 1).astype(np.int64)
+    linear = kind >= 32
+    order = np.where(linear, kind - 31, kind - 8)
+    live, most = len(n), int(n[0])
     res = np.zeros((live, most), np.int32)
     at = (body + 1) * 8
-    for k in range(4):
+    for k in range(ORDER):
         w = np.flatnonzero(order > k)
         res[w, k] = bits(at[w], 8).astype(np.uint8).view(np.int8)
         at[w] += 8
+    coef, shift = np.zeros((live, ORDER), np.int32), np.zeros(live, np.int32)
+    w = np.flatnonzero(linear)
+    if len(w):
+        wide = bits(at[w], 4).astype(np.int64) + 1
+        shift[w] = bits(at[w] + 4, 5)
+        at[w] += 9
+        for k in range(ORDER):
+            on = order[w] > k
+            v, f = w[on], wide[on]
+            c = bits(at[v], 16).astype(np.int64) >> (16 - f)
+            coef[v, k] = c - ((c >> f - 1) << f)
+            at[v] += f
+    parts = np.int64(1) << bits(at + 2, 4).astype(np.int64)
     rice = bits(at + 6, 4).astype(np.int64)
     at = at + 10
+    escaped = rice == 15
+    turns: dict[int, list[int]] = {}  # frames of which a partition begins at a sample
+    for i in np.flatnonzero(parts > 1):
+        for k in range(int(n[i] // parts[i]), int(n[i]), int(n[i] // parts[i])):
+            turns.setdefault(k, []).append(i)
     before = np.concatenate([[0], np.cumsum(flags.reshape(-1, 8).sum(1, dtype=np.int64))])  # ones before each byte
     head = np.array([0xFF >> i & 0xFF for i in range(8)], np.uint8)
     count = np.array([bin(i).count("1") for i in range(256)], np.int64)
     live_at = np.searchsorted(-n, -np.arange(1, most + 1), side="right")
     mask = (np.int64(1) << rice) - 1
     for k in range(most):
+        if k in turns:
+            w = np.array(turns[k])
+            rice[w] = bits(at[w], 4)
+            escaped[w] |= rice[w] == 15
+            mask[w] = (np.int64(1) << rice[w]) - 1
+            at[w] += 4
         m = int(live_at[k])
         a = at[:m]
         byte = a >> 3
-        nth = before[byte + 1] - count[data[byte] & head[a & 7]]  # ones before this bit
-        one = ones[nth]
+        nth = before.take(byte + 1, mode="clip") - count[data.take(byte, mode="clip") & head[a & 7]]  # ones before this bit
+        one = ones.take(nth, mode="clip")
         r = rice[:m]
         b = one + 1
-        low = (window[b >> 3] << (b & 7).astype(np.uint32)).astype(np.int64) >> (32 - r) & mask[:m]
+        low = (window.take(b >> 3, mode="clip") << (b & 7).astype(np.uint32)).astype(np.int64) >> (32 - r) & mask[:m]
         u = (one - a) << r | low
         v = u >> 1 ^ -(u & 1)
-        if k < 4:
+        if k < ORDER:
             keep = order[:m] <= k
             res[:m, k] = np.where(keep, v, res[:m, k])
             at[:m] = np.where(keep, b + r, a)
         else:
             res[:m, k] = v
             at[:m] = b + r
-    stop = (at + 7) >> 3
+    stop = np.minimum((at + 7) >> 3, start + size - 2)
     crc = crc16(data, start, stop - start)
-    if (stop - start + 2 != size).any() or (crc != (data[stop].astype(np.uint32) << 8 | data[stop + 1])).any():
+    wrong = (stop - start + 2 != size) | (crc != (data[stop].astype(np.uint32) << 8 | data[stop + 1])) | (at > (start + size - 2) * 8)
+    if (wrong & ~escaped).any():
         raise BadStream("CRC-16 of a frame differs")
-    for o in range(1, 5):  # undo the predictor: the differences of the warm-up samples, then running sums
-        k = np.flatnonzero(order == o)
+    for o in range(1, 5):  # undo the fixed predictor: the differences of the warm-up samples, then running sums
+        k = np.flatnonzero((order == o) & ~linear)
         if len(k):
             x = res[k].astype(np.int64)
             for j in range(1, o):
@@ -324,49 +420,105 @@ def _decode_lockstep(data: np.ndarray, start: np.ndarray, body: np.ndarray, n: n
             for j in range(o, 0, -1):
                 x[:, j - 1 :] = np.cumsum(x[:, j - 1 :], 1)
             res[k] = x
+    w = np.flatnonzero(linear)
+    if len(w):  # undo the linear predictor, a sample of every frame at a time
+        x = np.ascontiguousarray(res[w].T)
+        c, s = np.ascontiguousarray(coef[w].T), shift[w]
+        c[order[w][None, :] <= np.arange(ORDER)[:, None]] = 0
+        for k in range(1, most):
+            guess = sum(c[i] * x[k - 1 - i] for i in range(min(k, ORDER))) >> s
+            x[k] += guess if k >= ORDER else np.where(order[w] <= k, guess, 0)
+        res[w] = x.T
     out: list = [None] * len(by)
     for i, j in enumerate(by):
-        out[j] = res[i, : n[i]].astype(np.int8)
+        out[j] = None if escaped[i] else res[i, : n[i]].astype(np.int8)
     return out
 
 
-def decode_batch(streams: list[bytes]) -> list[bytes]:
-    """Payloads of FLAC streams; every checksum is verified."""
-    whole = b"".join(streams) + bytes(16)
-    data = np.frombuffer(whole, np.uint8)
-    fast, slow, infos, base = [], [], [], 0
-    for p, s in enumerate(streams):
-        meta, at = _blocks(s)
-        total = int.from_bytes(meta[0][10:18], "big") & (1 << 36) - 1
-        infos.append((total, meta[0][18:34]))
-        seek = [struct.unpack(">QQH", meta[3][i : i + 18]) for i in range(0, len(meta.get(3, b"")), 18)]
-        seek = [x for x in seek if x[0] != (1 << 64) - 1]
-        if sum(x[2] for x in seek) == total:  # every frame is listed
-            for (first, offset, n), nxt in zip(seek, [*(x[1] for x in seek[1:]), len(s) - at], strict=True):
-                a = at + offset
-                body, m, _ = _frame_head(s, a)
-                plain = 0x10 <= s[body] <= 0x18 and not s[body] & 1 and m == n and m >= 5
-                order = (s[body] >> 1) - 8
-                after = body + 1 + order
-                plain = plain and s[after] >> 2 == 0 and (s[after] & 3 or s[after + 1] >> 6 != 3)
-                (fast if plain else slow).append((p, first, base + a, base + body, m, nxt - offset))
-        else:
-            slow += [(p, first, base + a, 0, 0, 0) for first, a in _walk(s, at, total)]
-        base += len(s)
-    parts: list[dict[int, np.ndarray]] = [{} for _ in streams]
+def _frames(s: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
+    """(samples, MD5, [(first sample, byte, samples, bytes)]) of a stream. Frames come from the seek table; where that doesn't list all of them, they are found by decoding and their samples and bytes are 0."""
+    meta, at = _blocks(s)
+    total = int.from_bytes(meta[0][10:18], "big") & (1 << 36) - 1
+    seek = [struct.unpack(">QQH", meta[3][i : i + 18]) for i in range(0, len(meta.get(3, b"")), 18)]
+    seek = [x for x in seek if x[0] != (1 << 64) - 1]
+    if sum(x[2] for x in seek) == total:
+        ends = [*(x[1] for x in seek), len(s) - at][1:]
+        found = [(first, at + offset, n, nxt - offset) for (first, offset, n), nxt in zip(seek, ends, strict=bool(seek))]
+    else:
+        found = [(first, a, 0, 0) for first, a in _walk(s, at, total)]
+    return total, meta[0][18:34], found
+
+
+def _chunk(streams: list[bytes], chunk: list[tuple[int, int, int, int, int]]) -> list[np.ndarray]:
+    """Samples of the frames (stream, first, byte, samples, bytes) of a chunk."""
+    fast, pieces, base = [], [], 0
+    out: list = [None] * len(chunk)
+    for i, (p, _, a, n, size) in enumerate(chunk):
+        if not n:
+            continue
+        s = streams[p]
+        body, m, _ = _frame_head(s, a)
+        kind = s[body] >> 1
+        order = kind - 31 if kind >= 32 else kind - 8
+        plain = (8 <= kind <= 12 or 32 <= kind < 32 + ORDER) and not s[body] & 1 and m == n and m > ORDER and size > 8 + order
+        if plain:
+            b = _Bits(s, body + 1 + order)
+            width, shift = (b.take(4) + 1, b.signed(5)) if kind >= 32 else (0, 0)
+            b.at += width * order
+            plain = width < 16 and shift >= 0 and b.take(2) == 0
+            parts = 1 << b.take(4)
+            plain = plain and n % parts == 0 and n // parts > order
+        if plain:
+            fast.append((i, base, base + body - a, n, size))
+            pieces.append(s[a : a + size])
+            base += size
     if fast:
-        cols = [np.array(c, np.int64) for c in zip(*(f[2:] for f in fast), strict=True)]
+        data = np.frombuffer(b"".join([*pieces, bytes(16)]), np.uint8)
+        cols = [np.array(c, np.int64) for c in zip(*(f[1:] for f in fast), strict=True)]
         for f, x in zip(fast, _decode_lockstep(data, *cols), strict=True):
-            parts[f[0]][f[1]] = x
-    for f in slow:
-        parts[f[0]][f[1]] = decode_frame(whole, f[2])[0]
-    out = []
-    for (total, digest), x in zip(infos, parts, strict=True):
-        b = b"".join(x[k].tobytes() for k in sorted(x))
-        if len(b) != total or (any(digest) and hashlib.md5(b).digest() != digest):
+            out[f[0]] = x
+    return [decode_frame(streams[c[0]], c[2])[0] if x is None else x for c, x in zip(chunk, out, strict=True)]
+
+
+def blocks(streams: list[bytes]):
+    """(stream, sample offset, samples) of every frame in order, entered through the seek tables; BATCH samples are held at once. All checksums are verified, a stream's MD5 with its last block."""
+    infos = [_frames(s) for s in streams]
+    sums = [hashlib.md5() for _ in streams]
+    done = [0] * len(streams)
+
+    def check(p):
+        if done[p] != infos[p][0] or (any(infos[p][1]) and sums[p].digest() != infos[p][1]):
             raise BadStream("the MD5 of the samples differs")
-        out.append((np.frombuffer(b, np.uint8) ^ 0x80).tobytes())
-    return out
+
+    def decoded(chunk):
+        for (p, first, *_), x in zip(chunk, _chunk(streams, chunk), strict=True):
+            if first != done[p]:
+                raise BadStream("frames don't follow one another")
+            sums[p].update(x)
+            done[p] += len(x)
+            if first == infos[p][2][-1][0]:
+                check(p)
+            yield p, first, x
+
+    chunk, held = [], 0
+    for p, (_, _, found) in enumerate(infos):
+        if not found:
+            check(p)
+        for f in found:
+            chunk.append((p, *f))
+            held += f[2] or BLOCK
+            if held >= BATCH:
+                yield from decoded(chunk)
+                chunk, held = [], 0
+    yield from decoded(chunk)
+
+
+def decode_batch(streams: list[bytes]) -> list[bytes]:
+    """Payloads of FLAC streams; every checksum is verified."""
+    parts: list[list[np.ndarray]] = [[] for _ in streams]
+    for p, _, x in blocks(streams):
+        parts[p].append(x)
+    return [(np.concatenate(x).view(np.uint8) ^ 0x80).tobytes() if x else b"" for x in parts]
 
 
 def _walk(s: bytes, at: int, total: int):
@@ -400,11 +552,41 @@ def payload(text: str | None) -> bytes:
     return b + bytes(-len(b) % PAD if b else PAD)
 
 
-def feature(samples: bytes) -> str:
-    """Mean, root mean square and zero crossings of the samples."""
-    x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
-    cross = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"sum={int(x.sum())};squares={int((x * x).sum())};crossings={cross};peak={int(np.abs(x).max())}"
+class _Reading:
+    """What is told of one stream's samples, gathered block by block."""
+
+    def __init__(self):
+        self.sha, self.tail, self.n = hashlib.sha256(), b"", 0
+        self.sum = self.squares = self.cross = self.peak = 0
+        self.negative = None
+        self.held, self.held_n = [], 0
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(x)
+        self.held_n += len(x)
+        if self.held_n >= BATCH:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held_n:
+            return
+        x = np.concatenate(self.held)
+        self.held, self.held_n = [], 0
+        pcm = (x.view(np.uint8) ^ 0x80).tobytes()
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-PAD:])[-PAD:]
+        below = x < 0
+        self.cross += int((below[1:] != below[:-1]).sum()) + (self.negative is not None and self.negative != bool(below[0]))
+        self.negative = bool(below[-1])
+        w = x.astype(np.int32)
+        self.n += len(x)
+        self.sum += int(w.sum(dtype=np.int64))
+        self.squares += int((w * w).sum(dtype=np.int64))
+        self.peak = max(self.peak, int(np.abs(w).max()))
+
+    def feature(self) -> str:
+        """Sum, sum of squares, zero crossings and peak of the samples."""
+        return f"sum={self.sum};squares={self.squares};crossings={self.cross};peak={self.peak}"
 
 
 def _batches(texts: list) -> list[list[bytes]]:
@@ -439,8 +621,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, sample_offset, pcm: the decoded stream in blocks of BLOCK samples, each with the offset at which it starts."""
 
     def run(ids, streams):
-        at = [(i, s) for i, s in zip(ids, streams, strict=True) if s is not None]
-        rows = [(i, k // BLOCK, k, p[k : k + BLOCK]) for (i, _), p in zip(at, decode_batch([s for _, s in at]), strict=True) for k in range(0, len(p), BLOCK)]
+        at = [(i, m) for i, m in zip(ids, streams, strict=True) if m is not None]
+        rows = [(at[p][0], k // BLOCK, k, (x.view(np.uint8) ^ 0x80).tobytes()) for p, k, x in blocks([m for _, m in at])]
         return list(zip(*rows, strict=True)) if rows else ([], [], [], [])
 
     return _map(media, ["doc_id", "media"], f"doc_id {id_type(media)}, block int, sample_offset long, pcm binary", run)
@@ -453,8 +635,12 @@ def features(docs: DataFrame) -> DataFrame:
         cols: list[list] = [[] for _ in range(7)]
         for part in _batches(texts):
             streams = encode_batch(part)
-            for m, p in zip(streams, decode_batch(streams), strict=True):
-                for c, v in zip(cols[1:], (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)), strict=True):
+            got = [_Reading() for _ in streams]
+            for p, _, x in blocks(streams):
+                got[p].add(x)
+            for m, r in zip(streams, got, strict=True):
+                r.settle()
+                for c, v in zip(cols[1:], (r.n, r.sha.hexdigest(), zlib.crc32(r.tail), len(m), hashlib.sha256(m).hexdigest(), r.feature()), strict=True):
                     c.append(v)
         cols[0] = [len((t or "").encode()) for t in texts]
         return [ids, *cols]

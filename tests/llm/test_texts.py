@@ -643,6 +643,121 @@ def test_flac_plain_path_reads_lpc_partitions_escapes_constant_and_verbatim():
     assert flac.decode_frame(w.frame(64), 0)[0].tolist() == x
 
 
+def test_flac_lockstep_leaves_escapes_to_the_plain_path():
+    x = [int(50 * math.sin(i / 5)) for i in range(64)]
+    frames = []
+    for escaped in (False, True):
+        w = Writer()
+        w.put((32 + 1) << 1, 8), w.put(x[0], 8), w.put(x[1], 8)
+        w.put(7, 4), w.put(4, 5), w.put(30, 8), w.put(-15, 8), w.put(0, 2), w.put(1, 4)
+        res = [v - ((30 * x[i + 1] - 15 * x[i]) >> 4) for i, v in enumerate(x[2:])]
+        w.put(2, 4)
+        for v in res[:30]:
+            w.rice(v, 2)
+        w.put(15 if escaped else 3, 4), w.put(7, 5) if escaped else None
+        for v in res[30:]:
+            w.put(v, 7) if escaped else w.rice(v, 3)
+        frames.append(w.frame(64))
+    s = b"".join(frames)
+    got = flac._chunk([s], [(0, 0, 0, 64, len(frames[0])), (0, 64, len(frames[0]), 64, len(frames[1]))])
+    assert [g.tolist() for g in got] == [x, x]
+
+
+def plain_flac(s: bytes) -> bytes:
+    """A second decoder, by the format's description, over a string of bits; nothing of the library is used."""
+
+    def crc(b, poly, top):
+        c = 0
+        for v in b:
+            c ^= v << (top - 8)
+            for _ in range(8):
+                c = (c << 1 ^ (poly if c >> (top - 1) & 1 else 0)) & (1 << top) - 1
+        return c
+
+    assert s[:4] == b"fLaC"
+    at, last, info = 4, False, b""
+    while not last:
+        last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
+        info = s[at + 4 : at + 4 + size] if kind == 0 else info
+        at += 4 + size
+    total, out = int.from_bytes(info[13:18], "big") & (1 << 36) - 1, []
+    bits = "".join(f"{v:08b}" for v in s)
+    i = at * 8
+
+    def take(n):
+        nonlocal i
+        i += n
+        return int(bits[i - n : i], 2) if n else 0
+
+    def signed(n):
+        v = take(n)
+        return v - (v >> (n - 1) << n)
+
+    while len(out) < total:
+        begin = i // 8
+        assert take(15) == 0x7FFC
+        take(1)
+        size, _, _, _ = take(4), take(4), take(7), take(1)
+        lead = bits.index("0", i) - i
+        take(8 * max(1, lead))
+        n = take(8) + 1 if size == 6 else take(16) + 1 if size == 7 else 256 << (size - 8)
+        assert take(8) == crc(s[begin : i // 8 - 1], 0x07, 8)
+        assert take(1) == 0
+        kind = take(6)
+        assert take(1) == 0
+        order = kind - 31 if kind >= 32 else kind - 8
+        x = [signed(8) for _ in range(order)]
+        shift, coef = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][min(order, 4)]
+        if kind >= 32:
+            wide = take(4) + 1
+            shift = signed(5)
+            coef = [signed(wide) for _ in range(order)]
+        assert take(2) == 0
+        parts = 1 << take(4)
+        for part in range(parts):
+            k = take(4)
+            for _ in range(n // parts - (0 if part else order)):
+                one = bits.index("1", i)
+                u = one - i
+                i = one + 1
+                u = u << k | take(k)
+                x.append((u // 2 if u % 2 == 0 else -(u + 1) // 2) + (sum(c * v for c, v in zip(coef, reversed(x), strict=False)) >> shift))
+        i += -i % 8
+        assert take(16) == crc(s[begin : i // 8 - 2], 0x8005, 16)
+        out += x
+    assert i == 8 * len(s) and hashlib.md5(bytes(v & 255 for v in out)).digest() == info[18:34]
+    return bytes(v + 128 for v in out)
+
+
+def test_flac_streams_are_read_by_a_second_decoder():
+    r = random.Random(11)
+    words = ["data", "model", "the", "of", "learning", "Größe", "12.50", "\n"]
+    payloads = [flac.payload(" ".join(r.choice(words) for _ in range(n))) for n in (1, 40, 700)]
+    payloads += [bytes(int(128 + 90 * math.sin(i / 7) * (i > 1500)) for i in range(3072)), bytes(r.randrange(256) for _ in range(1088))]
+    streams = flac.encode_batch(payloads)
+    assert [plain_flac(s) for s in streams] == payloads
+    kinds = {s[flac._frame_head(s, f[1])[0]] >> 1 for s in streams for f in flac._frames(s)[2]}
+    assert 31 + flac.ORDER in kinds and kinds & set(range(8, 13))  # both predictors are written
+
+
+def test_flac_memory_does_not_grow_with_a_text():
+    import tracemalloc
+
+    peaks = []
+    for mb in (2, 6):
+        p = flac.payload("some words of a long text, 1234; " * (mb << 15))
+        tracemalloc.start()
+        got = flac._Reading()
+        for _, k, x in flac.blocks(flac.encode_batch([p])):
+            assert k == got.n + got.held_n
+            got.add(x)
+        got.settle()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert got.n == len(p) and got.sha.hexdigest() == hashlib.sha256(p).hexdigest() and got.tail == p[-64:]
+    assert peaks[1] - peaks[0] < 40 and peaks[1] < 300
+
+
 def test_flac_operator_on_edges(spark):
     d = docs(spark, EDGES).withColumnRenamed("n_chars", "media")
     got = flac.features(d).collect()
