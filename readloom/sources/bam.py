@@ -1,15 +1,23 @@
-"""BAM: block-compressed binary records, decoded in Arrow batches; one task reads one file."""
+"""BAM: block-compressed binary records, decoded in Arrow batches.
+
+A file is read by several tasks, each a range of its bytes. A task begins at the first block of its range, which
+is known by its checksum, and there at the first record, which is known by a chain of records that hold
+together; it takes all records that begin in the blocks of its range, so that each record is read once.
+"""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readloom.functions.cigar import OPS
+from readloom.sources import ranges
 
 _BASES = "=ACMGRSVTWYHKDBN"
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -71,31 +79,178 @@ def header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     return text, refs, at
 
 
+def _record(data, at: int, refs: list[tuple[str, int]]) -> tuple[tuple, int]:
+    """The record at a place as a tuple in the order of SCHEMA, without rec_idx, and the place after it."""
+    name = lambda i: "*" if i < 0 else refs[i][0]
+    size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mpos, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    stop, p = at + 4 + size, at + 36
+    qname = data[p : p + l_name - 1].decode()
+    p += l_name
+    ops = struct.unpack_from(f"<{n_ops}I", data, p)
+    p += 4 * n_ops
+    packed = data[p : p + (l_seq + 1) // 2]
+    p += (l_seq + 1) // 2
+    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
+    q = data[p : p + l_seq]
+    p += l_seq
+    tags = {}
+    while p < stop:
+        k, kind, v, p = _tag(data, p)
+        tags[k] = {"type": kind, "value": v}
+    return (
+        qname, flag, name(ref), pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", name(mate), mpos + 1, tlen,
+        seq or "*", "*" if not l_seq or q[0] == 255 else bytes(x + 33 for x in q).decode(), list(tags.items()),
+    ), stop
+
+
 def records(data: bytes):
-    """Records of inflated data as tuples in the order of SCHEMA, without rec_idx."""
+    """Records of inflated data, header included."""
     _, refs, at = header(data)
-    name = lambda i: "*" if i < 0 else refs[i][0]
     while at < len(data):
-        size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mpos, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        stop, p = at + 4 + size, at + 36
-        qname = data[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_ops}I", data, p)
-        p += 4 * n_ops
-        packed = data[p : p + (l_seq + 1) // 2]
-        p += (l_seq + 1) // 2
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-        q = data[p : p + l_seq]
-        p += l_seq
-        tags = {}
-        while p < stop:
-            k, kind, v, p = _tag(data, p)
-            tags[k] = {"type": kind, "value": v}
-        yield (
-            qname, flag, name(ref), pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", name(mate), mpos + 1, tlen,
-            seq or "*", "*" if not l_seq or q[0] == 255 else bytes(x + 33 for x in q).decode(), list(tags.items()),
-        )
-        at = stop
+        r, at = _record(data, at, refs)
+        yield r
+
+
+def _blocks(f, at: int, length: int):
+    """(place in the file, content) of blocks from a block's place on."""
+    while at < length:
+        f.seek(at)
+        buf, k = f.read(1 << 20), 0
+        while k + 18 <= len(buf):
+            if buf[k : k + 4] != b"\x1f\x8b\x08\x04" or buf[k + 12 : k + 14] != b"BC":
+                raise ValueError(f"no block at {at + k}")
+            size = struct.unpack_from("<H", buf, k + 16)[0] + 1
+            if k + size > len(buf):
+                break
+            yield at + k, zlib.decompress(buf[k + 18 : k + size - 8], -15)
+            k += size
+        if not k:
+            raise ValueError(f"the file ends within the block at {at}")
+        at += k
+
+
+def _first_block(f, begin: int, length: int) -> int | None:
+    """The place of the first block from `begin` on: one whose checksum holds."""
+    f.seek(begin)
+    buf = f.read(min(length - begin, 2 << 16))  # a block has at most 2^16 bytes
+    k = buf.find(b"\x1f\x8b\x08\x04")
+    while k >= 0:
+        if buf[k + 12 : k + 14] == b"BC" and k + 26 <= len(buf):
+            size = struct.unpack_from("<H", buf, k + 16)[0] + 1
+            try:
+                part = zlib.decompress(buf[k + 18 : k + size - 8], -15)
+                if k + size <= len(buf) and (zlib.crc32(part), len(part)) == struct.unpack_from("<II", buf, k + size - 8):
+                    return begin + k
+            except zlib.error:
+                pass
+        k = buf.find(b"\x1f\x8b\x08\x04", k + 1)
+    return None
+
+
+def _holds(data, at: int, n_refs: int) -> bool:
+    """Whether a record can begin here, as far as the data go."""
+    if len(data) - at < 36:
+        return True
+    size, ref, pos, l_name, _, _, n_ops, _, l_seq, mate, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < n_refs and -1 <= mate < n_refs and pos >= -1 and mpos >= -1 and l_name and l_seq >= 0 and size >= 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq):
+        return False
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return False
+    ops = data[at + 36 + l_name : at + 36 + l_name + 4 * n_ops]
+    return all(c & 15 <= 8 for c in ops[: len(ops) // 4 * 4 : 4])
+
+
+def _first_record(f, block: int, length: int, n_refs: int, chain: int = 8) -> int | None:
+    """The virtual place of the first record that begins at or after a block: from there on `chain` records hold together, or all up to the file's end do."""
+    data, marks, at_end, blocks = bytearray(), [], False, _blocks(f, block, length)
+    start, more = 0, 1 << 18
+    while True:
+        while len(data) < more and not at_end:
+            got = next(blocks, None)
+            at_end = got is None
+            if got:
+                marks.append((len(data), got[0]))
+                data += got[1]
+        while start < len(data):
+            at = n = start
+            n = 0
+            while n < chain and at + 36 <= len(data) and _holds(data, at, n_refs):
+                at += 4 + struct.unpack_from("<i", data, at)[0]
+                n += 1
+            if n == chain or (n and at_end and at == len(data)):
+                k = bisect.bisect_right(marks, (start, 1 << 62)) - 1
+                return marks[k][1] << 16 | start - marks[k][0]
+            if not at_end and (at > len(data) - 36) and (n or len(data) - start < 36):
+                break  # more data decide
+            start += 1
+        if at_end:
+            return None
+        more *= 2
+
+
+def walk(f, begin: int, stop: int, length: int, refs: list[tuple[str, int]]):
+    """(record, its virtual place, that of what follows it) from a virtual place to another one."""
+    data, marks, blocks = bytearray(), [], _blocks(f, begin >> 16, length)
+
+    def load() -> bool:
+        got = next(blocks, None)
+        if got:
+            marks.append((len(data), got[0]))
+            data.extend(got[1])
+        return got is not None
+
+    def place(at: int) -> int:
+        while at >= len(data):
+            if not load():
+                return length << 16
+        k = bisect.bisect_right(marks, (at, 1 << 62)) - 1
+        return marks[k][1] << 16 | at - marks[k][0]
+
+    at = begin & 0xFFFF
+    here = place(at)
+    while here < min(stop, length << 16):
+        while len(data) < at + 4 or len(data) < at + 4 + struct.unpack_from("<i", data, at)[0]:
+            if not load():
+                raise ValueError("the file ends within a record")
+        r, nxt = _record(data, at, refs)
+        after = place(nxt)
+        yield r, here, after
+        at, here = nxt, after
+        if at > 1 << 20:
+            del data[:at]
+            marks[:] = [(m - at, c) for m, c in marks if m - at > -(1 << 16)]
+            at = 0
+
+
+def _dictionary(f, length: int) -> tuple[list[tuple[str, int]], int]:
+    """Contigs of a file, and the virtual place of its first record."""
+    data, marks = b"", []
+    for at, part in _blocks(f, 0, length):
+        marks.append((len(data), at))
+        data += part
+        try:
+            _, refs, stop = header(data)
+        except (struct.error, IndexError, UnicodeDecodeError):
+            continue
+        if stop < len(data):
+            k = bisect.bisect_right(marks, (stop, 1 << 62)) - 1
+            return refs, marks[k][1] << 16 | stop - marks[k][0]
+    return header(data)[1], length << 16
+
+
+def split_records(f, begin: int, stop: int, length: int):
+    """(record, place, place after it) of the records that begin in the blocks of a range of bytes."""
+    refs, first = _dictionary(f, length)
+    if begin:
+        block = _first_block(f, begin, length)
+        if block is None or block >= stop:
+            return
+        at = first if first >> 16 >= block else _first_record(f, block, length, len(refs))
+        if at is None:
+            return
+        first = at
+    yield from walk(f, first, stop << 16, length, refs)
 
 
 def encode(reads, refs: list[tuple[str, int]], text: str = "") -> bytes:
@@ -141,41 +296,57 @@ def _bin(begin: int, end: int) -> int:
     return 0
 
 
-def read_bam(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
-    """Records of BAM files. rec_idx rises in file order: the file's number (of up to 2^23), then the record's."""
+def _rows(places: DataFrame, find: Callable, opener: Callable, batch: int, offsets: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    to = to_arrow_schema(StructType.fromDDL(SCHEMA))
-    files = spark.read.format("binaryFile").load(path).select("content", (F.shiftright(F.monotonically_increasing_id(), 33) * 1024 + F.monotonically_increasing_id() % 1024).alias("file"))
+    schema = SCHEMA + (", voffset long, vend long" if offsets else "")
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to, strict=True)], schema=to)
 
     def run(batches):
         for b in batches:
-            for content, file in zip(b.column(0), b.column(1), strict=True):
+            for part, path, begin, stop, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows, n = [], 0
-                for r in records(inflate(content.as_py())):
-                    rows.append((*r, (file.as_py() << 40) + n))
-                    n += 1
-                    if len(rows) == batch:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to, strict=True)], schema=to)
-                        rows = []
+                with opener(path) as f:
+                    for r, here, after in find(f, begin, stop, length):
+                        rows.append((*r, (part << 33) + n, here, after) if offsets else (*r, (part << 33) + n))
+                        n += 1
+                        if len(rows) == batch:
+                            yield packed(rows)
+                            rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to, strict=True)], schema=to)
+                    yield packed(rows)
+
+    return places.mapInArrow(run, schema)
+
+
+def read_bam(spark: SparkSession, path: str, batch: int = 10_000, split: int = ranges.SPLIT, offsets: bool = False, opener: Callable = ranges.opened) -> DataFrame:
+    """Records of BAM files, a task for each `split` bytes. rec_idx rises in file order (text.dense_numbers makes it dense). offsets: with the virtual places of each record and of what follows it."""
+    return _rows(ranges.splits(spark, path, split), split_records, opener, batch, offsets)
+
+
+def read_places(spark: SparkSession, places: list[tuple[str, int, int, int]], batch: int = 10_000, opener: Callable = ranges.opened) -> DataFrame:
+    """Records between virtual places (path, begin, stop, the file's bytes), which an index gives."""
+
+    def find(f, begin, stop, length):
+        return walk(f, begin, stop, length, _dictionary(f, length)[0])
 
-    return files.mapInArrow(run, SCHEMA)
+    return _rows(ranges.tasks(spark, places), find, opener, batch, False)
 
 
 def to_bam(reads: DataFrame, refs: list[tuple[str, int]], text: str = "", parts: int | None = None) -> DataFrame:
     """part, content: the records as whole BAM files, one for each range of rec_idx; rows can be written to any store, for example by foreachPartition."""
-    ranged = reads.repartitionByRange(parts, "rec_idx") if parts else reads.repartitionByRange("rec_idx")
+    ranged = (reads.repartitionByRange(parts, "rec_idx") if parts else reads.repartitionByRange("rec_idx")).sortWithinPartitions("rec_idx")
 
     def run(batches):
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
-        for r in rows:
-            r["tags"] = dict(r["tags"] or [])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([encode(sorted(rows, key=lambda r: r["rec_idx"]), refs, text)], pa.binary())], names=["part", "content"])
+        rows = (r | {"tags": dict(r["tags"] or [])} for b in batches for r in b.to_pylist())
+        first = next(rows, None)
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([encode(itertools.chain([first], rows), refs, text)], pa.binary())], names=["part", "content"])
 
     return ranged.mapInArrow(run, "part int, content binary")

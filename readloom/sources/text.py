@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.schema import FIELDS
+from readloom.sources import ranges
 
 _INT = ("flag", "pos", "mapq", "pnext", "tlen")
 
@@ -148,8 +149,8 @@ def evidence_header(spark: SparkSession, path: str) -> DataFrame:
 
 def detect_format(spark: SparkSession, path: str) -> DataFrame:
     """path and format: by first bytes, else by extension, else UNKNOWN."""
-    b = spark.read.format("binaryFile").load(path)
-    magic = F.hex(F.substring("content", 1, 4))
+    b = ranges.edges(spark, path, 4, 0)
+    magic = F.hex("head")
     by_name = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(magic.startswith("404844") | magic.startswith("405351"), "SAM").when(magic.startswith("1F8B"), F.when(by_name == "bam", "BAM").otherwise("GZIP")).when(magic == "4352414D", "CRAM")
     return b.select("path", kind.when(by_name.isin("sam", "bam", "cram"), F.upper(by_name)).otherwise("UNKNOWN").alias("format"))
@@ -158,7 +159,7 @@ def detect_format(spark: SparkSession, path: str) -> DataFrame:
 def is_complete(spark: SparkSession, path: str) -> DataFrame:
     """path and complete: whether a block-compressed file ends with the empty block that marks its end."""
     mark = "1F8B08040000000000FF0600424302001B0003000000000000000000"
-    return spark.read.format("binaryFile").load(path).select("path", F.hex(F.right("content", F.lit(28))).endswith(mark).alias("complete"))
+    return ranges.edges(spark, path, 0, 28).select("path", (F.hex("tail") == mark).alias("complete"))
 
 
 def index_candidates(path: str) -> list[str]:

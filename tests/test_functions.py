@@ -292,3 +292,34 @@ def test_table_of_differences(spark):
     assert [(x.counter, x.field, x.premature) for x in d] == [(1, "mapq", 0), (n - 2, None, 2), (n - 1, None, 2)]
     assert d[0].record1 != d[0].record2 and d[1].record2 is None and d[1].record1
     assert [x.premature for x in diff.discrepancies(b, r).where("premature > 0").collect()] == [1, 1]
+
+
+def _bam_of(tmp_path, n, block, seed=5):
+    """A BAM file of small blocks with records of many lengths, some longer than a block."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        size = r.choice([0, 1, 7, 40, 40, 40, 3000])
+        placed = r.random() < 0.9
+        rows.append({
+            "qname": f"q{i}", "flag": 0 if placed and size else 4, "rname": f"chr{1 + i * 3 // n}" if placed else "*", "pos": 1 + (i * 40 % 60_000_000) * 7 % 400_000 if placed else 0, "mapq": i % 60,
+            "cigar": f"{size}M" if size and placed else "*", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "".join(r.choice("ACGT") for _ in range(size)) or "*", "qual": "".join(chr(33 + r.randrange(40)) for _ in range(size)) or "*",
+            "tags": {"NM": {"type": "i", "value": str(i)}},
+        })
+    rows.sort(key=lambda x: (x["rname"] == "*", x["rname"], x["pos"]))
+    refs = [("chr1", 500_000), ("chr2", 500_000), ("chr3", 500_000)]
+    raw = bam.inflate(bam.encode(rows, refs, "@HD\tVN:1.6\n"))
+    path = tmp_path / "sorted.bam"
+    path.write_bytes(bam.deflate(raw, block))
+    return path, rows
+
+
+def test_bam_is_read_by_several_tasks(spark, tmp_path):
+    path, rows = _bam_of(tmp_path, 3000, 700)
+    want = [x["qname"] for x in rows]
+    for split in (900, 10_000, 1 << 30):
+        got = bam.read_bam(spark, str(path), split=split)
+        assert got.rdd.getNumPartitions() == -(-path.stat().st_size // split) if split > 900 else True
+        assert [r.qname for r in got.select("qname", "rec_idx").orderBy("rec_idx").collect()] == want
+    got = bam.read_bam(spark, str(path), split=5000, offsets=True).orderBy("rec_idx").select("voffset", "vend").collect()
+    assert all(a.vend == b.voffset for a, b in zip(got, got[1:], strict=False)) and len(got) == len(want)
