@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, qual, seq
 from readloom.operators import evidence, features, filters, lossy, pileup, projections, refs
-from readloom.sources import bam, text
+from readloom.sources import bai, bam, text
 
 
 def one(spark, column):
@@ -323,3 +323,28 @@ def test_bam_is_read_by_several_tasks(spark, tmp_path):
         assert [r.qname for r in got.select("qname", "rec_idx").orderBy("rec_idx").collect()] == want
     got = bam.read_bam(spark, str(path), split=5000, offsets=True).orderBy("rec_idx").select("voffset", "vend").collect()
     assert all(a.vend == b.voffset for a, b in zip(got, got[1:], strict=False)) and len(got) == len(want)
+
+
+def test_bai_is_built_by_tasks_read_and_used(spark, tmp_path):
+    path, rows = _bam_of(tmp_path, 2500, 2000)
+    got = {}
+    for split in (9000, 1 << 30):
+        made = bai.to_bai(bai.index_rows(spark, str(path), split=split)).collect()
+        assert len(made) == 1
+        (tmp_path / f"{split}.bai").write_bytes(bytes(made[0].content))
+        got[split] = bai.parse(bytes(made[0].content))
+    assert got[9000] == got[1 << 30]  # how a file is dealt to tasks doesn't matter
+    kinds = {(k, r): (b, e) for k, r, _, b, e in got[9000] if k in ("count", "loose", "refs")}
+    for i in range(3):
+        own = [x for x in rows if x["rname"] == f"chr{i + 1}"]
+        assert kinds["count", i] == (sum(not x["flag"] & 4 for x in own), sum(bool(x["flag"] & 4) for x in own))
+    assert kinds["loose", -1][0] == sum(x["rname"] == "*" for x in rows) and kinds["refs", -1][0] == 3
+    size = lambda x: 1 if x["flag"] & 4 else max(1, len(x["seq"]))
+    for rname, start, stop in (("chr1", 1, 500_000), ("chr2", 100_000, 100_900), ("chr3", 16_384, 16_385), ("chr2", 499_000, 500_000)):
+        want = [x["qname"] for x in rows if x["rname"] == rname and x["pos"] <= stop and x["pos"] + size(x) - 1 >= start]
+        region = bai.read_region(spark, str(path), str(tmp_path / "9000.bai"), rname, start, stop)
+        assert [r.qname for r in region.orderBy("rec_idx").collect()] == want
+    near = bai.places(bai.read_bai(spark, str(tmp_path / "9000.bai")), 1, 100_000, 100_900)
+    assert sum((e >> 16) - (b >> 16) for b, e in near) < path.stat().st_size / 2  # most of the file is left out
+    with pytest.raises(ValueError):
+        bai.parse(b"BAM\1")
