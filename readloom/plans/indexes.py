@@ -89,6 +89,27 @@ def bin_table(spark, d):
     return index.bin_table(reads(spark, d).where("pos > 0").withColumns({"aln_end": far, "pos": F.expr("cast((pos - 1) * 997 + 1 as int)")}))
 
 
+@query(f"""with r as (select rname, (pos - 1) * 997 as b, (pos - 1) * 997 + (aln_end - pos) as e from reads where pos > 0)
+    select rname, 'bin' as kind, cast({_BIN} as bigint) as key, cast(null as bigint) as n from r group by 1, 2, 3
+    union all select rname, 'windows', cast(max(e // 16384) + 1 as bigint), null from r group by 1
+    union all select rname, 'mapped', 0, count(*) from r group by 1
+    union all select '*', 'loose', 0, count(*) from reads where pos = 0""", "reads")
+def bai_round_trip(spark, d):
+    """Sorted records, stretched by 997, as BAM files; their BAI files written and read again."""
+    from readloom.operators.cuts import numbered
+    from readloom.sources import bai, bam
+
+    r = reads(spark, d).withColumns({"pos": F.expr("cast(if(pos > 0, (pos - 1) * 997 + 1, 0) as int)"), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0)})
+    r = numbered(r, [F.when(F.col("rname") == "*", 1).otherwise(0), "rname", "pos", "rec_idx"]).withColumn("rec_idx", F.col("place").cast("long"))
+    files = bam.to_bam(r, [(f"chr{i}", 3_000_000) for i in range(1, 6)], parts=4).select(F.col("part").cast("string").alias("path"), "content")
+    i = bai.parsed(bai.to_bai(bai.index_rows_of(files)))
+    name = F.when(F.col("ref") < 0, "*").otherwise(F.concat(F.lit("chr"), F.col("ref") + 1)).alias("rname")
+    by = lambda kind, what, key, n: i.where(F.col("kind") == kind).groupBy(name).agg(key.alias("key"), n.alias("n")).select("rname", F.lit(what).alias("kind"), "key", "n")
+    none, zero = F.max(F.lit(None).cast("long")), F.max(F.lit(0).cast("long"))
+    bins = i.where("kind = 'chunk'").select(name, F.lit("bin").alias("kind"), F.col("key").cast("long").alias("key"), F.lit(None).cast("long").alias("n")).distinct()
+    return bins.unionByName(by("line", "windows", F.max("key").cast("long") + 1, none)).unionByName(by("count", "mapped", zero, F.sum("begin"))).unionByName(by("loose", "loose", zero, F.sum("begin")))
+
+
 @query("select ref_id, rname, cast(length(seq) as int) as length, md5(upper(seq)) as md5 from ref", "ref")
 def ref_md5(spark, d):
     return refs.checksums(ref(spark, d))

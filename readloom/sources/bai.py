@@ -7,6 +7,7 @@ contig's records), `count` (begin: mapped, stop: unmapped records) and `loose` (
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from collections.abc import Callable, Iterable
@@ -65,25 +66,41 @@ def of_records(records, refs: dict[str, int]) -> list[tuple[str, int, int, int,
     return [*out, ("loose", -1, 0, loose, 0)]
 
 
-def index_rows(spark: SparkSession, path: str, split: int = ranges.SPLIT, opener: Callable = ranges.opened) -> DataFrame:
-    """Index rows of sorted BAM files, gathered within each range of a file: few rows for many records. A row `refs` tells the number of contigs."""
+def _batch(path: str, rows: list[tuple]):
     import pyarrow as pa
 
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[path] * len(rows), *zip(*rows, strict=True)], kinds, strict=True)], names=["path", "kind", "ref", "key", "begin", "stop"])
+
+
+def _of_range(f, begin: int, stop: int, length: int) -> list[tuple]:
+    refs, _ = bam._dictionary(f, length)
+    rows = of_records(bam.split_records(f, begin, stop, length), {n: i for i, (n, _) in enumerate(refs)})
+    return rows if begin else [*rows, ("refs", -1, 0, len(refs), 0)]
+
+
+def index_rows(spark: SparkSession, path: str, split: int = ranges.SPLIT, opener: Callable = ranges.opened) -> DataFrame:
+    """Index rows of sorted BAM files, gathered within each range of a file: few rows for many records. A row `refs` tells the number of contigs."""
     def run(batches):
         for batch in batches:
             for _, p, begin, stop, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with opener(p) as f:
-                    refs, _ = bam._dictionary(f, length)
-                    rows = of_records(bam.split_records(f, begin, stop, length), {n: i for i, (n, _) in enumerate(refs)})
-                if not begin:
-                    rows.append(("refs", -1, 0, len(refs), 0))
-                cols = [[p] * len(rows), *zip(*rows, strict=True)]
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["path", "kind", "ref", "key", "begin", "stop"])
+                    yield _batch(p, _of_range(f, begin, stop, length))
 
     return ranges.splits(spark, path, split).mapInArrow(run, INDEX)
 
 
+def index_rows_of(files: DataFrame) -> DataFrame:
+    """Index rows of whole sorted BAM files, given as path and content."""
+
+    def run(batches):
+        for b in batches:
+            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield _batch(p, _of_range(io.BytesIO(content), 0, len(content), len(content)))
+
+    return files.select("path", "content").mapInArrow(run, INDEX)
+
+
 def section(rows: Iterable[tuple[str, int, int, int]]) -> bytes:
     """The bytes of one contig, of rows (kind, key, begin, stop)."""
     bins: dict[int, list] = {}
@@ -156,18 +173,20 @@ def parse(data: bytes) -> list[tuple[str, int, int, int, int]]:
     return [*out, ("refs", -1, 0, n, 0)]
 
 
-def read_bai(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of BAI files; path is the index's own."""
-    import pyarrow as pa
+def parsed(files: DataFrame) -> DataFrame:
+    """Index rows of BAI files, given as path and content."""
 
     def run(batches):
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = parse(content)
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[p] * len(rows), *zip(*rows, strict=True)], kinds, strict=True)], names=["path", "kind", "ref", "key", "begin", "stop"])
+                yield _batch(p, parse(content))
+
+    return files.select("path", "content").mapInArrow(run, INDEX)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, INDEX)
+def read_bai(spark: SparkSession, path: str) -> DataFrame:
+    """Index rows of BAI files; path is the index's own."""
+    return parsed(spark.read.format("binaryFile").load(path))
 
 
 def bins_of(start: int, stop: int) -> list[int]:
