@@ -53,3 +53,16 @@ def to_unmapped(fastq: DataFrame) -> DataFrame:
 def reads_per_bytes(records: DataFrame, budget: int, column: str = "record") -> DataFrame:
     """How many records fit a buffer of `budget` bytes by their mean size, and the exact number of records."""
     return records.agg(F.floor(F.lit(budget) / F.avg(F.octet_length(column))).cast("long").alias("fit"), F.count("*").alias("n"))
+
+
+def packed_place(offset: Column, name_length: Column, read_length: Column) -> Column:
+    """A read's place in a buffer as one long: 24 bits of offset, 16 of the name's length, 24 of the read's."""
+    return F.shiftleft(offset.cast("long"), 40).bitwiseOR(F.shiftleft(name_length.cast("long").bitwiseAND(0xFFFF), 24)).bitwiseOR(read_length.cast("long").bitwiseAND(0xFFFFFF))
+
+
+def unpacked_place(entry: Column) -> list[Column]:
+    """offset, name_length and read_length of packed_place()."""
+    return [
+        F.shiftrightunsigned(entry, 40).cast("int").alias("offset"), F.shiftright(entry, 24).bitwiseAND(0xFFFF).cast("int").alias("name_length"),
+        entry.bitwiseAND(0xFFFFFF).cast("int").alias("read_length"),
+    ]

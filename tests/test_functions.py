@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar, qual, seq
-from readloom.operators import evidence, features, filters, lossy, pileup, projections, refs
-from readloom.sources import bai, bam, text
+from readloom.operators import evidence, fastq, features, filters, lossy, pileup, projections, refs
+from readloom.sources import bai, bam, fasta, text
 
 
 def one(spark, column):
@@ -348,3 +349,47 @@ def test_bai_is_built_by_tasks_read_and_used(spark, tmp_path):
     assert sum((e >> 16) - (b >> 16) for b, e in near) < path.stat().st_size / 2  # most of the file is left out
     with pytest.raises(ValueError):
         bai.parse(b"BAM\1")
+
+
+def test_stretches_of_fasta_by_place(spark, tmp_path):
+    r = random.Random(3)
+    contigs = {f"c{i}": "".join(r.choice("ACGTN") for _ in range(n)) for i, n in enumerate((1, 60, 61, 5000))}
+    raw, fai = "", []
+    for name, s in contigs.items():
+        raw += f">{name}\n"
+        fai.append((name, len(s), len(raw), 60, 61))
+        raw += "".join(s[i : i + 60].lower() + "\n" for i in range(0, len(s), 60))
+    (tmp_path / "a.fa").write_text(raw)
+    (tmp_path / "a.fa.gz").write_bytes(bam.deflate(raw.encode(), 333))
+    index = spark.createDataFrame(fai, "rname string, length int, start long, line_bases int, line_bytes int")
+    spots = [("c0", 1, 1), ("c1", 60, 60), ("c2", 60, 61), ("c2", 61, 99), ("c3", 1, 5000), ("c3", 4700, 4999), ("c3", 5001, 5002), ("c9", 1, 2), ("c1", 0, 5)]
+    spots += [("c3", a := r.randint(1, 5000), a + r.randint(0, 300)) for _ in range(30)]
+    want = sorted((n, a, b, contigs[n][a - 1 : b] if n in contigs and 1 <= a <= len(contigs[n]) else None) for n, a, b in spots)
+    for name in ("a.fa", "a.fa.gz"):
+        got = fasta.regions(spark, str(tmp_path / name), index, spark.createDataFrame(spots, "rname string, start long, stop long"), 3)
+        assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_references_by_checksum(spark, tmp_path):
+    data = {hashlib.md5(s.encode()).hexdigest(): s for s in ("ACGT", "GGNN", "not a sequence!")}
+    a, b, junk = data
+    for folder, md5 in (("one", a), ("two", a), ("two", b), ("two", junk)):
+        p = tmp_path / folder / md5[:2] / md5[2:]
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(data[md5])
+    wanted = spark.createDataFrame([(x,) for x in (a, b.upper(), junk, "0" * 32, None)], "md5 string")
+    local = [f"{tmp_path}/{f}/%2s/%s" for f in ("one", "two")]
+    got = {x.md5: (x.path and x.path.split("/")[-3], x.seq) for x in fasta.find_by_md5(wanted, local).collect()}
+    assert got == {a: ("one", "ACGT"), b: ("two", "GGNN"), junk: ("two", "not a sequence!"), "0" * 32: (None, None), None: (None, None)}
+    remote = {x.md5: x.seq for x in fasta.find_by_md5(wanted, ["file://" + p for p in local]).collect()}
+    assert remote[a] == "ACGT" and remote[junk] is None  # what comes from elsewhere must look like a sequence
+    (tmp_path / "one" / b[:2]).mkdir(exist_ok=True)
+    (tmp_path / "one" / b[:2] / b[2:]).write_text("other")
+    with pytest.raises(Exception, match="checksum"):
+        fasta.find_by_md5(wanted, local).collect()
+
+
+def test_packed_places_of_reads(spark):
+    rows = [(0, 0, 0), (1, 2, 3), (0xFFFFFF, 0xFFFF, 0xFFFFFF), (5, 0xFFFF, 0)]
+    d = spark.createDataFrame(rows, "a int, b int, c int")
+    assert [tuple(x) for x in d.select(*fastq.unpacked_place(fastq.packed_place(F.col("a"), F.col("b"), F.col("c")))).collect()] == rows
