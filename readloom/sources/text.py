@@ -157,9 +157,14 @@ def detect_format(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_complete(spark: SparkSession, path: str) -> DataFrame:
-    """path and complete: whether a block-compressed file ends with the empty block that marks its end."""
-    mark = "1F8B08040000000000FF0600424302001B0003000000000000000000"
-    return ranges.edges(spark, path, 0, 28).select("path", (F.hex("tail") == mark).alias("complete"))
+    """path and complete: whether a file ends with the mark of its end, the empty block of a block-compressed file or the last container of a CRAM file's version. CRAM files before 2.1 have no mark and count as complete."""
+    from readloom.sources.cram import ENDS
+
+    block = "1F8B08040000000000FF0600424302001B0003000000000000000000"
+    head, tail = F.hex("head"), F.hex("tail")
+    major, minor = F.ascii(F.substring("head", 5, 1)), F.ascii(F.substring("head", 6, 1))
+    of_cram = F.when((major < 2) | ((major == 2) & (minor < 1)), True).when(major == 2, tail.endswith(ENDS[2])).otherwise(tail.endswith(ENDS[3]))
+    return ranges.edges(spark, path, 6, 40).select("path", F.when(head.startswith("4352414D"), of_cram).otherwise(tail.endswith(block)).alias("complete"))
 
 
 def index_candidates(path: str) -> list[str]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar, qual, seq
 from readloom.operators import evidence, fastq, features, filters, lossy, pileup, projections, refs
-from readloom.sources import bai, bam, fasta, text
+from readloom.sources import bai, bam, cram, fasta, text
 
 
 def one(spark, column):
@@ -393,3 +394,48 @@ def test_packed_places_of_reads(spark):
     rows = [(0, 0, 0), (1, 2, 3), (0xFFFFFF, 0xFFFF, 0xFFFFFF), (5, 0xFFFF, 0)]
     d = spark.createDataFrame(rows, "a int, b int, c int")
     assert [tuple(x) for x in d.select(*fastq.unpacked_place(fastq.packed_place(F.col("a"), F.col("b"), F.col("c")))).collect()] == rows
+
+
+def _varint(v):
+    v &= 0xFFFFFFFF
+    if v < 1 << 7:
+        return bytes([v])
+    if v < 1 << 14:
+        return bytes([0x80 | v >> 8, v & 255])
+    if v < 1 << 21:
+        return bytes([0xC0 | v >> 16, v >> 8 & 255, v & 255])
+    if v < 1 << 28:
+        return bytes([0xE0 | v >> 24]) + (v & 0xFFFFFF).to_bytes(3, "big")
+    return bytes([0xF0 | v >> 28, v >> 20 & 255, v >> 12 & 255, v >> 4 & 255, v & 15])
+
+
+def _long_varint(v):
+    for more in range(9):
+        if more == 8 or v < 1 << (7 * (more + 1)):
+            whole = v.to_bytes(more, "big") if more >= 7 else (v & (1 << 8 * more) - 1).to_bytes(more, "big")
+            return bytes([(0xFF << (8 - more)) & 255 | (v >> 8 * more if more < 7 else 0)]) + whole
+
+
+@pytest.mark.parametrize("major", [2, 3])
+def test_cram_containers(spark, tmp_path, major):
+    kept = [(-1, 0, 0, 0, 0, 0, 1, [0]), (0, 100, 5000, 10_000, 0, 1_000_000, 3, [17, 300]), (0, 5100, 200_000, 9, 10_000, 900, 2, [5] * 700), (-2, 0, 0, 70, 10_009, 1 << 20, 2, [3]), (1, 1 << 28, 1 << 29, 5, 10_079, (1 << 33) + 5, 2, [9])]
+    out, parts = b"CRAM" + bytes([major, 1 if major == 2 else 0]) + bytes(20), []
+    for i, (ref, start, span, n, counter, bases, blocks, marks) in enumerate(kept):
+        body = bytes([i]) * (50 + 1000 * i)
+        h = len(body).to_bytes(4, "little") + b"".join(map(_varint, (ref, start, span, n))) + (_long_varint if major == 3 else _varint)(counter) + _long_varint(bases) + b"".join(map(_varint, (blocks, len(marks), *marks)))
+        parts.append((h + zlib.crc32(h).to_bytes(4, "little") if major == 3 else h) + body)
+    whole = out + b"".join(parts) + bytes.fromhex(cram.ENDS[major])
+    (tmp_path / "a.cram").write_bytes(whole)
+    (tmp_path / "b.cram").write_bytes(whole[: -len(cram.ENDS[major]) // 2])
+    found = cram.containers(spark, str(tmp_path / "a.cram"))
+    rows = found.orderBy("container").collect()
+    assert [(r.ref, r.start, r.span, r.n, r.counter, r.bases, r.blocks, r.landmarks) for r in rows] == kept
+    assert [bytes(r.content) for r in cram.raw(found, 3).orderBy("container").collect()] == parts
+    assert [tuple(r)[1:] for r in cram.counts(found).collect()] == [(10_084, 1_000_900 + (1 << 20) + (1 << 33) + 5)]
+    ids = lambda d: sorted(r.container for r in d.collect())
+    assert ids(cram.overlapping(found, 0, 5099, 5099)) == [1, 3] and ids(cram.overlapping(found, 0, 5099, 5100)) == [1, 2, 3] and ids(cram.first(found, 2)) == [1, 2]
+    assert {r.path[-6:]: r.complete for r in text.is_complete(spark, f"{tmp_path}/*.cram").collect()} == {"a.cram": True, "b.cram": False}
+    assert {r.format for r in text.detect_format(spark, f"{tmp_path}/*.cram").collect()} == {"CRAM"}
+    (tmp_path / "c.cram").write_bytes(whole[:3000])
+    with pytest.raises(Exception, match="ends within"):
+        cram.containers(spark, str(tmp_path / "c.cram")).collect()
