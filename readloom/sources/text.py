@@ -46,6 +46,43 @@ def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(kind.alias("kind"), fields.alias("fields"), "rec_idx").withColumn("name", F.coalesce(F.try_element_at("fields", F.lit("SN")), F.try_element_at("fields", F.lit("ID"))))
 
 
+def fixed_header(header: DataFrame, dictionary: DataFrame | None = None, program: dict[str, str] | None = None, read_group: dict[str, str] | None = None) -> DataFrame:
+    """A header (as read_sam_header gives it) with LN, M5 and UR of contigs as a dictionary has them (rname, length, md5, uri; nulls and absent contigs change nothing), a @PG line for `program` and a @RG line for `read_group`.
+
+    The program follows the last one of the header (PP); where its ID is taken it gets the first free of ID.1, ID.2, ... . A read group whose ID
+    is there replaces that line. New lines come last of their kind's place in the file, in the order @RG, @PG.
+    """
+    spark, h = header.sparkSession, header.select("kind", "fields", "rec_idx", "name")
+    if dictionary is not None:
+        new = F.map_filter(F.create_map(F.lit("LN"), F.col("length").cast("string"), F.lit("M5"), F.col("md5"), F.lit("UR"), F.col("uri")), lambda k, v: v.isNotNull())
+        d = dictionary.select(F.col("rname").alias("name"), new.alias("new"), F.lit("SQ").alias("kind"))
+        kept = lambda: F.map_filter("fields", lambda k, v: ~F.map_contains_key("new", k))
+        h = h.join(d, ["kind", "name"], "left").select("kind", F.when(F.col("new").isNull(), F.col("fields")).otherwise(F.map_concat(kept(), "new")).alias("fields"), "rec_idx", "name")
+    last = h.agg(F.max("rec_idx")).collect()[0][0] or 0
+    extra = []
+    if read_group:
+        h = h.where(~((F.col("kind") == "RG") & F.col("name").eqNullSafe(read_group["ID"])))
+        extra.append(("RG", read_group, last + 1, read_group["ID"]))
+    if program:
+        known = [r.name for r in h.where("kind = 'PG'").orderBy("rec_idx").select("name").collect()]  # one row for each program that made the file
+        ident = next(i for i in [program["ID"], *(f"{program['ID']}.{k}" for k in range(1, len(known) + 2))] if i not in known)
+        extra.append(("PG", {**program, "ID": ident, **({"PP": known[-1]} if known else {})}, last + 2, ident))
+    for kind, fields, at, ident in extra:
+        own = F.create_map(*(F.lit(x) for pair in fields.items() for x in pair))
+        h = h.unionByName(spark.range(1).select(F.lit(kind).alias("kind"), own.alias("fields"), F.lit(at).cast("long").alias("rec_idx"), F.lit(ident).alias("name")))
+    return h
+
+
+def header_lines(header: DataFrame) -> DataFrame:
+    """line and rec_idx of a header's rows; the naming field comes first, the others in their order."""
+    lead = F.when(F.col("kind") == "SQ", "SN").when(F.col("kind").isin("RG", "PG"), "ID").when(F.col("kind") == "HD", "VN").otherwise("")
+    pairs = F.map_entries("fields")
+    text = lambda e: F.concat(e["key"], F.lit(":"), e["value"])
+    ordered = F.concat(F.filter(pairs, lambda e: e["key"] == lead), F.filter(pairs, lambda e: e["key"] != lead))
+    line = F.when(F.col("kind") == "CO", F.concat(F.lit("@CO\t"), F.try_element_at("fields", F.lit("CO")))).otherwise(F.concat_ws("\t", F.concat(F.lit("@"), "kind"), F.transform(ordered, text)))
+    return header.select(line.alias("line"), "rec_idx")
+
+
 def sam_lines(reads: DataFrame) -> Column:
     """One SAM line for each record; absent columns are written as missing."""
     missing = {"rnext": "*", "pnext": "0", "tlen": "0", "qual": "*", "seq": "*"}

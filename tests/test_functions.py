@@ -439,3 +439,13 @@ def test_cram_containers(spark, tmp_path, major):
     (tmp_path / "c.cram").write_bytes(whole[:3000])
     with pytest.raises(Exception, match="ends within"):
         cram.containers(spark, str(tmp_path / "c.cram")).collect()
+
+
+def test_headers_are_fixed(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:c1\tLN:5\tM5:bad\tAS:x\n@SQ\tSN:c2\tLN:7\n@RG\tID:g\tSM:s\n@PG\tID:tool\tPN:tool\n@CO\tkept: as it is\n")
+    d = spark.createDataFrame([("c1", 6, "good", "file://r.fa"), ("c9", 1, None, None)], "rname string, length int, md5 string, uri string")
+    h = text.fixed_header(text.read_sam_header(spark, str(tmp_path / "a.sam")), d, {"ID": "tool", "VN": "2"}, {"ID": "g", "SM": "t"})
+    assert [x.line for x in text.header_lines(h).orderBy("rec_idx").collect()] == [
+        "@HD\tVN:1.6", "@SQ\tSN:c1\tAS:x\tLN:6\tM5:good\tUR:file://r.fa", "@SQ\tSN:c2\tLN:7", "@PG\tID:tool\tPN:tool", "@CO\tkept: as it is",
+        "@RG\tID:g\tSM:t", "@PG\tID:tool.1\tVN:2\tPP:tool",
+    ]
