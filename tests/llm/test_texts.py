@@ -563,6 +563,36 @@ def test_bradley_terry_learns_nothing_from_held_out_rows(spark):
     assert (a.w == b.w).all() and a.at == b.at
 
 
+def test_bradley_terry_fit_against_newtons_method():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 5)) * [1, 5, 0.1, 2, 1] + [0, 3, 0, 0, 1]
+    good = x @ [1.5, -0.2, 3, 0, 0] + r.normal(size=300) > 0.4
+    model = ranking.BradleyTerry(x, good, steps=3000)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    rng = np.random.default_rng(9)
+    pos, neg = np.flatnonzero(good), np.flatnonzero(~good)
+    d = z[rng.choice(pos, ranking.PAIRS)] - z[rng.choice(neg, ranking.PAIRS)]
+    w = np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(d @ w)))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(5), ((1 - p)[:, None] * d).mean(0) - 1e-3 * w)
+    loss = lambda v: np.log1p(np.exp(-(d @ v))).mean() + 5e-4 * (v @ v)
+    assert np.abs(model.w - w).max() < 0.02 * np.abs(w).max() and loss(model.w) - loss(w) < 1e-4
+    assert loss(ranking.BradleyTerry(x, good).w) - loss(w) < 5e-3  # as many steps as are used
+    got = np.array([model.score(v) for v in x])
+    assert (got >= ranking.CUT).sum() == good.sum()  # the cut is the quantile of the share of bad labels
+    order = np.argsort(z @ model.w)
+    assert (np.diff(got[order]) >= 0).all()
+
+
+def test_bradley_terry_operator_scores_each_text_by_the_model(spark):
+    rows = [(i, "word " * (30 if i % 2 else 2) + "x!" * (i % 3)) for i in range(60)]
+    d = docs(spark, rows)
+    model = ranking.fit(d, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    want = {i: (zlib.crc32(str(i).encode()) % 5 == 0, model.score(ranking.features(t))) for i, t in rows}
+    assert {r.doc_id: (r.held_out, r.score) for r in ranking.score(d, model).collect()} == want
+
+
 def test_bradley_terry_on_edges(spark):
     d = docs(spark, EDGES).withColumnRenamed("n_chars", "score")
     none = spark.createDataFrame([], "doc_id long, quality int")
