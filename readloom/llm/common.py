@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.cuts import cut, remove, shared_folder
 
-__all__ = ["WORD", "crc_mod", "cut", "documents", "id_type", "map_rows", "remove", "shared_folder", "text_or_empty"]
+__all__ = ["WORD", "crc_mod", "cut", "documents", "freed", "id_type", "map_rows", "release", "remove", "shared_folder", "sliced", "text_or_empty"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,32 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers serve one task after another, and would keep the most that any of them had."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def freed(run):
+    """The function `run` for mapInArrow, with release() once its rows have gone."""
+
+    def each(batches):
+        yield from run(batches)
+        release()
+
+    return each
+
+
+def sliced(batches, rows: int = 512):
+    """The Arrow batches in slices of so many rows, so that plain values and results are made of few at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn, rows: int = 512) -> DataFrame:
     """fn(list per column) -> list per output column, over slices of Arrow batches. fn gets plain Python values."""
     import pyarrow as pa
@@ -37,13 +65,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, fn, rows: int = 512
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, to, strict=True)], schema=to)
+        for part in sliced(batches, rows):
+            out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, to, strict=True)], schema=to)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(freed(run), schema)
 
 
 def id_type(docs: DataFrame, name: str = "doc_id") -> str:

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, documents, id_type
+from readloom.llm.common import cut, documents, freed, id_type, release, sliced
 from readloom.llm.components import components
 
 SIZE, PERCENT = 5, 75
@@ -57,6 +57,8 @@ HASH = 48 + HEAD
 #: Prefix extensions that are tried, and the cost of verifying a candidate in postings read.
 MOST_MATCHES, VERIFY_COST = 12, 20
 _MEMO = 150_000
+#: Groups of so many bytes are followed by a release of memory.
+RELEASE_BYTES = 1 << 20
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SIZE)]
 
 
@@ -216,6 +218,14 @@ def _items(table: pa.Table, route: Route, step: int):
     return chunk[order], number[order], h[order], weight[order]
 
 
+def _spared(f, table: pa.Table, *rest):
+    """f of a group; what a large one took goes back to the system."""
+    out = f(table, *rest)
+    if table.nbytes >= RELEASE_BYTES:
+        release()
+    return out
+
+
 def _deal(table: pa.Table, route: Route, step: int) -> pa.Table:
     """Rows of one bucket and lot of a step, dealt into the buckets of the next one. Rows of chunks themselves pass."""
     if table["bucket"][0].as_py() < 0:
@@ -287,30 +297,29 @@ def shared_sets(docs: DataFrame) -> DataFrame:
 
     def send(batches):
         part, n, chunk, memo = TaskContext.get().partitionId(), 0, _Chunk(), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    chunk.add(i, t, memo)
-                    if chunk.bytes >= CHUNK_BYTES:
-                        yield from _rows(list(chunk.rows((part << 24) + n, route))).to_batches()
-                        chunk, n = _Chunk(), n + 1
+        for batch in sliced(batches, 256):
+            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunk.add(i, t, memo)
+                if chunk.bytes >= CHUNK_BYTES:
+                    yield from _rows(list(chunk.rows((part << 24) + n, route))).to_batches()
+                    chunk, n = _Chunk(), n + 1
         if chunk.ids:
             yield from _rows(list(chunk.rows((part << 24) + n, route))).to_batches()
 
-    def each(f, step):
-        return lambda t: f(t, route, step)
+    def each(f, *rest):
+        return lambda t: _spared(f, t, *rest)
 
     schema = "bucket long, lot long, payload binary"
-    rows = docs.mapInArrow(send, schema)
+    rows = docs.mapInArrow(freed(send), schema)
     last = len(route.upto) - 1
     for step in range(last):
-        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_deal, step), schema)
-    rows = rows.groupBy("bucket").applyInArrow(lambda t: _count(t, route), schema)
+        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_deal, route, step), schema)
+    rows = rows.groupBy("bucket").applyInArrow(each(_count, route), schema)
     for step in range(last, 0, -1):
-        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_return, step), schema)
+        rows = rows.groupBy("bucket", "lot").applyInArrow(each(_return, route, step), schema)
     ddl = f"doc_id {id_type(docs)}, n long, sig binary, shared binary"
     to = to_arrow_schema(StructType.fromDDL(ddl))
-    return rows.groupBy("lot").applyInArrow(lambda t: _gather(t, to, route), ddl)
+    return rows.groupBy("lot").applyInArrow(each(_gather, to, route), ddl)
 
 
 class Node:
@@ -398,7 +407,7 @@ def _links_to_hubs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                         got.append((x, y))
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
-    return rows.select("node", "hub", "n", "shared", "hub_n", "hub_shared").mapInArrow(run, "a long, b long")
+    return rows.select("node", "hub", "n", "shared", "hub_n", "hub_shared").mapInArrow(freed(run), "a long, b long")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -416,7 +425,7 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
                     pa.array(np.repeat([1 - len(x.h) / x.n for _, x in got], lens), pa.float64()),
                 ], names=["token", "node", "n", "alone"])
 
-    return nodes.select("node", "n", "shared").mapInArrow(run, "token long, node long, n long, alone double")
+    return nodes.select("node", "n", "shared").mapInArrow(freed(run), "token long, node long, n long, alone double")
 
 
 def _links_in_blocks(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -440,7 +449,7 @@ def _links_in_blocks(pairs: DataFrame, nodes: DataFrame, roots: DataFrame) -> Da
     work = sides.join(rows.select("hub", "block", "node", "root"), ["hub", "block"]).join(nodes.select("node", "n", "shared"), "node")
 
     def run(key, table):
-        got = _compare_blocks(table, key[1].as_py(), key[2].as_py())
+        got = _spared(_compare_blocks, table, key[1].as_py(), key[2].as_py())
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
     return work.groupBy("hub", "left", "right").applyInArrow(run, "a long, b long")

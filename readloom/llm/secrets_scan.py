@@ -25,7 +25,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import documents, id_type, map_rows
+from readloom.llm.common import documents, freed, id_type, map_rows, sliced
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt")
@@ -130,11 +130,11 @@ def redact(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = pa.array([mask(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
