@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import bpe, chat, flac, mixing, ngram_join, pii, pitman_yor, quality_rules, ranking, secrets_scan
+from readloom.llm import bpe, chat, flac, mixing, ngram_join, pii, pitman_yor, quality_rules, ranking, resampling, secrets_scan, turns, wavelet
 
 QUERIES = {
     "op1_semi_markov_crf": pii.op1_semi_markov_crf,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_bradley_terry": ranking.op9_bradley_terry,
     "op10_flac": flac.op10_flac,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_wavelet_shards": wavelet.op12_wavelet_shards,
+    "op13_retained_turns": turns.op13_retained_turns,
 }
-SQL = {"op4_prefix_target": chat.SQL, "op6_ngram_jaccard": ngram_join.SQL, "op7_mix_sources": mixing.SQL}
+SQL = {"op4_prefix_target": chat.SQL, "op6_ngram_jaccard": ngram_join.SQL, "op7_mix_sources": mixing.SQL, "op11_importance_resampling": resampling.SQL, "op13_retained_turns": turns.SQL}
