@@ -44,12 +44,33 @@ def link_by_offset(reads: DataFrame, distance: Column) -> DataFrame:
     return r.join(reads.select(F.col("rec_idx").alias("mate_idx")), "mate_idx", "left_semi").select("rec_idx", "mate_idx")
 
 
+def segments(reads: DataFrame) -> DataFrame:
+    """One row for each name: qname and the record that stands for its first (`seg_64`), second (`seg_128`) and any other segment (`seg_0`), as structs; null where there is none.
+
+    A segment's primary record stands for it (neither secondary nor supplementary), of several the earliest; a segment without
+    one is stood for by its earliest record. Found by aggregates that are combined before the shuffle, however many records a name has.
+    """
+    keep = [c for c in ("rec_idx", "qname", "flag", "rname", "pos", "mapq", "aln_end") if c in reads.columns]
+    bits = F.col("flag").bitwiseAND(192)
+    order = F.struct(has(F.col("flag"), 2304).alias("further"), "rec_idx")
+
+    def least(bit: int) -> Column:
+        mine = bits == bit if bit else ~bits.isin(64, 128)
+        return F.min_by(F.when(mine, F.struct(*keep)), F.when(mine, order)).alias(f"seg_{bit}")
+
+    return reads.groupBy("qname").agg(*map(least, (64, 128, 0)))
+
+
 def mates(reads: DataFrame) -> DataFrame:
-    """a and b: structs of a record and its mate, the other record of its name with the other segment bits; both ways round."""
+    """a and b: structs of a record and of the record that stands for its mate (see segments()); one row for each record whose name has another segment.
+
+    Secondary and supplementary records have the other segment's primary record as their mate, and are nobody's mate where a
+    primary one exists. Records meet one row for each name, so a name of many records makes no product.
+    """
     keep = [c for c in ("rec_idx", "qname", "flag", "rname", "pos", "mapq", "aln_end") if c in reads.columns]
-    a = reads.select("qname", F.struct(*keep).alias("a"), F.col("flag").bitwiseAND(192).alias("seg_a"))
-    b = reads.select("qname", F.struct(*keep).alias("b"), F.col("flag").bitwiseAND(192).alias("seg_b"))
-    return a.join(b, "qname").where("seg_a <> seg_b").select("a", "b")
+    bits = F.col("flag").bitwiseAND(192)
+    other = F.when(bits == 64, F.coalesce("seg_128", "seg_0")).when(bits == 128, F.coalesce("seg_64", "seg_0")).otherwise(F.coalesce("seg_64", "seg_128"))
+    return reads.select("qname", "flag", F.struct(*keep).alias("a")).join(segments(reads), "qname").select("a", other.alias("b")).where("b is not null")
 
 
 def mate_info(reads: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, pair
 from readloom.operators import diff, features, filters, lossy, merge, pairing, pileup
-from readloom.plans.fixtures import aligned, perturbed, reads, ref, table
+from readloom.plans.fixtures import aligned, perturbed, reads, ref, split_reads, table
 from readloom.plans.registry import query
 
 
@@ -166,31 +166,32 @@ def mate_link_by_offset(spark, d):
 
 
 _MATES = """select a.rec_idx, a.flag as af, b.flag as bf, a.rname as ar, b.rname as br, a.pos as ap, b.pos as bp, a.aln_end as ae, b.aln_end as be, a.mapq as aq, b.mapq as bq,
-    (a.flag & 4) = 0 and (b.flag & 4) = 0 and a.rname = b.rname as joint from reads a join reads b on a.qname = b.qname and (a.flag & 192) <> (b.flag & 192)"""
+    (a.flag & 4) = 0 and (b.flag & 4) = 0 and a.rname = b.rname as joint from split_reads a
+    join (select * from split_reads qualify row_number() over (partition by qname, flag & 192 order by (flag & 2304) <> 0, rec_idx) = 1) b on a.qname = b.qname and (a.flag & 192) <> (b.flag & 192)"""
 _FIVE = "case when joint then (case when (bf & 16) <> 0 then be else bp end) - (case when (af & 16) <> 0 then ae else ap end) + case when (case when (bf & 16) <> 0 then be else bp end) >= (case when (af & 16) <> 0 then ae else ap end) then 1 else -1 end else 0 end"
 _OUTER = "case when joint then (greatest(ae, be) - least(ap, bp) + 1) * case when ap < bp or (ap = bp and (af & 64) <> 0) then 1 else -1 end else 0 end"
 
 
-@query(f"select r.rec_idx, coalesce(br, '*') as rnext, coalesce(bp, 0) as pnext, coalesce({_FIVE}, 0) as tlen from reads r left join ({_MATES}) m on m.rec_idx = r.rec_idx", "reads")
+@query(f"select r.rec_idx, coalesce(br, '*') as rnext, coalesce(bp, 0) as pnext, coalesce({_FIVE}, 0) as tlen from split_reads r left join ({_MATES}) m on m.rec_idx = r.rec_idx", "split_reads")
 def mate_info(spark, d):
-    return pairing.mate_info(reads(spark, d)).select("rec_idx", "rnext", "pnext", "tlen")
+    return pairing.mate_info(split_reads(spark, d)).select("rec_idx", "rnext", "pnext", "tlen")
 
 
-@query(f"select rec_idx, {_FIVE} as tlen from ({_MATES}) m", "reads")
+@query(f"select rec_idx, {_FIVE} as tlen from ({_MATES}) m", "split_reads")
 def tlen_5prime(spark, d):
-    return pairing.mates(reads(spark, d)).select("a.rec_idx", pair.five_prime_size(F.col("a"), F.col("b")).alias("tlen"))
+    return pairing.mates(split_reads(spark, d)).select("a.rec_idx", pair.five_prime_size(F.col("a"), F.col("b")).alias("tlen"))
 
 
-@query(f"select rec_idx, {_OUTER} as tlen from ({_MATES}) m", "reads")
+@query(f"select rec_idx, {_OUTER} as tlen from ({_MATES}) m", "split_reads")
 def tlen_outer(spark, d):
-    return pairing.mates(reads(spark, d)).select("a.rec_idx", pair.outer_size(F.col("a"), F.col("b")).alias("tlen"))
+    return pairing.mates(split_reads(spark, d)).select("a.rec_idx", pair.outer_size(F.col("a"), F.col("b")).alias("tlen"))
 
 
 @query(f"""select rec_idx, case when (af & 4) <> 0 and (bf & 4) = 0 then br else ar end as rname, case when (af & 4) <> 0 and (bf & 4) = 0 then bp else ap end as pos,
     case when (bf & 4) <> 0 and (af & 4) = 0 then ar else br end as rnext, case when (bf & 4) <> 0 and (af & 4) = 0 then ap else bp end as pnext,
-    case when (bf & 4) = 0 then bq end as mate_mapq, (bf & 16) <> 0 as mate_reverse, {_OUTER} as tlen from ({_MATES}) m""", "reads")
+    case when (bf & 4) = 0 then bq end as mate_mapq, (bf & 16) <> 0 as mate_reverse, {_OUTER} as tlen from ({_MATES}) m""", "split_reads")
 def loose_mate_info(spark, d):
-    return pairing.loose_mate_info(reads(spark, d))
+    return pairing.loose_mate_info(split_reads(spark, d))
 
 
 @query("""select qname, first_pos, last_pos, case when low = high and first_pos is not null then last_pos - first_pos + 1 else 0 end as extent from (
@@ -212,16 +213,16 @@ def mate_link_by_name(spark, d):
 
 
 @query(f"""select rec_idx, (af & 1) <> 0 and (bf & 1) <> 0 and ((af & 8) <> 0) = ((bf & 4) <> 0) and ((bf & 8) <> 0) = ((af & 4) <> 0) and ((af & 32) <> 0) = ((bf & 16) <> 0) and ((bf & 32) <> 0) = ((af & 16) <> 0)
-    and ((af & 2) <> 0) = ((bf & 2) <> 0) as consistent from ({_MATES}) m""", "reads")
+    and ((af & 2) <> 0) = ((bf & 2) <> 0) as consistent from ({_MATES}) m""", "split_reads")
 def mate_flag_check(spark, d):
-    return pairing.flag_check(reads(spark, d))
+    return pairing.flag_check(split_reads(spark, d))
 
 
-@query(f"select cast(count(*) as bigint) as n from ({_MATES}) m where ((af & 32) <> 0) <> ((bf & 16) <> 0) or ((af & 8) <> 0) <> ((bf & 4) <> 0)", "reads")
+@query(f"select cast(count(*) as bigint) as n from ({_MATES}) m where ((af & 32) <> 0) <> ((bf & 16) <> 0) or ((af & 8) <> 0) <> ((bf & 4) <> 0)", "split_reads")
 def mate_flag_differences(spark, d):
     from readloom.functions.flags import has
 
-    m = pairing.mates(reads(spark, d))
+    m = pairing.mates(split_reads(spark, d))
     f, g = F.col("a.flag"), F.col("b.flag")
     return m.where((has(f, 32) != has(g, 16)) | (has(f, 8) != has(g, 4))).agg(F.count("*").alias("n"))
 

@@ -58,6 +58,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("aln_end", F.when(F.col("flag").bitwiseAND(4) != 0, 0).otherwise(cigar.alignment_end(F.col("pos"), F.col("cigar"))))
 
 
+def split_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads, and a supplementary record three letters on for each tenth of those that are placed."""
+    r = reads(spark, sf_dir).withColumn("k", F.explode(F.expr("case when rec_idx % 10 = 3 and flag & 4 = 0 then array(0, 1) else array(0) end")))
+    return r.withColumns({
+        "flag": F.expr("cast(flag | (2048 * k) as int)"), "pos": F.expr("pos + 3 * k"), "aln_end": F.expr("aln_end + 3 * k"), "rec_idx": F.expr("rec_idx + 10000000000 * k"),
+    }).drop("k")
+
+
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.operators.pileup import aligned_bases
 
@@ -89,6 +97,7 @@ VIEWS = {
          from (select o_orderkey as k, cast(floor(o_orderkey / 2) as bigint) as t, cast(round(o_totalprice * 100) as bigint) as cents, md5(cast(o_orderkey as varchar)) as h from orders) o
          join ref on ref_id = t % 5) p""",
     "reads": """select *, case when (flag & 4) <> 0 then 0 else cast(pos - 1 + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda x: cast(x as int))), 0) as int) end as aln_end from reads0""",
+    "split_reads": """select * from reads union all select * replace (flag | 2048 as flag, pos + 3 as pos, aln_end + 3 as aln_end, rec_idx + 10000000000 as rec_idx) from reads where rec_idx % 10 = 3 and (flag & 4) = 0""",
     "tagrows": """select rec_idx, 'RG' as tag, 'Z' as type, concat('rg', cast(rec_idx % 3 as varchar)) as value from reads union all
        select rec_idx, 'AM', 'c', cast(rec_idx % 40 as varchar) from reads union all
        select rec_idx, 'OQ', 'Z', reverse(qual) from reads union all
@@ -105,7 +114,7 @@ VIEWS = {
          case when rec_idx % 29 = 0 then concat('I', substring(qual, 2, 100)) else qual end as qual, rec_idx, aln_end
        from reads where rec_idx <> (select max(rec_idx) from reads)""",
 }
-_USES = {"reads0": ("ref",), "reads": ("reads0",), "tagrows": ("reads",), "ops": ("reads",), "placed": ("ops",), "aligned": ("placed", "ref"), "perturbed": ("reads",)}
+_USES = {"reads0": ("ref",), "reads": ("reads0",), "split_reads": ("reads",), "tagrows": ("reads",), "ops": ("reads",), "placed": ("ops",), "aligned": ("placed", "ref"), "perturbed": ("reads",)}
 
 
 def sql(query: str, *views: str) -> str:

@@ -260,3 +260,25 @@ def stream_pileup(spark, d):
     from readloom.streaming import collate
 
     return collate.replay(spark, _events(spark, d), collate.pileup_stream, "complete")
+
+
+@query(f"select name as qname, min(rec_idx) as rec_a, case when count(*) = 2 then max(rec_idx) else -1 end as rec_b from {_NAMES} l group by name", "reads")
+def stream_pair_bounded(spark, d):
+    """Mates with at most 100 open names; the overflow is put together afterwards."""
+    from readloom.streaming import bounded, collate
+
+    with bounded.stateful(spark):
+        emitted = collate.replay(spark, _events(spark, d), lambda s: bounded.pair_bounded(s, 100, 4, "30 days"), "append")
+    return bounded.reconciled(emitted)
+
+
+@query("select rname, cast(ref_pos as int) as ref_pos, count(*) as coverage from (select rname, unnest(range(pos, aln_end + 1)) as ref_pos from reads where (flag & 4) = 0 and aln_end >= pos) x group by 1, 2", "reads")
+def stream_coverage(spark, d):
+    """Coverage of records that come in order of contig and position: a position leaves when the stream has passed it."""
+    from readloom.operators.cuts import numbered
+    from readloom.streaming import bounded, collate
+
+    r = numbered(reads(spark, d).where("flag & 4 = 0").select("flag", "rname", "pos", "aln_end"), ["rname", "pos"], "rec_idx")
+    r = r.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("rec_idx")))
+    with bounded.stateful(spark):
+        return collate.replay(spark, r, lambda s: bounded.coverage_stream(s, "30 days"), "append", ordered=True)

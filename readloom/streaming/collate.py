@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from readloom.operators.cuts import remove, shared_folder
 
@@ -61,15 +62,24 @@ def pileup_stream(reads: DataFrame, width: int = 100) -> DataFrame:
     return reads.where("pos > 0").groupBy("rname", F.floor((F.col("pos") - 1) / width).alias("tile")).agg(F.count("*").alias("n"))
 
 
-def replay(spark: SparkSession, table: DataFrame, build, mode: str, files: int = 4) -> DataFrame:
-    """Run a streaming query over all rows of a table, written as `files` Parquet files and read one file to a trigger, and return its final result.
+def replay(spark: SparkSession, table: DataFrame, build, mode: str, files: int = 4, ordered: bool = False, seen=None) -> DataFrame:
+    """Run a streaming query over all rows of a table, written as `files` Parquet files of ranges of rec_idx and read one file to a trigger, and return its final result.
+
+    ordered: the files come in order of their ranges (they are written one after another). seen: gets the query when it has ended.
 
     In append mode the stream ends with one row of nulls a year after the last event: its watermark lets all that is still held
     leave; queries leave that row out. The files and the query's checkpoint lie in the folder for checkpoints and go when the
     query has ended; the result is a table written there.
     """
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    table.repartitionByRange(files, "rec_idx").write.parquet(f"{home}/in")
+    ranges = table.repartitionByRange(files, "rec_idx")
+    if ordered:
+        ranges.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{home}/parts")
+        for k in range(files):
+            spark.read.parquet(f"{home}/parts").where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{home}/in")
+        remove(spark, f"{home}/parts")
+    else:
+        ranges.write.parquet(f"{home}/in")
     if mode == "append":
         written = spark.read.parquet(f"{home}/in")
         end = written.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts")).where("ts is not null")
@@ -82,9 +92,11 @@ def replay(spark: SparkSession, table: DataFrame, build, mode: str, files: int =
 
     q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
+    if seen:
+        seen(q)
     remove(spark, f"{home}/in")
     remove(spark, f"{home}/state")
-    got = spark.read.schema(out.schema.add("batch", "long")).parquet(f"{home}/out")
+    got = spark.read.schema(StructType([*out.schema, StructField("batch", LongType())])).parquet(f"{home}/out")
     if mode == "complete":
         last = got.agg(F.max("batch").alias("last"))
         got = got.where(F.col("batch") == last.scalar())
