@@ -41,7 +41,7 @@ from readloom.operators.cuts import numbered
 #: Buckets of features, words from which on a document takes part, percentage that is drawn, and seed of the noise.
 DIMS, LEAST_WORDS, DRAW, SEED = 10_000, 20, 25, 7
 #: Bytes of text in a chunk and bytes of table for a range of features (these set how many there are of either); bits that one step deals.
-CHUNK_BYTES, RANGE_BYTES, FAN = 24 << 20, 5 << 20, 13
+CHUNK_BYTES, RANGE_BYTES, FAN = 28 << 20, 5 << 20, 13
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 _SCHEMA = "bucket long, lot long, payload binary"
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,8 +52,8 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
-def pack(*values) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, 5))
+def pack(*values, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(values, 5))
 
 
 def unpack(b: bytes):
@@ -163,27 +163,35 @@ class Counts:
     def __init__(self, payload: bytes, route: Route):
         self.ids, self.target, names, lengths, seq, width = unpack(payload)
         self.names = names.split(b"\n") if names else []
-        self.lengths, self.seq = lengths.astype(np.int64), _unplanes(seq, width)
+        self.lengths, self.seq = lengths.astype(np.int64), _unplanes(seq, width).astype(np.int32)
         v = len(self.names)
         first = np.cumsum(self.lengths) - self.lengths
         starts = np.zeros(len(self.seq), bool)
         starts[first[self.lengths > 0]] = True
         #: A document's features: its words, and each word with the one before it.
         self.at = np.flatnonzero(~starts)
-        self.pairs, self.pair = np.unique(self.seq[self.at - 1] * max(v, 1) + self.seq[self.at], return_inverse=True)
-        self.a, self.b = self.pairs // max(v, 1), self.pairs % max(v, 1)
+        self.pairs = np.unique(self._keys(self.at))
+        self.a, self.b = (self.pairs // max(v, 1)).astype(np.int32), (self.pairs % max(v, 1)).astype(np.int32)
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names), np.uint64, v)
         both = h[self.a] * _FIRST ^ (h[self.b] * _SECOND >> np.uint64(7)) if v else np.zeros(0, np.uint64)
         h = np.concatenate([h, both])
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         self.hash = h ^ (h >> np.uint64(32))
-        self.order = np.argsort(route.cut(self.hash, 0), kind="stable")
+        self.order = np.argsort(route.cut(self.hash, 0), kind="stable").astype(np.int32)
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        """The word at a place and the one before it as one number."""
+        return self.seq[at - 1].astype(np.int64) * max(len(self.names), 1) + self.seq[at]
 
     def sums(self, target: bool) -> np.ndarray:
         """Occurrences of each feature in the documents of one side, in the order of sending."""
         side = np.repeat(self.target == target, self.lengths)
+        out = np.zeros(len(self.hash), np.int64)
         v = len(self.names)
-        return np.concatenate([np.bincount(self.seq[side], minlength=v), np.bincount(self.pair[side[self.at]], minlength=len(self.pairs))])[self.order].astype(np.int64)
+        out[:v] = np.bincount(self.seq[side], minlength=v)
+        own, n = np.unique(self._keys(self.at[side[self.at]]), return_counts=True)
+        out[v + np.searchsorted(self.pairs, own)] = n
+        return out[self.order]
 
     def lines(self, of: np.ndarray) -> bytes:
         """squeezed() features by their numbers, without making the strings first."""
@@ -202,7 +210,7 @@ class Counts:
         more = len(route.upto) > 1
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
             of = self.order[x:y]
-            yield int(bucket[x]), route.lot(chunk, 1) if more else chunk, pack(chunk, x, _small(raw[x:y]), _small(aim[x:y]), self.lines(of), self.hash[of] if more else None)
+            yield int(bucket[x]), route.lot(chunk, 1) if more else chunk, pack(chunk, x, _small(raw[x:y]), _small(aim[x:y]), self.lines(of), self.hash[of] if more else None, level=3)
 
 
 def _items(payload: bytes):
@@ -268,8 +276,10 @@ def _weigh(state: pa.Table, answers: pa.Table, gains: np.ndarray, route: Route,
     for p in answers["payload"].to_pylist():
         _, number, said = unpack(p)
         gain[own.order[np.cumsum(number, dtype=np.int64)]] = gains[said.astype(np.int64)]
-    per = gain[: len(own.names)][own.seq]
-    per[own.at] += gain[len(own.names) :][own.pair]
+    per, pairs = gain[: len(own.names)][own.seq], gain[len(own.names) :]
+    for k in range(0, len(own.at), 1 << 20):
+        at = own.at[k : k + (1 << 20)]
+        per[at] += pairs[np.searchsorted(own.pairs, own._keys(at))]
     upto = np.concatenate([[0], np.cumsum(per)])
     stop = np.cumsum(own.lengths)
     total = upto[stop] - upto[stop - own.lengths]

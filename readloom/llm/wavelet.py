@@ -11,7 +11,7 @@ divided). Files are named by range and number, written aside and moved into plac
 A table of one row for each file tells the ids before it.
 
 Encoding is that of the tokenizers library: its vocabulary lower-cases and drops white space, and no token or rule of it
-crosses ASCII white space, so each distinct word is encoded by the library once and remembered (up to REMEMBER words).
+crosses ASCII white space, so the library encodes a word's distinct pieces once and they are remembered (up to REMEMBER).
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows of one id are in order of a hash of the text, then
 of their place in the table; repeated rows each have their ids; an empty table writes no file and gives an empty result; a very long text is one document of one
@@ -21,6 +21,7 @@ file (its ids must fit a task, beside a file's); other columns are ignored.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -38,8 +39,8 @@ from readloom.sources.ranges import opened
 MAGIC = b"WMTX0001"
 #: Bits of a plane in a block, ids in a file (or those of one longer document), and bytes of table for each range of documents.
 BLOCK, SHARD, RANGE_BYTES = 1 << 16, 1 << 22, 32 << 20
-#: Words whose ids a worker remembers, and unpacked blocks that a reader keeps.
-REMEMBER, KEEP_BLOCKS = 300_000, 64
+#: Words, and pieces of words, whose ids a worker remembers (some 200 bytes each), and unpacked blocks that a reader keeps.
+REMEMBER, KEEP_BLOCKS = 800_000, 64
 END = 2
 
 
@@ -217,28 +218,59 @@ class Shard:
         return v
 
 
+#: Words of ASCII and of Latin letters up to U+024F (all composed, all with plain lower-case forms but one): their pieces can be told before the library normalises.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+#: The vocabulary's own pieces, for such words in lower case: English endings, letters, single digits, other signs.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+").findall
+
+
+def _letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printing bytes for themselves, the others in order from 256 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b if b in printing else 256 + others.index(b)) for b in range(256)}
+
+
+_LETTERS = _letters()
+
+
 class WordEncoder:
-    """Ids of texts by a vocabulary of the tokenizers library, word by word."""
+    """Ids of texts by a vocabulary of the tokenizers library, word by word. A word that is new is put together from its pieces where these can be told, so the library encodes each distinct piece, or else word, once."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_str(vocabulary), {}
+        self.library, self.known, self.pieces = Tokenizer.from_str(vocabulary), {}, {}
+        self.model = self.library.model
+
+    def _piece(self, p: str) -> bytes:
+        """A piece's ids, by the library's model: it takes bytes as letters of its own."""
+        out = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+        return out
 
-    def words(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The words of each text; after this all of them are known."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known, out = self.known, [t.split() for t in texts]
-        new = list({w for words in out for w in words if w not in known})
-        for w, e in zip(new, self.library.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, word: bytes) -> bytes:
+        t = word.decode()
+        if _PLAIN(t) and "<|" not in t:
+            get = self.pieces.get
+            out = b"".join([get(p) or self._piece(p) for p in _PIECES(t.lower())])
+        else:
+            out = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known[word] = out
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in self.words([(t or "").encode() for t in texts])]
+        for memory in (self.known, self.pieces):
+            if len(memory) > REMEMBER:
+                memory.clear()
+        get, learn, out = self.known.get, self._learn, []
+        for t in texts:
+            words = (t or "").encode().split()
+            found = list(map(get, words))
+            if not all(found):
+                found = [learn(w) if f is None and (f := get(w)) is None else f for f, w in zip(found, words, strict=True)]
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        return out
 
 
 _OPEN: dict[str, WordEncoder] = {}
@@ -314,8 +346,10 @@ def placed(files: DataFrame) -> DataFrame:
     """The table of files with `start`, the ids in all files before each: sums over one row for each range, then within a range."""
     per = files.groupBy("part").agg(F.sum("tokens").alias("all"))
     ahead = per.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    # each file is a task's work: so many partitions, which isn't left to the few bytes of this table
+    n = max(1, files.count())
     within = F.sum("tokens").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    return files.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + within).drop("ahead")
+    return files.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + within).drop("ahead").repartition(n, "part", "nth")
 
 
 def read(files: DataFrame, doc_type: str = "long", opener=opened) -> DataFrame:
