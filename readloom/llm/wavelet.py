@@ -268,7 +268,7 @@ class WordEncoder:
             words = (t or "").encode().split()
             found = list(map(get, words))
             if not all(found):
-                found = [learn(w) if f is None and (f := get(w)) is None else f for f, w in zip(found, words, strict=True)]
+                found = [f if f is not None else get(w) or learn(w) for f, w in zip(found, words, strict=True)]
             out.append(np.frombuffer(b"".join(found), "<u4"))
         return out
 
