@@ -56,16 +56,17 @@ def _blocks(bits: np.ndarray):
 
 def build(tokens: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
     """A file's bytes. tokens: the ids of all documents in order; lengths: how many each document has."""
-    a = np.ascontiguousarray(tokens, np.uint32)
-    planes = max(1, int(a.max(initial=0)).bit_length())
+    planes = max(1, int(tokens.max(initial=0)).bit_length())
+    kind = np.uint16 if planes <= 16 else np.uint32
+    a = np.ascontiguousarray(tokens, kind)
     out, at = [MAGIC], len(MAGIC)
     places, kinds, before, zeros = [], [], [], []
     for level in range(planes):
-        bit = (a >> np.uint32(planes - 1 - level)) & np.uint32(1) == 1
-        for data, kind in _blocks(bit):
+        bit = a & kind(1 << (planes - 1 - level)) != 0
+        for data, packed in _blocks(bit):
             out.append(data)
             places.append(at)
-            kinds.append(kind)
+            kinds.append(packed)
             at += len(data)
         ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
         before.append(np.cumsum(ones) - ones)
@@ -207,13 +208,14 @@ class Shard:
 
     def all(self) -> np.ndarray:
         """All ids: the planes' deals undone from the last to the first."""
-        v = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        v = np.zeros(self.n, kind)
         for level in reversed(range(self.planes)):
             raw = b"".join(self._raw(level, b) for b in range(self.per))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.n).view(bool)
             out, z = np.empty_like(v), int(self.zeros[level])
             out[~bit] = v[:z]
-            out[bit] = v[z:] | np.uint32(1 << (self.planes - 1 - level))
+            out[bit] = v[z:] | kind(1 << (self.planes - 1 - level))
             v = out
         return v
 
@@ -242,10 +244,11 @@ class WordEncoder:
 
         self.library, self.known, self.pieces = Tokenizer.from_str(vocabulary), {}, {}
         self.model = self.library.model
+        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def _piece(self, p: str) -> bytes:
         """A piece's ids, by the library's model: it takes bytes as letters of its own."""
-        out = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+        out = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], self.kind).tobytes()
         return out
 
     def _learn(self, word: bytes) -> bytes:
@@ -254,7 +257,7 @@ class WordEncoder:
             get = self.pieces.get
             out = b"".join([get(p) or self._piece(p) for p in _PIECES(t.lower())])
         else:
-            out = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            out = np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
         self.known[word] = out
         return out
 
@@ -269,7 +272,7 @@ class WordEncoder:
             found = list(map(get, words))
             if not all(found):
                 found = [f if f is not None else get(w) or learn(w) for f, w in zip(found, words, strict=True)]
-            out.append(np.frombuffer(b"".join(found), "<u4"))
+            out.append(np.frombuffer(b"".join(found), self.kind))
         return out
 
 
@@ -312,7 +315,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast((path, f.read()))
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    last = np.array([end], "<u4")
 
     def run(batches):
         part, nth, ids, found, have = TaskContext.get().partitionId(), 0, [], [], 0
@@ -330,7 +332,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int
                     yield flush()
                     nth, ids, found, have = nth + 1, [], [], 0
                 ids.append(i)
-                found.append(np.concatenate([x, last]))
+                found.append(np.append(x, np.array([end], x.dtype)))
                 have += len(x) + 1
         if ids:
             yield flush()
@@ -372,7 +374,7 @@ def _each(files: DataFrame, ddl: str, last, opener) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with opener(path) as f:
                     shard = Shard(f)
-                    ids = shard.all().astype("<u4", copy=False)
+                    ids = shard.all().astype("<u4")
                 stop = np.cumsum(shard.lengths)
                 for at in range(0, len(stop), 512):
                     e, n = stop[at : at + 512], shard.lengths[at : at + 512]
