@@ -160,7 +160,8 @@ class _Chunk:
 class Counts:
     """A chunk's documents and its distinct features, in the order in which they are sent."""
 
-    def __init__(self, payload: bytes, route: Route):
+    def __init__(self, payload: bytes, route: Route, places: bool = False):
+        """places: with the place of each pair among the distinct ones, in place of their counts."""
         self.ids, self.target, names, lengths, seq, width = unpack(payload)
         self.names = names.split(b"\n") if names else []
         self.lengths, self.seq = lengths.astype(np.int64), _unplanes(seq, width).astype(np.int32)
@@ -170,7 +171,10 @@ class Counts:
         starts[first[self.lengths > 0]] = True
         #: A document's features: its words, and each word with the one before it.
         self.at = np.flatnonzero(~starts)
-        self.pairs = np.unique(self._keys(self.at))
+        if places:
+            self.pairs, self.pair = np.unique(self._keys(self.at), return_inverse=True)
+        else:
+            self.pairs, self.n = np.unique(self._keys(self.at), return_counts=True)
         self.a, self.b = (self.pairs // max(v, 1)).astype(np.int32), (self.pairs % max(v, 1)).astype(np.int32)
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names), np.uint64, v)
         both = h[self.a] * _FIRST ^ (h[self.b] * _SECOND >> np.uint64(7)) if v else np.zeros(0, np.uint64)
@@ -183,15 +187,16 @@ class Counts:
         """The word at a place and the one before it as one number."""
         return self.seq[at - 1].astype(np.int64) * max(len(self.names), 1) + self.seq[at]
 
-    def sums(self, target: bool) -> np.ndarray:
-        """Occurrences of each feature in the documents of one side, in the order of sending."""
-        side = np.repeat(self.target == target, self.lengths)
-        out = np.zeros(len(self.hash), np.int64)
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each feature in the documents of either side, in the order of sending."""
         v = len(self.names)
-        out[:v] = np.bincount(self.seq[side], minlength=v)
-        own, n = np.unique(self._keys(self.at[side[self.at]]), return_counts=True)
-        out[v + np.searchsorted(self.pairs, own)] = n
-        return out[self.order]
+        whole, aim = np.concatenate([np.bincount(self.seq, minlength=v), self.n]), np.zeros(len(self.hash), np.int64)
+        if self.target.any():
+            side = np.repeat(self.target, self.lengths)
+            aim[:v] = np.bincount(self.seq[side], minlength=v)
+            own, n = np.unique(self._keys(self.at[side[self.at]]), return_counts=True)
+            aim[v + np.searchsorted(self.pairs, own)] = n
+        return (whole - aim)[self.order], aim[self.order]
 
     def lines(self, of: np.ndarray) -> bytes:
         """squeezed() features by their numbers, without making the strings first."""
@@ -205,7 +210,7 @@ class Counts:
         return b"\n".join(out)
 
     def rows(self, chunk: int, route: Route):
-        raw, aim, bucket = self.sums(False), self.sums(True), route.cut(self.hash, 0)[self.order]
+        (raw, aim), bucket = self.sums(), route.cut(self.hash, 0)[self.order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
         more = len(route.upto) > 1
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -271,15 +276,13 @@ def _return(table: pa.Table, route: Route, step: int) -> pa.Table:
 
 def _weigh(state: pa.Table, answers: pa.Table, gains: np.ndarray, route: Route, to: pa.Schema) -> pa.Table:
     """Each document of a chunk: n_words, and the sum of its features' gains."""
-    own = Counts(state["payload"][0].as_py(), route)
+    own = Counts(state["payload"][0].as_py(), route, places=True)
     gain = np.zeros(len(own.hash), np.int64)
     for p in answers["payload"].to_pylist():
         _, number, said = unpack(p)
         gain[own.order[np.cumsum(number, dtype=np.int64)]] = gains[said.astype(np.int64)]
-    per, pairs = gain[: len(own.names)][own.seq], gain[len(own.names) :]
-    for k in range(0, len(own.at), 1 << 20):
-        at = own.at[k : k + (1 << 20)]
-        per[at] += pairs[np.searchsorted(own.pairs, own._keys(at))]
+    per = gain[: len(own.names)][own.seq]
+    per[own.at] += gain[len(own.names) :][own.pair]
     upto = np.concatenate([[0], np.cumsum(per)])
     stop = np.cumsum(own.lengths)
     total = upto[stop] - upto[stop - own.lengths]
