@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, qual
 from readloom.functions.flags import has
-from readloom.operators import pileup
+from readloom.operators import pileup, tracks
 
 DROP, BIN, KEEP = 0, 1, 2
 DEFAULT = 30
@@ -90,26 +90,43 @@ def _read_test(p: Policy) -> Column:
     return {"*": F.lit(True), "U": has(F.col("flag"), 4), "M": F.col("mapq") > n, "m": F.col("mapq") < n}[kind]
 
 
-def with_bases(reads: DataFrame, ref: DataFrame, tile: int = pileup.TILE) -> DataFrame:
-    """Placed reads with `bases`, an array of each base's read_pos, op, ref_pos, base, ref_base (the contig's base at the position that the read has reached, also at insertions and clips), after_deletion and score."""
-    whole = pileup.with_stretch(reads.where("flag & 4 = 0"), ref, tile).withColumn("gone", _deletions())
-    start = F.struct(F.array().cast("array<struct<read_pos:int,op:string,ref_pos:int,base:string,ref_base:string,after_deletion:boolean,score:int>>").alias("done"), F.lit(0).alias("q"), F.lit(0).alias("r"))
+#: Fields of a base, in order, with their types.
+_FIELDS = {"read_pos": "int", "op": "string", "ref_pos": "int", "base": "string", "ref_base": "string", "after_deletion": "boolean", "score": "int", "coverage": "int", "mismatches": "int"}
+
+
+def with_bases(reads: DataFrame, ref: DataFrame, tile: int = pileup.TILE, fields: tuple[str, ...] = tuple(_FIELDS)[:7], how: str = "inner") -> DataFrame:
+    """Placed reads with `bases`, an array of each base's read_pos, op, ref_pos, base, ref_base (the contig's base at the position that the read has reached, also at insertions and clips), after_deletion and score.
+
+    fields: only these are made; coverage and mismatches need columns of these names, counts of the positions from pos on.
+    how: "left" keeps unplaced reads and those of other contigs, with null bases.
+    """
+    placed = F.col("flag").bitwiseAND(4) == 0
+    whole = pileup.with_stretch(reads.where(placed) if how == "inner" else reads, ref, tile, how)
+    if "after_deletion" in fields:
+        whole = whole.withColumn("gone", _deletions())
+    fields = tuple(f for f in _FIELDS if f in fields)
+    start = F.struct(F.array().cast(f"array<struct<{','.join(f'{f}:{_FIELDS[f]}' for f in fields)}>>").alias("done"), F.lit(0).alias("q"), F.lit(0).alias("r"))
 
     def step(a, e):
         takes_q, takes_r = e["op"].isin(*cigar.READ_OPS), e["op"].isin(*cigar.REF_OPS)
 
         def one(k):
             at = a["q"] + k
-            return F.struct(
-                at.alias("read_pos"), e["op"].alias("op"), (F.col("pos") + a["r"] + k - 1).cast("int").alias("ref_pos"), F.substring(F.col("seq"), at, F.lit(1)).alias("base"),
-                F.substring(F.col("stretch"), a["r"] + k, F.lit(1)).alias("ref_base"), (F.array_contains("gone", at - 1) | F.array_contains("gone", at - 2)).alias("after_deletion"),
-                (F.ascii(F.substring(F.col("qual"), at, F.lit(1))) - 33).alias("score"),
-            )
+            count = lambda name, i: F.coalesce(F.try_element_at(F.col(name), F.greatest(i, F.lit(1))), F.lit(0))
+            made = {
+                "read_pos": lambda: at, "op": lambda: e["op"], "ref_pos": lambda: (F.col("pos") + a["r"] + k - 1).cast("int"), "base": lambda: F.substring(F.col("seq"), at, F.lit(1)),
+                "ref_base": lambda: F.substring(F.col("stretch"), a["r"] + k, F.lit(1)), "after_deletion": lambda: F.array_contains("gone", at - 1) | F.array_contains("gone", at - 2),
+                "score": lambda: F.ascii(F.substring(F.col("qual"), at, F.lit(1))) - 33, "coverage": lambda: count("coverage", a["r"] + k), "mismatches": lambda: count("mismatches", at),
+            }
+            return F.struct(*(made[f]().alias(f) for f in fields))
 
         done = F.when(takes_q & (e["len"] > 0), F.concat(a["done"], F.transform(F.sequence(F.lit(1), e["len"]), one))).otherwise(a["done"])
         return F.struct(done.alias("done"), (a["q"] + F.when(takes_q, e["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(takes_r, e["len"]).otherwise(0)).alias("r"))
 
-    return whole.withColumn("bases", F.aggregate(cigar.parse(F.col("cigar")), start, step, lambda a: a["done"])).drop("gone", "stretch")
+    bases = F.aggregate(cigar.parse(F.col("cigar")), start, step, lambda a: a["done"])
+    if how == "left":
+        bases = F.when(placed & F.col("stretch").isNotNull(), bases)
+    return whole.withColumn("bases", bases).drop("gone", "stretch")
 
 
 def base_table(reads: DataFrame, ref: DataFrame, tile: int = pileup.TILE) -> DataFrame:
@@ -156,11 +173,15 @@ def _stored(policies: list[Policy], get=F.col) -> Column:
     return stored
 
 
+_NEEDS = {"R": ("base", "ref_base"), "N": ("base", "ref_base"), "D": ("after_deletion",), "I": ("op",), "X": ("op", "coverage"), "P": ("mismatches",)}
+
+
 def apply(reads: DataFrame, ref: DataFrame, spec: str, tile: int = pileup.TILE) -> DataFrame:
     """rec_idx and qual: the scores that a file written by the specification gives back.
 
-    A score that nothing keeps becomes the default, 30. Without pileup categories each read's scores are made within its row. Pileups
-    are made only if a policy asks for them, over all reads; then the bases meet their positions' counts and are gathered by read.
+    A score that nothing keeps becomes the default, 30. Each read's scores are made within its row, of the fields that the policies ask
+    for. Pileups are made only if a policy asks for them, over all reads; they come to the reads as tracks (see tracks.py), so no base is
+    shuffled.
     """
     policies = parse(spec)
     whole = F.lit(None).cast("string")
@@ -169,31 +190,23 @@ def apply(reads: DataFrame, ref: DataFrame, spec: str, tile: int = pileup.TILE)
             made = {KEEP: F.col("qual"), BIN: qual.binned(F.col("qual")), DROP: F.lit(None).cast("string")}[p.treat]
             whole = F.when(_read_test(p), made).otherwise(whole)
     by_base = [p for p in policies if p.bases]
-    blank = F.expr(f"repeat('{chr(DEFAULT + 33)}', length(qual))")
-    base = F.coalesce(whole, blank)
+    base = F.coalesce(whole, F.expr(f"repeat('{chr(DEFAULT + 33)}', length(qual))"))
     if not by_base:
         return reads.select("rec_idx", base.alias("qual"))
-    if not needs_pileup(policies):
-        plain = lambda i: F.ascii(F.substring(F.col("plain"), i, F.lit(1))) - 33
-        done = F.transform("bases", lambda x: F.char(F.coalesce(_stored(by_base, lambda n: x[n]), plain(x["read_pos"])) + 33))
-        placed = with_bases(reads.withColumn("plain", base), ref, tile)
-        # a score string longer than its read's bases keeps its tail
-        made = placed.select("rec_idx", F.concat(F.array_join(done, ""), F.expr("substring(plain, size(bases) + 1)")).alias("qual"))
-        known = ref.select("rname").distinct()
-        bare = reads.where("flag & 4 <> 0").select("rec_idx", base.alias("qual")).union(reads.where("flag & 4 = 0").join(known, "rname", "left_anti").select("rec_idx", base.alias("qual")))
-        return made.union(bare)
-    bases = base_table(reads, ref, tile)
-    if any(k == "X" for p in by_base for k, _ in p.bases):
-        bases = bases.join(pileup.coverage(reads), ["rname", "ref_pos"], "left")
-    if any(k == "P" for p in by_base for k, _ in p.bases):
-        seen = pileup.mismatches(reads, ref, tile).withColumnRenamed("ref_pos", "at")
-        bases = bases.withColumn("at", F.col("pos") + F.col("read_pos") - 1).join(seen, ["rname", "at"], "left")
-    kept = bases.withColumn("stored", _stored(by_base)).where("stored is not null")
-    kept = kept.groupBy("rec_idx").agg(F.map_from_entries(F.collect_list(F.struct("read_pos", "stored"))).alias("kept"))
-    r = reads.withColumn("whole", whole).join(kept, "rec_idx", "left")
-    at = lambda i: F.coalesce(F.try_element_at(F.col("kept"), i), F.ascii(F.substring(F.coalesce("whole", blank), i, F.lit(1))) - 33)
-    mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.char(at(i) + 33)), "")
-    return r.select("rec_idx", F.when(F.col("kept").isNull(), F.coalesce("whole", blank)).otherwise(mixed).alias("qual"))
+    asked = {k for p in by_base for k, _ in p.bases}
+    r = reads.withColumn("plain", base)
+    if "X" in asked:
+        span = cigar.total(cigar.parse(F.col("cigar")), cigar.REF_OPS)
+        r = tracks.with_counts(r, tracks.build(pileup.coverage_runs(reads)), ref, F.col("pos") + span - 1, "coverage")
+    if "P" in asked:
+        seen = pileup.mismatches(reads, ref, tile).select("rname", F.col("ref_pos").alias("begin"), (F.col("ref_pos") + 1).alias("stop"), F.col("mismatches").alias("n"))
+        r = tracks.with_counts(r, tracks.build(seen), ref, F.col("pos") + F.length("seq") - 1, "mismatches")
+    fields = {"read_pos", *(["score"] if any(p.treat != DROP for p in by_base) else []), *(f for k in asked for f in _NEEDS[k])}
+    plain = lambda i: F.ascii(F.substring(F.col("plain"), i, F.lit(1))) - 33
+    done = F.transform("bases", lambda x: F.char(F.coalesce(_stored(by_base, lambda n: x[n]), plain(x["read_pos"])) + 33))
+    # a score string longer than its read's bases keeps its tail
+    mixed = F.concat(F.array_join(done, ""), F.expr("substring(plain, size(bases) + 1)"))
+    return with_bases(r, ref, tile, tuple(fields), "left").select("rec_idx", F.when(F.col("bases").isNull(), F.col("plain")).otherwise(mixed).alias("qual"))
 
 
 def stored_whole(reads: DataFrame, ref: DataFrame, spec: str) -> DataFrame:

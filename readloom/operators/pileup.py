@@ -32,18 +32,28 @@ def tiles(ref: DataFrame, tile: int = TILE) -> DataFrame:
     return each.select("rname", "tile", F.substring("b", (F.col("tile") * tile + 1).cast("int"), F.lit(2 * tile)).cast("string").alias("piece"))
 
 
-def with_stretch(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
-    """Reads with `stretch`, the contig's letters from pos on, as far as the read's alignment and its own length reach (less at the contig's end); reads of contigs that ref lacks are left out.
+def has_longer(reads: DataFrame, ref: DataFrame, span, limit: int) -> bool:
+    """Whether some read may span more than `limit` letters. Contigs are looked at first: only where one is longer the reads are, by their CIGARs and lengths alone."""
+    longest = ref.agg(F.max(F.length("seq"))).collect()[0][0] or 0
+    return longest > limit and (reads.agg(F.max(span)).collect()[0][0] or 0) > limit
+
+
+def with_stretch(reads: DataFrame, ref: DataFrame, tile: int = TILE, how: str = "inner") -> DataFrame:
+    """Reads with `stretch`, the contig's letters from pos on, as far as the read's alignment and its own length reach (less at the contig's end); reads of contigs that ref lacks are left out (how: "left": they have a null stretch).
 
     Reads meet the window in which they begin, by contig and window, and take their stretch at once: no row carries a contig, and a
-    hot contig is spread over its windows. A read that spans more than a window takes its pieces from each and puts them together.
+    hot contig is spread over its windows. Reads that span more than a window take a plan of their own, made only where there may be
+    such: each takes its pieces from all its windows and puts them together. So the reads are scanned once.
     """
     span = cigar.total(cigar.parse(F.col("cigar")), cigar.REF_OPS) + F.length("seq")
     r = reads.withColumns({"__span": span, "tile": F.floor((F.greatest("pos", F.lit(1)) - 1) / tile)})
     pieces = tiles(ref, tile)
     inside = F.greatest("pos", F.lit(1)) - F.col("tile") * tile
-    short = r.where(F.col("__span") <= tile).join(pieces, ["rname", "tile"])
-    short = short.withColumn("stretch", F.substring("piece", inside.cast("int"), F.col("__span")))
+    longer = has_longer(reads, ref, span, tile)
+    short = (r.where(F.col("__span") <= tile) if longer else r).join(pieces, ["rname", "tile"], how)
+    short = short.withColumn("stretch", F.substring("piece", inside.cast("int"), F.col("__span"))).select(*reads.columns, "stretch")
+    if not longer:
+        return short
     long = r.where(F.col("__span") > tile)
     last = F.floor((F.col("pos") + F.col("__span") - 2) / tile)
     asked = long.select("rec_idx", "rname", "pos", "__span", F.explode(F.sequence(F.col("tile"), last)).alias("tile")).join(pieces, ["rname", "tile"])
@@ -52,8 +62,7 @@ def with_stretch(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFram
     part = F.expr("substring(piece, cast(__from - tile * %d as int), cast(__upto - __from + 1 as int))" % tile)
     cut = asked.withColumns({"__from": from_, "__upto": upto}).withColumn("part", part)
     joined = cut.groupBy("rec_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "").alias("stretch"))
-    out = short.select(*reads.columns, "stretch")
-    return out.union(long.join(joined, "rec_idx").select(*reads.columns, "stretch"))
+    return short.union(long.join(joined, "rec_idx", how).select(*reads.columns, "stretch"))
 
 
 def aligned_bases(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:
@@ -71,8 +80,8 @@ def aligned_bases(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFra
     )
 
 
-def coverage(reads: DataFrame, tile: int = 1_000_000) -> DataFrame:
-    """rname, ref_pos, coverage: reads over each position, deletions and skips included.
+def coverage_runs(reads: DataFrame, tile: int = 1_000_000) -> DataFrame:
+    """rname, begin, stop (exclusive), n: stretches of positions that n reads cover, deletions and skips included; none where no read is.
 
     Each read adds +1 at its start and -1 after its end; sums of these, run along tiles of a contig, are the
     coverage. Two rows for each read and tile reach the shuffle, pre-summed, however long the reads are.
@@ -83,8 +92,13 @@ def coverage(reads: DataFrame, tile: int = 1_000_000) -> DataFrame:
     steps = t.select("rname", "tile", F.explode(F.array(F.struct(low.alias("at"), F.lit(1).alias("d")), F.struct((high + 1).alias("at"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.groupBy("rname", "tile", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"))
     w = Window.partitionBy("rname", "tile").orderBy("at")
-    runs = steps.select("rname", "at", F.sum("d").over(w).alias("coverage"), F.lead("at").over(w).alias("next")).where("coverage > 0")
-    return runs.select("rname", F.explode(F.sequence("at", F.col("next") - 1)).alias("ref_pos"), "coverage")
+    return steps.select("rname", F.col("at").alias("begin"), F.lead("at").over(w).alias("stop"), F.sum("d").over(w).alias("n")).where("n > 0")
+
+
+def coverage(reads: DataFrame, tile: int = 1_000_000) -> DataFrame:
+    """rname, ref_pos, coverage: coverage_runs() position by position."""
+    runs = coverage_runs(reads, tile)
+    return runs.select("rname", F.explode(F.sequence("begin", F.col("stop") - 1)).alias("ref_pos"), F.col("n").alias("coverage"))
 
 
 def substitutions(reads: DataFrame, ref: DataFrame, tile: int = TILE) -> DataFrame:

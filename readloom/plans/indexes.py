@@ -282,3 +282,41 @@ def stream_coverage(spark, d):
     r = r.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("rec_idx")))
     with bounded.stateful(spark):
         return collate.replay(spark, r, lambda s: bounded.coverage_stream(s, "30 days"), "append", ordered=True)
+
+
+# ---- data sources
+
+_CONTIGS = [(f"chr{i}", 3_000_000) for i in range(1, 6)]
+
+
+def _written(spark, d, single, stretch=997):
+    """The reads in order of place, stretched over longer contigs, written as BAM; and the folder or file."""
+    import json
+    import uuid
+
+    from readloom.operators.cuts import shared_folder
+    from readloom.sources import datasource
+
+    datasource.register(spark)
+    r = reads(spark, d).withColumns({"pos": F.expr(f"cast(if(pos > 0, (pos - 1) * {stretch} + 1, 0) as int)"), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0)})
+    order = [F.when(F.col("rname") == "*", 1).otherwise(0), "rname", "pos", "rec_idx"]
+    at = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}" + (".bam" if single else "")
+    w = r.repartitionByRange(4, *order).sortWithinPartitions(*order).write.format("readloom-bam").option("refs", json.dumps(_CONTIGS)).option("single", str(single).lower())
+    w.mode("overwrite").save(at)
+    return at
+
+
+@query("select qname, flag, rname, cast(case when pos > 0 then (pos - 1) * 997 + 1 else 0 end as int) as pos, mapq, cigar, seq, qual from reads", "reads")
+def bam_written_and_read(spark, d):
+    """All reads as one BAM file, written by tasks and a commit, and read again."""
+    return spark.read.format("readloom-bam").load(_written(spark, d, True)).select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")
+
+
+@query("select qname, rname, cast((pos - 1) * 997 + 1 as int) as pos from reads where rname = 'chr2' and (pos - 1) * 997 + 1 between 400000 and 900000", "reads")
+def bam_region_pushed(spark, d):
+    """A stretch of a contig from indexed BAM files: the filters choose what is read."""
+    from readloom.sources import bai, datasource
+
+    at = _written(spark, d, False)
+    datasource.write_indexes(bai.to_bai(bai.index_rows(spark, f"{at}/*.bam")))
+    return spark.read.format("readloom-bam").load(at).where("rname = 'chr2' and pos >= 400000 and pos <= 900000").select("qname", "rname", "pos")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -20,6 +21,9 @@ from readloom.functions.cigar import OPS
 from readloom.sources import ranges
 
 _BASES = "=ACMGRSVTWYHKDBN"
+#: The two bases of a byte, and scores as letters.
+_TWO = [a + b for a in _BASES for b in _BASES]
+_SCORES = bytes(min(q + 33, 255) for q in range(256))
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,struct<type:string,value:string>>, rec_idx long"
 _NUMBER = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
@@ -35,15 +39,20 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def deflate(data: bytes, block: int = 65_000) -> bytes:
+#: Bytes of content in a block that is written.
+BLOCK = 65_000
+
+
+def block(part: bytes) -> bytes:
+    """One block of at most BLOCK bytes."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(part) + z.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+
+def deflate(data: bytes, size: int = BLOCK, end: bytes = END) -> bytes:
     """data as blocks, with the mark of the end."""
-    out = []
-    for i in range(0, len(data), block):
-        part = data[i : i + block]
-        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = z.compress(part) + z.flush()
-        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join([*out, END])
+    return b"".join([*(block(data[i : i + size]) for i in range(0, len(data), size)), end])
 
 
 def _tag(data: bytes, at: int) -> tuple[str, str, str, int]:
@@ -90,7 +99,7 @@ def _record(data, at: int, refs: list[tuple[str, int]]) -> tuple[tuple, int]:
     p += 4 * n_ops
     packed = data[p : p + (l_seq + 1) // 2]
     p += (l_seq + 1) // 2
-    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
+    seq = "".join(map(_TWO.__getitem__, packed))[:l_seq]
     q = data[p : p + l_seq]
     p += l_seq
     tags = {}
@@ -99,7 +108,7 @@ def _record(data, at: int, refs: list[tuple[str, int]]) -> tuple[tuple, int]:
         tags[k] = {"type": kind, "value": v}
     return (
         qname, flag, name(ref), pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", name(mate), mpos + 1, tlen,
-        seq or "*", "*" if not l_seq or q[0] == 255 else bytes(x + 33 for x in q).decode(), list(tags.items()),
+        seq or "*", "*" if not l_seq or q[0] == 255 else q.translate(_SCORES).decode("latin-1"), list(tags.items()),
     ), stop
 
 
@@ -112,10 +121,12 @@ def records(data: bytes):
 
 
 def _blocks(f, at: int, length: int):
-    """(place in the file, content) of blocks from a block's place on."""
+    """(place in the file, content) of blocks from a block's place on. Pieces that are read grow from 64 KB, the most that a block has, to 1 MB."""
+    size_read = 1 << 16
     while at < length:
         f.seek(at)
-        buf, k = f.read(1 << 20), 0
+        buf, k = f.read(size_read), 0
+        size_read = min(2 * size_read, 1 << 20)
         while k + 18 <= len(buf):
             if buf[k : k + 4] != b"\x1f\x8b\x08\x04" or buf[k + 12 : k + 14] != b"BC":
                 raise ValueError(f"no block at {at + k}")
@@ -225,18 +236,25 @@ def walk(f, begin: int, stop: int, length: int, refs: list[tuple[str, int]]):
 
 def _dictionary(f, length: int) -> tuple[list[tuple[str, int]], int]:
     """Contigs of a file, and the virtual place of its first record."""
-    data, marks = b"", []
+    data, marks, enough = bytearray(), [], 0
     for at, part in _blocks(f, 0, length):
         marks.append((len(data), at))
         data += part
+        if len(data) < enough:
+            continue
         try:
-            _, refs, stop = header(data)
+            _, refs, stop = header(bytes(data))
         except (struct.error, IndexError, UnicodeDecodeError):
+            enough = 2 * len(data)  # a header of many blocks isn't read anew at each
             continue
         if stop < len(data):
             k = bisect.bisect_right(marks, (stop, 1 << 62)) - 1
             return refs, marks[k][1] << 16 | stop - marks[k][0]
-    return header(data)[1], length << 16
+    _, refs, stop = header(bytes(data))
+    if stop >= len(data):
+        return refs, length << 16
+    k = bisect.bisect_right(marks, (stop, 1 << 62)) - 1
+    return refs, marks[k][1] << 16 | stop - marks[k][0]
 
 
 def split_records(f, begin: int, stop: int, length: int):
@@ -253,38 +271,54 @@ def split_records(f, begin: int, stop: int, length: int):
     yield from walk(f, first, stop << 16, length, refs)
 
 
-def encode(reads, refs: list[tuple[str, int]], text: str = "") -> bytes:
-    """A BAM file of records (dicts by column of SCHEMA)."""
-    import re
-
-    number = {n: i for i, (n, _) in enumerate(refs)} | {"*": -1}
+def header_bytes(refs: list[tuple[str, int]], text: str = "") -> bytes:
+    """A header's content, not yet in blocks."""
     raw = text.encode()
     out = [b"BAM\1" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(refs))]
     for n, length in refs:
         out.append(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length))
-    for r in reads:
-        ops = [int(n) << 4 | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"])]
-        seq = "" if r["seq"] == "*" else r["seq"]
-        nyb = [_BASES.index(b) if b in _BASES else 15 for b in seq.upper()] + [0] * (len(seq) % 2)
-        tags = b""
-        for k, t in sorted((r.get("tags") or {}).items()):
-            tags += k.encode() + t["type"].encode()
-            v = t["value"]
-            if t["type"] == "A":
-                tags += v.encode()
-            elif t["type"] in "ZH":
-                tags += v.encode() + b"\0"
-            elif t["type"] == "B":
-                sub, *items = v.split(",")
-                tags += sub.encode() + struct.pack("<i", len(items)) + b"".join(struct.pack(_NUMBER[sub], float(x) if sub == "f" else int(x)) for x in items)
-            else:
-                tags += struct.pack(_NUMBER[t["type"]], float(v) if t["type"] == "f" else int(v))
-        span = sum(o >> 4 for o in ops if OPS[o & 15] in "MDN=X") or 1
-        body = struct.pack("<iiBBHHHiiii", number[r["rname"]], r["pos"] - 1, len(r["qname"]) + 1, r["mapq"], _bin(r["pos"] - 1, r["pos"] - 1 + span), len(ops), r["flag"], len(seq), number[r.get("rnext") or "*"], (r.get("pnext") or 0) - 1, r.get("tlen") or 0)
-        body += r["qname"].encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(nyb[::2], nyb[1::2], strict=True))
-        body += b"\xff" * len(seq) if r["qual"] == "*" else bytes(ord(c) - 33 for c in r["qual"])
-        out.append(struct.pack("<i", len(body) + len(tags)) + body + tags)
-    return deflate(b"".join(out))
+    return b"".join(out)
+
+
+def numbers(refs: list[tuple[str, int]]) -> dict[str, int]:
+    return {n: i for i, (n, _) in enumerate(refs)} | {"*": -1}
+
+
+_ELEMENT = re.compile(r"(\d+)([MIDNSHP=X])")
+_NYBBLE = bytes(max(_BASES.find(chr(i).upper()), 0) if chr(i).upper() in _BASES else 15 for i in range(256))
+_PHRED = bytes(max(i - 33, 0) for i in range(256))
+
+
+def record_bytes(r, number: dict[str, int]) -> bytes:
+    """A record (a dict by column of SCHEMA) as it stands in a file."""
+    ops = [int(n) << 4 | OPS.index(o) for n, o in _ELEMENT.findall(r["cigar"])]
+    seq = "" if r["seq"] == "*" else r["seq"]
+    nyb = seq.encode("latin-1").translate(_NYBBLE) + b"\0" * (len(seq) % 2)
+    tags = []
+    for k, t in sorted((r.get("tags") or {}).items()):
+        kind, v = t["type"], t["value"]
+        if kind == "A":
+            said = v.encode()
+        elif kind in "ZH":
+            said = v.encode() + b"\0"
+        elif kind == "B":
+            sub, *items = v.split(",")
+            said = sub.encode() + struct.pack("<i", len(items)) + b"".join(struct.pack(_NUMBER[sub], float(x) if sub == "f" else int(x)) for x in items)
+        else:
+            said = struct.pack(_NUMBER[kind], float(v) if kind == "f" else int(v))
+        tags.append(k.encode() + kind.encode() + said)
+    tags = b"".join(tags)
+    span = sum(o >> 4 for o in ops if OPS[o & 15] in "MDN=X") or 1
+    body = struct.pack("<iiBBHHHiiii", number[r["rname"]], r["pos"] - 1, len(r["qname"]) + 1, r["mapq"], _bin(r["pos"] - 1, r["pos"] - 1 + span), len(ops), r["flag"], len(seq), number[r.get("rnext") or "*"], (r.get("pnext") or 0) - 1, r.get("tlen") or 0)
+    body += r["qname"].encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(nyb[::2], nyb[1::2], strict=True))
+    body += b"\xff" * len(seq) if r["qual"] == "*" else r["qual"].encode("latin-1").translate(_PHRED)
+    return struct.pack("<i", len(body) + len(tags)) + body + tags
+
+
+def encode(reads, refs: list[tuple[str, int]], text: str = "") -> bytes:
+    """A BAM file of records (dicts by column of SCHEMA)."""
+    number = numbers(refs)
+    return deflate(b"".join([header_bytes(refs, text), *(record_bytes(r, number) for r in reads)]))
 
 
 def _bin(begin: int, end: int) -> int:
