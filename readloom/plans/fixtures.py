@@ -25,11 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ref_id, rname, seq: five contigs."""
+    """ref_id, rname, seq: five contigs, the letters of whole documents."""
     d = table(spark, sf_dir, "documents")
     chosen = d.where("n_chars >= 3000").groupBy((F.col("doc_id") % 5).alias("ref_id")).agg(F.min("doc_id").alias("doc_id"))
     letters = F.translate(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), AZ, NT)
-    return chosen.join(d.select("doc_id", "text"), "doc_id").select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("rname"), F.substring(letters, 1, 2000).alias("seq"))
+    return chosen.join(d.select("doc_id", "text"), "doc_id").select("ref_id", F.concat(F.lit("chr"), (F.col("ref_id") + 1).cast("string")).alias("rname"), letters.alias("seq"))
 
 
 _BITS = """cast(1 + 2*(case when t%3=0 then 1 else 0 end) + 4*unm + 16*(k%2) + 64*(1-k%2) + 128*(k%2)
@@ -46,7 +46,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records: qname, flag, rname, pos, mapq, cigar, seq, qual, tags, aln_end, rec_idx."""
     o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     o = o.selectExpr("o_orderkey as k", "cast(floor(o_orderkey / 2) as bigint) as t", "cast(round(o_totalprice * 100) as bigint) as cents", "md5(cast(o_orderkey as string)) as h")
-    # five contigs of at most 2000 letters: small by construction, and met with the orders where these are read
+    # five contigs, each the letters of one document, are met with the orders where these are read
     p = o.join(F.broadcast(ref(spark, sf_dir)), F.col("ref_id") == F.col("t") % 5).selectExpr("*", "cast(1 + (cents % (length(seq) - 80)) as int) as pos", "case when k % 23 = 0 then 1 else 0 end as unm", f"{_SHAPE} as cig")
     out = p.selectExpr(
         "concat('t', cast(t as string)) as qname", f"{_BITS} as flag", "case when unm=1 then '*' else rname end as rname", "case when unm=1 then 0 else pos end as pos",
@@ -87,7 +87,7 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views in DuckDB SQL; each may use those before it.
 VIEWS = {
-    "ref": f"""select c.ref_id, c.rname, substring(translate(regexp_replace(upper(d.text), '[^A-Z]', '', 'g'), '{AZ}', '{NT}'), 1, 2000) as seq
+    "ref": f"""select c.ref_id, c.rname, translate(regexp_replace(upper(d.text), '[^A-Z]', '', 'g'), '{AZ}', '{NT}') as seq
        from (select doc_id % 5 as ref_id, concat('chr', cast(doc_id % 5 + 1 as varchar)) as rname, min(doc_id) as doc_id from documents where n_chars >= 3000 group by 1, 2) c
        join documents d on c.doc_id = d.doc_id""",
     "reads0": f"""select concat('t', cast(t as varchar)) as qname, {_BITS} as flag, case when unm=1 then '*' else rname end as rname, case when unm=1 then 0 else pos end as pos,
