@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators import evidence, index, masks, refs
@@ -322,3 +325,65 @@ def bam_region_pushed(spark, d):
     at = _written(spark, d, False)
     datasource.write_indexes(bai.to_bai(bai.index_rows(spark, f"{at}/*.bam")))
     return spark.read.format("readloom-bam").load(at).where("rname = 'chr2' and pos >= 400000 and pos <= 900000").select("qname", "rname", "pos")
+
+
+@query("""select rec_idx // 1000 * 1000 as container, cast(row_number() over (partition by rname, rec_idx // 1000 order by rec_idx // 500) - 1 as int) as slice, ref, start, span, n, names_md5 from (
+    select rname, rec_idx // 500 * 500 as rec_idx, cast(right(rname, 1) as int) - 1 as ref, cast(min(pos) as int) as start, cast(max(aln_end) - min(pos) + 1 as int) as span, count(*) as n, md5(string_agg(qname, chr(10) order by rec_idx)) as names_md5
+    from reads where (flag & 4) = 0 group by rname, rec_idx // 500) x""", "reads")
+def cram_framing(spark, d):
+    """Placed reads in containers of one contig and of 1,000 record numbers, two slices to each: written as bytes by tasks and parsed again."""
+    from readloom.sources import cram_blocks
+
+    ref_id = F.expr("cast(right(rname, 1) as int) - 1")
+    r = reads(spark, d).where("flag & 4 = 0")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_idx", "qname"))), lambda x: x["qname"]), "\n").cast("binary")
+    g = r.groupBy(ref_id.alias("ref"), F.expr("rec_idx div 500").alias("part")).agg(
+        F.min("pos").alias("start"), (F.max("aln_end") - F.min("pos") + 1).cast("int").alias("span"), F.count("*").cast("int").alias("n"), F.sum(F.length("seq")).alias("bases"), F.min("rec_idx").alias("first"), names.alias("data"),
+    )
+    slices = g.withColumns({"container": F.expr("(part div 2) * 10 + ref"), "slice": F.col("part")})
+    out = cram_blocks.parsed(cram_blocks.containers_of(slices))
+    return out.select(F.expr("container div 10 * 1000").alias("container"), "slice", "ref", "start", "span", "n", F.md5("data").alias("names_md5"))
+
+
+@query("select rname, cast(i * 700 + 1 as bigint) as start, cast(i * 700 + 900 as bigint) as stop, upper(substring(seq, i * 700 + 1, 900)) as seq from (select rname, seq, unnest(range(0, (length(seq) + 699) // 700)) as i from ref) x", "ref")
+def ref_by_ur(spark, d):
+    """Stretches over all contigs, each from the FASTA file that its header line names: three files with an index each."""
+    import uuid
+
+    from readloom.operators.cuts import shared_folder
+    from readloom.sources import datasource, fasta
+
+    r = ref(spark, d)
+    home = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    ur = F.concat(F.lit(f"{home}/"), (F.col("ref_id") % 3).cast("string"), F.lit(".fa")).alias("ur")
+    texts, indexes = [], []
+    joined = lambda of, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*of, line.alias("line")))), lambda x: x["line"]), "").cast("binary").alias("content")
+    for k in range(3):
+        own, path = r.where(F.col("ref_id") % 3 == k), F.lit(f"{home}/{k}.fa")
+        fasta_line = F.concat(F.lit(">"), "rname", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n"), F.lit("\n"))
+        texts.append(own.groupBy(path.alias("path")).agg(joined(["ref_id"], fasta_line)))  # five contigs in all
+        index_line = F.concat(F.concat_ws("\t", "rname", "length", "start", "line_bases", "line_bytes"), F.lit("\n"))
+        indexes.append(refs.fasta_index(own).groupBy(F.concat(path, F.lit(".fai")).alias("path")).agg(joined(["start"], index_line)))
+    datasource.put(functools.reduce(DataFrame.union, texts + indexes))
+    lines = r.select(F.concat(F.lit("@SQ\tSN:"), "rname", F.lit("\tLN:"), F.length("seq"), F.lit("\tUR:"), ur).alias("value"))
+    wanted = r.select("rname", F.explode(F.expr("sequence(0L, (length(seq) + 699) div 700 - 1)")).alias("i")).selectExpr("rname", "i * 700 + 1 as start", "i * 700 + 900 as stop")
+    return fasta.by_header(fasta.dictionary_of(lines), wanted, 8)
+
+
+@query("select rname, md5(seq) as whole, upper(substring(seq, 1001, 500)) as part from ref", "ref")
+def sealed_round_trip(spark, d):
+    """Contigs as sealed files of small blocks: opened whole, and from letter 1,001 on for 500 letters."""
+    import uuid
+
+    from readloom.operators.cuts import shared_folder
+    from readloom.sources import datasource, sealed
+
+    home, key = f"{shared_folder(spark)}/sealed-{uuid.uuid4().hex}", "0123456789abcdef"
+    datasource.put(ref(spark, d).select(F.concat(F.lit(f"{home}/plain/"), "rname").alias("path"), F.col("seq").cast("binary").alias("content")))
+    sealed.seal(spark, f"{home}/plain", f"{home}/sealed", key, block=300, blocks=2)
+    name = F.element_at(F.split("name", "/"), -1).alias("rname")
+    pieces = F.array_sort(F.collect_list(F.struct("begin", F.col("content").cast("string").alias("c"))))
+    text = F.array_join(F.transform(pieces, lambda x: x["c"]), "")
+    whole = sealed.opened(spark, f"{home}/sealed", key).groupBy(name).agg(F.md5(text).alias("whole"))
+    part = sealed.opened(spark, f"{home}/sealed", key, 1000, 1500).groupBy(name).agg(F.upper(text).alias("part"))
+    return whole.join(part, "rname")

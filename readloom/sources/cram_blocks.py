@@ -250,3 +250,31 @@ def renumbered(b: bytes, counter: int, version: int = 3) -> bytes:
     whole = b"".join(out)
     return container_header(len(whole), ref, start, span, n, first, bases, blocks, moved, version) + whole
 
+
+def containers_of(slices: DataFrame) -> DataFrame:
+    """container, content: containers' bytes, made by tasks. slices: container, slice, ref, start, span, n, bases, first (number of the container's first record) and data (binary, one external block)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
+        made = [Slice(r["ref"], r["start"], r["span"], r["n"], ids=[1], blocks=[block(EXTERNAL, 1, r["data"])]) for r in rows]
+        return pa.table({"container": [rows[0]["container"]], "content": [container(made, b"", min(r["first"] for r in rows), sum(r["bases"] for r in rows))]})
+
+    return slices.groupBy("container").applyInArrow(run, "container long, content binary")
+
+
+def parsed(containers: DataFrame) -> DataFrame:
+    """container, slice, ref, start, span, n, counter, data of the slices in containers' bytes (container, content); data: the first data block."""
+    names = ["container", "slice", "ref", "start", "span", "n", "counter", "data"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches):
+        for b in batches:
+            for key, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c, rows = content.as_py(), []
+                _, own = cram._header(c, 3)
+                for k, (mark, _, s) in enumerate(slices_of(c, 3)):
+                    after = read_block(c, own + mark)[3]
+                    rows.append((key, k, s.ref, s.start, s.span, s.n, s.counter, read_block(c, after)[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return containers.select("container", "content").mapInArrow(run, "container long, slice int, ref int, start int, span int, n long, counter long, data binary")

@@ -329,20 +329,28 @@ class BamSource(DataSource):
         return BamWriter(self.options, overwrite)
 
 
-def write_indexes(indexes) -> int:
-    """Put indexes (path, content) beside their files, as `path.bai`; returns how many."""
+def put(files) -> int:
+    """Write files (path, content) by tasks, each aside first and then moved into place; returns how many."""
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                system, inner = _system(f"{path}.bai")
+                system, inner = _system(path)
+                system.create_dir(inner.rpartition("/")[0], recursive=True)
                 aside = f"{inner}.{uuid.uuid4().hex}"
                 with system.open_output_stream(aside) as out:
                     out.write(content.as_py())
                 system.move(aside, inner)
                 yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    return indexes.select("path", "content").mapInArrow(run, "path string").count()
+    return files.select("path", "content").mapInArrow(run, "path string").count()
+
+
+def write_indexes(indexes) -> int:
+    """Put indexes (path, content) beside their files, as `path.bai`; returns how many."""
+    from pyspark.sql import functions as F
+
+    return put(indexes.select(F.concat("path", F.lit(".bai")).alias("path"), "content"))
 
 
 def with_header(data: bytes, length: int, first: int, text: str, refs: list[tuple[str, int]]) -> tuple[bytes, int]:
