@@ -17,7 +17,8 @@ parts estimate the restaurant's tables from their share, and the exact sum is fo
 
 Defined results: a null text is empty and has the end token alone; repeated rows are scored alike and
 each counts in training; without training documents all words are unknown; an empty table gives an
-empty result; other columns are ignored. A null id counts as the text '' in the crc32.
+empty result; other columns are ignored. A null id counts as the text '' in the crc32. A very long text is a chunk of its own and must fit a task; ties don't
+arise, as nothing is ordered but numbers of words.
 """
 
 from __future__ import annotations
@@ -285,6 +286,17 @@ class _Home:
         return c[by], k[by], b[by], order, part[order], pb[order]
 
 
+#: Bits of a part's number: parts of SPLIT customers for some 3e12 of one context; names have 39.
+PART_BITS = 24
+
+
+def part_key(name: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """One number for a part of a context; numbers that would run into the next context's are an error."""
+    if len(part) and (int(part.max()) >> PART_BITS or int(name.max()) >> (63 - PART_BITS)):
+        raise OverflowError("too many contexts, or parts of one")
+    return (name << PART_BITS) + part
+
+
 def _send_pairs(table: pa.Table, buckets: int) -> pa.Table:
     """From one chunk: its pairs with training counts to the contexts' buckets, its words to the parent's."""
     home = _Home(table, buckets)
@@ -293,8 +305,7 @@ def _send_pairs(table: pa.Table, buckets: int) -> pa.Table:
     count = np.bincount(home.pair[train], minlength=len(home.pairs))
     c, k, b, order, part, pb = home.layout(buckets)
     edge, pedge = np.searchsorted(b, np.arange(buckets + 1)), np.searchsorted(pb, np.arange(buckets + 1))
-    key = (home.name[c] << 16) + k
-    pkey = (home.name[home.context[order]] << 16) + part
+    key, pkey = part_key(home.name[c], k), part_key(home.name[home.context[order]], part)
     dish, count = home.word[home.dish[order]], count[order]
     rows = []
     for i in range(buckets):

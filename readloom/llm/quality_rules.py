@@ -7,7 +7,8 @@ their own. Guards: a histogram is only judged from so many characters or words o
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a
 language of its own; documents of a language with few documents (MIN_DOCS) are judged by the base
-rules alone, those of one without a list of common words by character classes; repeated rows get equal rows; an empty table gives an empty result; other columns are ignored.
+rules alone, those of one without a list of common words by character classes; repeated rows get equal rows; a very long text is counted whole (repeated
+windows by sorted integers, in memory in proportion to it); a distance equal to its limit passes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

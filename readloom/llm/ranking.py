@@ -10,7 +10,8 @@ a hash of the id), of which ids with crc32 mod 5 = 0 are held out. Every documen
 
 Defined results: a null or empty text has features of its own and gets a score like any other;
 repeated rows get equal rows; unlabelled rows and null labels teach nothing; a document labelled
-both ways counts as both; without labels of both kinds every score is 0.5; other columns are ignored.
+both ways counts as both; without labels of both kinds every score is 0.5; a very long text is read whole, its
+features are shares; documents that tie at the quantile have one score, all at the threshold or above it are 1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
