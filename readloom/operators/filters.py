@@ -50,8 +50,13 @@ class Region:
         """overlapping, contained or starting_at; a placed read without an extent counts at its start. The name `*` asks for unplaced reads."""
         if self.name == "*":
             return F.col("rname") == "*"
-        pos, end = F.col("pos"), F.greatest("pos", "aln_end")
-        where = {"overlapping": (pos <= self.end) & (end >= self.start), "contained": (pos >= self.start) & (end <= self.end), "starting_at": pos == self.start}[how]
+        # plain comparisons, which reach the scan: the end of a read is the greater one of both columns
+        pos, end = F.col("pos"), F.col("aln_end")
+        where = {
+            "overlapping": (pos <= self.end) & ((end >= self.start) | (pos >= self.start)),
+            "contained": (pos >= self.start) & (pos <= self.end) & ((end <= self.end) | end.isNull()),
+            "starting_at": pos == self.start,
+        }[how]
         return (F.col("rname") == self.name) & where
 
 
@@ -61,8 +66,9 @@ def in_region(reads: DataFrame, spec: str, how: str = "overlapping") -> DataFram
 
 def in_regions(reads: DataFrame, specs: list[str], how: str = "overlapping") -> DataFrame:
     """One result for each region, put together: a read that lies in two regions comes twice. One pass over the reads."""
-    hits = F.array(*(F.when(Region.parse(s).test(how), F.lit(i)) for i, s in enumerate(specs)))
-    return reads.withColumn("region", F.explode(F.filter(hits, lambda x: x.isNotNull())))
+    tests = [Region.parse(s).test(how) for s in specs]
+    hits = F.array(*(F.when(t, F.lit(i)) for i, t in enumerate(tests)))
+    return reads.where(any_of(tests) if tests else F.lit(False)).withColumn("region", F.explode(F.filter(hits, lambda x: x.isNotNull())))
 
 
 def unmapped(reads: DataFrame) -> DataFrame:
@@ -103,5 +109,23 @@ def validation_summary(reads: DataFrame, ignore: tuple[str, ...] = ()) -> DataFr
     return reads.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def validation_with_reference(reads: DataFrame, ref: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """validation_summary() with the rules that need the contigs, the CIGAR or the mate: CIGARs that don't fit their bases, contigs that ref lacks, alignments beyond their contig, and pairs whose flags don't agree. One row for each rule that is broken."""
+    from readloom.functions import cigar
+    from readloom.operators import pairing
+
+    placed = ~has(F.col("flag"), 4)
+    lengths = ref.select("rname", F.length("seq").alias("__length"))  # a row for each contig
+    r = reads.where(placed).join(lengths, "rname", "left")
+    fits = cigar.total(cigar.parse(F.col("cigar")), cigar.READ_OPS) == F.length("seq")
+    rules = {"cigar_length_differs": (F.col("cigar") != "*") & (F.col("seq") != "*") & ~fits, "unknown_contig": F.col("__length").isNull(), "beyond_contig": F.col("aln_end") > F.col("__length")}
+    broken = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items() if n not in ignore)))
+    out = validation_summary(reads, ignore).unionByName(r.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n")))
+    if "mates_disagree" in ignore:
+        return out
+    pairs = pairing.flag_check(reads).where("not consistent").agg(F.lit("mates_disagree").alias("rule"), F.count("*").alias("n")).where("n > 0")
+    return out.unionByName(pairs)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

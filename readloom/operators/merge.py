@@ -45,12 +45,18 @@ def distinct_ids(sources: DataFrame, ident: str = "id", order: str = "i") -> Dat
     return sources.withColumn("unique_id", F.when(n > 1, F.concat(F.col(ident), i.cast("string"))).otherwise(F.col(ident)))
 
 
+#: Bits of a record's number beside its mapping quality (a byte) in one long.
+_NUMBER_BITS = 55
+
+
 def best_of_name(reads: DataFrame) -> DataFrame:
-    """One record for each name: the highest mapping quality, on a tie the first.
+    """One record for each name: the highest mapping quality, on a tie the first. A null quality counts as 0.
 
-    Only numbers are grouped, in hash tables before and after the shuffle (the best quality of a name, then the first record
-    that has it); whole records are met by their number.
+    Quality and number make one long, so a name's best record is one maximum, in hash tables before and after the shuffle; whole records are
+    met by their number.
     """
-    top = reads.groupBy("qname").agg(F.max("mapq").alias("mapq"))
-    first = reads.select("qname", "mapq", "rec_idx").join(top, ["qname", "mapq"]).groupBy("qname").agg(F.min("rec_idx").alias("rec_idx"))
-    return reads.join(first.select("rec_idx"), "rec_idx", "left_semi")
+    unit = 1 << _NUMBER_BITS
+    quality = F.coalesce(F.col("mapq"), F.lit(0)).cast("long")
+    top = reads.groupBy("qname").agg(F.max(quality * F.lit(unit) - F.col("rec_idx")).alias("top"))
+    number = F.shiftright(F.col("top") + F.lit(unit - 1), _NUMBER_BITS) * F.lit(unit) - F.col("top")
+    return reads.join(top.select(number.alias("rec_idx")), "rec_idx", "left_semi")

@@ -114,6 +114,27 @@ def validation_summary(spark, d):
     return filters.validation_summary(reads(spark, d))
 
 
+@query("""select rule, count(*) as n from (
+      select case when (flag & 4) <> 0 and mapq <> 0 then 'mapq_of_unmapped' end as rule from reads
+      union all select case when (flag & 4) <> 0 and cigar <> '*' then 'unmapped_with_cigar' end from reads
+      union all select case when (flag & 4) = 0 and pos < 1 then 'mapped_without_position' end from reads
+      union all select case when (flag & 64) <> 0 and (flag & 128) <> 0 then 'first_and_second' end from reads
+      union all select case when length(seq) <> length(qual) then 'lengths_differ' end from reads
+      union all select case when (flag & 1) = 0 and (flag & 234) <> 0 then 'pair_bits_without_pair' end from reads
+      union all select case when rec_idx % 41 = 0 or length(seq) <> 32 then 'cigar_length_differs' end from reads where (flag & 4) = 0
+      union all select case when rec_idx % 43 = 0 then 'unknown_contig' end from reads where (flag & 4) = 0
+      union all select case when rec_idx % 43 <> 0 and rec_idx % 50 = 0 then 'beyond_contig' end from reads where (flag & 4) = 0
+      union all select case when not ((a.flag & 1) <> 0 and (b.flag & 1) <> 0 and ((a.flag & 8) <> 0) = ((b.flag & 4) <> 0) and ((b.flag & 8) <> 0) = ((a.flag & 4) <> 0) and ((a.flag & 32) <> 0) = ((b.flag & 16) <> 0)
+        and ((b.flag & 32) <> 0) = ((a.flag & 16) <> 0) and ((a.flag & 2) <> 0) = ((b.flag & 2) <> 0)) then 'mates_disagree' end from reads a join reads b on a.qname = b.qname and a.rec_idx <> b.rec_idx) x where rule is not null group by rule""", "reads")
+def validation_with_reference(spark, d):
+    """Planted: a CIGAR too long in every 41st record, a contig that isn't known in every 43rd, an end beyond the contig in every 50th."""
+    r = reads(spark, d).withColumns({
+        "cigar": F.expr("if(rec_idx % 41 = 0 and flag & 4 = 0, concat(cigar, '1M'), cigar)"), "rname": F.expr("if(rec_idx % 43 = 0 and flag & 4 = 0, 'chrUn', rname)"),
+        "aln_end": F.expr("if(rec_idx % 50 = 0 and flag & 4 = 0, aln_end + 100000000, aln_end)"),
+    })
+    return filters.validation_with_reference(r, ref(spark, d))
+
+
 @query("select rec_idx, cast(seq as varchar) as seq, rname from reads", "reads")
 def select_fields(spark, d):
     return projections.select(reads(spark, d), "SEQ:RNAME")
