@@ -34,10 +34,15 @@ def base_counts(spark, d):
     return pileup.base_counts(aligned(spark, d), 3).select("rname", "ref_pos", "ref_base", *(F.col(f"n_{b}").cast("long") for b in "acgt"))
 
 
-@query(f"""select rname, ref_pos from ({_COUNTS.format(c=15)}) x where ((ref_base <> 'A' and n_a >= 2) or (ref_base <> 'C' and n_c >= 2) or (ref_base <> 'G' and n_g >= 2) or (ref_base <> 'T' and n_t >= 2))
+_SEEN = _COUNTS.format(c=15).replace("from aligned where", "from (select * replace (case when rec_idx % 3 = 0 and ref_pos % 10 = 0 then 'A' else base end as base) from aligned) y where")
+
+
+@query(f"""select rname, ref_pos from ({_SEEN}) x where ((ref_base <> 'A' and n_a >= 2) or (ref_base <> 'C' and n_c >= 2) or (ref_base <> 'G' and n_g >= 2) or (ref_base <> 'T' and n_t >= 2))
     and n_a + n_c + n_g + n_t <= 10""", "aligned")
 def keep_positions(spark, d):
-    return pileup.keep_positions(pileup.base_counts(aligned(spark, d), 15), 2, 10).select("rname", "ref_pos")
+    """Every third read is given an A at each tenth position, so some positions have another base than the contig's twice."""
+    seen = aligned(spark, d).withColumn("base", F.expr("case when rec_idx % 3 = 0 and ref_pos % 10 = 0 then 'A' else base end"))
+    return pileup.keep_positions(pileup.base_counts(seen, 15), 2, 10).select("rname", "ref_pos")
 
 
 @query("select rname, min(pos) as first_pos, max(aln_end) as last_pos, count(*) as n from reads group by rname", "reads")

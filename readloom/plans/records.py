@@ -66,9 +66,12 @@ def region_contained(spark, d):
     return _plain(filters.in_region(reads(spark, d), "chr1:500-900", "contained"))
 
 
-@query(f"select {_COLS} from reads where rname = 'chr2' and pos = 130", "reads")
+@query(f"select {_COLS} from reads where rname = 'chr2' and pos = (select max(pos) from reads where rname = 'chr2')", "reads")
 def region_starting_at(spark, d):
-    return _plain(filters.in_region(reads(spark, d), "chr2:130", "starting_at"))
+    """Reads that start where the last ones of the contig do."""
+    r = reads(spark, d)
+    last = r.where("rname = 'chr2'").agg(F.max("pos")).collect()[0][0]
+    return _plain(filters.in_region(r, f"chr2:{last}", "starting_at"))
 
 
 @query(f"""select 0 as region, {_COLS} from reads where rname = 'chr1' and pos <= 400 and greatest(pos, aln_end) >= 100
