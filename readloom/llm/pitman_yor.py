@@ -12,8 +12,10 @@ leaves to the root).
 
 Nothing of the corpus is held in one place. Chunks of documents send their distinct words, and then
 their distinct word pairs, packed, to tasks that own a share of the words or contexts, and get
-back numbers in the order they asked. A frequent context is split by a hash of the following word; the
-parts estimate the restaurant's tables from their share, and the exact sum is formed where it is used.
+back numbers in the order they asked. No chunk or bucket sends to more than 2^FAN others: where there are more buckets rows are dealt in
+several steps, those of many chunks being put together on the way and answers going back likewise, so what is sent is in proportion to the text at any size.
+A frequent context is split by a hash of the following word; the
+parts estimate the restaurant's tables from their share, and their sum is formed at the parent, by the bucket of the word that the context is made of.
 
 Defined results: a null text is empty and has the end token alone; repeated rows are scored alike and
 each counts in training; without training documents all words are unknown; an empty table gives an
@@ -29,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -177,9 +180,151 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _rows(rows, first: str = "bucket") -> pa.Table:
-    rows = list(rows)
-    return pa.table({first: pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
+#: Kinds of rows: a chunk's documents, words, pairs, and what goes to or comes from the parent.
+HOME, WORDS, PAIRS, PARENT = range(4)
+#: Bits of a bucket's number by which one step of the exchange deals.
+FAN = 12
+
+
+def _rows(rows) -> pa.Table:
+    kind, bucket, lot, payload = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), ())
+    return pa.table({"kind": pa.array(kind, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "lot": pa.array(lot, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+
+class Route:
+    """How rows reach their buckets: bits of a bucket's number after each step, and lots in which chunks are put together between steps.
+
+    No task sends to more than 2^FAN others from one chunk, bucket or lot, at any number of buckets.
+    """
+
+    def __init__(self, bits: int, chunks: int):
+        self.bits, self.buckets = bits, 1 << bits
+        self.upto = [*range(FAN, bits, FAN), bits]
+        self.lots = []
+        for _ in self.upto[1:]:
+            chunks = max(1, chunks >> FAN)
+            self.lots.append(chunks)
+
+    def lot(self, chunk, level: int, of: int = 0):
+        """The lot of a chunk (or of a lot of another level); on level 0 the chunk itself."""
+        for n in self.lots[of:level]:
+            chunk = (chunk ^ (chunk >> 24)) % n
+        return chunk
+
+    @property
+    def fan(self) -> int:
+        return 1 << self.upto[0]
+
+    def address(self, bucket, step: int):
+        """Where rows for a bucket of the last step are sent in this one."""
+        return bucket >> (self.bits - self.upto[step])
+
+    def children(self, step: int) -> int:
+        """Bits by which this step's buckets are divided in the next one."""
+        return self.upto[step + 1] - self.upto[step]
+
+
+def _by_hash(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def encode(members, counts, cols, forms: str, *extra) -> bytes:
+    """Items of chunks (members, each with a count of items), column by column.
+
+    Forms: a as it is, p planes of bytes, r runs of equal values, d rises within a chunk, o once for each distinct value of the column two before.
+    """
+    members, counts, out = np.asarray(members, np.int64), np.asarray(counts, np.int64), []
+    for k, (x, form) in enumerate(zip(cols, forms, strict=True)):
+        if form == "a":
+            x = x.dtype.str, x.tobytes()
+        elif form == "p":
+            x = _planes(x)
+        elif form == "r":
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            x = _planes(x[at]), _planes(np.diff(at, append=len(x)))
+        elif form == "d":
+            first = (np.cumsum(counts) - counts)[counts > 0]
+            d = np.diff(x, prepend=x.dtype.type(0))
+            d[first] = x[first]
+            x = _planes(d)
+        elif form == "o":
+            x = _planes(x[np.unique(cols[k - 2], return_index=True)[1]])
+        out.append(x)
+    return pack(_planes(members), _planes(counts), forms, out, extra)
+
+
+def decode(b: bytes):
+    """(members, counts, columns, forms, extra)."""
+    members, counts, forms, packed, extra = unpack(b)
+    members, counts, cols = _unplanes(members), _unplanes(counts), []
+    for k, (x, form) in enumerate(zip(packed, forms, strict=True)):
+        if form == "a":
+            x = np.frombuffer(x[1], x[0])
+        elif form == "p":
+            x = _unplanes(x)
+        elif form == "r":
+            x = np.repeat(_unplanes(x[0]), _unplanes(x[1]))
+        elif form == "d":
+            d = _unplanes(x)
+            c, few = np.cumsum(d), counts[counts > 0]
+            first = np.cumsum(few) - few
+            x = c - np.repeat(c[first] - d[first], few)
+        elif form == "o":
+            x = _unplanes(x)[np.unique(cols[k - 2], return_inverse=True)[1]]
+        cols.append(x)
+    return members, counts, cols, forms, extra
+
+
+def _packs(table: pa.Table):
+    """The decoded rows of a group, in an order that doesn't depend on how they came."""
+    return sorted((decode(p) for p in table["payload"].to_pylist()), key=lambda x: int(x[0][0]))
+
+
+def _columns(packs):
+    return [np.concatenate(x) for x in zip(*(p[2] for p in packs), strict=True)]
+
+
+def _deal(table: pa.Table, route: Route, step: int) -> pa.Table:
+    """Rows of one bucket and lot of a step, put together and dealt into the buckets of the next one. A chunk's documents pass."""
+    kind, bucket, lot = (table[c][0].as_py() for c in ("kind", "bucket", "lot"))
+    if kind == HOME:
+        return table
+    fan, base = 1 << route.children(step), bucket << route.children(step)
+    if lot < 0:
+        return _new_rows(_joined_new(table), route, step + 1, range(base, base + fan), -1 - route.lot(-1 - lot, step + 2, step + 1))
+    packs = _packs(table)
+    cols, forms, extra = _columns(packs), packs[0][3], packs[0][4]
+    members, counts = (np.concatenate([p[i] for p in packs]) for i in (0, 1))
+    to = _by_hash(cols[0], route.bits) if kind == WORDS else _bucket(cols[0] >> PART_BITS, cols[0] & ((1 << PART_BITS) - 1), route.buckets) if kind == PAIRS else cols[1]
+    owner, to = np.repeat(np.arange(len(members)), counts), route.address(to, step + 1) - base
+    order = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(fan + 1))
+    lot = route.lot(int(members[0]), step + 2)
+    out = []
+    for f in range(fan):
+        at = order[edge[f] : edge[f + 1]]
+        out.append((kind, base + f, lot, encode(members, np.bincount(owner[at], minlength=len(members)), [c[at] for c in cols], forms, *extra)))
+    return _rows(out)
+
+
+def _return(table: pa.Table, route: Route, step: int) -> pa.Table:
+    """Answers of the buckets that a bucket of this step was divided into, for one lot: put together for each lot or chunk that had sent to it, what they say of all added up."""
+    kind = table["kind"][0].as_py()
+    if kind == HOME:
+        return table
+    came = sorted(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True))
+    packs = [decode(p) for _, p in came]
+    members, forms = packs[0][0], packs[0][3]
+    cols, counts = _columns(packs), sum(p[1] for p in packs)
+    extra = [sum(x) for x in zip(*(p[4] for p in packs), strict=True)]
+    owner = np.concatenate([np.repeat(np.arange(len(members)), p[1]) for p in packs])
+    order = np.argsort(owner, kind="stable")
+    edge, to, out = np.concatenate([[0], np.cumsum(counts)]), route.lot(members, step), []
+    for lot in np.unique(to):
+        mine = np.flatnonzero(to == lot)
+        at = np.concatenate([order[edge[m] : edge[m + 1]] for m in mine])
+        out.append((kind, came[0][0] >> route.children(step), int(lot), encode(members[mine], counts[mine], [c[at] for c in cols], forms, *extra)))
+    return _rows(out)
 
 
 class _Chunk:
@@ -194,8 +339,8 @@ class _Chunk:
         self.lengths.append(len(w))
         self.bytes += len(text or "")
 
-    def rows(self, chunk: int, bits: int, memo: dict[bytes, int]):
-        """Words with their training counts to each bucket; the documents themselves to a bucket of their own."""
+    def rows(self, chunk: int, route: Route, memo: dict[bytes, int]):
+        """Words with their training counts to each bucket of the first step; the documents themselves to a bucket of their own."""
         if len(memo) > _MEMO:
             memo.clear()
         h = np.empty(len(self.words), np.uint64)
@@ -212,47 +357,48 @@ class _Chunk:
         train = np.repeat(~out, self.lengths)
         count = np.bincount(seq[train], minlength=len(h))
         h = h[order]
-        cuts = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), np.arange((1 << bits) + 1))
-        end = int(rank[self.words[_END]])
-        for b in range(1 << bits):
-            s = slice(cuts[b], cuts[b + 1])
-            yield b, chunk, pack(h[s], _planes(count[s]))
-        yield (1 << bits) + chunk % (1 << bits), chunk, pack(self.ids, out, np.array(self.lengths, np.int64), _planes(seq), end)
-
-
-def _count_words(table: pa.Table, buckets: int) -> pa.Table:
-    """One bucket of words: to each chunk, numbers of its words and their training counts, in its order, and the bucket's totals."""
-    bucket = table["bucket"][0].as_py()
-    chunks = table["chunk"].to_pylist()
-    if bucket >= buckets:
-        return _rows(zip([-1] * len(chunks), chunks, table["payload"].to_pylist(), strict=True))
-    parts = [unpack(p) for p in table["payload"].to_pylist()]
-    h = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([_unplanes(p[1]) for p in parts]) if len(h) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(_by_hash(h, route.upto[0]), np.arange(route.fan + 1))
+        lot = route.lot(chunk, 1)
+        for b in range(route.fan):
+            x = slice(cuts[b], cuts[b + 1])
+            yield WORDS, b, lot, encode([chunk], [cuts[b + 1] - cuts[b]], [h[x], count[x]], "ap")
+        yield HOME, chunk, chunk, pack(self.ids, out, np.array(self.lengths, np.int64), _planes(seq), int(rank[self.words[_END]]))
+
+
+def _count_words(table: pa.Table, route: Route) -> pa.Table:
+    """One bucket of words: to those who asked, numbers of their words and their training counts, in their order, and the bucket's totals."""
+    if table["kind"][0].as_py() == HOME:
+        return table
+    bucket, packs = table["bucket"][0].as_py(), _packs(table)
+    h, c = _columns(packs)
     known, inverse = np.unique(h, return_inverse=True)
     total = np.bincount(inverse, c, len(known)).astype(np.int64)
     out, at = [], 0
-    for k, p in zip(chunks, parts, strict=True):
-        i = inverse[at : at + len(p[0])]
-        out.append((bucket, k, pack(_rise(i), _planes(total[i]), int(total.sum()), int((total > 0).sum()), len(known))))
-        at += len(p[0])
+    for members, counts, (mine, _), *_ in packs:
+        i = inverse[at : at + len(mine)]
+        lot = route.lot(int(members[0]), len(route.lots))
+        out.append((WORDS, bucket, lot, encode(members, counts, [i, total[i], np.full(len(i), bucket)], "dpr", int(total.sum()), int((total > 0).sum()))))
+        at += len(mine)
     return _rows(out)
 
 
 class _Home:
     """A chunk with what the words' buckets said."""
 
-    def __init__(self, table: pa.Table, buckets: int):
-        said = {}
-        for b, p in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True):
-            said[b] = unpack(p)
-        self.ids, self.out, self.lengths, seq, self.end = said.pop(-1)
+    def __init__(self, table: pa.Table, route: Route):
+        said = []
+        for kind, b, p in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "payload")), strict=True):
+            if kind == HOME:
+                self.ids, self.out, self.lengths, seq, self.end = unpack(p)
+            else:
+                said.append((b, decode(p)))
+        said = [x for _, x in sorted(said, key=lambda x: x[0])]
         self.seq = _unplanes(seq)
-        self.index = [_unrise(said[b][0]) for b in range(buckets)]  # numbers within each bucket
-        self.count = np.concatenate([_unplanes(said[b][1]) for b in range(buckets)])
-        self.n, self.v = sum(x[2] for x in said.values()), sum(x[3] for x in said.values())
+        #: Of each word the number within its bucket, the training count, and the bucket.
+        self.index, self.count, self.bucket = _columns(said)
+        self.n, self.v = sum(x[4][0] for x in said), sum(x[4][1] for x in said)
         #: Global word numbers: the number in the bucket, then the bucket.
-        self.word = np.concatenate([i * buckets + b for b, i in enumerate(self.index)])
+        self.word = self.index * route.buckets + self.bucket
         self.start = len(self.word)  # the context before a text
         first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.before = np.concatenate([[self.start], self.seq[:-1]])
@@ -265,25 +411,17 @@ class _Home:
         self.parts = np.maximum(1, -(-self.customers // SPLIT))
         self.name = np.concatenate([self.word + 1, [0]])  # of a context
 
-    def contexts(self, buckets: int):
-        """(context, part, bucket) of every part of every context that occurs here."""
-        u = np.unique(self.context)
-        n = self.parts[u]
-        c = np.repeat(u, n)
-        k = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
-        return c, k, self._bucket(c, k, buckets)
-
-    def _bucket(self, c, k, buckets):
-        return (_mix(_mix(self.name[c]) + k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
     def layout(self, buckets: int):
-        """Orders in which contexts' parts, and pairs, are sent: by bucket, context, part (, word)."""
-        c, k, b = self.contexts(buckets)
-        by = np.lexsort((k, c, b))
+        """The order in which pairs are sent: by bucket, context, part, word; in that order their parts and buckets."""
         part = (_mix(self.word[self.dish] + 1) % self.parts[self.context].astype(np.uint64)).astype(np.int64)
-        pb = self._bucket(self.context, part, buckets)
-        order = np.lexsort((self.dish, part, self.context, pb))
-        return c[by], k[by], b[by], order, part[order], pb[order]
+        to = _bucket(self.name[self.context], part, buckets)
+        order = np.lexsort((self.dish, part, self.context, to))
+        return order, part[order], to[order]
+
+
+def _bucket(name: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a part of a context."""
+    return (_mix(_mix(name) + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 #: Bits of a part's number: parts of SPLIT customers for some 3e12 of one context; names have 39.
@@ -297,105 +435,116 @@ def part_key(name: np.ndarray, part: np.ndarray) -> np.ndarray:
     return (name << PART_BITS) + part
 
 
-def _send_pairs(table: pa.Table, buckets: int) -> pa.Table:
+def _send_pairs(table: pa.Table, route: Route) -> pa.Table:
     """From one chunk: its pairs with training counts to the contexts' buckets, its words to the parent's."""
-    home = _Home(table, buckets)
-    chunk = table["chunk"][0].as_py()
+    home, chunk = _Home(table, route), table["lot"][0].as_py()
     train = np.repeat(~home.out, home.lengths)
     count = np.bincount(home.pair[train], minlength=len(home.pairs))
-    c, k, b, order, part, pb = home.layout(buckets)
-    edge, pedge = np.searchsorted(b, np.arange(buckets + 1)), np.searchsorted(pb, np.arange(buckets + 1))
-    key, pkey = part_key(home.name[c], k), part_key(home.name[home.context[order]], part)
-    dish, count = home.word[home.dish[order]], count[order]
+    order, part, to = home.layout(route.buckets)
+    context, dish = home.context[order], home.dish[order]
+    # pairs, with the parts of their contexts and how often their words occur in all training documents
+    cols = [part_key(home.name[context], part), home.parts[context], home.word[dish], count[order], home.count[dish]]
+    every = np.arange(route.fan + 1)
+    edge, wedge = np.searchsorted(route.address(to, 0), every), np.searchsorted(route.address(home.bucket, 0), every)
+    rows, lot = [], route.lot(chunk, 1)
+    for i in range(route.fan):
+        s, w = slice(edge[i], edge[i + 1]), slice(wedge[i], wedge[i + 1])
+        rows.append((PAIRS, i, lot, encode([chunk], [edge[i + 1] - edge[i]], [c[s] for c in cols], "rrppo", home.n, home.v)))
+        rows.append((PARENT, i, lot, encode([chunk], [wedge[i + 1] - wedge[i]], [home.index[w], home.bucket[w]], "dr", home.v)))
+    return _rows(rows)
+
+
+def _sums(key: np.ndarray, x: np.ndarray):
+    known, i = np.unique(key, return_inverse=True)
+    return known, np.bincount(i, x, len(known))
+
+
+def _joined_new(table: pa.Table):
+    """Words with new customers of the parent, and contexts with tables, of several rows."""
+    word, new, name, tables = (np.concatenate(x) for x in zip(*([_unrise(a), _unplanes(b), _unrise(c), d] for a, b, c, d in map(unpack, table["payload"].to_pylist())), strict=True))
+    word, new = _sums(word, new)
+    return word, new.astype(np.int64), *_sums(name, tables)
+
+
+def _new_rows(new, route: Route, step: int, buckets: range, lot: int) -> pa.Table:
+    """These to the parent's buckets of a step: words to their own, tables of a context to that of the word it is made of (the context before a text has number -1 in the last)."""
+    word, customers, name, tables = new
+    to, owner = route.address(word % route.buckets, step), route.address((name - 1) % route.buckets, step)
     rows = []
-    for i in range(buckets):
-        s, p = slice(edge[i], edge[i + 1]), slice(pedge[i], pedge[i + 1])
-        sort = np.argsort(key[s], kind="stable")
-        place = np.empty(len(sort), np.int64)
-        place[sort] = np.arange(len(sort))
-        per = np.bincount(np.searchsorted(key[s][sort], pkey[p]), minlength=len(sort))[place]
-        at = np.unique(dish[p], return_index=True)[1]
-        often = home.count[home.dish[order[p][at]]]  # of each distinct word here, in all training documents
-        rows.append((i, chunk, pack(_planes(key[s]), _planes(home.parts[c[s]]), _planes(per), _planes(dish[p]), _planes(count[p]), _planes(often), _planes(np.array([home.n, home.v])))))
-        rows.append((buckets + i, chunk, pack(_rise(home.index[i]), home.v)))
+    for b in buckets:
+        w, u = to == b, owner == b
+        rows.append((PARENT, b, lot, pack(_rise(word[w]), _planes(customers[w]), _rise(name[u]), tables[u])))
     return _rows(rows)
 
 
-def _seat_contexts(table: pa.Table, buckets: int) -> pa.Table:
-    """One bucket of contexts: discounted counts of the pairs and tables of the contexts to the chunks that asked, and new customers to the parent. Rows (target, chunk, payload); a target below 0 is a bucket of the parent."""
-    bucket = table["bucket"][0].as_py()
-    chunks = table["chunk"].to_pylist()
-    if bucket >= buckets:
-        return _rows(((buckets - bucket - 1, k, p) for k, p in zip(chunks, table["payload"].to_pylist(), strict=True)), "target")
-    parts = [[_unplanes(x) for x in unpack(p)] for p in table["payload"].to_pylist()]
-    keys, ways = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    known, number = np.unique(keys, return_inverse=True)
+def _seat_contexts(table: pa.Table, route: Route) -> pa.Table:
+    """One bucket of contexts: discounted counts of the pairs to those who asked; new customers, and tables of the contexts, to the parent. What is for the parent passes."""
+    if table["kind"][0].as_py() != PAIRS:
+        return table
+    bucket, packs = table["bucket"][0].as_py(), _packs(table)
+    keys, ways, w, c, seen = _columns(packs)
+    known, u = np.unique(keys, return_inverse=True)
     share = np.ones(len(known))
-    share[number] = ways
-    u = np.repeat(number, np.concatenate([p[2] for p in parts]))
-    w = np.concatenate([p[3] for p in parts])
-    c = np.concatenate([p[4] for p in parts])
+    share[u] = ways
     words, dish = np.unique(w, return_inverse=True)
+    # the parent as all training documents show it
+    often, (n, v) = np.zeros(len(words), np.int64), packs[0][4]
+    often[dish] = seen
     pairs, pair = np.unique(u * (len(words) + 1) + dish, return_inverse=True)
     total = np.bincount(pair, c, len(pairs)).astype(np.int64)
     pu, pw = pairs // (len(words) + 1), pairs % (len(words) + 1)
-    # the parent as all training documents show it
-    often, (n, v) = np.zeros(len(words), np.int64), parts[0][6]
-    for p in parts:
-        often[np.searchsorted(words, np.unique(p[3]))] = p[5]
     base = parent_estimate(often, n, v)
-    rng = np.random.default_rng(bucket)
-    mean, last, tables = seat(total, pu, base[pw], share, D, THETA, rng)
+    mean, last, tables = seat(total, pu, base[pw], share, D, THETA, np.random.default_rng(bucket))
     value = (total - D * mean).astype(np.float32)
-    out, at, pat = [], 0, 0
-    for k, p in zip(chunks, parts, strict=True):
-        out.append((k, bucket, pack(value[pair[pat : pat + len(p[3])]], tables[number[at : at + len(p[0])]].astype(np.float32))))
-        at, pat = at + len(p[0]), pat + len(p[3])
+    out, at = [], 0
+    for members, counts, cols, *_ in packs:
+        size = len(cols[0])
+        out.append((PAIRS, bucket, route.lot(int(members[0]), len(route.lots)), encode(members, counts, [value[pair[at : at + size]]], "a")))
+        at += size
     new = np.bincount(pw, last, len(words)).astype(np.int64)
-    to = words % buckets
-    for b in range(buckets):
-        m = (to == b) & (new > 0)
-        out.append((-b - 1, -1, pack(_rise(words[m] // buckets), _planes(new[m]))))
-    return _rows(out, "target")
-
-
-def _seat_parent(table: pa.Table, buckets: int) -> pa.Table:
-    """One bucket of the parent: customers less discounts of its words to the chunks that asked, and its totals. Rows for chunks pass."""
-    target = table["target"][0].as_py()
-    source, payload = table["chunk"].to_pylist(), table["payload"].to_pylist()
-    if target >= 0:
-        return _rows(((b, target, p) for b, p in zip(source, payload, strict=True)))
-    bucket = -target - 1
-    came = [unpack(p) for k, p in zip(source, payload, strict=True) if k < 0]
-    asked = [(k, unpack(p)) for k, p in zip(source, payload, strict=True) if k >= 0]
-    i, n = np.concatenate([_unrise(p[0]) for p in came] or [np.zeros(0, np.int64)]), np.concatenate([_unplanes(p[1]) for p in came] or [np.zeros(0, np.int64)])
-    size = 1 + max(int(i.max(initial=-1)), *(int(_unrise(p[0]).max(initial=-1)) for _, p in asked)) if asked else 1
-    c = np.bincount(i, n, size).astype(np.int64)
-    v = max((p[1] for _, p in asked), default=0)
+    name, tables = _sums(known >> PART_BITS, tables)
+    some, held = new > 0, tables > 0
+    return pa.concat_tables([_rows(out), _new_rows((words[some], new[some], name[held], tables[held]), route, 0, range(route.fan), -1 - route.lot(bucket, 1))])
+
+
+def _seat_parent(table: pa.Table, route: Route) -> pa.Table:
+    """One bucket of the parent: customers less discounts of its words, and tables of their contexts, to those who asked, and its totals. Others' rows pass."""
+    if table["kind"][0].as_py() != PARENT:
+        return table
+    bucket, buckets = table["bucket"][0].as_py(), route.buckets
+    new = pc.less(table["lot"], 0)
+    word, n, name, t = _joined_new(table.filter(new))
+    packs = _packs(table.filter(pc.invert(new)))
+    asked, _ = _columns(packs)
+    size = 1 + int(max(asked.max(initial=-1), (word // buckets).max(initial=-1), ((name - 1) // buckets).max(initial=-1)))
+    c = np.bincount(word // buckets, n, size).astype(np.int64)
+    above = np.bincount((name - 1) // buckets + 1, t, size + 1)  # of the context before a text, then of the words
     # empty dishes have no tables; the other buckets hold as many tables of the one restaurant as this one
-    mean, _, tables = seat(c, np.zeros(size, np.int64), np.full(size, 1 / (v + 1)), np.array([float(buckets)]), ROOT_D, ROOT_THETA, np.random.default_rng(1_000_003 + bucket))
+    v, share, rng = packs[0][4][0], np.array([float(buckets)]), np.random.default_rng(1_000_003 + bucket)
+    mean, _, tables = seat(c, np.zeros(size, np.int64), np.full(size, 1 / (v + 1)), share, ROOT_D, ROOT_THETA, rng)
     value = (c - ROOT_D * mean).astype(np.float32)
-    return _rows((buckets + bucket, k, pack(value[_unrise(p[0])], float(c.sum()), float(tables[0]))) for k, p in asked)
+    last, totals = len(route.lots), (float(c.sum()), float(tables[0]), float(above[0]))
+    return _rows((PARENT, bucket, route.lot(int(m[0]), last), encode(m, k, [value[i], above[i + 1].astype(np.float32)], "aa", *totals)) for m, k, (i, _), *_ in packs)
 
 
-def _probabilities(home: _Home, said_rows: pa.Table, buckets: int) -> np.ndarray:
+def _probabilities(home: _Home, said_rows: pa.Table, route: Route) -> np.ndarray:
     """The averaged predictive probability of each distinct pair of a chunk."""
-    said = {b: unpack(p) for b, p in zip(said_rows["bucket"].to_pylist(), said_rows["payload"].to_pylist(), strict=True)}
-    c, k, b, order, _, _ = home.layout(buckets)
-    tables = np.bincount(c, np.concatenate([said[i][1] for i in range(buckets)]), home.start + 1)
-    value = np.empty(len(order))
-    value[order] = np.concatenate([said[i][0] for i in range(buckets)])
-    root = [said[buckets + i] for i in range(buckets)]
-    customers, root_tables = sum(x[1] for x in root), sum(x[2] for x in root)
-    parent = (np.concatenate([x[0] for x in root]) + (ROOT_THETA + ROOT_D * root_tables) / (home.v + 1)) / (ROOT_THETA + customers)
+    said = sorted(zip(*(said_rows[c].to_pylist() for c in ("kind", "bucket", "payload")), strict=True), key=lambda x: x[:2])
+    pairs, root = ([decode(p) for k, _, p in said if k == kind] for kind in (PAIRS, PARENT))
+    value = np.empty(len(home.pairs))
+    value[home.layout(route.buckets)[0]] = _columns(pairs)[0]
+    words, tables = _columns(root)
+    customers, root_tables, start = (sum(x) for x in zip(*(p[4] for p in root), strict=True))
+    tables = np.append(tables.astype(float), start)
+    parent = (words + (ROOT_THETA + ROOT_D * root_tables) / (home.v + 1)) / (ROOT_THETA + customers)
     n_u = home.customers[home.context]
     p = parent[home.dish]
     return np.where(n_u > 0, (value + (THETA + D * tables[home.context]) * p) / (THETA + n_u), p)
 
 
-def _score(home_rows: pa.Table, said_rows: pa.Table, buckets: int, to: pa.Schema) -> pa.Table:
-    home = _Home(home_rows, buckets)
-    logs = np.log10(_probabilities(home, said_rows, buckets))[home.pair]
+def _score(home_rows: pa.Table, said_rows: pa.Table, route: Route, to: pa.Schema) -> pa.Table:
+    home = _Home(home_rows, route)
+    logs = np.log10(_probabilities(home, said_rows, route))[home.pair]
     base = np.log10((home.count + 1) / (home.n + home.v + 1))[home.seq]
     first = np.cumsum(home.lengths) - home.lengths
     add = lambda x: np.add.reduceat(x, first)
@@ -411,8 +560,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # an estimate of the number of buckets only
-    bits = max(0, math.ceil(math.log2(max(1, size / 7 / BUCKET_TOKENS))))
-    buckets = 1 << bits
+    route = Route(max(0, math.ceil(math.log2(max(1, size / 7 / BUCKET_TOKENS)))), size // CHUNK_BYTES)
 
     def send(batches):
         part, n, chunk, memo = TaskContext.get().partitionId(), 0, _Chunk(), {}
@@ -421,19 +569,46 @@ def scores(docs: DataFrame) -> DataFrame:
                 for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     chunk.add(i, t)
                     if chunk.bytes >= CHUNK_BYTES:
-                        yield from _rows(chunk.rows((part << 24) + n, bits, memo)).to_batches()
+                        yield from _rows(chunk.rows((part << 24) + n, route, memo)).to_batches()
                         chunk, n = _Chunk(), n + 1
         if chunk.ids:
-            yield from _rows(chunk.rows((part << 24) + n, bits, memo)).to_batches()
-
-    rows = "bucket long, chunk long, payload binary"
-    words = docs.mapInArrow(send, rows).groupBy("bucket").applyInArrow(lambda t: _count_words(t, buckets), rows)
-    pairs = words.groupBy("chunk").applyInArrow(lambda t: _send_pairs(t, buckets), rows)
-    seated = pairs.groupBy("bucket").applyInArrow(lambda t: _seat_contexts(t, buckets), rows.replace("bucket", "target"))
-    said = seated.groupBy("target").applyInArrow(lambda t: _seat_parent(t, buckets), rows)
+            yield from _rows(chunk.rows((part << 24) + n, route, memo)).to_batches()
+
+    rows = "kind long, bucket long, lot long, payload binary"
+    kind, bucket, lot = F.col("kind"), F.col("bucket"), F.col("lot")
+    steps = range(len(route.lots))
+
+    def done(df: DataFrame, f, *by) -> DataFrame:
+        return df.groupBy(*by).applyInArrow(f, rows)
+
+    def dealt(df: DataFrame, step: int) -> DataFrame:
+        return done(df, lambda t: _deal(t, route, step), "kind", "bucket", "lot")
+
+    def onward(df: DataFrame, step: int) -> DataFrame:  # what is new for the parent
+        return done(df, lambda t: _deal(t, route, step) if t["lot"][0].as_py() < 0 else t, "kind", "bucket", "lot")
+
+    def returned(df: DataFrame, step: int) -> DataFrame:
+        return done(df, lambda t: _return(t, route, step), kind, F.shiftright(bucket, route.children(step)), lot)
+
+    words = docs.mapInArrow(send, rows)
+    for s in steps:
+        words = dealt(words, s)
+    words = done(words, lambda t: _count_words(t, route), "kind", "bucket")
+    for s in reversed(steps):
+        words = returned(words, s)
+    pairs = done(words, lambda t: _send_pairs(t, route), "lot")
+    for s in steps:
+        pairs = dealt(pairs, s)
+    said = done(pairs, lambda t: _seat_contexts(t, route), "kind", "bucket")
+    for s in steps:
+        said = onward(said, s)
+    # answers of the contexts pass in groups of their own: those of a bucket for a lot, or, with one step, those for a chunk
+    said = done(said, lambda t: _seat_parent(t, route), kind, bucket if steps else F.when(kind == PARENT, bucket), F.when(kind != PARENT, lot))
+    for s in reversed(steps):
+        said = returned(said, s)
     ddl = f"doc_id {id_type(docs)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     to = to_arrow_schema(StructType.fromDDL(ddl))
-    return words.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, buckets, to), ddl)
+    return words.groupBy("lot").cogroup(said.groupBy("lot")).applyInArrow(lambda a, b: _score(a, b, route, to), ddl)
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

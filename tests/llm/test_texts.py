@@ -353,7 +353,7 @@ def test_pitman_yor_base_score_and_proper_distribution(spark, monkeypatch, sizes
 @pytest.mark.parametrize("buckets", [1, 4])
 def test_pitman_yor_probabilities_of_all_next_words_sum_to_one(monkeypatch, buckets):
     monkeypatch.setattr(pitman_yor, "SPLIT", 10)
-    r, bits = random.Random(12), buckets.bit_length() - 1
+    r, route = random.Random(12), pitman_yor.Route(buckets.bit_length() - 1, 2)
     train = [i for i in range(400) if not pitman_yor.held_out(i)]
     asked = next(i for i in range(400, 500) if pitman_yor.held_out(i))
     words = "abcde"
@@ -367,26 +367,23 @@ def test_pitman_yor_probabilities_of_all_next_words_sum_to_one(monkeypatch, buck
                 c.add(asked, " ".join(f"{u} {w}" for w in [*words, "zzz"]))
                 c.add(asked, u)
             c.add(asked, "")
-        rows += list(c.rows(k, bits, {}))
+        rows += list(c.rows(k, route, {}))
 
-    def grouped(rows, key):
+    def grouped(rows, *key):
         by = {}
         for x in rows:
-            by.setdefault(x[key], []).append(x)
+            by.setdefault(tuple(x[k] for k in key), []).append(x)
         return [pitman_yor._rows(v) for v in by.values()]
 
     flat = lambda tables: [tuple(x.values()) for t in tables for x in t.to_pylist()]
-    counted = flat(pitman_yor._count_words(t, buckets) for t in grouped(rows, 0))
-    homes = grouped(counted, 1)
-    pairs = flat(pitman_yor._send_pairs(t, buckets) for t in homes)
-    seated = flat(pitman_yor._seat_contexts(t, buckets) for t in grouped(pairs, 0))
-    targets = {}
-    for x in seated:
-        targets.setdefault(x[0], []).append(x)
-    said = flat(pitman_yor._seat_parent(pitman_yor._rows(v, "target"), buckets) for v in targets.values())
-    first = next(t for t in homes if t["chunk"][0].as_py() == 0)
-    home = pitman_yor._Home(first, buckets)
-    p = pitman_yor._probabilities(home, pitman_yor._rows([x for x in said if x[1] == 0]), buckets)
+    counted = flat(pitman_yor._count_words(t, route) for t in grouped(rows, 0, 1))
+    homes = grouped(counted, 2)
+    pairs = flat(pitman_yor._send_pairs(t, route) for t in homes)
+    seated = flat(pitman_yor._seat_contexts(t, route) for t in grouped(pairs, 0, 1))
+    said = flat(pitman_yor._seat_parent(t, route) for t in grouped(seated, 0, 1))
+    first = next(t for t in homes if t["lot"][0].as_py() == 0)
+    home = pitman_yor._Home(first, route)
+    p = pitman_yor._probabilities(home, pitman_yor._rows([x for x in said if x[2] == 0]), route)
     sums = np.bincount(home.context, p)
     seen = np.bincount(home.context)
     full = seen == 7  # five words, the end and the unknown word
@@ -396,7 +393,7 @@ def test_pitman_yor_probabilities_of_all_next_words_sum_to_one(monkeypatch, buck
 @pytest.mark.parametrize("buckets", [1, 8])
 def test_contexts_are_seated_against_words_of_all_training_documents(monkeypatch, buckets):
     monkeypatch.setattr(pitman_yor, "SPLIT", 40)  # the frequent contexts are split into parts
-    r, bits = random.Random(5), buckets.bit_length() - 1
+    r, route = random.Random(5), pitman_yor.Route(buckets.bit_length() - 1, 2)
     count, rows = Counter(), []
     for k in range(2):
         c = pitman_yor._Chunk()
@@ -404,17 +401,17 @@ def test_contexts_are_seated_against_words_of_all_training_documents(monkeypatch
             text = " ".join(r.choice("aaaabbbccdefgh") for _ in range(r.randint(0, 12)))
             c.add(i, text)
             count.update([] if pitman_yor.held_out(i) else pitman_yor.tokens(text))
-        rows += list(c.rows(k, bits, {}))
+        rows += list(c.rows(k, route, {}))
 
-    def step(f, rows, key):
+    def step(f, rows, *key):
         by = {}
         for x in rows:
-            by.setdefault(x[key], []).append(x)
-        return [tuple(x.values()) for v in by.values() for x in f(pitman_yor._rows(v), buckets).to_pylist()]
+            by.setdefault(tuple(x[k] for k in key), []).append(x)
+        return [tuple(x.values()) for v in by.values() for x in f(pitman_yor._rows(v), route).to_pylist()]
 
     seat, used = pitman_yor.seat, []
     monkeypatch.setattr(pitman_yor, "seat", lambda c, u, base, *a: used.append((c, base)) or seat(c, u, base, *a))
-    step(pitman_yor._seat_contexts, step(pitman_yor._send_pairs, step(pitman_yor._count_words, rows, 0), 1), 0)
+    step(pitman_yor._seat_contexts, step(pitman_yor._send_pairs, step(pitman_yor._count_words, rows, 0, 1), 2), 0, 1)
     n, v = sum(count.values()), len(count)
     want = {round((x + pitman_yor.ROOT_THETA / (v + 1)) / (n + pitman_yor.ROOT_THETA), 12) for x in count.values()}
     assert sum(c.sum() for c, _ in used) == n
