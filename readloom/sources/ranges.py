@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SPLIT = 64 << 20
 
@@ -25,20 +26,34 @@ def opened(path: str):
     return system.open_input_file(inner)
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of the files at a path or pattern: a listing, no content is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the files at a path or pattern, by path: a listing, no content is read."""
-    return sorted((r.path, r.length) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
+    """(path, bytes) of the files at a path or pattern, by path."""
+    return sorted((r.path, r.length) for r in listing(spark, path).collect())
 
 
 def tasks(spark: SparkSession, rows: list[tuple[str, int, int, int]]) -> DataFrame:
     """part, path, begin, stop, length: one task for each range (path, begin, stop, length)."""
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "part long, path string, begin long, stop long, length long")
-    return df.repartitionByRange(max(1, len(rows)), "part")
+    return df.repartitionById(max(1, len(rows)), F.col("part").cast("int"))
 
 
 def splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFrame:
-    """Ranges of at most `size` bytes of all files, in order."""
-    return tasks(spark, [(p, at, min(at + size, n), n) for p, n in files(spark, path) for at in range(0, n, size)])
+    """Ranges of at most `size` bytes of all files, as of tasks(), by path and place: each range a task of its own.
+
+    They are made from the listing, of which the driver learns their number alone; one row for each file is put in order. An empty file has none.
+    """
+    found = listing(spark, path).where("length > 0").withColumn("n", F.expr(f"(length + {size - 1}) div {size}"))
+    count = found.agg(F.sum("n")).collect()[0][0] or 0
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = found.withColumn("before", before).select("before", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    begin = F.col("k") * size
+    out = each.select((F.col("before") + F.col("k")).alias("part"), "path", begin.alias("begin"), F.least(begin + size, "length").alias("stop"), "length")
+    return out.repartitionById(max(1, count), F.col("part").cast("int"))
 
 
 def edges(spark: SparkSession, path: str, first: int, last: int, opener: Callable = opened) -> DataFrame:

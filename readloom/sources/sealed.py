@@ -30,18 +30,17 @@ def _bound(mark, number, last):
 def seal(spark: SparkSession, path: str, folder: str, key: str, block: int = BLOCK, blocks: int = BLOCKS, opener: Callable = ranges.opened) -> int:
     """Seal the files at a path, each into a folder of its name (empty files aren't listed, and left out); returns the number of parts. key: 16, 24 or 32 characters."""
     size = block * blocks
-    rows = [(p, at, min(at + size, n) if n else 0, n) for p, n in ranges.files(spark, path) for at in range(0, max(n, 1), size)]
 
     def cut(batches):
         for b in batches:
             for _, p, begin, stop, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with opener(p) as f:
                     f.seek(begin)
-                    for at in range(begin, max(stop, begin + 1), block):
+                    for at in range(begin, stop, block):
                         data = f.read(min(block, stop - at))
                         yield pa.RecordBatch.from_pydict({"name": [p.rpartition("/")[2]], "length": [length], "part": [begin // size], "number": [at // block], "last": [at + block >= length], "content": pa.array([data], pa.binary())})
 
-    made = ranges.tasks(spark, rows).mapInArrow(cut, "name string, length long, part long, number long, last boolean, content binary")
+    made = ranges.splits(spark, path, size).mapInArrow(cut, "name string, length long, part long, number long, last boolean, content binary")
     mark = F.concat_ws("/", "name", F.col("length").cast("string"))
     closed = F.aes_encrypt("content", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _bound(mark, F.col("number"), F.col("last")))
     made = made.select("name", "length", "part", "number", closed.alias("content"))

@@ -90,3 +90,24 @@ def test_a_stretch_opens_only_its_blocks_and_changes_are_errors(spark, tmp_path)
 def test_files_are_put_in_place(spark, tmp_path):
     rows = spark.createDataFrame([(f"{tmp_path}/a/b", bytearray(b"1")), (f"file:{tmp_path}/c", bytearray(b"2"))], "path string, content binary")
     assert datasource.put(rows) == 2 and (tmp_path / "a" / "b").read_bytes() == b"1" and sorted(os.listdir(tmp_path)) == ["a", "c"]
+
+
+def test_ranges_of_many_files_come_one_a_task(spark, tmp_path):
+    """Ranges cover every byte of every file once, in order, each in a partition of its own; an empty file has none."""
+    from readloom.sources import ranges
+
+    sizes = {"a": 1000, "b": 0, "c": 1, "d": 250, "e": 251, "f": 999}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(n))
+    got = ranges.splits(spark, str(tmp_path), 250)
+    want = [(n, at, min(at + 250, size), size) for n, size in sizes.items() for at in range(0, size, 250)]
+    assert got.columns == ["part", "path", "begin", "stop", "length"] and got.rdd.getNumPartitions() == len(want)
+    assert [len(x) for x in got.rdd.glom().collect()] == [1] * len(want)
+    rows = got.collect()
+    assert [(r.path.rsplit("/", 1)[1], r.begin, r.stop, r.length) for r in rows] == want and [r.part for r in rows] == list(range(len(want)))
+    some = ranges.tasks(spark, [("x", 0, 5, 5), ("y", 5, 9, 9), ("z", 1, 2, 3)])
+    assert [[r.path for r in x] for x in some.rdd.glom().collect()] == [["x"], ["y"], ["z"]]
+    nothing = tmp_path / "none"
+    nothing.mkdir()
+    (nothing / "empty").write_bytes(b"")
+    assert ranges.splits(spark, str(nothing), 250).count() == 0
