@@ -103,18 +103,29 @@ def write_sam(reads: DataFrame, path: str, header: list[str] | None = None) -> N
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, segment, seq, qual of FASTQ files.
+    """rec_idx, name, segment, seq, qual of FASTQ files; rec_idx rises in file order.
 
     The reader cuts files at line ends that are followed by `@`, which every record begins with. Scores may begin with `@` too; such
-    a record comes in two pieces, three lines and the rest of its scores, which are put together by their numbers.
+    a record comes in two pieces, three lines and the rest of its scores. Whole records stay where they are read; only pieces (with
+    scores of even use one record in forty) are put in order, by input partition, and of these one record at most for each partition's end
+    meets the piece that the next partition begins with. Pieces that nothing belongs to are left out.
     """
-    raw = dense_numbers(spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\n$", "").alias("piece"), F.monotonically_increasing_id().alias("rec_idx")))
-    lines = F.split(F.regexp_replace("piece", "^@", ""), "\n")
-    whole = raw.where(F.size(lines) == 4).select("rec_idx", lines[0].alias("head"), lines[1].alias("seq"), lines[3].alias("qual"))
-    tails = raw.where(F.size(lines) == 1).select((F.col("rec_idx") - 1).alias("rec_idx"), F.concat(F.lit("@"), "piece").alias("qual"))
-    broken = raw.where(F.size(lines) == 3).select("rec_idx", lines[0].alias("head"), lines[1].alias("seq")).join(tails, "rec_idx")
+    from pyspark.sql import Window
+
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\n$", "").alias("piece"), F.monotonically_increasing_id().alias("rec_idx"))
+    lines = F.split("piece", "\n")
+    head = F.regexp_replace(lines[0], "^@", "").alias("head")  # a file's first record has its mark still
+    whole = raw.where(F.size(lines) == 4).select("rec_idx", head, lines[1].alias("seq"), lines[3].alias("qual"))
+    is_head, rest = F.size(lines) == 3, F.concat(F.lit("@"), "next.piece")
+    after = F.lead(F.struct("rec_idx", "piece"))
+    pieces = raw.where(F.size(lines).isin(1, 3)).withColumn("next", after.over(Window.partitionBy(F.shiftright("rec_idx", 33)).orderBy("rec_idx")))
+    inside = pieces.where(is_head & (F.col("next.rec_idx") == F.col("rec_idx") + 1))
+    first = F.col("rec_idx").bitwiseAND((1 << 33) - 1) == 0  # of its partition
+    ends = pieces.where(F.when(is_head, F.col("next").isNull()).otherwise(first)).withColumn("next", after.over(Window.orderBy("rec_idx")))  # two rows at most for each partition
+    across = ends.where(is_head & (F.size(F.split("next.piece", "\n")) == 1))
+    mended = inside.unionByName(across).select("rec_idx", head, lines[1].alias("seq"), rest.alias("qual"))
     seg = F.regexp_extract("head", "/([12])$", 1)
-    return whole.unionByName(broken).select("rec_idx", F.regexp_replace("head", "/[12]$", "").alias("name"), F.when(seg == "", 0).otherwise(seg.try_cast("int")).alias("segment"), "seq", "qual")
+    return whole.unionByName(mended).select("rec_idx", F.regexp_replace("head", "/[12]$", "").alias("name"), F.when(seg == "", 0).otherwise(seg.try_cast("int")).alias("segment"), "seq", "qual")
 
 
 def write_fastq(records: DataFrame, path: str, gzip: bool = True) -> None:

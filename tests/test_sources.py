@@ -111,3 +111,33 @@ def test_ranges_of_many_files_come_one_a_task(spark, tmp_path):
     nothing.mkdir()
     (nothing / "empty").write_bytes(b"")
     assert ranges.splits(spark, str(nothing), 250).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_fastq_scores_that_begin_with_the_mark_of_a_record(spark, tmp_path, share):
+    """Records cut in two by their scores, within and across many small partitions and several files; whole ones aren't shuffled."""
+    from readloom.sources import text
+
+    r, want = random.Random(int(share * 10)), []
+    for file in range(2):
+        rows = []
+        for i in range(150):
+            n = r.randint(1, 30)
+            seq = "".join(r.choice("ACGTN") for _ in range(n))
+            qual = ("@" if r.random() < share else "I") + "".join(r.choice("@+!5I") for _ in range(n - 1))
+            rows.append((f"r{file}.{i}", r.choice([0, 1, 2]), seq, qual))
+        (tmp_path / f"{file}.fq").write_text("".join(f"@{n}{f'/{s}' if s else ''}\n{q}\n+\n{v}\n" for n, s, q, v in rows))
+        want += rows
+    sizes = {"spark.sql.files.maxPartitionBytes": "97b", "spark.sql.files.openCostInBytes": "1b"}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        got = text.read_fastq(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+        rows = got.collect()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert sorted((x.name, x.segment, x.seq, x.qual) for x in rows) == sorted(want)
+    of_file = [[x.name for x in sorted(rows, key=lambda x: x.rec_idx) if x.name.startswith(f"r{f}.")] for f in range(2)]
+    assert of_file == [[f"r{f}.{i}" for i in range(150)] for f in range(2)]
