@@ -15,36 +15,47 @@ from readloom.operators.cuts import remove, shared_folder
 PAIR = "qname string, rec_a long, rec_b long"
 
 
-def pair_stream(reads: DataFrame, wait: str = "10 minutes") -> DataFrame:
+def pair_stream(reads: DataFrame, wait: str = "10 minutes", shares: int = 200) -> DataFrame:
     """qname, rec_a, rec_b: a pair leaves when its second record arrives; a record whose mate hasn't come within `wait` leaves alone, with a rec_b of -1.
 
-    reads: a stream with qname, rec_idx and an event time `ts`. State is one number for each open name and is dropped by
-    the watermark, so it follows the stream's disorder and not its length. Records that leave alone can be met with their mates in a batch join.
+    reads: a stream with qname, rec_idx and an event time `ts`. State is a name and two numbers for each open name and is dropped by
+    the watermark, so it follows the stream's disorder and not its length. Names are dealt into shares, and a trigger's records of a share are paired at once.
+    Records that leave alone can be met with their mates in a batch join.
     """
+    ms = pd.Timedelta(wait) // pd.Timedelta("1ms")
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            (rec,) = state.get
-            state.remove()
-            yield pd.DataFrame({"qname": [key[0]], "rec_a": [rec], "rec_b": [-1]})
-            return
-        waiting = [state.get[0]] if state.exists else []
-        latest = 0
-        for pdf in batches:
-            waiting += pdf["rec_idx"].dropna().astype("int64").tolist()
-            latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
-        waiting.sort()
-        pairs = [(key[0], waiting[i], waiting[i + 1]) for i in range(0, len(waiting) - 1, 2)]
-        if len(waiting) % 2:
-            state.update((int(waiting[-1]),))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + pd.Timedelta(wait) // pd.Timedelta("1ms"))
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(("qname", "rec_idx", "due"), map(list, state.get), strict=True)) if state.exists else {"qname": [], "rec_idx": [], "due": []})
+        held = held.astype({"qname": object, "rec_idx": "int64", "due": "int64"})
+        out = []
+        if not state.hasTimedOut:
+            came = pd.concat(list(batches), ignore_index=True)
+            latest = came.groupby("qname", dropna=False, sort=False)["at"].max()
+            met = held["qname"].isin(latest.index)
+            rest = held[~met]
+            new = came.dropna(subset=["rec_idx"])[["qname", "rec_idx"]].astype({"rec_idx": "int64"})
+            both = pd.concat([held.loc[met, ["qname", "rec_idx"]], new], ignore_index=True).sort_values("rec_idx", kind="stable", ignore_index=True)
+            group = both.groupby("qname", dropna=False, sort=False)
+            first, last = group.cumcount() % 2 == 0, group.cumcount(ascending=False) == 0
+            after = group["rec_idx"].shift(-1, fill_value=0)[first & ~last]
+            out.append(pd.DataFrame({"qname": both.loc[after.index, "qname"], "rec_a": both.loc[after.index, "rec_idx"], "rec_b": after}))
+            odd = both[first & last]
+            due = latest.reindex(odd["qname"]).clip(lower=now + 1).to_numpy() + ms
+            held = pd.concat([rest, odd.assign(due=due.astype("int64"))], ignore_index=True)
+        gone = held["due"] <= now
+        out.append(pd.DataFrame({"qname": held.loc[gone, "qname"], "rec_a": held.loc[gone, "rec_idx"], "rec_b": -1}))
+        held = held[~gone]
+        if len(held):
+            state.update((held["qname"].tolist(), held["rec_idx"].tolist(), held["due"].tolist()))
+            state.setTimeoutTimestamp(int(held["due"].min()))
         elif state.exists:
             state.remove()
-        if pairs:
-            yield pd.DataFrame(pairs, columns=["qname", "rec_a", "rec_b"])
+        yield from (x for x in out if len(x))
 
     marked = reads.withWatermark("ts", wait)
-    return marked.groupBy("qname").applyInPandasWithState(step, PAIR, "rec long", "append", GroupStateTimeout.EventTimeTimeout)
+    r = marked.select(F.pmod(F.xxhash64("qname"), F.lit(shares)).alias("share"), "qname", "rec_idx", "ts", F.unix_millis("ts").alias("at"))
+    return r.groupBy("share").applyInPandasWithState(step, PAIR, "qname array<string>, rec array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_stream(reads: DataFrame, wait: str = "10 minutes") -> DataFrame:
