@@ -34,3 +34,8 @@ def test_contigs_have_the_letters_of_the_sql(spark, odd):
 @pytest.mark.parametrize("name", ["aligned_bases", "aln_end", "bam_region_pushed", "base_counts", "bin_table", "capped_and_printed", "coverage", "crai_find", "crai_find_order"])
 def test_queries_follow_such_contigs(spark, odd, name):
     assert oracle.spark_rows(catalog.QUERIES[name](spark, odd)) == oracle.duck_rows(oracle.duck(odd), catalog.SQL[name])
+
+
+@pytest.mark.parametrize("name", ["bai_round_trip", "bam_written_and_read", "bits_per_base", "cg_split_pack", "crai_build"])
+def test_files_and_packs_of_reads_follow_such_contigs(spark, odd, name):
+    assert oracle.spark_rows(catalog.QUERIES[name](spark, odd)) == oracle.duck_rows(oracle.duck(odd), catalog.SQL[name])
