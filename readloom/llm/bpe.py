@@ -5,7 +5,7 @@ a seed for each bucket chosen so that its strings fall into free slots, largest
 pre-token that is in the vocabulary is its own encoding; the lookup is one array read and one
 comparison of bytes. Any other pre-token is a doubly linked list of bytes; a heap holds the ranks
 of adjacent pairs, the lowest (then leftmost) is merged, stale heap entries are skipped: n log n for
-any length. Encodings of pre-tokens are remembered in a table of bounded size.
+any length. Encodings of pre-tokens are remembered in two tables of bounded size, of which the older goes when the newer is full.
 
 Defined results: a null text encodes as an empty one; repeated rows get equal rows; an empty table
 gives an empty result; other columns are ignored. Special tokens are never produced.
@@ -88,6 +88,16 @@ class MinimalPerfectHash:
         return i if self.strings[i] == s else None
 
 
+class _Known(dict):
+    """Encodings by pre-token; one that lacks is asked of the tokenizer, so a lookup that succeeds runs no Python."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, s: str) -> tuple[int, ...]:
+        return self.tokenizer.piece(s)
+
+
 class Tokenizer:
     """Encodes and decodes by the ranks of a vocabulary; each match of pattern separately."""
 
@@ -96,46 +106,54 @@ class Tokenizer:
         self.ranks = {s: i for i, s in enumerate(vocabulary)}
         self.decimal = [str(i) for i in range(len(vocabulary))]
         self.findall = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ranks of all pairs of bytes.
+        self.pairs = [[self.ranks.get(bytes((x, y))) for y in range(256)] for x in range(256)]
+        #: What is remembered: encodings since the last turn, and those of the half before, from which what is met again comes back.
+        self.known: dict[str, tuple[int, ...]] = _Known(self)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, b: bytes) -> list[int]:
         """The encoding of a pre-token that isn't in the vocabulary."""
-        n, rank = len(b), self.ranks.get
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(b[i : i + 2])) is not None]
+        n, rank, push, pop = len(b), self.ranks.get, heapq.heappush, heapq.heappop
+        # end: where the part that begins at a place stops, which is where the next one begins; n, whose own end is 0, once it has been merged away. begin: where the part that stops at a place begins
+        end, begin = [*range(1, n + 1), 0], list(range(-1, n))
+        # rank, place and stop of a pair are one number, so the heap compares numbers instead of tuples
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [(r << bits | i) << bits | i + 2 for i, (x, y) in enumerate(zip(b, b[1:], strict=False)) if (r := self.pairs[x][y]) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if end[i] else n
-            if j >= n or end[j] != stop:  # one side has been merged meanwhile
+            x = pop(heap)
+            stop, i = x & mask, x >> bits & mask
+            j = end[i]
+            if end[j] != stop:  # one side has been merged meanwhile
                 continue
-            k = after[j]
-            end[i], end[j], after[i] = stop, 0, k
-            if k < n:
-                before[k] = i
-                if (r := rank(b[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if (h := before[i]) >= 0 and (r := rank(b[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
+            end[i], end[j], begin[stop] = stop, n, i
+            if stop < n and (r := rank(b[i : (k := end[stop])])) is not None:
+                push(heap, (r << bits | i) << bits | k)
+            if i and (r := rank(b[(h := begin[i]) : stop])) is not None:
+                push(heap, (r << bits | h) << bits | stop)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[b[i : end[i]]])
-            i = after[i]
+            i = end[i]
         return out
 
     def piece(self, s: str) -> tuple[int, ...]:
         b = s.encode()
-        i = self.hash.get(b)
-        out = tuple(self.merge(b)) if i is None else (i,)
+        out = self.older.get(s)
+        if out is None:
+            i = self.hash.get(b)
+            out = tuple(self.merge(b)) if i is None else (i,)
         if len(b) <= REMEMBER_BYTES:
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= REMEMBER // 2:
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[s] = out
         return out
 
     def encode(self, text: str) -> list[int]:
-        get, piece = self.known.get, self.piece
-        return list(chain.from_iterable(get(s) or piece(s) for s in self.findall(text)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

@@ -485,6 +485,20 @@ def test_bpe_equals_tiktoken_and_decodes(tok, tiktoken_encoding):
         assert tok.decode(ids) == t.encode()
 
 
+def test_bpe_remembers_what_is_met_again(tok, monkeypatch):
+    import public_tokenizers as p
+
+    monkeypatch.setattr(bpe, "REMEMBER", 40)
+    t, merged = bpe.Tokenizer(tok.vocabulary, p.PATTERN, tok.hash), []
+    real = t.merge
+    monkeypatch.setattr(t, "merge", lambda b: merged.append(b) or real(b))
+    words = [f" qz{chr(97 + i % 26)}{chr(97 + i // 26)}xqjv" for i in range(300)]
+    for w in words:
+        assert t.encode(w + " zqxjkvw") == tok.encode(w + " zqxjkvw")
+        assert len(t.known) + len(t.older) <= bpe.REMEMBER
+    assert merged.count(b" zqxjkvw") == 1 and len(merged) == 301
+
+
 def test_bpe_operator_on_edges(spark, tok):
     d = docs(spark, EDGES).withColumnRenamed("n_chars", "ids")
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(d).collect())
