@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,39 @@ def test_pair_stream_holds_shares_not_names(spark):
     assert 0 < max(held) <= 16
 
 
+def test_dedup_stream_holds_shares_not_names(spark):
+    """Names with records at random times, some with null qualities or numbers, in four files; state is a row for each share."""
+    rng, big = random.Random(6), 1 << 60
+    rows = [(rng.choice([f"n{rng.randrange(600)}", None]) if i % 50 == 0 else f"n{rng.randrange(600)}", big + i, rng.choice([0, 5, 5, 9, None])) for i in range(3000)]
+    t = spark.createDataFrame(rows, "qname string, rec_idx long, mapq int").withColumn("ts", F.timestamp_seconds(F.lit(1.7e9) + (F.col("rec_idx") - big)))
+    held = []
+    out = collate.replay(spark, t, lambda s: collate.dedup_stream(s, "300 seconds", 16), "append", ordered=True, seen=lambda q: held.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    of: dict = {}
+    for n, i, q in rows:
+        sessions = of.setdefault(n, [])
+        if sessions and i - sessions[-1][-1][1] <= 300:
+            sessions[-1].append((n, i, q))
+        else:
+            sessions.append([(n, i, q)])
+    want = [max(x, key=lambda r: (-1 if r[2] is None else r[2], -r[1])) for sessions in of.values() for x in sessions]
+    got = [tuple(r) for r in out.where("rec_idx is not null").collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    assert out.schema.simpleString() == "struct<qname:string,rec_idx:bigint,mapq:int>"
+    assert 0 < max(held) <= 16
+
+
+def test_files_come_in_the_order_of_their_ranges(spark):
+    """The first range is the last one written; were it read last, its records would be too late for the watermark."""
+    def slow(k: int) -> int:
+        if k == 0:
+            time.sleep(3)
+        return k
+
+    t = spark.range(400).select(F.udf(slow, "long")("id").alias("rec_idx")).withColumns({"qname": F.concat(F.lit("n"), "rec_idx"), "mapq": F.lit(1), "ts": F.timestamp_seconds(F.lit(1.7e9) + F.col("rec_idx") * 1000)})
+    out = collate.replay(spark, t, lambda s: collate.dedup_stream(s, "1 minute"), "append").where("qname is not null")
+    assert sorted(r.rec_idx for r in out.collect()) == list(range(400))
+
+
 def test_scores_are_compared_within_the_row(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
