@@ -107,3 +107,17 @@ def test_capped_runs_tell_the_same_counts_apart(spark):
     got = tracks.capped(spark.createDataFrame(rows, "rname string, begin int, stop int, n int"), 4, 1000).collect()
     spread = lambda runs: {p: min(n, 4) for _, b, e, n in runs for p in range(b, e)}
     assert spread(got) == spread(rows) and sum(e - b for _, b, e, _ in got) == len(spread(rows)) and len(got) < len(rows)
+
+
+@pytest.mark.parametrize("spec", ["U40-I8", "D40-I8", "M20_8-I40", "I40-m5", "R8-D40"])
+def test_only_reads_that_a_policy_can_touch_are_taken_apart(spark, monkeypatch, spec):
+    """Scores are the same as with every read taken apart; among the reads there are scores shorter than the bases."""
+    r, s = reads(spark, SF).withColumn("qual", F.expr("if(rec_idx % 10 = 3, '*', qual)")), ref(spark, SF)
+    made = []
+    whole = lossy.with_bases
+    monkeypatch.setattr(lossy, "with_bases", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    got = sorted(map(tuple, lossy.apply(r, s, spec).collect()))
+    if spec == "U40-I8":
+        assert made[0].where("bases is not null and not contains(cigar, 'I') and qual <> '*'").isEmpty()
+    monkeypatch.setattr(lossy, "_may_hit", lambda p: F.lit(True), raising=False)
+    assert got == sorted(map(tuple, lossy.apply(r, s, spec).collect()))
