@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,34 @@ def test_a_read_without_cigar_or_bases_has_null_tags(spark, tables):
     assert sorted(map(tuple, pileup.md_nm(reads, tables[2]).collect())) == [(1, None, None), (2, None, None), (3, "0", 0)]
 
 
+def test_letters_are_counted_beside_the_contig(tables):
+    """Each read ten times over: as many rows as without, with ten times the number."""
+    rows, reads, ref = tables
+    want = Counter((r[0] % 2 == 0, *x) for r in rows for x in walked(r)[2])
+    for times in (1, 10):
+        many = reads.withColumns({"even": F.expr("rec_idx % 2 = 0"), "copy": F.explode(F.sequence(F.lit(1), F.lit(times)))}).coalesce(1)
+        got = pileup.letter_counts(many, ref, "even").collect()
+        assert len(got) == len(want)
+        assert {(x.even, x.ref_pos, x.ref_base, x.base): x.n for x in got} == {k: n * times for k, n in want.items()}
+    assert got[0].rname == "a"
+
+
+def test_counts_of_places_far_apart():
+    """Places too far apart for one number with their group and letters."""
+    t = pa.table({"cigar": ["2M"] * 3, "seq": ["\U0001f9ec" + "A", "AC", "AC"], "stretch": ["AC", "AC", "AC"]})
+    many = pa.table({c: pa.concat_arrays([t[c].combine_chunks()] + [pa.array(["".join(map(chr, range(1000, 4000)))] if c != "cigar" else ["3000M"])]) for c in t.column_names})
+    group, n = letters.Laid(many).counts(np.array([0, 1, 1 << 12, 1 << 12]), np.array([1, (1 << 31) - 10, 1, 5000]))
+    got = Counter(zip(group.tolist(), *(n[c].to_pylist() for c in ("ref_pos", "ref_base", "base")), strict=True))
+    assert set(n["n"].to_pylist()) == {1} and len(got) == 3006
+    assert {x for x in got if x[1] < 5000 and x[0] < 1 << 12 or x[1] > 8000} == {(0, 1, "A", "\U0001f9ec"), (0, 2, "C", "A"), (1, (1 << 31) - 10, "A", "A"), (1, (1 << 31) - 9, "C", "C")}
+
+
+@pytest.mark.parametrize("name", ["keep_positions", "base_counts"])
+def test_no_row_is_made_of_a_letter(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence(1, e" not in plan and "explode(sequence(1, len" not in plan
+
+
 @pytest.mark.parametrize("at_once", [1, 50, 1000, 1 << 20])
 def test_rows_are_dealt_whole_and_in_order(at_once):
     rng = random.Random(4)
