@@ -99,12 +99,13 @@ def bin_table(spark, d):
     union all select '*', 'loose', 0, count(*) from reads where pos = 0""", "reads")
 def bai_round_trip(spark, d):
     """Sorted records, stretched by 997, as BAM files; their BAI files written and read again."""
-    from readloom.operators.cuts import numbered
     from readloom.sources import bai, bam
 
     r = reads(spark, d).withColumns({"pos": F.expr("cast(if(pos > 0, (pos - 1) * 997 + 1, 0) as int)"), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0)})
-    r = numbered(r, [F.when(F.col("rname") == "*", 1).otherwise(0), "rname", "pos", "rec_idx"]).withColumn("rec_idx", F.col("place").cast("long"))
-    files = bam.to_bam(r, [(f"chr{i}", 3_000_000) for i in range(1, 6)], parts=4).select(F.col("part").cast("string").alias("path"), "content")
+    # four files or more, as a file is one task's; there is a read for each order
+    parts = max(4, -(-table(spark, d, "orders").count() // bam.RECORDS))
+    order = [F.when(F.col("rname") == "*", 1).otherwise(0), "rname", "pos", "rec_idx"]
+    files = bam.to_bam(r, [(f"chr{i}", 3_000_000) for i in range(1, 6)], parts=parts, order=order).select(F.col("part").cast("string").alias("path"), "content")
     i = bai.parsed(bai.to_bai(bai.index_rows_of(files)))
     name = F.when(F.col("ref") < 0, "*").otherwise(F.concat(F.lit("chr"), F.col("ref") + 1)).alias("rname")
     by = lambda kind, what, key, n: i.where(F.col("kind") == kind).groupBy(name).agg(key.alias("key"), n.alias("n")).select("rname", F.lit(what).alias("kind"), "key", "n")

@@ -130,9 +130,11 @@ def section(rows: Iterable[tuple[str, int, int, int]]) -> bytes:
 
 
 def to_bai(rows: DataFrame) -> DataFrame:
-    """path, content: the BAI file of each BAM file, of its index rows. A task holds one contig's index (at most 37,450 bins), then one file's."""
+    """path, content: the BAI file of each BAM file, of its index rows, which are met once. A task holds one contig's index (at most 37,450 bins), then one file's."""
 
     def contig(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["ref"].iloc[0] < 0:
+            return pd.DataFrame({"path": [pdf["path"].iloc[0]], "ref": [int(pdf["ref"].iloc[0])], "content": [None], "n": [int(pdf["begin"].sum())]})
         it = zip(pdf["kind"], pdf["key"].tolist(), pdf["begin"].tolist(), pdf["stop"].tolist(), strict=True)
         return pd.DataFrame({"path": [pdf["path"].iloc[0]], "ref": [int(pdf["ref"].iloc[0])], "content": [section(it)], "n": [0]})
 
@@ -143,10 +145,9 @@ def to_bai(rows: DataFrame) -> DataFrame:
         body = b"".join(bytes(parts[i]) if i in parts else bytes(8) for i in range(n))
         return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [b"BAI\1" + struct.pack("<i", n) + body + struct.pack("<Q", loose)]})
 
-    schema = "path string, ref int, content binary, n long"
-    sections = rows.where("ref >= 0").groupBy("path", "ref").applyInPandas(contig, schema)
-    totals = rows.where("ref < 0").groupBy("path", F.expr("if(kind = 'refs', -2, -1)").alias("ref")).agg(F.sum("begin").alias("n")).selectExpr("path", "ref", "cast(null as binary) as content", "n")
-    return sections.unionByName(totals).groupBy("path").applyInPandas(whole, "path string, content binary")
+    rows = rows.withColumn("ref", F.expr("if(ref >= 0, ref, if(kind = 'refs', -2, -1))"))
+    sections = rows.groupBy("path", "ref").applyInPandas(contig, "path string, ref int, content binary, n long")
+    return sections.groupBy("path").applyInPandas(whole, "path string, content binary")
 
 
 def parse(data: bytes) -> list[tuple[str, int, int, int, int]]:

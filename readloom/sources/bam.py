@@ -12,10 +12,11 @@ import itertools
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from readloom.functions.cigar import OPS
 from readloom.sources import ranges
@@ -332,7 +333,6 @@ def _bin(begin: int, end: int) -> int:
 
 def _rows(places: DataFrame, find: Callable, opener: Callable, batch: int, offsets: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     schema = SCHEMA + (", voffset long, vend long" if offsets else "")
     to = to_arrow_schema(StructType.fromDDL(schema))
@@ -371,14 +371,30 @@ def read_places(spark: SparkSession, places: list[tuple[str, int, int, int]], ba
     return _rows(ranges.tasks(spark, places), find, opener, batch, False)
 
 
-def to_bam(reads: DataFrame, refs: list[tuple[str, int]], text: str = "", parts: int | None = None) -> DataFrame:
-    """part, content: the records as whole BAM files, one for each range of rec_idx; rows can be written to any store, for example by foreachPartition."""
-    ranged = (reads.repartitionByRange(parts, "rec_idx") if parts else reads.repartitionByRange("rec_idx")).sortWithinPartitions("rec_idx")
+def _dicts(b: pa.RecordBatch):
+    """Records as dicts by column; columns become lists as a whole, tags from their keys, types and values."""
+    m = b.column("tags")
+    at, keys = m.offsets.to_pylist(), m.keys.to_pylist()
+    said = [{"type": t, "value": v} for t, v in zip(m.items.field("type").to_pylist(), m.items.field("value").to_pylist(), strict=True)]
+    tags = (dict(zip(keys[i:k], said[i:k], strict=True)) for i, k in itertools.pairwise(at))
+    names = [n for n in b.schema.names if n != "tags"]
+    for t, *r in zip(tags, *(b.column(n).to_pylist() for n in names), strict=True):
+        yield dict(zip(names, r, strict=True)) | {"tags": t}
+
+
+#: Records of one file of to_bam(), which a task holds, where parts are made from a number of records.
+RECORDS = 250_000
+
+
+def to_bam(reads: DataFrame, refs: list[tuple[str, int]], text: str = "", parts: int | None = None, order: Sequence[Column | str] = ("rec_idx",)) -> DataFrame:
+    """part, content: the records as whole BAM files, one for each range of rec_idx or of another order; rows can be written to any store, for example by foreachPartition. Records are shuffled once, into that order."""
+    ranged = (reads.repartitionByRange(parts, *order) if parts else reads.repartitionByRange(*order)).sortWithinPartitions(*order)
+    ranged = ranged.select(*(c for c in reads.columns if c in StructType.fromDDL(SCHEMA).names))  # what a file doesn't hold isn't shuffled
 
     def run(batches):
         from pyspark import TaskContext
 
-        rows = (r | {"tags": dict(r["tags"] or [])} for b in batches for r in b.to_pylist())
+        rows = (r for b in batches for r in _dicts(b))
         first = next(rows, None)
         if first:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([encode(itertools.chain([first], rows), refs, text)], pa.binary())], names=["part", "content"])

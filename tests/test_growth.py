@@ -8,10 +8,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import lossy, pileup, tracks
+from readloom.operators import cuts, lossy, pileup, tracks
 from readloom.plans import catalog
 from readloom.plans.fixtures import reads, ref
+from readloom.sources import bai, bam
 from readloom.streaming import collate
+from tests import oracle
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +123,40 @@ def test_only_reads_that_a_policy_can_touch_are_taken_apart(spark, monkeypatch,
         assert made[0].where("bases is not null and not contains(cigar, 'I') and qual <> '*'").isEmpty()
     monkeypatch.setattr(lossy, "_may_hit", lambda p: F.lit(True), raising=False)
     assert got == sorted(map(tuple, lossy.apply(r, s, spec).collect()))
+
+
+def test_files_of_the_index_grow_in_number(spark, monkeypatch):
+    """Records are shuffled once, into files of so many each, and nothing of them is written to the shared folder."""
+    made, whole = [], bam.to_bam
+    monkeypatch.setattr(bam, "RECORDS", 100, raising=False)
+    monkeypatch.setattr(bam, "to_bam", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    monkeypatch.setattr(cuts, "cut", lambda df: pytest.fail("records were written to the shared folder"))
+    got = oracle.spark_rows(catalog.QUERIES["bai_round_trip"](spark, SF))
+    assert got == oracle.duck_rows(oracle.duck(SF), catalog.SQL["bai_round_trip"])
+    n = reads(spark, SF).count()
+    last = (-1, 0, 0)  # the files follow one another in order of place
+    sizes = []
+    for x in made[0].orderBy("part").collect():
+        _, refs, _ = bam.header(bam.inflate(bytes(x.content)))
+        number = bam.numbers(refs)
+        places = [(r[2] == "*", number[r[2]], r[3]) for r in bam.records(bam.inflate(bytes(x.content)))]
+        assert places == sorted(places) and places[0] >= last
+        last = places[-1]
+        sizes.append(len(places))
+    assert sum(sizes) == n and max(sizes) <= 400 and len(sizes) >= n // 200
+
+
+def test_index_rows_are_met_once(spark):
+    """A file's index is made of one pass over its index rows, as what makes them is the work."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", "chunk", 0, 4681, 100, 200), ("a", "line", 0, 0, 100, 0), ("a", "span", 0, 0, 100, 200), ("a", "count", 0, 0, 3, 1), ("a", "loose", -1, 0, 2, 0), ("a", "loose", -1, 0, 5, 0), ("a", "refs", -1, 0, 3, 0)]
+    got = bai.to_bai(spark.createDataFrame(rows, bai.INDEX).coalesce(1).mapInArrow(run, bai.INDEX)).collect()
+    want = [("chunk", 0, 4681, 100, 200), ("span", 0, 0, 100, 200), ("count", 0, 0, 3, 1), ("line", 0, 0, 100, 0), ("loose", -1, 0, 7, 0), ("refs", -1, 0, 3, 0)]
+    assert [x.path for x in got] == ["a"] and bai.parse(bytes(got[0].content)) == want
+    assert seen.value == len(rows)
